@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import langid
+from quillstream.llm import langid, leaks
 from quillstream.llm.common import table
 
 
@@ -44,8 +44,17 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d, only_foreign=False).select("table_name", "row_id", "block_no", "lang", F.round("confidence", 4).alias("confidence"), "letters")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Passages with up to one word changed, added or lost in twelve, found by more tables."""
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", max_edits=1, tables=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p6_found": p6_found, "p6_near": p6_near}
 
 
 def oracle_sql() -> dict[str, str]:
