@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import langid, leaks
+from quillstream.llm import dictcopies, langid, leaks, lookalike
 from quillstream.llm.common import table
 
 
@@ -44,6 +45,27 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return _detected(spark, d, only_foreign=False).select("table_name", "row_id", "block_no", "lang", F.round("confidence", 4).alias("confidence"), "letters")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_pairs(table(spark, d, "chunks"), "chunk_id", "source_text")
+
+
+def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """The hash that equal-looking chunks share, beside that of the text as received."""
+    rows = table(spark, d, "chunks").select("chunk_id", "source_text").distinct()
+    return lookalike.canonicalise(rows, "source_text").select("chunk_id", F.sha2("source_text", 256).alias("text_hash"), F.sha2("canonical", 256).alias("canonical_hash"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    _, members = dictcopies.copies(table(spark, d, "chunk_records"), "record_id", "payload")
+    return members.where("key > first").select(F.col("first").alias("record_id_a"), F.col("key").alias("record_id_b"))
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record a group and the number of its copies, itself included."""
+    groups, _ = dictcopies.copies(table(spark, d, "chunk_records"), "record_id", "payload")
+    return groups.select(F.col("first").alias("record_id"), "copies")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -54,8 +76,25 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p6_found": p6_found, "p6_near": p6_near}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_near": p6_near}
+
+
+def _spelled(name: str) -> str:
+    """A field under any style of its name."""
+    words = re.findall("[A-Z]?[a-z]+", name)
+    styles = [name, name[0].upper() + name[1:], "_".join(w.lower() for w in words), name.upper()]
+    return "coalesce(" + ", ".join(f"json_extract_string(payload, '$.{s}')" for s in styles) + ")"
+
+
+_KEYS = ", ".join(f"regexp_replace(lower(upper({_spelled(n)})), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k{i}" for i, n in enumerate(("sourceText", "blockKind", "sourceFilePath")))
+_GROUPS = f"k AS (SELECT record_id, {_KEYS} FROM chunk_records), g AS (SELECT record_id, min(record_id) OVER w AS first FROM k WINDOW w AS (PARTITION BY k0, k1, k2))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    form = lookalike.canonical_sql("source_text")
+    return {
+        "p2_found": f"WITH c AS (SELECT DISTINCT chunk_id, source_text, {form} AS form FROM chunks WHERE source_text IS NOT NULL) SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM c a JOIN c b ON a.form = b.form AND a.source_text <> b.source_text AND a.chunk_id < b.chunk_id",
+        "p2_canonical": f"SELECT DISTINCT chunk_id, sha256(source_text) AS text_hash, sha256({form}) AS canonical_hash FROM chunks",
+        "p3_found": f"WITH {_GROUPS} SELECT first AS record_id_a, record_id AS record_id_b FROM g WHERE record_id > first",
+        "p3_records": f"WITH {_GROUPS} SELECT first AS record_id, count(*) AS copies FROM g GROUP BY 1",
+    }
