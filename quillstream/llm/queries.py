@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import dictcopies, langid, leaks, lookalike
-from quillstream.llm.common import table
+from quillstream.llm import dictcopies, langid, leaks, lookalike, pairs
+from quillstream.llm.common import checkpoint, table
 
 
 def label_code(label: Column) -> Column:
@@ -66,6 +66,13 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("first").alias("record_id"), "copies")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    labelled = table(spark, d, "documents").select(F.col("lang").alias("label"), "text")
+    paired = checkpoint(pairs.pairs(table(spark, d, "chunks"), "chunk_id", "source_text", "ingested_at", table(spark, d, "translations"), "translation_id", "target_lang", "translated_text"))
+    found = pairs.defects(paired, pairs.fit(paired, labelled))
+    return found.select(F.col("id").alias("translation_id"), "defect")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -76,7 +83,7 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p6_found": p6_found, "p6_near": p6_near}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p6_found": p6_found, "p6_near": p6_near}
 
 
 def _spelled(name: str) -> str:
