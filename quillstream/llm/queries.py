@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import dictcopies, langid, leaks, lookalike, pairs
+from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs
 from quillstream.llm.common import checkpoint, table
 
 
@@ -73,6 +73,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("translation_id"), "defect")
 
 
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every text."""
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of every container."""
+    return packing.fill(p5_containers(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 
@@ -83,7 +93,7 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p6_found": p6_found, "p6_near": p6_near}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p5_containers": p5_containers, "p5_fill": p5_fill, "p6_found": p6_found, "p6_near": p6_near}
 
 
 def _spelled(name: str) -> str:
