@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs
+from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs, splitting
 from quillstream.llm.common import checkpoint, table
 
 
@@ -92,8 +92,29 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", max_edits=1, tables=6)
 
 
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of documents in pieces of at most 512 tokens, 64 of them shared with the piece before."""
+    return splitting.split(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_segments": p1_segments,
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
+    "p3_found": p3_found,
+    "p3_records": p3_records,
+    "p4_found": p4_found,
+    "p5_containers": p5_containers,
+    "p5_fill": p5_fill,
+    "p6_found": p6_found,
+    "p6_near": p6_near,
+    "p7_pieces": p7_pieces,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p5_containers": p5_containers, "p5_fill": p5_fill, "p6_found": p6_found, "p6_near": p6_near}
+    return dict(QUERIES)
 
 
 def _spelled(name: str) -> str:
