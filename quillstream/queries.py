@@ -257,9 +257,10 @@ def glossary_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EDGE, _AFTER = "(^|[^\\p{L}\\p{M}\\p{N}_])", "($|[^\\p{L}\\p{M}\\p{N}_])"
-_GLOSSARY_WARNINGS = f"""WITH {_LATEST}, {_ANSWERS}, {_TERMS}, p AS (SELECT *, CASE WHEN cs THEN '' ELSE '(?i)' END || '{_EDGE}' || regexp_escape(src) || '{_AFTER}' AS whole, CASE WHEN cs THEN '' ELSE '(?i)' END || '{_EDGE}' || regexp_escape(coalesce(tgt, '')) AS start FROM k)
+_GLOSSARY_WARNINGS = f"""WITH {_LATEST}, {_ANSWERS}, {_TERMS}, p AS (SELECT *, CASE WHEN cs THEN '' ELSE '(?i)' END || '{_EDGE}' || regexp_escape(src) || '{_AFTER}' AS whole, CASE WHEN cs THEN '' ELSE '(?i)' END || '{_EDGE}' || regexp_escape(coalesce(tgt, '')) AS start FROM k),
+j AS MATERIALIZED (SELECT a.*, p.* EXCLUDE (lang) FROM a JOIN p ON (term_kind = 'dont_translate' OR p.lang = a.target_lang) AND contains(lower(source_text), lower(src)) WHERE translated_text IS NOT NULL)
 SELECT translation_id, term_id, term_kind, CASE WHEN term_kind = 'dont_translate' THEN 'Glossary term ''' || src || ''' was expected verbatim in the translation but was not found.' ELSE 'Glossary mapping ''' || src || ''' -> ''' || tgt || ''' (' || target_lang || ') was not found in the translation.' END AS warning
-FROM a JOIN p ON (term_kind = 'dont_translate' OR p.lang = a.target_lang) WHERE translated_text IS NOT NULL AND source_text IS NOT NULL AND regexp_matches(source_text, whole) AND NOT regexp_matches(translated_text, CASE WHEN term_kind = 'dont_translate' THEN whole ELSE start END)"""
+FROM j WHERE regexp_matches(source_text, whole) AND NOT regexp_matches(translated_text, CASE WHEN term_kind = 'dont_translate' THEN whole ELSE start END)"""
 
 
 # --- translations ------------------------------------------------------------------------------------------------
