@@ -25,8 +25,12 @@ NO_RECORD = "payload"
 
 
 def letters_and_digits(value: Column) -> Column:
-    """Upper case first, so that letters that differ only in one of their cases meet."""
-    return F.regexp_replace(F.lower(F.upper(value)), r"[^\p{L}\p{N}]", "")
+    """Upper case first, so that letters that differ only in one of their cases meet (sharp s and double s, dotless i and i).
+
+    The optimiser drops an upper() right inside a lower(), which are not the same; hence the pattern between them.
+    """
+    other = r"[^\p{L}\p{N}]"
+    return F.regexp_replace(F.lower(F.regexp_replace(F.upper(value), other, "")), other, "")
 
 
 def fields(payload: Column, names: tuple[str, ...] = FIELDS) -> list[Column]:

@@ -124,7 +124,7 @@ def _spelled(name: str) -> str:
     return "coalesce(" + ", ".join(f"json_extract_string(payload, '$.{s}')" for s in styles) + ")"
 
 
-_KEYS = ", ".join(f"regexp_replace(lower(upper({_spelled(n)})), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k{i}" for i, n in enumerate(("sourceText", "blockKind", "sourceFilePath")))
+_KEYS = ", ".join(f"regexp_replace(replace(lower(upper({_spelled(n)})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k{i}" for i, n in enumerate(("sourceText", "blockKind", "sourceFilePath")))
 _GROUPS = f"k AS (SELECT record_id, {_KEYS} FROM chunk_records), g AS (SELECT record_id, min(record_id) OVER w AS first FROM k WINDOW w AS (PARTITION BY k0, k1, k2))"
 
 
