@@ -31,7 +31,7 @@ RARE = 4e-6
 TRAIN_ROWS = 2500
 SEED = 20240607
 #: Confidence over the page's main language from which a block counts as being in another one.
-CERTAIN = 0.99
+CERTAIN = 0.999
 
 _FENCE = ("```", "~~~")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
