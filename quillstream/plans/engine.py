@@ -13,7 +13,7 @@ from quillstream.model import HEADER_PREFIX
 from quillstream.operators import chunks as chunk_ops
 from quillstream.operators import diff, glossary, memory, paths, provenance, report, translate
 from quillstream.plans import batching
-from quillstream.sources.shared import ensure_checkpoint_dir
+from quillstream.sources.shared import ensure_checkpoint_dir, spread
 
 
 @dataclass
@@ -52,7 +52,8 @@ def run(
     ensure_checkpoint_dir(corpus.sparkSession)
     head = corpus.select("path", sha256_hex(F.encode("body", "UTF-8")).alias("source_hash"))
     changed = diff.changed_files(base, head, include, ignored)
-    sources = diff.not_generated(corpus.join(changed.select("path"), "path", "left_semi"), "body", prefix)
+    # parsed for its chunks and again for each rebuilt document
+    sources = spread(diff.not_generated(corpus.join(changed.select("path"), "path", "left_semi"), "body", prefix).checkpoint())
     own = chunk_ops.extract(sources, "path", "body").select("path", "ordinal", "chunk_id", "source_text", "content_hash")
     wanted = paths.per_language(own, langs)
     probed = memory.probe(wanted, remembered).checkpoint()

@@ -12,6 +12,7 @@ from quillstream.model import HEADER_PREFIX, HEADER_SUFFIX
 from quillstream.operators import chunks as chunk_ops
 from quillstream.operators import diff, glossary, marks, memory, paths, provenance, replies, report, translate
 from quillstream.plans import batching, engine
+from quillstream.sources.shared import spread
 
 LANGS = ["de", "es", "fr", "ja", "pt", "ru", "tr"]
 BEFORE, SINCE = "2026-07-01 00:00:00", "2026-04-01 00:00:00"
@@ -400,7 +401,7 @@ def job_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_ops.extract(_table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string")), "path", "text")
+    return chunk_ops.extract(spread(_table(spark, d, "documents").select("doc_id", "text")).withColumn("path", F.col("doc_id").cast("string")), "path", "text")
 
 
 def md_chunks(spark: SparkSession, d: str) -> DataFrame:

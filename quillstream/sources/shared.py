@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -14,3 +14,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "quillstream-checkpoints"))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan or checkpoint of fewer parts than there are cores, dealt out before costly work in Python. Larger input stays as it is.
+
+    Only for frames that are read as they are: asking others for their parts would run them.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
