@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs, splitting
 from quillstream.llm.common import checkpoint, table
+from quillstream.sources.shared import spread
 
 
 def label_code(label: Column) -> Column:
@@ -69,13 +70,13 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     labelled = table(spark, d, "documents").select(F.col("lang").alias("label"), "text")
     paired = checkpoint(pairs.pairs(table(spark, d, "chunks"), "chunk_id", "source_text", "ingested_at", table(spark, d, "translations"), "translation_id", "target_lang", "translated_text"))
-    found = pairs.defects(paired, pairs.fit(paired, labelled))
+    found = pairs.defects(spread(paired), pairs.fit(paired, labelled))
     return found.select(F.col("id").alias("translation_id"), "defect")
 
 
 def p5_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container of every text."""
-    return packing.pack(table(spark, d, "documents"), "doc_id", "text")
+    return packing.pack(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +95,7 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every text of documents in pieces of at most 512 tokens, 64 of them shared with the piece before."""
-    return splitting.split(table(spark, d, "documents"), "doc_id", "text")
+    return splitting.split(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
