@@ -30,6 +30,12 @@ def chain(tokens: np.ndarray, begin: int, budget: int) -> tuple[list[int], int]:
     return starts, int(sums[-1] - sums[starts[-1]]) if starts else 0
 
 
+def _fresh(tokens: np.ndarray, budget: int) -> tuple[int, int]:
+    """Batches begun and tokens open at the end, nothing being brought along."""
+    starts, left = chain(tokens, 0, budget)
+    return len(starts), left
+
+
 def _entries(tokens: np.ndarray, budget: int) -> dict[int, tuple[int, int]]:
     """For each number of tokens that the open batch may bring along: batches begun here and tokens open at the end.
 
@@ -37,18 +43,15 @@ def _entries(tokens: np.ndarray, budget: int) -> dict[int, tuple[int, int]]:
     """
     found: dict[int, tuple[int, int]] = {}
     sums = np.concatenate([[0], np.cumsum(tokens)])
-    starts, left = chain(tokens, 0, budget)
-    found[-1] = (len(starts), left)
+    found[-1] = _fresh(tokens, budget)
     # with b tokens open, the first start here is the first k with b + sums[k + 1] > budget
-    for k in range(len(tokens) + 1):
-        least = max(0, budget - int(sums[k + 1]) + 1) if k < len(tokens) else 0
-        if k < len(tokens):
-            starts, left = chain(tokens, k, budget)
-            found[least] = (len(starts), left)
-            if least == 0:
-                break
-        else:
-            found[0] = (0, int(sums[-1]))  # all rows go to the open batch, whose tokens are added by the caller
+    for k in range(len(tokens)):
+        least = max(0, budget - int(sums[k + 1]) + 1)
+        starts, left = chain(tokens, k, budget)
+        found[least] = (len(starts), left)
+        if least == 0:
+            return found
+    found[0] = (0, int(sums[-1]))  # all rows go to the open batch, whose tokens the caller adds
     return found
 
 
@@ -88,7 +91,7 @@ def batches(frame: DataFrame, group: list[str], order: list[str], tokens: str, b
             own = counts(pdf.iloc[a:b])
             total = int(own.sum())
             # only the first group can go on from the part before; of the last one just the fresh start matters
-            found = _entries(own, budget) if which == "first" else dict([(-1, (lambda c: (len(c[0]), c[1]))(chain(own, 0, budget)))])
+            found = _entries(own, budget) if which == "first" else {-1: _fresh(own, budget)}
             for least, (begun, left) in found.items():
                 rows.append((int(pdf["_part"].iloc[0]), which == "first", keys[a], least, begun, left, total))
         yield pd.DataFrame(rows, columns=["part", "first", "key", "least", "begun", "open", "total"])

@@ -414,13 +414,15 @@ def md_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return _page_chunks(spark, d).groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(*(F.count(F.when(F.col("block_kind") == k, 1)).alias(n) for n, k in kinds.items()))
 
 
-_COUNTS = """WITH x AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents),
-n AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM x),
-f AS (SELECT *, sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS fences FROM n),
+def _sql_counts(source: str, key: str) -> tuple[str, str]:
+    """Tables and columns that count the chunks of each kind by the first characters of lines."""
+    tables = """x AS (SELECT KEY, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM SOURCE),
+n AS (SELECT KEY, unnest(ls) AS s, generate_subscripts(ls, 1) AS i FROM x),
+f AS (SELECT *, sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY KEY ORDER BY i) AS fences FROM n),
 k AS (SELECT *, CASE WHEN starts_with(s, '```') OR fences % 2 = 1 THEN 'code' WHEN trim(s) = '' THEN 'blank' WHEN regexp_matches(s, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(s, '^[|][- |:]+$') THEN 'rule' WHEN starts_with(s, '|') THEN 'row' WHEN regexp_matches(s, '^(-|[0-9]+[.]) ') THEN 'item' WHEN starts_with(s, '>') THEN 'quote' ELSE 'text' END AS kind FROM f),
-p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)
-SELECT doc_id, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'text' AND before IS DISTINCT FROM 'text') AS paragraphs, count(*) FILTER (kind = 'item') AS list_items, count(*) FILTER (kind = 'quote' AND before IS DISTINCT FROM 'quote') AS quotes, coalesce(sum(length(s) - length(replace(s, '|', '')) - 1) FILTER (kind = 'row'), 0)::BIGINT AS cells
-FROM p GROUP BY 1 HAVING headings + paragraphs + list_items + quotes + cells > 0"""
+p AS (SELECT *, lag(kind) OVER (PARTITION BY KEY ORDER BY i) AS before FROM k)"""
+    columns = """count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'text' AND before IS DISTINCT FROM 'text') AS paragraphs, count(*) FILTER (kind = 'item') AS list_items, count(*) FILTER (kind = 'quote' AND before IS DISTINCT FROM 'quote') AS quotes, coalesce(sum(length(s) - length(replace(s, '|', '')) - 1) FILTER (kind = 'row'), 0)::BIGINT AS cells"""
+    return tables.replace("SOURCE", source).replace("KEY", key), columns
 
 
 def md_identity_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -445,6 +447,11 @@ def _pipeline(spark: SparkSession, d: str) -> engine.Result:
     return engine.run(corpus, base, ["de", "tr"], empty, _table(spark, d, "glossary_terms"))
 
 
+_PIPELINE = f"""last AS (SELECT file_path AS path, arg_max(text, (ingested_at, doc_id)) AS text FROM documents WHERE file_path IS NOT NULL GROUP BY 1),
+was AS (SELECT file_path AS path, sha256(arg_max(text, (ingested_at, doc_id))) AS h FROM documents WHERE file_path IS NOT NULL AND ingested_at < TIMESTAMPTZ '{BEFORE}+00' GROUP BY 1),
+todo AS (SELECT last.path, last.text FROM last LEFT JOIN was ON was.path = last.path WHERE was.h IS DISTINCT FROM sha256(last.text))"""
+
+
 def pipeline_summary(spark: SparkSession, d: str) -> DataFrame:
     """The whole flow from snapshots to documents; its counts by language."""
     return _pipeline(spark, d).languages
@@ -473,6 +480,8 @@ def _sql_annotation(c: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     changes = f"WITH {_CHANGES}"
+    page_tables, kinds = _sql_counts("documents", "doc_id")
+    flow_tables, _ = _sql_counts("todo", "path")
     header = f"coalesce({_HEADER} || chr(10) || chr(10) || output_markdown, output_markdown)"
     return {
         "corpus_changes": f"{changes} SELECT path, kind, source_hash, base_hash FROM c",
@@ -510,6 +519,7 @@ def oracle_sql() -> dict[str, str]:
         "run_outputs": f"WITH {_DRIFT}, s AS (SELECT count(DISTINCT output_path) AS f, count(*) FILTER (reason <> '{provenance.FRESH}') AS n FROM v) SELECT 'pr-url=' AS pr_url, 'translated-files-count=' || f AS files, 'stale-translations-count=' || n AS stale, CASE WHEN n > 0 THEN 1 ELSE 0 END AS exit_code FROM s",
         "log_annotations": f"WITH u AS (SELECT result_id AS id, file_path AS f, unnest(warnings) AS m FROM translation_results UNION ALL SELECT doc_id, source, text FROM documents) SELECT id, sha256('::warning file=' || {_sql_annotation('''coalesce(f, '')''')} || '::' || {_sql_annotation('m')}) AS line_hash, length({_sql_annotation('m')})::INTEGER AS length FROM u WHERE m IS NOT NULL",
         "event_lists": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}'), n AS (SELECT category, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY 1), s AS (SELECT category, message, row_number() OVER (PARTITION BY category ORDER BY message) AS r FROM (SELECT DISTINCT category, message FROM e WHERE message IS NOT NULL)) SELECT n.category, n.n, string_agg(s.message, chr(10) ORDER BY s.message) AS messages FROM n JOIN s ON s.category = n.category WHERE s.r <= 10 GROUP BY 1, 2",
-        "md_chunk_counts": _COUNTS,
+        "md_chunk_counts": f"WITH {page_tables} SELECT doc_id, {kinds} FROM p GROUP BY 1 HAVING headings + paragraphs + list_items + quotes + cells > 0",
+        "pipeline_summary": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds} FROM p) SELECT unnest(['de', 'tr']) AS target_lang, (headings + paragraphs + list_items + quotes + cells)::BIGINT AS chunks_translated, 0::BIGINT AS chunks_from_cache FROM s",
         "md_identity_roundtrip": "SELECT doc_id, sha256(text) AS text_hash, NULL::VARCHAR AS error FROM documents",
     }
