@@ -15,7 +15,7 @@ GLOSSARY = "version int, case_sensitive boolean, dont_translate array<string>, c
 REPLY = "translations array<struct<chunkId:string,translatedText:string>>"
 EVENTS = "category string, path string, target_lang string, message string"
 
-#: Event categories in the order of the reports, with their titles.
+# Event categories in the order of the reports, with their titles.
 SECTIONS = {
     "stale": "Stale translations detected",
     "glossary": "Glossary warnings",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.text import whole_word, word_start
 from quillstream.model import GLOSSARY
 
+# How a hint begins.
 VERBATIM = "These terms must appear verbatim, untranslated, in the output: "
 RENDERED = "These source terms must be rendered exactly as specified: "
 #: A glossary of more terms isn't broadcast but joined by shuffle.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstream.functions.text import trimmed
 from quillstream.model import HEADER_PREFIX, HEADER_SUFFIX
 
+# Keys of a header, and the reasons of a verdict.
 REQUIRED = {"source-hash": "source_hash", "source-path": "source_path", "target-lang": "target_lang", "generated": "generated_raw"}
 NO_HEADER = "No provenance header found in existing translation."
 CHANGED = "Source file changed since this translation was generated."
