@@ -304,7 +304,23 @@ def marker_sets(spark: SparkSession, d: str) -> DataFrame:
 def marker_survival(spark: SparkSession, d: str) -> DataFrame:
     """Answers that lost a marker of their source, and which."""
     rows = _answers(spark, d).where("translated_text is not null").select("translation_id", marks.missing_markers(F.col("source_text"), F.col("translated_text")).alias("lost"))
-    return rows.where(F.size("lost") > 0)
+    return rows.where(F.size("lost") > 0).select("translation_id", F.array_join(F.array_sort("lost"), "; ").alias("lost"))
+
+
+def _sql_markers(column: str) -> str:
+    """Names of a text's markers, or none where it isn't in the marker language: spans are taken out from the inside, none may be left over."""
+    rest = f"regexp_replace({column}, '⟦\\p{{L}}+[0-9]+⟧', '', 'g')"
+    for _ in range(2):
+        for name in ("em", "strong", "link"):
+            for n in range(6):
+                rest = f"regexp_replace({rest}, '<{name}{n}>[^<]*</{name}{n}>', '', 'g')"
+    places = f"list_transform(regexp_extract_all({column}, '⟦\\p{{L}}+([0-9]+)⟧', 1), lambda x: 'the placeholder at index ' || x)"
+    spans = f"list_transform(regexp_extract_all({column}, '<((?:em|strong|link)[0-9]+)>', 1), lambda x: 'the <' || x || '>...</' || x || '> tag pair')"
+    return f"(SELECT CASE WHEN contains(r, '⟦') OR regexp_matches(r, '</?(em|strong|link)[0-9]+>') THEN [] ELSE list_distinct(list_concat({places}, {spans})) END FROM (SELECT {rest} AS r))"
+
+
+_TEXT = "coalesce(a.translated_text, '')"
+_LOST = f"o AS (SELECT a.*, {_sql_markers('a.source_text')} AS sm, {_sql_markers(_TEXT)} AS tm FROM a), k AS (SELECT *, list_sort(list_filter(sm, lambda x: NOT list_contains(tm, x))) AS lost FROM o)"
 
 
 def placeholder_survival(spark: SparkSession, d: str) -> DataFrame:
@@ -510,6 +526,8 @@ def oracle_sql() -> dict[str, str]:
         "reply_items": "SELECT batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY translation_id) - 1)::INTEGER AS pos, chunk_id, translated_text FROM translations WHERE batch_id IS NOT NULL",
         "reply_id_check": "WITH t AS (SELECT batch_id, chunk_id, count(translated_text) AS got FROM translations WHERE batch_id IS NOT NULL GROUP BY 1, 2), x AS (SELECT batch_id, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (got = 0), '') AS missing, '' AS unexpected, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (got > 1), '') AS duplicated FROM t GROUP BY 1) SELECT batch_id, missing, unexpected, duplicated, 'Chunk id mismatch in provider response (' || concat_ws('; ', CASE WHEN missing <> '' THEN 'missing: ' || missing END, CASE WHEN duplicated <> '' THEN 'duplicated: ' || duplicated END) || ').' AS message FROM x WHERE missing <> '' OR duplicated <> ''",
         "repaired_item": "WITH t AS (SELECT *, min(chunk_id) OVER (PARTITION BY batch_id) AS own FROM translations WHERE batch_id IS NOT NULL) SELECT batch_id, (array_agg(translated_text ORDER BY translation_id) FILTER (chunk_id = own))[1] AS own_text, (array_agg(translated_text ORDER BY translation_id))[1] AS first_text FROM t GROUP BY 1",
+        "marker_survival": f"WITH {_LATEST}, {_ANSWERS}, {_LOST} SELECT translation_id, array_to_string(lost, '; ') AS lost FROM k WHERE translated_text IS NOT NULL AND len(lost) > 0",
+        "heal_status": f"WITH {_LATEST}, {_ANSWERS}, {_LOST}, t AS (SELECT chunk_id, target_lang, row_number() OVER (PARTITION BY chunk_id, target_lang ORDER BY received_at, translation_id) AS r, translated_text IS NOT NULL AND len(lost) = 0 AS fine FROM k), f AS (SELECT chunk_id, target_lang, min(r) FILTER (fine) AS p, count(*) AS n FROM t WHERE r <= 3 GROUP BY 1, 2) SELECT chunk_id, target_lang, CASE WHEN p = 1 THEN 'ok' WHEN p > 1 THEN 'repaired' ELSE 'unrecoverable' END AS status, (coalesce(p, n) - 1)::INTEGER AS repairs FROM f",
         "placeholder_survival": f"WITH {_LATEST}, {_ANSWERS}, p AS (SELECT translation_id, list_sort(list_filter(list_distinct(regexp_extract_all(source_text, '⟦\\p{{L}}+([0-9]+)⟧', 1)), lambda x: NOT list_contains(regexp_extract_all(translated_text, '⟦\\p{{L}}+([0-9]+)⟧', 1), x))) AS x FROM a WHERE translated_text IS NOT NULL AND source_text IS NOT NULL) SELECT translation_id, array_to_string(x, ',') AS lost FROM p WHERE len(x) > 0",
         "assemble_documents": f"WITH {_LATEST}, {_ANSWERS}, {_MEMORY}, j AS (SELECT l.path, m.target_lang, (l.ordinal // {chunk_ops.PART})::INTEGER AS part_no, l.ordinal, m.translated_text AS t FROM l JOIN m ON m.path = l.path AND m.content_hash = l.content_hash), s AS (SELECT path, target_lang, part_no, count(*) AS chunks, string_agg(t, chr(10) || chr(10) ORDER BY ordinal, t) AS markdown FROM j GROUP BY 1, 2, 3) SELECT path, target_lang, part_no, chunks, sha256(markdown) AS markdown_hash, length(markdown)::INTEGER AS length FROM s",
         "provenance_render": f"SELECT result_id, {_HEADER} AS header FROM translation_results",
