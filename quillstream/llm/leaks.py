@@ -8,6 +8,9 @@ candidates, and each is verified exactly: ``MIN_WORDS`` consecutive item words m
 
 Items have a window at every word, documents one at every ``STRIDE``-th. As WINDOW + STRIDE - 1 = MIN_WORDS, any run of
 MIN_WORDS equal words holds a whole document window, which is embedded as the item's: for max_edits = 0 nothing is missed.
+With edits, both have a window at every word, and it is shorter: ``max_edits`` edits leave min_words - max_edits words or
+more in max_edits + 1 runs or fewer, so that one of these holds a whole window of ``window_of`` words, wherever the edits
+are. That window collides in every table, whatever the walks: recall doesn't hang on the sampled steps.
 Only the item index is sent to the workers, in blocks of at most ``BLOCK_CHARS`` characters of item text; further blocks
 are further passes.
 
@@ -57,8 +60,6 @@ def _lower() -> tuple[np.ndarray, np.ndarray]:
 _LOW, _SKIP = _lower()
 _rng = np.random.default_rng(SEED)
 _POWERS = _rng.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
-_STEPS = 3 * WINDOW
-_BITS = _rng.integers(1, 2**63, _STEPS, dtype=np.uint64) | np.uint64(1)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,50 +103,65 @@ class Words:
         return np.searchsorted(self.owner, np.arange(count + 1))
 
 
-def embed(hashes: np.ndarray, starts: np.ndarray, samples: list[np.ndarray]) -> list[np.ndarray]:
-    """LSH keys of the windows at ``starts``: a key a table, folded from the sampled steps of the CGK walk."""
-    sampled = [set(s.tolist()) for s in samples]
-    keys = [np.zeros(len(starts), np.uint64) for _ in samples]
-    at, end = starts.copy(), starts + WINDOW
-    padded = np.append(hashes, np.zeros(WINDOW + 1, np.uint64))
-    for j in range(max(max(s) for s in sampled) + 1):
+def window_of(min_words: int, max_edits: int) -> int:
+    """Words of a window: with edits, no more than the longest run that they leave whole for sure."""
+    return min(WINDOW, -(-(min_words - max_edits) // (max_edits + 1))) if max_edits else WINDOW
+
+
+def embed(hashes: np.ndarray, starts: np.ndarray, window: int, sample: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """LSH keys of the windows at ``starts`` in one table, folded from the sampled steps of its own CGK walk."""
+    chosen = set(sample.tolist())
+    key = np.zeros(len(starts), np.uint64)
+    at, end = starts.copy(), starts + window
+    padded = np.append(hashes, np.zeros(window + 1, np.uint64))
+    for j in range(max(chosen) + 1):
         word = np.where(at < end, padded[at], np.uint64(0))
-        for key, chosen in zip(keys, sampled, strict=True):
-            if j in chosen:
-                key *= _FOLD
-                key += word
-                key ^= key >> np.uint64(31)
-        at += ((word * _BITS[j]) >> np.uint64(63)).astype(at.dtype)
-    return keys
+        if j in chosen:
+            key *= _FOLD
+            key += word
+            key ^= key >> np.uint64(31)
+        at += ((word * bits[j]) >> np.uint64(63)).astype(at.dtype)
+    return key
 
 
-def samples(tables: int) -> list[np.ndarray]:
+def walks(tables: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled steps and walk bits, drawn anew for each table."""
     rng = np.random.default_rng(SEED + 1)
-    return [np.sort(rng.choice(_STEPS, SAMPLED, replace=False)) for _ in range(tables)]
+    steps = 3 * window
+    return [(np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)), rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)) for _ in range(tables)]
 
 
 class ItemIndex:
     """Windows of a block of items, by LSH key."""
 
-    def __init__(self, items: list[tuple[int, str]], tables: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], tables: int, window: int = WINDOW) -> None:
         self.ids = [i for i, _ in items]
         self.words = Words([clean(t) for _, t in items])
         self.spans = self.words.spans(len(items))
-        self.samples = samples(tables)
-        owner = self.words.owner
-        starts = np.arange(max(0, len(owner) - WINDOW + 1))
-        starts = starts[owner[starts] == owner[starts + WINDOW - 1]] if len(starts) else starts
-        self.tables = []
-        for key in embed(self.words.hash, starts, self.samples):
-            order = np.argsort(key, kind="stable")
-            bitmap = np.zeros(_MASK + 1, bool)
-            bitmap[(key & np.uint64(_MASK)).astype(np.int64)] = True
-            self.tables.append((key[order], starts[order], bitmap))
-
-    def candidates(self, words: Words, starts: np.ndarray) -> np.ndarray:
+        self.count = tables
+        self.windows: dict[int, list] = {}
+        self.tables(window)
+
+    def tables(self, window: int) -> list[tuple]:
+        """The tables over windows of so many words: walk, sorted keys, their starts, bitmap of keys."""
+        if window not in self.windows:
+            owner = self.words.owner
+            starts = np.arange(max(0, len(owner) - window + 1))
+            starts = starts[owner[starts] == owner[starts + window - 1]] if len(starts) else starts
+            self.windows[window] = []
+            for sample, bits in walks(self.count, window):
+                key = embed(self.words.hash, starts, window, sample, bits)
+                order = np.argsort(key, kind="stable")
+                bitmap = np.zeros(_MASK + 1, bool)
+                bitmap[(key & np.uint64(_MASK)).astype(np.int64)] = True
+                self.windows[window].append((sample, bits, key[order], starts[order], bitmap))
+        return self.windows[window]
+
+    def candidates(self, words: Words, starts: np.ndarray, window: int) -> np.ndarray:
         """Pairs of window starts (document, item) that agree in any table, one a row."""
         found = [np.zeros((0, 2), np.int64)]
-        for key, (sorted_keys, where, bitmap) in zip(embed(words.hash, starts, self.samples), self.tables, strict=True):
+        for sample, bits, sorted_keys, where, bitmap in self.tables(window):
+            key = embed(words.hash, starts, window, sample, bits)
             maybe = np.flatnonzero(bitmap[(key & np.uint64(_MASK)).astype(np.int64)])
             lo, hi = np.searchsorted(sorted_keys, key[maybe], "left"), np.searchsorted(sorted_keys, key[maybe], "right")
             count = hi - lo
@@ -183,20 +199,60 @@ def edits_within(item: list, text: list, most: int) -> bool:
     return min(row) <= most
 
 
-def _verified(index: ItemIndex, words: Words, spans: np.ndarray, pairs: np.ndarray, min_words: int, max_edits: int) -> dict[tuple[int, int], int]:
+def _equal_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, room: np.ndarray, step: int, most: int) -> np.ndarray:
+    """How many words are equal from positions i and j on (step 1) or back (-1), up to ``room`` and ``most``."""
+    count = np.zeros(len(i), np.int64)
+    going = np.flatnonzero(room > 0)
+    for n in range(most):
+        going = going[(n < room[going])]
+        going = going[a[i[going] + n * step] == b[j[going] + n * step]]
+        if not len(going):
+            break
+        count[going] += 1
+    return count
+
+
+def _one_edit(index: ItemIndex, words: Words, spans: np.ndarray, pairs: np.ndarray, min_words: int, window: int) -> np.ndarray:
+    """The pairs around which min_words item words occur with one edit or none. Every such passage holds an equal window."""
+    a, b = words.hash, index.words.hash
+    steps = np.arange(window)
+    pairs = pairs[(a[pairs[:, :1] + steps] == b[pairs[:, 1:] + steps]).all(axis=1)]
+    place = pairs[:, 0] * (len(b) + 1) + pairs[:, 1]
+    pairs = pairs[~np.isin(place - len(b) - 2, place)]  # the first window of each run of equal words
+    i, j = pairs[:, 0], pairs[:, 1]
+    text, item = words.owner[i], index.words.owner[j]
+    lo_a, hi_a, lo_b, hi_b = spans[text], spans[text + 1], index.spans[item], index.spans[item + 1]
+    ahead = _equal_words(a, i, b, j, np.minimum(hi_a - i, hi_b - j), 1, min_words)
+    back = _equal_words(a, i - 1, b, j - 1, np.minimum(i - lo_a, j - lo_b), -1, min_words)
+    covered = ahead + back
+    for changed, missing in ((1, 1), (1, 0), (0, 1)):  # words passed over in the text and in the item: changed, added, lost
+        x, y = i + ahead + changed, j + ahead + missing
+        after = _equal_words(a, x, b, y, np.minimum(hi_a - x, hi_b - y), 1, min_words)
+        covered = np.maximum(covered, ahead + back + after + np.where(y <= hi_b, missing, 0))
+        x, y = i - back - 1 - changed, j - back - 1 - missing
+        before = _equal_words(a, x, b, y, np.minimum(x + 1 - lo_a, y + 1 - lo_b), -1, min_words)
+        covered = np.maximum(covered, ahead + back + before + np.where(y + 1 >= lo_b, missing, 0))
+    return pairs[covered >= min_words]
+
+
+def _verified(index: ItemIndex, words: Words, spans: np.ndarray, pairs: np.ndarray, min_words: int, max_edits: int, window: int) -> dict[tuple[int, int], int]:
     """Longest verified run of each (text, item)."""
     best: dict[tuple[int, int], int] = defaultdict(int)
     if not max_edits and len(pairs):
-        steps = np.arange(WINDOW)
+        steps = np.arange(window)
         pairs = pairs[(words.hash[pairs[:, :1] + steps] == index.words.hash[pairs[:, 1:] + steps]).all(axis=1)]
+    elif max_edits == 1 and len(pairs):
+        pairs = _one_edit(index, words, spans, pairs, min_words, window)
     for i, j in pairs.tolist():
         text, item = int(words.owner[i]), int(index.words.owner[j])
         lo_a, hi_a, lo_b, hi_b = spans[text], spans[text + 1], index.spans[item], index.spans[item + 1]
         at, from_, run = _equal_run(words, i, lo_a, hi_a, index.words, j, lo_b, hi_b)
         if run >= min_words and words.text(at, at + run) == index.words.text(from_, from_ + run):
             best[text, item] = max(best[text, item], run)
+        elif max_edits == 1:
+            best[text, item] = max(best[text, item], min_words)
         elif max_edits and not best[text, item]:
-            for q in range(max(lo_b, j - min_words + WINDOW), min(j, hi_b - min_words) + 1):
+            for q in range(max(lo_b, j - min_words + window), min(j, hi_b - min_words) + 1):
                 a = max(lo_a, i - (j - q) - max_edits)
                 if edits_within(index.words.hash[q : q + min_words].tolist(), words.hash[a : min(hi_a, i - (j - q) + min_words + max_edits)].tolist(), max_edits):
                     best[text, item] = min_words
@@ -219,9 +275,10 @@ def scan(index: ItemIndex, texts: list[str], min_words: int = MIN_WORDS, max_edi
     spans = words.spans(len(views))
     count = np.diff(spans)
     aligned = np.arange(len(words.owner)) - np.repeat(spans[:-1], count)
-    starts = np.flatnonzero((aligned % STRIDE == 0) & (aligned + WINDOW <= np.repeat(count, count)))
+    window = window_of(min_words, max_edits)
+    starts = np.flatnonzero((aligned % (1 if max_edits else STRIDE) == 0) & (aligned + window <= np.repeat(count, count)))
     found: dict[tuple[int, int], int] = {}
-    for (view, item), run in _verified(index, words, spans, index.candidates(words, starts), min_words, max_edits).items():
+    for (view, item), run in _verified(index, words, spans, index.candidates(words, starts, window), min_words, max_edits, window).items():
         key = (owner[view], item)
         found[key] = max(found.get(key, 0), run)
     return found
@@ -243,12 +300,14 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """doc_id, item_id, words: every document that holds a passage of an item, with the longest one's words."""
     if min_words < WINDOW + STRIDE - 1:
         raise ValueError(f"min_words must be {WINDOW + STRIDE - 1} or more")
+    if not 0 <= max_edits < min_words:
+        raise ValueError("max_edits must be 0 or more and less than min_words")
     spark = documents.sparkSession
     frame = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32())])
     parts = []
     for block in _item_blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(ItemIndex(block, tables))
+        shared = spark.sparkContext.broadcast(ItemIndex(block, tables, window_of(min_words, max_edits)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

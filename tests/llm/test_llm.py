@@ -297,6 +297,36 @@ def test_edits_recall():
     assert leaks.edits_within([1, 2, 3], [9, 1, 3, 9], 1) and not leaks.edits_within([1, 2, 3], [9, 1, 9, 9], 1)
 
 
+@pytest.mark.parametrize("kind", ["changed", "added", "lost"])
+def test_near_passages_of_twelve_words(kind):
+    """The shortest passage with its edit at any place, against exact edit distance over all pairs; words are often common to others."""
+    rng = random.Random(12)
+    for vocabulary in (9, 3000):
+        items, texts = [], []
+        for i in range(72):
+            w = [f"t{rng.randrange(vocabulary)}" for _ in range(12)]
+            p = i % 12
+            edited = w[:p] + {"changed": ["new"], "added": ["new", w[p]], "lost": []}[kind] + w[p + 1 :]
+            around = [[f"t{rng.randrange(vocabulary)}" for _ in range(rng.randrange(15))] for _ in range(2)]
+            items.append((i, " ".join(w)))
+            texts.append(" ".join(around[0] + edited + around[1]))
+        want = {(n, i) for n, t in enumerate(texts) for i, item in items if leaks.edits_within(item.split(), t.split(), 1)}
+        assert set(leaks.scan(leaks.ItemIndex(items, 6), texts, max_edits=1)) == want >= {(n, n) for n in range(72)}
+
+
+def test_two_edits_against_edit_distance():
+    rng = random.Random(13)
+    items = [(i, " ".join(f"t{rng.randrange(40)}" for _ in range(14))) for i in range(30)]
+    texts = []
+    for _, t in items:
+        w = ["a", "b"] + t.split() + ["c"]
+        w[rng.randrange(2, 16)] = "changed"
+        del w[rng.randrange(2, 16)]
+        texts.append(" ".join(w))
+    want = {(n, i) for n, t in enumerate(texts) for i, item in items if any(leaks.edits_within(item.split()[q : q + 12], t.split(), 2) for q in range(3))}
+    assert set(leaks.scan(leaks.ItemIndex(items, 2), texts, max_edits=2)) == want >= {(n, n) for n in range(30)}
+
+
 def test_numbered_lists_and_wrapped_numbers():
     item = "the batch of nine chunks closes after item forty two and then the team at the gate renames it"
     index = leaks.ItemIndex([(1, item)], 2)
