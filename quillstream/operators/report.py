@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstream.functions.text import annotation
 from quillstream.model import SECTIONS
+from quillstream.sources.shared import ensure_checkpoint_dir
 
 
 def lang_summary(translated: DataFrame, langs: list[str], lang: str = "target_lang", hit: str = "from_cache") -> DataFrame:
@@ -29,13 +31,65 @@ def event_lists(events: DataFrame, limit: int | None = None) -> DataFrame:
     rows = events.select("category", "message")
     shown = rows if limit is None else rows.groupBy("category", "message").count().withColumnRenamed("count", "times")
     if limit is not None:
-        from pyspark.sql.window import Window
-
         shown = shown.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("message"))).where(F.col("r") <= limit)
     lists = shown.groupBy("category").agg(F.array_sort(F.collect_list("message")).alias("messages"))
     return n.join(lists, "category")
 
 
+def event_messages(events: DataFrame) -> DataFrame:
+    """category, message, times: every message of every category."""
+    return events.groupBy("category", "message").agg(F.count("*").alias("times"))
+
+
+#: Lines of a report that one value may hold.
+LINES = 10_000
+
+
+def _lines(messages: DataFrame, part: int) -> DataFrame:
+    """category, part_no (from 1), messages: all in order, each as often as it came, in parts of ``part`` lines.
+
+    Messages are numbered within ranges; only the ranges' counts by category meet on the driver.
+    """
+    ensure_checkpoint_dir(messages.sparkSession)
+    ranged = messages.repartitionByRange("category", "message").withColumn("range_no", F.spark_partition_id()).checkpoint()
+    before, totals = [], {}
+    for r in sorted(ranged.groupBy("category", "range_no").agg(F.sum("times").alias("n")).collect(), key=lambda r: (r.category, r.range_no)):
+        before.append((r.category, r.range_no, totals.get(r.category, 0)))
+        totals[r.category] = totals.get(r.category, 0) + r.n
+    offsets = messages.sparkSession.createDataFrame(before, "category string, range_no int, before long")
+    own = F.sum("times").over(Window.partitionBy("category", "range_no").orderBy("message").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(offsets), ["category", "range_no"]).withColumn("start", F.col("before") + F.col("own"))
+    number = lambda line: F.floor(line / part).cast("int")
+    dealt = placed.withColumn("part_no", F.explode(F.sequence(number(F.col("start")), number(F.col("start") + F.col("times") - 1))))
+    first, last = F.greatest("start", F.col("part_no") * F.lit(part).cast("long")), F.least(F.col("start") + F.col("times"), (F.col("part_no") + 1) * F.lit(part).cast("long"))
+    counted = dealt.select("category", (F.col("part_no") + 1).alias("part_no"), F.struct("message", (last - first).cast("int").alias("n")).alias("line"))
+    return counted.groupBy("category", "part_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list("line")), lambda x: F.array_repeat(x["message"], x["n"]))).alias("messages"))
+
+
+def reports(messages: DataFrame, title: str, files: int, dry_run: bool, url: str | None, langs: list[tuple[str, int, int]], usage: tuple[int, int], part: int = LINES) -> DataFrame:
+    """report, section, part_no, text: the three reports over all ``messages`` (category, message, times), whole.
+
+    The texts of a report in order of section and part are what job_report, console_report and comment_report give.
+    """
+    spark = messages.sparkSession
+    lines = _lines(messages, part).checkpoint().withColumn("markdown", F.concat(F.lit("- "), F.array_join("messages", "\n- "), F.lit("\n")))
+    args = (title, files, dry_run, url, langs, usage, {})
+    fixed = [("job", 0, 0, job_report(*args)), ("comment", 0, 0, comment_report(title, langs, {})), ("console", 0, 0, "\n".join(_console_head(title, files, langs, usage)) + "\n")]
+    fixed += [("console", len(SECTIONS) + 1, 0, "\n".join(_console_tail(dry_run, url)) + "\n")] if _console_tail(dry_run, url) else []
+    parts = []
+    for n, (category, heading) in enumerate(SECTIONS.items(), 1):
+        own = lines.where(F.col("category") == category)
+        top, end = F.when(F.col("part_no") == 1, f"### {heading}\n\n").otherwise(""), F.when(F.col("part_no") == F.max("part_no").over(Window.partitionBy("category")), "\n").otherwise("")
+        for report in ("job", "comment"):
+            parts.append(own.select(F.lit(report).alias("report"), F.lit(n).alias("section"), "part_no", F.concat(top, "markdown", end).alias("text")))
+    for n, (category, name) in enumerate(CONSOLE.items(), 1):
+        parts.append(lines.where(F.col("category") == category).select(F.lit("console").alias("report"), F.lit(n).alias("section"), "part_no", F.concat(F.lit(f"  {name}: "), F.array_join("messages", f"\n  {name}: "), F.lit("\n")).alias("text")))
+    out = spark.createDataFrame(fixed, "report string, section int, part_no int, text string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def run_outputs(pr_url: Column, translated_files: Column, stale: Column) -> list[Column]:
     """The three key=value lines that a run leaves."""
     return [F.concat(F.lit("pr-url="), F.coalesce(pr_url, F.lit(""))).alias("pr_url"), F.concat(F.lit("translated-files-count="), translated_files.cast("string")).alias("files"), F.concat(F.lit("stale-translations-count="), stale.cast("string")).alias("stale")]
@@ -72,15 +126,24 @@ def job_report(title: str, files: int, dry_run: bool, url: str | None, langs: li
     return head + _languages(langs) + tokens + "".join(_section(t, lists.get(k, [])) for k, t in SECTIONS.items())
 
 
-def console_report(title: str, files: int, dry_run: bool, url: str | None, langs: list[tuple[str, int, int]], usage: tuple[int, int], lists: dict[str, list[str]]) -> str:
-    names = {"glossary": "glossary warning", "stale": "drift warning", "healed": "self-healed", "untranslated": "left untranslated", "skipped": "skipped (unexpected reconstruction failure)"}
+#: Event categories in the order of the console, with their names there.
+CONSOLE = {"glossary": "glossary warning", "stale": "drift warning", "healed": "self-healed", "untranslated": "left untranslated", "skipped": "skipped (unexpected reconstruction failure)"}
+
+
+def _console_head(title: str, files: int, langs: list[tuple[str, int, int]], usage: tuple[int, int]) -> list[str]:
     out = ["", f"=== {title} summary ===", f"Files translated: {files}"]
     out += [f"  [{a}] {b} chunk(s) translated, {c} from cache" for a, b, c in langs]
     if sum(usage):
         out.append(f"Token usage: {usage[0]} prompt + {usage[1]} completion = {sum(usage)} total")
-    out += [f"  {name}: {x}" for key, name in names.items() for x in lists.get(key, [])]
+    return out
+
+
+def _console_tail(dry_run: bool, url: str | None) -> list[str]:
     if dry_run:
-        out.append("Dry run - no branch was pushed and no pull request was opened.")
-    elif url:
-        out.append(f"Pull request: {url}")
-    return "\n".join(out) + "\n"
+        return ["Dry run - no branch was pushed and no pull request was opened."]
+    return [f"Pull request: {url}"] if url else []
+
+
+def console_report(title: str, files: int, dry_run: bool, url: str | None, langs: list[tuple[str, int, int]], usage: tuple[int, int], lists: dict[str, list[str]]) -> str:
+    items = [f"  {name}: {x}" for key, name in CONSOLE.items() for x in lists.get(key, [])]
+    return "\n".join([*_console_head(title, files, langs, usage), *items, *_console_tail(dry_run, url)]) + "\n"

@@ -398,19 +398,22 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all events and the first ten messages of each category, as a report shows them."""
+    """Counts of all events and the first ten messages of each category; event_messages has them all."""
     rows = report.event_lists(_events(spark, d), limit=10)
     return rows.select("category", "n", F.array_join("messages", "\n").alias("messages"))
 
 
+def event_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of every category, and how often it came."""
+    return report.event_messages(_events(spark, d))
+
+
 def job_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report of a run: its parts are a few rows, the lists show their first ten messages."""
+    """The three reports of a run over all its events, in parts."""
     langs = [(r.target_lang, r.chunks_translated, r.chunks_from_cache) for r in lang_summary(spark, d).orderBy("target_lang").collect()]
-    lists = {r.category: r.messages for r in report.event_lists(_events(spark, d), limit=10).collect()}
     usage = report.token_totals(_table(spark, d, "token_usage")).first()
     files = _table(spark, d, "translation_results").select("file_path").distinct().count()
-    args = ("documents", files, True, None, langs, (usage.prompt_tokens, usage.completion_tokens), lists)
-    return spark.createDataFrame([("job", report.job_report(*args)), ("console", report.console_report(*args)), ("comment", report.comment_report("documents", langs, lists))], "report string, text string")
+    return report.reports(event_messages(spark, d), "documents", files, True, None, langs, (usage.prompt_tokens, usage.completion_tokens))
 
 
 # --- Markdown ----------------------------------------------------------------------------------------------------
@@ -484,7 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corpus_changes, changed_files, renamed_files, matched_files, base_revision, head_short_id, skip_generated, source_file_hash, content_hash_audit,
         chunk_lang_matrix, output_paths, output_collisions, memory_upsert, memory_probe, memory_hits, memory_misses, lang_summary, token_estimates, greedy_batches,
         batch_prompts, glossary_hints, glossary_warnings, fake_translate, reply_items, reply_id_check, repaired_item, marker_sets, marker_survival, placeholder_survival,
-        heal_status, assemble_documents, provenance_render, provenance_parse, drift_report, token_usage, run_outputs, log_annotations, event_lists, job_report,
+        heal_status, assemble_documents, provenance_render, provenance_parse, drift_report, token_usage, run_outputs, log_annotations, event_lists, event_messages, job_report,
         md_chunks, md_chunk_counts, md_identity_roundtrip, md_translated, pipeline_summary, pipeline_outputs,
     )
 }
@@ -537,6 +540,7 @@ def oracle_sql() -> dict[str, str]:
         "run_outputs": f"WITH {_DRIFT}, s AS (SELECT count(DISTINCT output_path) AS f, count(*) FILTER (reason <> '{provenance.FRESH}') AS n FROM v) SELECT 'pr-url=' AS pr_url, 'translated-files-count=' || f AS files, 'stale-translations-count=' || n AS stale, CASE WHEN n > 0 THEN 1 ELSE 0 END AS exit_code FROM s",
         "log_annotations": f"WITH u AS (SELECT result_id AS id, file_path AS f, unnest(warnings) AS m FROM translation_results UNION ALL SELECT doc_id, source, text FROM documents) SELECT id, sha256('::warning file=' || {_sql_annotation('''coalesce(f, '')''')} || '::' || {_sql_annotation('m')}) AS line_hash, length({_sql_annotation('m')})::INTEGER AS length FROM u WHERE m IS NOT NULL",
         "event_lists": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}'), n AS (SELECT category, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY 1), s AS (SELECT category, message, row_number() OVER (PARTITION BY category ORDER BY message) AS r FROM (SELECT DISTINCT category, message FROM e WHERE message IS NOT NULL)) SELECT n.category, n.n, string_agg(s.message, chr(10) ORDER BY s.message) AS messages FROM n JOIN s ON s.category = n.category WHERE s.r <= 10 GROUP BY 1, 2",
+        "event_messages": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}') SELECT category, message, count(*) AS times FROM e WHERE message IS NOT NULL GROUP BY 1, 2",
         "md_chunk_counts": f"WITH {page_tables} SELECT doc_id, {kinds} FROM p GROUP BY 1 HAVING headings + paragraphs + list_items + quotes + cells > 0",
         "pipeline_summary": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds} FROM p) SELECT unnest(['de', 'tr']) AS target_lang, (headings + paragraphs + list_items + quotes + cells)::BIGINT AS chunks_translated, 0::BIGINT AS chunks_from_cache FROM s",
         "md_identity_roundtrip": "SELECT doc_id, sha256(text) AS text_hash, NULL::VARCHAR AS error FROM documents",

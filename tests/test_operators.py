@@ -220,6 +220,23 @@ def test_rebuild_isolates_faults(spark):
     assert got["b", "de"].markdown is None and "unknown chunk 7" in got["b", "de"].error
 
 
+@pytest.mark.parametrize("part", [3, 10_000])
+def test_reports_hold_every_event(spark, part):
+    lists = {"glossary": sorted([f"g{n:02}" for n in range(25)] + ["g07"] * 9), "stale": ["s1"], "skipped": ["x", "x", "y"]}
+    events = spark.createDataFrame([(k, m) for k, v in lists.items() for m in v], "category string, message string")
+    messages = report.event_messages(events)
+    assert messages.where("category = 'glossary'").count() == 25 and messages.where("message = 'g07'").first().times == 10
+    for dry_run, url in ((True, None), (False, "http://x"), (False, None)):
+        args = ("docs", 2, dry_run, url, [("tr", 3, 1)], (10, 5))
+        found = report.reports(messages, *args, part=part).orderBy("report", "section", "part_no").collect()
+        text = {k: "".join(r.text for r in found if r.report == k) for k in ("job", "console", "comment")}
+        assert text["job"] == report.job_report(*args, lists)
+        assert text["console"] == report.console_report(*args, lists)
+        assert text["comment"] == report.comment_report("docs", [("tr", 3, 1)], lists)
+    none = report.reports(messages.limit(0), *args).collect()
+    assert {r.report for r in none} == {"job", "console", "comment"}
+
+
 def test_reports(spark):
     langs = [("tr", 3, 1)]
     lists = {"glossary": ["g1"], "stale": ["s1"]}
