@@ -44,26 +44,36 @@ def chunk_id(path, ordinal):
 _OUT = "path string, target_lang string, markdown string, chunks int, repaired array<int>, untranslated array<int>, error string"
 
 
-def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame) -> DataFrame:
-    """path, target_lang, markdown, chunks, repaired, untranslated, error: each document once a language of ``translated``
-    (path, ordinal, target_lang, attempts: array of texts, in order).
+def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """path, target_lang, markdown, chunks, repaired, untranslated, error: each document once a language of ``langs``, or of
+    those in ``translated`` (path, ordinal, target_lang, attempts: array of texts, in order).
 
+    A document without chunks comes out as it is, one without a body has no text. One that has chunks of which none was
+    answered in a language is an error there: its source would pass for a translation.
     Each chunk takes the first of up to three attempts that keeps its markers, else its source. Only the chunks'
     encoded spans are replaced. A fault in one pair of document and language is that row's error, and no other's.
     The attempts of one document in one language come together, as its text must be one value.
     """
     grouped = translated.groupBy("path", "target_lang").agg(F.sort_array(F.collect_list(F.struct("ordinal", "attempts"))).alias("pieces"))
-    rows = grouped.join(frame.select(F.col(path).alias("path"), F.col(body).alias("body")), "path").select("path", "target_lang", "body", "pieces")
+    if langs is None:
+        langs = [r.target_lang for r in translated.select("target_lang").distinct().collect()]
+    # the bodies come in last, so that they are not shuffled once a language
+    pairs = frame.select(F.col(path).alias("path")).distinct().withColumn("target_lang", F.explode(F.lit(langs).cast("array<string>")))
+    rows = pairs.join(grouped, ["path", "target_lang"], "left").join(frame.select(F.col(path).alias("path"), F.col(body).alias("body")), "path").select("path", "target_lang", "body", "pieces")
     arrow = to_arrow_schema(StructType.fromDDL(_OUT))
 
     def one(row: dict) -> dict:
         out = {"path": row["path"], "target_lang": row["target_lang"], "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
         try:
-            own = markdown.parse(row["body"])
-            attempts = {p["ordinal"]: p["attempts"] for p in row["pieces"]}
+            own = markdown.parse(row["body"]) if row["body"] is not None else []
+            attempts = {p["ordinal"]: p["attempts"] for p in row["pieces"] or []}
             unknown = sorted(set(attempts) - set(range(len(own))))
             if unknown:
                 raise ValueError(f"translation for unknown chunk {unknown[0]}")
+            if row["body"] is None:
+                return out
+            if own and not attempts:
+                raise ValueError(f"none of {len(own)} chunks was answered")
             new = []
             for n, c in enumerate(own):
                 if n not in attempts:

@@ -67,8 +67,8 @@ def run(
     attempts = F.when(F.col("translated_text").isNotNull(), F.array("translated_text")).otherwise(F.coalesce("attempts", F.array().cast("array<string>")))
     answered = full.select("path", "ordinal", "chunk_id", "target_lang", "source_text", "content_hash", attempts.alias("attempts"), F.col("translated_text").isNotNull().alias("from_cache"), "error")
     answered = answered.where(F.size("attempts") > 0).checkpoint()
-    rebuilt = chunk_ops.rebuild(sources, "path", "body", answered).checkpoint()
-    whole = rebuilt.where("error is null")
+    rebuilt = chunk_ops.rebuild(sources, "path", "body", answered, langs).checkpoint()
+    whole = rebuilt.where("error is null and markdown is not null")
     relative = paths.source_relative(F.col("path"), source_path)
     titled = whole.join(head, "path").select("path", "target_lang", paths.output_path(template, F.col("target_lang"), relative).alias("output_path"), provenance.with_header(provenance.header(F.col("source_hash"), F.col("path"), F.col("target_lang"), F.lit(generated_at), prefix), F.col("markdown")).alias("markdown"))
     outputs = paths.last_write_wins(titled, "output_path", ["path", "target_lang"], "markdown")

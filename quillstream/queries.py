@@ -448,14 +448,14 @@ def md_identity_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pages parsed, their chunks put back unchanged: every page must come out byte by byte."""
     pages = _table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
     same = _page_chunks(spark, d).select("path", "ordinal", F.lit("en").alias("target_lang"), F.array("source_text").alias("attempts"))
-    return chunk_ops.rebuild(pages, "path", "text", same).select(F.col("path").cast("bigint").alias("doc_id"), sha256_hex(F.col("markdown")).alias("text_hash"), "error")
+    return chunk_ops.rebuild(pages, "path", "text", same, ["en"]).select(F.col("path").cast("bigint").alias("doc_id"), sha256_hex(F.col("markdown")).alias("text_hash"), "error")
 
 
 def md_translated(spark: SparkSession, d: str) -> DataFrame:
     """Pages put together from the built-in translator's answers."""
     pages = _table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
     said = _page_chunks(spark, d).select("path", "ordinal", F.lit("tr").alias("target_lang"), F.array(translate.fake(F.lit("tr"), F.col("source_text"))).alias("attempts"))
-    return chunk_ops.rebuild(pages, "path", "text", said).select(F.col("path").cast("bigint").alias("doc_id"), "chunks", F.size("untranslated").alias("untranslated"), sha256_hex(F.col("markdown")).alias("markdown_hash"), "error")
+    return chunk_ops.rebuild(pages, "path", "text", said, ["tr"]).select(F.col("path").cast("bigint").alias("doc_id"), "chunks", F.size("untranslated").alias("untranslated"), sha256_hex(F.col("markdown")).alias("markdown_hash"), "error")
 
 
 def _pipeline(spark: SparkSession, d: str) -> engine.Result:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -42,6 +43,40 @@ def test_two_runs_and_self_healing(spark):
     assert memory.misses(second.translations.select("path", "target_lang", "content_hash"), remembered).count() == 0
 
 
+CODE = "```\ncode\n```\n\n---\n"
+
+
+def test_pages_without_chunks_and_without_answers(spark):
+    class Deaf:
+        """Answers nothing about one page in one language."""
+
+        def translate(self, items, lang, hint, problem):
+            if lang == "de" and any("Deaf" in t for _, t in items):
+                return "no"
+            return json.dumps({"translations": [{"chunkId": i, "translatedText": f"<{lang}> {t}"} for i, t in items]})
+
+    corpus = spark.createDataFrame([("docs/code.md", CODE), ("docs/empty.md", ""), ("docs/text.md", "Text.\n"), ("docs/deaf.md", "Deaf.\n"), ("docs/null.md", None)], "path string, body string")
+    base = spark.createDataFrame([], "path string, source_hash string")
+    result = engine.run(corpus, base, ["tr", "de"], spark.createDataFrame([], EMPTY), spark.createDataFrame([], TERMS), make=lambda: Deaf())
+    outputs = {r.output_path: r.markdown for r in result.outputs.collect()}
+    assert set(outputs) == {f"docs/{lang}/{name}.md" for lang in ("tr", "de") for name in ("code", "empty", "text")} | {"docs/tr/deaf.md"}
+    for lang in ("tr", "de"):
+        assert outputs[f"docs/{lang}/code.md"].startswith(q.HEADER_PREFIX) and outputs[f"docs/{lang}/code.md"].endswith("-->\n\n" + CODE)
+        assert outputs[f"docs/{lang}/empty.md"].startswith(q.HEADER_PREFIX) and outputs[f"docs/{lang}/empty.md"].endswith("-->\n\n")
+    assert [r.path for r in result.documents.where("error is not null").collect()] == ["docs/deaf.md"]
+    assert result.events.where("category = 'skipped' and path = 'docs/deaf.md' and target_lang = 'de'").count() == 1
+    assert {r.target_lang: r.chunks_translated for r in result.languages.collect()} == {"tr": 2, "de": 1}
+
+
+@pytest.mark.parametrize("name", ["md_identity_roundtrip", "md_translated"])
+def test_page_queries_keep_pages_without_chunks(spark, tmp_path, name):
+    spark.createDataFrame([(1, CODE), (2, ""), (3, "Text.\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    hashed = "text_hash" if name == "md_identity_roundtrip" else "markdown_hash"
+    got = {r.doc_id: (r[hashed], r.error) for r in q.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1] == (hashlib.sha256(CODE.encode()).hexdigest(), None) and got[2] == (hashlib.sha256(b"").hexdigest(), None)
+
+
 def test_files(spark, tmp_path):
     root = tmp_path / "repo"
     (root / "docs" / "x").mkdir(parents=True)
