@@ -1,27 +1,35 @@
 """Problem 7: texts over a token limit as ordered pieces within it, cut at natural boundaries, with an overlap.
 
-A text is read in byte ranges. Every range carries a halo of its neighbours' bytes; the cut between two ranges is the best
-boundary in the halo around their nominal border, which both find alike. Ranges report lengths and code fences; prefix
-sums stitch these tables, so that each range knows its offset in the text and whether it begins inside a fence, and its
-pieces get offsets and numbers without anyone loading the whole text. A text of one range needs no stitching.
-
-Inside a range a piece ends at the last block boundary (blank line outside fenced code) in its upper half; failing that at
+Every text is read in byte ranges. A range carries a halo of its neighbours' bytes; the cut between two ranges is the last
+line break (failing that, the last end of a word) before their nominal border, which both find alike. A range yields its
+boundary table: length, tokens and kind of each of its lines. Stitching joins the tables of a text: a line that two
+ranges share becomes one again, fences are counted through, lengths and tokens become prefix sums. Pieces are chosen on
+the sums and cut out by offset. So the pieces do not depend on the ranges' size.
+
+A text up to ``WHOLE_BYTES`` has all its ranges in one task. A larger one, in a column or a file, has them in many: totals of
+the ranges are summed up, which gives each its offset in characters and tokens and its fence; at every ``STRETCH``-th
+piece's worth of tokens an anchor is set, where a piece ends in any case, by a rule that needs no more than the halo; and
+each stretch between two anchors is read by its offsets and cut by the same code. Small texts have anchors at the same places.
+
+A piece ends at the last block boundary (blank line outside fenced code) in its upper half; failing that at
 a line, a sentence, a pretoken. The next piece begins before that end by the longest run of whole pretokens of at most
 ``overlap`` tokens. All cuts are between pretokens, where token counts add up exactly; only a pretoken of more tokens than the
 overlap (or a quarter of the limit) is cut inside, by characters, and such pieces are counted again.
 
 Defined results: null texts have no piece, an empty text has one empty piece; a text within the limit is one piece; pieces
-without their overlaps, joined in order, are the text; repeated ids are split row by row and must be unique for numbering
-texts of several ranges.
+without their overlaps, joined in order, are the text; repeated ids are split row by row and must be unique for texts over
+``WHOLE_BYTES``; bytes that aren't UTF-8 (files only) come out as replacement characters. Only a run of more than the halo
+without any end of a word in it is cut at the ranges' own borders.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,26 +37,33 @@ from quillstream.llm import tokens
 from quillstream.llm.common import checkpoint
 
 LIMIT, OVERLAP = 512, 64
-RANGE_BYTES, HALO_BYTES = 1 << 20, 1 << 14
+RANGE_BYTES, HALO_BYTES = 1 << 16, 1 << 14
+#: A larger text is read by several tasks.
+WHOLE_BYTES = 1 << 23
+#: Limits of tokens between two anchors.
+STRETCH = 256
 
 _BLANK = re.compile(r"\s*\n[ \t\r]*\n")
 _SENTENCE_END = re.compile(r"[.!?。！？…][\"'”»」』）)\]*_`]*$")
 _HARD = (3, 2, 1)  # block, line, line inside a fence
+#: Kinds of lines in a boundary table.
+BLANK_BEFORE, FENCE = 1, 2
 
 
 class Splitter:
-    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, path: str = tokens.VOCABULARY) -> None:
+    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> None:
         if not 0 <= overlap <= limit // 2 or limit < 8:
             raise ValueError("0 <= overlap <= limit / 2 and limit >= 8")
         import regex
 
-        self.limit, self.overlap, self.counter = limit, overlap, tokens.counter(path)
+        self.limit, self.overlap, self.counter, self.grid = limit, overlap, tokens.counter(path), stretch * limit
         self.pretokens = regex.compile(tokens.PATTERN).findall
+        self.word_ends = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})").finditer
         #: A pretoken of more tokens is cut into chunks of characters; a character has at most four bytes and so tokens.
         self.most = max(1, min(limit // 4, overlap or limit))
         self.chunk = max(1, min(limit // 4, overlap or limit) // 4)
 
-    def _line(self, text: str) -> tuple[list[int], list[int], bool]:
+    def line(self, text: str) -> tuple[list[int], list[int], bool]:
         """Offsets and token sums at the pretokens of a line; whether one was cut inside."""
         offsets, sums, inside = [0], [0], False
         for p in self.pretokens(text):
@@ -60,45 +75,108 @@ class Splitter:
                 sums.append(sums[-1] + (n if len(parts) == 1 else self.counter.unit(part)))
         return offsets, sums, inside
 
-    def split(self, text: str, first_new: int = 0, fenced: bool = False) -> list[tuple[int, int, int, int]]:
-        """(start, new_from, end, tokens) of each piece; text before ``first_new`` serves as overlap only."""
-        return _Run(self, text, fenced).pieces(first_new)
+    def detect(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """The boundary table of a range: length, tokens and kind of each line."""
+        lengths, counts, kinds, unit = [], [], [], self.counter.unit
+        for part in tokens.lines(text):
+            bare = part.lstrip()
+            lengths.append(len(part))
+            counts.append(unit(part))
+            kinds.append((BLANK_BEFORE if _BLANK.match(part) else 0) | (FENCE if bare.lstrip("> ").startswith(("```", "~~~")) else 0))
+        return lengths, counts, kinds
+
+    def border(self, data: bytes, at: int, halo: int) -> tuple[int, bool]:
+        """The cut before the nominal border ``at``, found from the bytes within ``halo`` of it alone, and whether a line begins there."""
+        base = at - halo if at > halo else 0
+        while base < at and data[base] & 0xC0 == 0x80:
+            base += 1
+        middle = at
+        while middle > base and middle < len(data) and data[middle] & 0xC0 == 0x80:
+            middle -= 1
+        before, after = data[base:middle].decode("utf-8", "replace"), data[middle : at + halo].decode("utf-8", "ignore")
+        around, most = before + after, len(before)
+        for ends, is_line in ((tokens.LINES.finditer, True), (self.word_ends, False)):
+            place = 0
+            for m in ends(around, 0, min(len(around), most + 1 if not is_line else len(around))):
+                if m.start() > most:
+                    break
+                place = m.start() or place
+            if place:
+                return base + len(around[:place].encode()), is_line
+        return middle, False
+
+    def segment(self, data: bytes, lead: int, first: bool, last: bool, range_bytes: int, halo: int) -> tuple[str, bool, int, int, bool]:
+        """The range's own text, whether a line begins with it, its place in ``data``, whether a line begins behind it."""
+        start, begins = (0, True) if first else self.border(data, lead, halo)
+        stop, next_begins = (len(data), True) if last else self.border(data, lead + range_bytes, halo)
+        stop = max(start, stop)
+        return data[start:stop].decode("utf-8", "replace"), begins, start, stop, next_begins
+
+    def stitched(self, tables: list[tuple], fenced: bool = False, before: int = 0) -> tuple[list[int], list[int], list[int], list[bool]]:
+        """Offsets, token sums, levels and fences at the lines of ranges (boundary table, whether a line begins with it), in order."""
+        at, sums, level, inside = [0], [before], [3 if not tables or tables[0][1] else 0], []
+        for table, begins in tables:
+            joins = not begins and len(at) > 1
+            for length, count, kind in zip(*table, strict=True):
+                if not length and len(at) > 1:
+                    continue
+                if joins:
+                    joins = False
+                    at[-1] += length
+                    sums[-1] += count
+                    continue
+                if len(at) > 1:
+                    level[-1] = 1 if fenced else 3 if kind & BLANK_BEFORE else 2
+                inside.append(fenced)
+                if kind & FENCE and (begins or len(at) > 1):
+                    fenced = not fenced
+                at.append(at[-1] + length)
+                sums.append(sums[-1] + count)
+                level.append(3)
+        return at, sums, level, [*inside, fenced]
+
+    def ranges(self, text: str, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES) -> list[tuple]:
+        """Boundary tables of all ranges of a text."""
+        if 4 * len(text) <= range_bytes:
+            return [(self.detect(text), True)]
+        data = text.encode("utf-8", "surrogatepass")
+        found = []
+        for at in range(0, max(1, len(data)), range_bytes):
+            first = max(0, at - halo)
+            own, begins, *_ = self.segment(data[first : at + range_bytes + halo], at - first, at == 0, at + range_bytes >= len(data), range_bytes, halo)
+            if own or not at:
+                found.append((self.detect(own), begins))
+        return found
+
+    def split(self, text: str, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES) -> list[tuple[int, int, int, int]]:
+        """(start, new_from, end, tokens) of each piece."""
+        run = _Run(self, text, *self.stitched(self.ranges(text, range_bytes, halo))[:3])
+        found, begin = [], 0
+        for end in [*(a for a, _ in run.anchors(self.grid, run.sums[-1], run.sums[-1], halo)), len(text)]:
+            found += run.pieces(begin, end)
+            begin = end
+        return found
 
 
 class _Run:
-    """The lines of one text, their token sums and boundary levels; lines are looked into only where a cut needs it."""
+    """A text with its stitched table; lines are looked into only where a cut needs it."""
 
-    def __init__(self, own: Splitter, text: str, fenced: bool) -> None:
-        self.own, self.text = own, text
-        self.parts = tokens.lines(text)
-        self.at, self.sums, self.level = [0], [0], [3]
-        for n, part in enumerate(self.parts):
-            bare = part.lstrip()
-            if n:
-                self.level.append(1 if fenced else 3 if _BLANK.match(part) else 2)
-            if bare.lstrip("> ").startswith(("```", "~~~")):
-                fenced = not fenced
-            self.at.append(self.at[-1] + len(part))
-            self.sums.append(self.sums[-1] + own.counter.unit(part))
-        self.level.append(3)
+    def __init__(self, own: Splitter, text: str, at: list[int], sums: list[int], level: list[int]) -> None:
+        self.own, self.text, self.at, self.sums, self.level = own, text, at, sums, level
+        self.lines = max(1, len(at) - 1)
         self.inner: dict[int, tuple[list[int], list[int], bool]] = {}
-        self.hint = 0
 
     def line_of(self, at: int) -> int:
-        """The line that holds offset ``at``; offsets only grow, so the search goes on from the last one, back by the overlap."""
-        n = min(self.hint, len(self.parts) - 1)
-        while n and self.at[n] > at:
-            n -= 1
-        while n + 1 < len(self.parts) and self.at[n + 1] <= at:
-            n += 1
-        self.hint = n
-        return n
+        return min(max(0, bisect_right(self.at, at) - 1), self.lines - 1)
+
+    def part(self, n: int) -> str:
+        return self.text[self.at[n] : self.at[n + 1]] if n + 1 < len(self.at) else ""
 
     def look(self, n: int) -> tuple[list[int], list[int], bool]:
         if n not in self.inner:
             if len(self.inner) > 64:
                 self.inner.clear()
-            self.inner[n] = self.own._line(self.parts[n])
+            self.inner[n] = self.own.line(self.part(n))
         return self.inner[n]
 
     def total(self, at: int) -> int:
@@ -106,24 +184,23 @@ class _Run:
         n = self.line_of(at)
         if at == self.at[n]:
             return self.sums[n]
-        if at == self.at[n + 1]:
+        if n + 1 < len(self.at) and at == self.at[n + 1]:
             return self.sums[n + 1]
         offsets, sums, _ = self.look(n)
-        return self.sums[n] + sums[_find(offsets, at - self.at[n])]
+        return self.sums[n] + sums[bisect_right(offsets, at - self.at[n]) - 1]
 
     def cut_before(self, end: int) -> int:
         n = self.line_of(end - 1)
         offsets = self.look(n)[0]
-        return self.at[n] + offsets[_find(offsets, end - 1 - self.at[n])]
+        return self.at[n] + offsets[bisect_right(offsets, end - 1 - self.at[n]) - 1]
 
     def overlap_start(self, end: int) -> int:
         """The furthest cut before ``end`` with at most ``overlap`` tokens between."""
-        most, n = self.own.overlap, self.line_of(max(0, end - 1))
+        left, n = self.own.overlap, self.line_of(max(0, end - 1))
         start = end
-        left = most
         while n >= 0 and left > 0:
             offsets, sums, _ = self.look(n)
-            k = _find(offsets, start - self.at[n])
+            k = bisect_right(offsets, start - self.at[n]) - 1
             j = k
             while j and sums[k] - sums[j - 1] <= left:
                 j -= 1
@@ -134,47 +211,68 @@ class _Run:
             n -= 1
         return start
 
-    def pieces(self, first_new: int) -> list[tuple[int, int, int, int]]:
-        limit, size, found = self.own.limit, len(self.text), []
+    def anchors(self, grid: int, upto: int, total: int, halo: int) -> list[tuple[int, int]]:
+        """(offset, line) of the anchor behind each multiple of ``grid`` tokens that lies below ``upto``; none near the end of the text.
+
+        Of the lines that begin within half a limit of tokens behind the multiple it is the first of the best level;
+        where none begins, the next pretoken.
+        """
+        found, limit = [], self.own.limit
+        for target in range((self.sums[0] + grid - 1) // grid * grid or grid, upto, grid):
+            if target + limit > total:
+                break
+            n = bisect_right(self.sums, target) - 1
+            if n >= self.lines:
+                break
+            place = self.at[n]
+            if self.sums[n] < target:
+                offsets, sums, _ = self.look(n)
+                k = bisect_left(sums, target - self.sums[n])
+                place = self.at[n] + offsets[k] if k < len(offsets) else self.at[n + 1]
+            best = (0, place, n)
+            m = n if self.sums[n] == target else n + 1
+            while m < self.lines and self.sums[m] < target + limit // 2 and self.at[m] - place <= halo // 8:
+                if self.level[m] > best[0]:
+                    best = (self.level[m], self.at[m], m)
+                m += 1
+            found.append(best[1:])
+        return found
+
+    def pieces(self, first_new: int, size: int) -> list[tuple[int, int, int, int]]:
+        limit, found = self.own.limit, []
         if first_new >= size:
             return [(0, 0, 0, 0)] if not size else []
-        start = self.overlap_start(first_new) if first_new else 0
+        start, whole = self.overlap_start(first_new) if first_new else 0, self.total(size)
         new = first_new
         while True:
             begun = self.total(start)
-            if self.total(size) - begun <= limit:
-                end = size
-            else:
-                end = self._end(start, new, begun)
-            piece = self._counted(start, new, end)
+            piece = self._counted(start, new, size if whole - begun <= limit else self._end(new, begun))
             found.append(piece)
             new = piece[2]
             if new >= size:
                 return found
             start = self.overlap_start(new)
 
-    def _end(self, start: int, new: int, begun: int) -> int:
-        """The best cut after ``new`` with at most ``limit`` tokens from ``start``."""
+    def _end(self, new: int, begun: int) -> int:
+        """The best cut after ``new`` with at most ``limit`` tokens behind the first ``begun``."""
         limit, first = self.own.limit, self.line_of(new)
-        last = first
-        while last + 1 < len(self.at) and self.sums[last + 1] - begun <= limit:
-            last += 1
+        last = max(first, bisect_right(self.sums, begun + limit) - 1)
         for level in _HARD:
             for n in range(last, first, -1):
                 if self.sums[n] - begun < limit // 2:
                     break
                 if self.level[n] >= level:
                     return self.at[n]
-        n = last if last < len(self.parts) else len(self.parts) - 1
+        n = min(last, self.lines - 1)
         base = self.sums[n]
         offsets, sums, _ = self.look(n)
-        lo = _find(offsets, max(0, new - self.at[n]))
+        lo = max(0, bisect_right(offsets, max(0, new - self.at[n])) - 1)
         k = lo
         while k + 1 < len(offsets) and base + sums[k + 1] - begun <= limit:
             k += 1
         if k == lo:  # nothing more of this line fits
             return self.at[n] if self.at[n] > new else self.at[n] + offsets[min(lo + 1, len(offsets) - 1)]
-        text = self.parts[n]
+        text = self.part(n)
         for j in range(k, lo, -1):
             if base + sums[j] - begun < limit // 2:
                 break
@@ -188,45 +286,34 @@ class _Run:
     def _counted(self, start: int, new: int, end: int) -> tuple[int, int, int, int]:
         """Counts a piece with a cut inside a pretoken again, and shortens it should it be over the limit."""
         n = self.total(end) - self.total(start)
-        if any(self.look(k)[2] for k in {self.line_of(start), self.line_of(max(start, end - 1))} if len(self.parts[k]) > self.own.chunk):
+        ends = {self.line_of(start), self.line_of(max(start, end - 1))}
+        if any(self.look(k)[2] for k in ends if self.at[min(k + 1, self.lines)] - self.at[k] > self.own.chunk):
             count = self.own.counter.count
             while (n := count(self.text[start:end])) > self.own.limit and (earlier := self.cut_before(end)) > new:
                 end = earlier
         return start, new, end, n
 
 
-def _find(offsets: list[int], at: int) -> int:
-    """Number of the last offset that is at most ``at``."""
-    lo, hi = 0, len(offsets)
-    while lo + 1 < hi:
-        mid = (lo + hi) // 2
-        if offsets[mid] <= at:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-OUT = "key long, range_no int, local_no int, start long, new_from long, stop long, tokens int, text string"
-_SCHEMA = pa.schema([("key", pa.int64()), ("range_no", pa.int32()), ("local_no", pa.int32()), ("start", pa.int64()), ("new_from", pa.int64()), ("stop", pa.int64()), ("tokens", pa.int32()), ("text", pa.string())])
+OUT = "key long, stretch_no int, local_no int, start long, new_from long, stop long, tokens int, text string"
+_SCHEMA = pa.schema([("key", pa.int64()), ("stretch_no", pa.int32()), ("local_no", pa.int32()), ("start", pa.int64()), ("new_from", pa.int64()), ("stop", pa.int64()), ("tokens", pa.int32()), ("text", pa.string())])
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
 
-def _split_small(limit: int, overlap: int, path: str):
+def _split_here(limit: int, overlap: int, path: str, stretch: int, range_bytes: int, halo: int):
+    """Texts whose ranges are all in one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Splitter(limit, overlap, path)
+        own = Splitter(limit, overlap, path, stretch)
         for batch in batches:
             found: list[tuple] = []
             size = 0
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py()
                 size += len(text)
-                # a byte is at least a part of a token: what has no more bytes than the limit needs no look inside
-                whole = [(0, 0, len(text), own.counter.count(text))] if len(text) <= limit // 4 else own.split(text)
-                found += [(key, 0, n, a, b, c, t, text[a:c]) for n, (a, b, c, t) in enumerate(whole)]
+                found += [(key, 0, n, a, b, c, t, text[a:c]) for n, (a, b, c, t) in enumerate(own.split(text, range_bytes, halo))]
                 if size > 2_000_000:
                     yield _rows(found)
                     found, size = [], 0
@@ -235,107 +322,140 @@ def _split_small(limit: int, overlap: int, path: str):
     return run
 
 
-def byte_ranges(frame: DataFrame, key: str, body: Column, size: Column, range_bytes: int, halo: int) -> DataFrame:
-    """key, range_no, ranges, lead (bytes of the halo before) and data of each range with its halos."""
-    ranges = F.greatest(F.lit(1), F.ceil(size / range_bytes)).cast("int")
-    cut = frame.select(F.col(key).cast("long").alias("key"), body.alias("body"), ranges.alias("ranges")).withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
-    first = F.greatest(F.lit(0), F.col("range_no") * range_bytes - halo)
-    lead = F.col("range_no") * range_bytes - first
-    return cut.select("key", "range_no", "ranges", lead.cast("int").alias("lead"), F.substring("body", (first + 1).cast("int"), (lead + range_bytes + halo).cast("int")).alias("data"))
+#: Rows (key, no, first, stop, ...) to the same rows with the bytes from first to stop in ``data``, each a task's own read.
+Reader = Callable[[DataFrame], DataFrame]
 
 
-def file_ranges(spark: SparkSession, files: list[tuple[int, str, int]], range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES) -> DataFrame:
-    """The same for files of a shared folder (key, path, size): each task seeks to its range and reads no more than that."""
-    listed = spark.createDataFrame(files, "key long, path string, size long")
-    ranges = listed.withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("size") / range_bytes)).cast("int")).withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+def column_reader(frame: DataFrame) -> Reader:
+    """Of texts in a column: key, body (binary). A text goes to one task, which deals out its parts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = max(0, row["range_no"] * range_bytes - halo)
-                lead = row["range_no"] * range_bytes - first
-                with open(row["path"], "rb") as file:
-                    file.seek(first)
-                    data = file.read(lead + range_bytes + halo)
-                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "range_no": pa.array([row["range_no"]], pa.int32()), "ranges": pa.array([row["ranges"]], pa.int32()), "lead": pa.array([lead], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    return ranges.repartition("key", "range_no").mapInArrow(run, "key long, range_no int, ranges int, lead int, data binary")
-
-
-def border(data: bytes, at: int, halo: int) -> int:
-    """The cut around the nominal border ``at``, found from the bytes within ``halo`` of it alone."""
-    around = data[max(0, at - halo) : at + halo]
-    base = max(0, at - halo)
-    half = at - base
-    for mark in (b"\n\n", b"\n", ". ".encode(), "。".encode(), b" "):
-        place = around.rfind(mark, 0, half)
-        if place > 0:
-            # before the white space of a line or word, behind the mark of a sentence
-            place += {b". ": 1, "。".encode(): 3}.get(mark, 0)
-            while place and around[place - 1 : place].isspace():
-                place -= 1
-            if place:
-                return base + place
-    while at > base and data[at : at + 1] and data[at] & 0xC0 == 0x80:
-        at -= 1
-    return at
+    def read(spans: DataFrame) -> DataFrame:
+        rest = [c for c in spans.columns if c != "key"]
+        of_key = spans.groupBy("key").agg(F.collect_list(F.struct(*rest)).alias("spans"))  # a value has less than 2 GB
+        cut = frame.join(of_key, "key").select("key", "body", F.explode("spans").alias("s"))
+        part = F.substring("body", (F.col("s.first") + 1).cast("int"), (F.col("s.stop") - F.col("s.first")).cast("int"))
+        return cut.select("key", "s.*", part.alias("data")).repartition("key", "no")
 
+    return read
 
-def _segment(row: dict, range_bytes: int, halo: int) -> tuple[bytes, bytes]:
-    """The bytes that serve as overlap, and the range's own."""
-    data, lead, last = row["data"], row["lead"], row["range_no"] == row["ranges"] - 1
-    start = border(data, lead, halo) if row["range_no"] else 0
-    stop = len(data) if last else border(data, lead + range_bytes, halo)
-    return data[:start], data[start:stop]
 
+def file_reader(files: DataFrame) -> Reader:
+    """Of files in any storage that Arrow reads (key, path or URI): each task seeks to its part and reads no more than that."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for n, row in enumerate(batch.select(["path", "first", "stop"]).to_pylist()):
+                system, name = fs.FileSystem.from_uri(row["path"])
+                with system.open_input_file(name) as file:
+                    data = file.read_at(row["stop"] - row["first"], row["first"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(n, 1).drop_columns(["path"]).columns, pa.array([data], pa.binary())], names=[*(c for c in batch.schema.names if c != "path"), "data"])
 
-def _text(data: bytes, strict: bool = True) -> str:
-    if strict:
-        return data.decode("utf-8", "replace")
-    while data and data[0] & 0xC0 == 0x80:
-        data = data[1:]
-    return data.decode("utf-8", "replace")
+    def read(spans: DataFrame) -> DataFrame:
+        named = spans.join(files.select("key", "path"), "key").select(*spans.columns, "path").repartition("key", "no")
+        return named.mapInArrow(fetch, ", ".join(f"{n} {t}" for n, t in [*spans.dtypes, ("data", "binary")]))
 
+    return read
 
-_FENCE = re.compile(r"^[> ]*(?:```|~~~)", re.M)
 
+def split_giant(sizes: DataFrame, read: Reader, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+    """The pieces (columns of ``OUT``) of texts (key, size in bytes) that ``read`` reads in parts."""
+    count = F.greatest(F.lit(1), F.ceil(F.col("size") / range_bytes)).cast("int")
+    spans = sizes.select("key", "size", count.alias("ranges")).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    nominal = F.col("no").cast("long") * range_bytes
+    spans = spans.select("key", "no", "ranges", F.greatest(F.lit(0), nominal - halo).alias("first"), F.least("size", nominal + range_bytes + halo).alias("stop"))
 
-def split_ranges(ranges: DataFrame, limit: int, overlap: int, range_bytes: int, halo: int, path: str) -> DataFrame:
-    """Pieces of texts of several ranges: boundary tables, prefix sums, pieces by offset."""
+    def own_range(own: Splitter, row: dict) -> tuple[str, bool, int, int, bool]:
+        return own.segment(row["data"], row["no"] * range_bytes - row["first"], row["no"] == 0, row["no"] == row["ranges"] - 1, range_bytes, halo)
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Splitter(limit, overlap, path, stretch)
         for batch in batches:
             for row in batch.to_pylist():
-                text = _text(_segment(row, range_bytes, halo)[1])
-                fences = len(_FENCE.findall(text))
-                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "range_no": pa.array([row["range_no"]], pa.int32()), "chars": [len(text)], "fences": pa.array([fences], pa.int32())})
-
-    before = Window.partitionBy("key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    table = ranges.mapInArrow(detect, "key long, range_no int, chars long, fences int")
-    stitched = checkpoint(table.select("key", "range_no", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("offset"), (F.coalesce(F.sum("fences").over(before), F.lit(0)) % 2 == 1).alias("fenced")))
+                text, begins, start, *_ = own_range(own, row)
+                lengths, counts, kinds = own.detect(text)
+                fences = sum(1 for n, k in enumerate(kinds) if k & FENCE and (n or begins))
+                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "no": pa.array([row["no"]], pa.int32()), "at": [row["first"] + start], "chars": [sum(lengths)], "tokens": [sum(counts)], "fences": pa.array([fences], pa.int32())})
+
+    table = checkpoint(read(spans).mapInArrow(detect, "key long, no int, at long, chars long, tokens long, fences int"))
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    placed = table.select("key", "no", "chars", "tokens", so_far("chars").alias("char_at"), so_far("tokens").alias("token_at"), (so_far("fences") % 2 == 1).alias("fenced"), F.sum("tokens").over(whole).alias("total"))
+    grid = stretch * limit
+    # ranges that hold a multiple of the grid
+    next_multiple = F.greatest(F.lit(1), F.ceil(F.col("token_at") / grid)) * grid
+    holding = placed.where((next_multiple < F.col("token_at") + F.col("tokens")) & (next_multiple + limit <= F.col("total")))
+
+    def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Splitter(limit, overlap, path, stretch)
+        for batch in batches:
+            for row in batch.to_pylist():
+                text, begins, start, stop, next_begins = own_range(own, row)
+                behind = row["data"][stop:].decode("utf-8", "ignore")
+                at, sums, level, inside = own.stitched([(own.detect(text), begins), (own.detect(behind), next_begins)], row["fenced"], row["token_at"])
+                run = _Run(own, text + behind, at, sums, level)
+                found = run.anchors(grid, row["token_at"] + row["tokens"], row["total"], halo)
+                # a fence that begins with the line of an anchor inside it counts as open behind the anchor
+                fenced = [inside[n] if run.at[n] == a else inside[n + 1] for a, n in found]
+                yield pa.RecordBatch.from_pydict(
+                    {"key": pa.array([row["key"]] * len(found), pa.int64()), "at": pa.array([row["first"] + start + len(run.text[:a].encode()) for a, _ in found], pa.int64()), "char_at": pa.array([row["char_at"] + a for a, _ in found], pa.int64()), "fenced": pa.array(fenced, pa.bool_()), "begins": pa.array([run.at[n] == a and level[n] > 0 for a, n in found], pa.bool_())}
+                )
+
+    asked = spans.join(holding.select("key", "no", "char_at", "token_at", "tokens", "total", "fenced"), ["key", "no"])
+    later = checkpoint(read(asked).mapInArrow(anchor, "key long, at long, char_at long, fenced boolean, begins boolean"))
+    starts = sizes.select("key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("char_at"), F.lit(False).alias("fenced"), F.lit(True).alias("begins")).unionByName(later).join(sizes.select("key", "size"), "key")
+    order = whole.orderBy("at")
+    stretches = starts.select("key", (F.row_number().over(order) - 1).cast("int").alias("no"), F.greatest(F.lit(0), F.col("at") - halo).alias("first"), F.coalesce(F.lead("at").over(order), "size").alias("stop"), "at", "char_at", "fenced", "begins")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Splitter(limit, overlap, path)
+        own = Splitter(limit, overlap, path, stretch)
         for batch in batches:
             for row in batch.to_pylist():
-                lead, body = _segment(row, range_bytes, halo)
-                tail = _text(lead[-8 * overlap - 8 :], strict=False) if overlap else ""
-                text = tail + _text(body)
-                shift = row["offset"] - len(tail)
-                yield _rows([(row["key"], row["range_no"], n, a + shift, b + shift, c + shift, t, text[a:c]) for n, (a, b, c, t) in enumerate(own.split(text, len(tail), row["fenced"])) if body])
-
-    pieces = checkpoint(ranges.join(stitched, ["key", "range_no"]).select("key", "range_no", "ranges", "lead", "data", "offset", "fenced").mapInArrow(emit, OUT))
-    counts = pieces.groupBy("key", "range_no").agg(F.count("*").alias("n"))
-    firsts = counts.select("key", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return pieces.join(firsts, ["key", "range_no"]).withColumn("local_no", (F.col("local_no") + F.col("first")).cast("int")).drop("first")
-
-
-def split(frame: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY) -> DataFrame:
+                cut = row["at"] - row["first"]
+                lead, body = row["data"][:cut], row["data"][cut:].decode("utf-8", "replace")
+                while row["first"] and lead and lead[0] & 0xC0 == 0x80:
+                    lead = lead[1:]
+                tail = lead.decode("utf-8", "replace")
+                if row["first"]:  # the overlap begins behind the first sure end of a word
+                    place = next((m.start() for m in own.word_ends(tail) if m.start()), len(tail))
+                    tail = tail[place:]
+                tables = [(own.detect(tail), True)] if tail else []
+                fences = sum(k & FENCE > 0 for k in tables[0][0][2]) if tables else 0
+                # the fence of the stretch's first line is known; those before it only turn it
+                at, sums, level, _ = own.stitched([*tables, (own.detect(body), row["begins"])], row["fenced"] ^ (fences % 2 == 1))
+                run = _Run(own, tail + body, at, sums, level)
+                shift = row["char_at"] - len(tail)
+                found = run.pieces(len(tail), len(run.text))
+                yield _rows([(row["key"], row["no"], n, a + shift, b + shift, c + shift, t, run.text[a:c]) for n, (a, b, c, t) in enumerate(found)])
+
+    pieces = checkpoint(read(stretches).mapInArrow(emit, OUT))
+    counts = pieces.groupBy("key", "stretch_no").agg(F.count("*").alias("n"))
+    earlier = whole.orderBy("stretch_no").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("key", "stretch_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return pieces.join(firsts, ["key", "stretch_no"]).withColumn("local_no", (F.col("local_no") + F.col("before")).cast("int")).drop("before")
+
+
+def _named(pieces: DataFrame) -> DataFrame:
+    return pieces.select(F.col("key").alias("doc_id"), F.col("local_no").alias("piece_no"), "start", "new_from", "stop", "tokens", "text")
+
+
+def split(frame: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """doc_id, piece_no, start, new_from, stop (in characters), tokens, text of each piece; start < new_from where it overlaps the one before."""
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null")
     size = F.octet_length("text")
-    small = rows.where(size <= range_bytes).mapInArrow(_split_small(limit, overlap, path), OUT)
-    giant = rows.where(size > range_bytes)
-    ranges = byte_ranges(giant, "key", F.col("text").cast("binary"), size, range_bytes, halo)
-    both = small.unionByName(split_ranges(ranges, limit, overlap, range_bytes, halo, path))
-    return both.select(F.col("key").alias("doc_id"), F.col("local_no").alias("piece_no"), "start", "new_from", "stop", "tokens", "text")
+    is_giant = F.col("key").isNotNull() & (size > whole_bytes)
+    here = rows.where(~is_giant).mapInArrow(_split_here(limit, overlap, path, stretch, range_bytes, halo), OUT)
+    giant = rows.where(is_giant)
+    sizes = checkpoint(giant.select("key", size.cast("long").alias("size")))
+    if not sizes.isEmpty():
+        read = column_reader(giant.select("key", F.col("text").cast("binary").alias("body")))
+        here = here.unionByName(split_giant(sizes, read, limit, overlap, range_bytes, halo, path, stretch))
+    return _named(here)
+
+
+def split_files(spark: SparkSession, files: list[tuple[int, str, int]], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+    """The same of files (key, path or URI, size in bytes) of a shared folder; no file is loaded whole."""
+    listed = spark.createDataFrame(files, "key long, path string, size long")
+    return _named(split_giant(listed.select("key", "size"), file_reader(listed), limit, overlap, range_bytes, halo, path, stretch))

@@ -23,7 +23,7 @@ REMEMBERED = 150_000
 #: A longer line isn't worth remembering.
 LONG_LINE = 600
 
-_LINES = re.compile(r"(?<=\S)(?=[ \t\r]*\n)")
+LINES = re.compile(r"(?<=\S)(?=[ \t\r]*\n)")
 
 
 class TokenCounter:
@@ -52,7 +52,7 @@ class TokenCounter:
 
 def lines(text: str) -> list[str]:
     """Cut before each line break, with the white space before it: always between pretokens."""
-    return _LINES.split(text)
+    return LINES.split(text)
 
 
 _counters: dict[str, TokenCounter] = {}

@@ -1,5 +1,6 @@
 """Training-data operators against brute force, exact round trips and edge cases: nulls, empties, long texts, ties, repeats, empty tables."""
 
+import hashlib
 import json
 import os
 import random
@@ -361,25 +362,51 @@ def test_split_prefers_blocks():
     assert all(text_after.startswith("\n") for _, b, _, _ in own.split(code)[1:] for text_after in [code[b:]])
 
 
-def test_byte_ranges(spark, data, tmp_path):
-    df = spark.read.parquet(f"{data}/documents.parquet").where("n_chars > 3000").select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "語" * 4000 + "\r\n\r\n" + "ab " * 3000)], "doc_id long, text string"))
-    texts = {r.doc_id: r.text for r in df.collect() if r.text is not None}
-    got = defaultdict(list)
-    for r in splitting.split(df, "doc_id", "text", 128, 32, range_bytes=4096, halo=1024).collect():
-        got[r.doc_id].append(r)
-    assert set(got) == set(texts)
-    c = tokens.counter()
-    for key, own in got.items():
-        own.sort(key=lambda r: r.piece_no)
-        assert [r.piece_no for r in own] == list(range(len(own)))
-        assert "".join(r.text[r.new_from - r.start :] for r in own) == texts[key]
-        assert all(r.tokens == len(c.encoding.encode_ordinary(r.text)) <= 128 and texts[key][r.start : r.stop] == r.text for r in own)
-    big = max(texts.values(), key=len)
-    (tmp_path / "big.md").write_bytes(big.encode())
-    ranges = splitting.file_ranges(spark, [(1, str(tmp_path / "big.md"), len(big.encode()))], 4096, 1024)
-    pieces = sorted(splitting.split_ranges(ranges, 128, 32, 4096, 1024, tokens.VOCABULARY).collect(), key=lambda r: r.local_no)
-    assert "".join(r.text[r.new_from - r.start :] for r in pieces) == big
+def test_pieces_do_not_depend_on_the_ranges(data):
+    """Whole pages as one range, against ranges that cut lines, fences, line breaks and characters; anchors at every few pieces."""
+    rng = random.Random(7)
+    texts = [r[0] for r in duckdb.sql(f"select text from '{data}/documents.parquet'").fetchall()]
+    texts += ["", "a", "x" * 5000, "日本語" * 500, "a b " * 3000, "```\n" + "code line\n\n" * 900 + "```\n\nend", "語" * 9000 + "\r\n\r\n" + "ab " * 3000, *("".join(rng.choice("a \n\t.\r。é`'1") for _ in range(3000)) for _ in range(20))]
+    for limit, overlap, stretch in ((512, 64, 256), (64, 16, 8), (128, 32, 3)):
+        own = splitting.Splitter(limit, overlap, stretch=stretch)
+        for text in texts:
+            want = own.split(text, 1 << 26, 2048)
+            assert own.split(text, 4096, 2048) == own.split(text, 1 << 16, 2048) == want
+            assert "".join(text[b:c] for _, b, c, _ in want) == text
+
+
+def _as_tuples(found):
+    return sorted((r.doc_id, r.piece_no, r.start, r.new_from, r.stop, r.tokens, r.text) for r in found)
+
+
+def test_giant_texts_are_cut_as_small_ones(spark, data, tmp_path):
+    """Texts whose ranges lie in many tasks, from a column and from files, against the same texts in one task."""
+    df = spark.read.parquet(f"{data}/documents.parquet").where("n_chars > 3000").select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "語" * 500 + "\r\n\r\n" + "ab " * 3000), (10**6 + 3, "```\n" + "code line\n\n" * 900 + "```\n\nend")], "doc_id long, text string"))
+    args = {"limit": 128, "overlap": 32, "halo": 2048, "stretch": 3}
+    want = _as_tuples(splitting.split(df, "doc_id", "text", **args).collect())
+    assert _as_tuples(splitting.split(df.withColumn("key", F.lit("clash")), "doc_id", "text", range_bytes=4096, whole_bytes=3000, **args).collect()) == want
+    assert {w[0] for w in want} == {r.doc_id for r in df.where("text is not null").collect()}
+    files = []
+    for r in df.where("length(text) > 3000").collect():
+        (tmp_path / f"{r.doc_id}.md").write_bytes(r.text.encode())
+        files.append((r.doc_id, str(tmp_path / f"{r.doc_id}.md"), len(r.text.encode())))
+    assert _as_tuples(splitting.split_files(spark, files, range_bytes=4096, **args).collect()) == [w for w in want if w[0] in {f[0] for f in files}]
     assert splitting.split(df.limit(0), "doc_id", "text").count() == 0
+    assert {r.doc_id for r in splitting.split(spark.createDataFrame([(None, "x" * 9000)], "doc_id long, text string"), "doc_id", "text", whole_bytes=3000).collect()} == {None}
+
+
+def test_a_file_of_100_mb(spark, tmp_path):
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "日本"]) for _ in range(rng.randrange(3, 14))) + rng.choice([".", ".", ";"]) + rng.choice(["\n", "\n\n", "\r\n\r\n"]) for _ in range(3000)]
+    block = "".join(lines) + "```\n" + "code\n\n" * 50 + "```\n\n"
+    text = block * (100_000_000 // len(block.encode()) + 1)
+    (tmp_path / "big.md").write_bytes(text.encode())
+    pieces = splitting.split_files(spark, [(1, str(tmp_path / "big.md"), len(text.encode()))], range_bytes=1 << 22)
+    own = pieces.select("piece_no", "start", "new_from", "stop", "tokens", F.sha2("text", 256).alias("h")).toPandas().sort_values("piece_no")
+    assert own["piece_no"].tolist() == list(range(len(own))) and own["tokens"].max() <= 512
+    assert own["new_from"].iloc[0] == 0 and own["stop"].iloc[-1] == len(text) and own["new_from"].tolist()[1:] == own["stop"].tolist()[:-1]
+    for r in own.iloc[:: len(own) // 50].itertuples():
+        assert hashlib.sha256(text[r.start : r.stop].encode()).hexdigest() == r.h and (r.piece_no == 0 or r.new_from - r.start > 40)
 
 
 # --- queries ---
