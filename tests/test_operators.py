@@ -76,10 +76,10 @@ def test_lookup_join_with_hot_and_null_keys(spark):
 
 def test_batches_against_a_plain_loop(spark):
     rng = random.Random(5)
-    data = [(f"g{g}", i, rng.choice([1, 2, 10, 30, 70])) for g in range(6) for i in range(rng.choice([1, 40, 300]))]
-    df = spark.createDataFrame(data, "path string, ordinal int, tokens long")
-    for parts in (1, 9):
-        got = {(r.path, r.ordinal): r.batch_no for r in batching.batches(df, ["path"], ["ordinal"], "tokens", 60, parts).collect()}
+    data = [(f"g{g}" if g else None, i, rng.choice([1, 2, 10, 30, 70])) for g in range(6) for i in range(rng.choice([1, 40, 300]))]
+    df = spark.createDataFrame(data, "path string, ordinal int, tokens long").withColumn("batch_no", F.lit("clash"))
+    for hot in (10_000, 39):
+        got = {(r.path, r.ordinal): r.batch_no for r in batching.batches(df, ["path"], ["ordinal"], "tokens", 60, hot).collect()}
         assert len(got) == len(data)
         for g in {d[0] for d in data}:
             number, used = -1, 0
@@ -88,7 +88,15 @@ def test_batches_against_a_plain_loop(spark):
                     number, used = number + 1, 0
                 used += t
                 assert got[g, i] == number
-    assert batching.batches(df.limit(0), ["path"], ["ordinal"], "tokens", 60, 2).count() == 0
+    assert batching.batches(df.limit(0), ["path"], ["ordinal"], "tokens", 60).count() == 0
+
+
+def test_batches_of_ties_and_nulls(spark):
+    data = [("a", 1, 30), ("a", 1, 30), ("a", 2, None), ("a", 3, 0), ("a", 4, 59), ("a", None, 5)]
+    df = spark.createDataFrame(data, "path string, ordinal int, tokens long")
+    for hot in (10_000, 2):
+        got = sorted((r.ordinal if r.ordinal is not None else -1, r.batch_no) for r in batching.batches(df, ["path"], ["ordinal"], "tokens", 60, hot).collect())
+        assert got == [(-1, 0), (1, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
 
 
 def test_token_estimate(spark):
