@@ -46,15 +46,16 @@ _OUT = "path string, target_lang string, markdown string, chunks int, repaired a
 
 def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """path, target_lang, markdown, chunks, repaired, untranslated, error: each document once a language of ``langs``, or of
-    those in ``translated`` (path, ordinal, target_lang, attempts: array of texts, in order).
+    those in ``translated`` (path, ordinal, target_lang, attempts: array of texts, in order; error, if there are such).
 
-    A document without chunks comes out as it is, one without a body has no text. One that has chunks of which none was
-    answered in a language is an error there: its source would pass for a translation.
+    A document without chunks comes out as it is, one without a body has no text. One with a chunk that has no attempt in a
+    language is an error there and has no text: half a translation would pass for a whole one.
     Each chunk takes the first of up to three attempts that keeps its markers, else its source. Only the chunks'
     encoded spans are replaced. A fault in one pair of document and language is that row's error, and no other's.
     The attempts of one document in one language come together, as its text must be one value.
     """
-    grouped = translated.groupBy("path", "target_lang").agg(F.sort_array(F.collect_list(F.struct("ordinal", "attempts"))).alias("pieces"))
+    problem = F.col("error") if "error" in translated.columns else F.lit(None).cast("string").alias("error")
+    grouped = translated.groupBy("path", "target_lang").agg(F.sort_array(F.collect_list(F.struct("ordinal", "attempts", problem))).alias("pieces"))
     if langs is None:
         langs = [r.target_lang for r in translated.select("target_lang").distinct().collect()]
     # the bodies come in last, so that they are not shuffled once a language
@@ -66,18 +67,19 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
         out = {"path": row["path"], "target_lang": row["target_lang"], "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
         try:
             own = markdown.parse(row["body"]) if row["body"] is not None else []
-            attempts = {p["ordinal"]: p["attempts"] for p in row["pieces"] or []}
-            unknown = sorted(set(attempts) - set(range(len(own))))
+            pieces = {p["ordinal"]: p for p in row["pieces"] or []}
+            attempts = {n: p["attempts"] for n, p in pieces.items() if p["attempts"]}
+            unknown = sorted(set(pieces) - set(range(len(own))))
             if unknown:
                 raise ValueError(f"translation for unknown chunk {unknown[0]}")
             if row["body"] is None:
                 return out
-            if own and not attempts:
-                raise ValueError(f"none of {len(own)} chunks was answered")
+            silent = [n for n in range(len(own)) if n not in attempts]
+            if silent:
+                told = next((pieces[n]["error"] for n in silent if n in pieces and pieces[n]["error"]), "no answer")
+                return out | {"error": f"not translated - {len(silent)} of {len(own)} chunks without an answer: {told}"}
             new = []
             for n, c in enumerate(own):
-                if n not in attempts:
-                    continue
                 text, status, _ = markers.heal(c.text, attempts[n])
                 slice_ = row["body"][c.start : c.stop]
                 if status == "unrecoverable":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.text import trimmed
 from quillstream.model import HEADER_PREFIX, HEADER_SUFFIX
+from quillstream.operators.paths import output_path, per_language, source_relative
 
 # Keys of a header, and the reasons of a verdict.
 REQUIRED = {"source-hash": "source_hash", "source-path": "source_path", "target-lang": "target_lang", "generated": "generated_raw"}
@@ -60,6 +61,16 @@ def verdict(parsed: Column, exists: Column, path: Column, current_hash: Column)
     return stale, F.when(parsed.isNull(), NO_HEADER).when(~exists, gone).when(fresh, FRESH).otherwise(CHANGED)
 
 
+def existing_outputs(sources: DataFrame, langs: list[str], template: str, source_path: str, tree: DataFrame) -> DataFrame:
+    """output_path, path, target_lang, content: what ``tree`` (path, body) holds for ``sources`` (path) in each language.
+
+    Outputs that were never written are no rows.
+    """
+    places = per_language(sources.select("path"), langs)
+    named = places.withColumn("output_path", output_path(template, F.col("target_lang"), source_relative(F.col("path"), source_path)))
+    return named.join(tree.select(F.col("path").alias("output_path"), F.coalesce("body", F.lit("")).alias("content")), "output_path").select("output_path", "path", "target_lang", "content")
+
+
 def drift(outputs: DataFrame, sources: DataFrame) -> DataFrame:
     """``outputs`` (output_path, path, target_lang, content) with is_stale, reason and warning, judged against ``sources`` (path, source_hash).
 

@@ -11,9 +11,11 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
+from functools import partial
 from typing import Protocol
 
 import pyarrow as pa
@@ -159,32 +161,40 @@ def prompts(batched: DataFrame, keys: list[str], lang: str, ordinal: str, chunk:
     return rows.select(*keys, system.alias("system_prompt"), F.concat(F.lit(USER + "\n\n"), "lines").alias("user_prompt"))
 
 
-def run(batches: DataFrame, make: Callable[[], Translator], parallel: int, retry: Retry = Retry(), repairs: int = 2) -> DataFrame:
-    """``batches`` (batch keys..., target_lang, hint, items: array of (chunk_id, source_text)) translated: chunk_id, target_lang,
-    attempts (the first answer and up to ``repairs`` more where it lost markers), error.
+def run(batches: DataFrame, make: Callable[[], Translator], parallel: int = 4, retry: Retry = Retry(), repairs: int = 2) -> DataFrame:
+    """``batches`` (batch keys..., target_lang, hint, items: array of (chunk_id, source_text, known)) translated: chunk_id, target_lang,
+    attempts (the first answer and up to ``repairs`` more while markers are missing), kept (whether the last has them all), error.
 
-    ``parallel`` tasks, each one call at a time, bound what is in flight. A batch that fails for good gives rows with an
-    error and no attempts, and ends nothing else.
+    An item whose ``known`` text isn't null is not asked for but repaired from there. Tasks are as many as the batches'
+    partitions; each has at most ``parallel`` calls in flight, so that a translator must stand calls from several threads. A batch
+    that fails for good gives rows with an error and no attempts, and ends nothing else.
     """
-    out = "chunk_id string, target_lang string, attempts array<string>, error string"
-    schema = pa.schema([("chunk_id", pa.string()), ("target_lang", pa.string()), ("attempts", pa.list_(pa.string())), ("error", pa.string())])
+    out = "chunk_id string, target_lang string, attempts array<string>, kept boolean, error string"
+    schema = pa.schema([("chunk_id", pa.string()), ("target_lang", pa.string()), ("attempts", pa.list_(pa.string())), ("kept", pa.bool_()), ("error", pa.string())])
+
+    def call(translator: Translator, row: dict) -> pa.RecordBatch:
+        lang, hint = row["target_lang"], row["hint"] or ""
+        known = {x["chunk_id"]: x["known"] for x in row["items"] if x.get("known") is not None}
+        items = [(x["chunk_id"], x["source_text"]) for x in row["items"]]
+        new = [x for x in items if x[0] not in known]
+        found, problem = translate_batch(translator, new, lang, hint, retry) if new else ({}, None)
+        rows = []
+        for item in items:
+            first = known.get(item[0], found.get(item[0]))
+            tries = [] if first is None else [first]
+            while tries and len(tries) <= repairs and markers.missing(item[1], tries[-1]):
+                tries.append(repair(translator, item, tries[-1], lang, hint, retry))
+            rows.append({"chunk_id": item[0], "target_lang": lang, "attempts": tries, "kept": bool(tries) and not markers.missing(item[1], tries[-1]), "error": None if tries else problem})
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator = make()
-        for part in parts:
-            for row in part.to_pylist():
-                items = [(x["chunk_id"], x["source_text"]) for x in row["items"]]
-                lang, hint = row["target_lang"], row["hint"] or ""
-                found, problem = translate_batch(translator, items, lang, hint, retry)
-                rows = []
-                for item in items:
-                    tries = [found[item[0]]] if item[0] in found else []
-                    while tries and len(tries) <= repairs and markers.missing(item[1], tries[-1]):
-                        tries.append(repair(translator, item, tries[-1], lang, hint, retry))
-                    rows.append({"chunk_id": item[0], "target_lang": lang, "attempts": tries, "error": problem})
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return batches.select("target_lang", "hint", "items").repartition(parallel).mapInArrow(task, out)
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for part in parts:
+                for at in range(0, part.num_rows, max(1, parallel)):
+                    yield from pool.map(partial(call, translator), part.slice(at, max(1, parallel)).to_pylist())
+
+    return batches.select("target_lang", "hint", "items").mapInArrow(task, out)
 
 
 def fake(lang: Column, source: Column) -> Column:

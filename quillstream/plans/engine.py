@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import sha256_hex, token_estimate
+from quillstream.functions.text import combined_glob, glob_regex, sha256_hex, slashes, token_estimate
 from quillstream.model import HEADER_PREFIX
 from quillstream.operators import chunks as chunk_ops
-from quillstream.operators import diff, glossary, memory, paths, provenance, report, translate
+from quillstream.operators import diff, glossary, marks, memory, paths, provenance, report, translate
 from quillstream.plans import batching
 from quillstream.sources.shared import ensure_checkpoint_dir, spread
 
+# A fixed value: what is said of a chunk that stays as its source.
+LOST = ": kept dropping required markers after repair attempts; left untranslated."
+
 
 @dataclass
 class Result:
@@ -44,30 +47,40 @@ def run(
     parallel: int = 4,
     prefix: str = HEADER_PREFIX,
 ) -> Result:
-    """``corpus`` (path, body) against ``base`` (path, source_hash), into ``langs``.
+    """``corpus`` (path, body, and source_hash if the files' own bytes were hashed) against ``base`` (path, source_hash), into ``langs``.
 
-    The memory keeps validated texts: what kept no markers is asked for again next time. Glossary checks read the first answer.
-    ``existing`` (output_path, path, target_lang, content) is audited for drift as it was before this run.
+    Every changed document is written in every language, one without chunks as it is. If a chunk has no answer in a language,
+    that document isn't written there, so that no header calls it fresh; it is an event and is asked for again next time,
+    while the answers that there are stay in the memory. The memory keeps validated texts; a remembered text without its
+    markers is repaired as an answer would be. Glossary checks read the first answer. ``include`` is a pattern below
+    ``source_path``. Outputs of all sources that ``existing`` (path, body) holds are audited for drift as they were before this run.
     """
     ensure_checkpoint_dir(corpus.sparkSession)
-    head = corpus.select("path", sha256_hex(F.encode("body", "UTF-8")).alias("source_hash"))
-    changed = diff.changed_files(base, head, include, ignored)
+    source_hash = F.col("source_hash") if "source_hash" in corpus.columns else sha256_hex(F.encode("body", "UTF-8"))
+    head = corpus.select("path", source_hash.alias("source_hash"))
+    pattern = None if include is None else combined_glob(source_path, include)
+    changed = diff.changed_files(base, head, pattern, ignored)
     # parsed for its chunks and again for each rebuilt document
-    sources = spread(diff.not_generated(corpus.join(changed.select("path"), "path", "left_semi"), "body", prefix).checkpoint())
-    own = chunk_ops.extract(sources, "path", "body").select("path", "ordinal", "chunk_id", "source_text", "content_hash")
-    wanted = paths.per_language(own, langs)
-    probed = memory.probe(wanted, remembered).checkpoint()
-    missing = probed.where("translated_text is null").withColumn("tokens", token_estimate(F.col("source_text")))
+    bodies = corpus.select("path", "body").join(changed.select("path"), "path", "left_semi")
+    sources = spread(diff.not_generated(bodies, "body", prefix).checkpoint())
+    own = chunk_ops.extract(sources, "path", "body").select("path", "ordinal", "chunk_id", "source_text", "content_hash").checkpoint()
+    # only keys meet the memory once a language; the texts come in afterwards
+    wanted = paths.per_language(own.drop("source_text"), langs)
+    probed = memory.probe(wanted, remembered).join(own.select("path", "ordinal", "source_text"), ["path", "ordinal"])
+    hit = F.col("translated_text").isNotNull()
+    lost_markers = F.size(marks.missing_markers(F.when(hit, F.col("source_text")), F.coalesce("translated_text", F.lit("")))) > 0
+    probed = probed.withColumn("broken", hit & lost_markers).checkpoint()
+    asked = probed.where("translated_text is null or broken").withColumn("tokens", token_estimate(F.col("source_text")))
     hint = glossary.hints(terms, langs)
-    batched = batching.batches(missing, ["path", "target_lang"], ["ordinal"], "tokens", budget)
-    items = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "source_text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["source_text"].alias("source_text")))
-    calls = batched.groupBy("path", "target_lang", "batch_no").agg(items.alias("items")).join(hint, "target_lang")
+    batched = batching.batches(asked, ["path", "target_lang", "broken"], ["ordinal"], "tokens", budget)
+    item = F.struct("ordinal", "chunk_id", "source_text", F.col("translated_text").alias("known"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("ordinal"))
+    calls = batched.groupBy("path", "target_lang", "broken", "batch_no").agg(items.alias("items")).join(hint, "target_lang")
     said = translate.run(calls, make, parallel).checkpoint()  # written before it is read twice
     full = probed.join(said, ["chunk_id", "target_lang"], "left")
-    attempts = F.when(F.col("translated_text").isNotNull(), F.array("translated_text")).otherwise(F.coalesce("attempts", F.array().cast("array<string>")))
-    answered = full.select("path", "ordinal", "chunk_id", "target_lang", "source_text", "content_hash", attempts.alias("attempts"), F.col("translated_text").isNotNull().alias("from_cache"), "error")
-    answered = answered.where(F.size("attempts") > 0).checkpoint()
-    rebuilt = chunk_ops.rebuild(sources, "path", "body", answered, langs).checkpoint()
+    attempts = F.coalesce("attempts", F.when(hit, F.array("translated_text")), F.array().cast("array<string>"))
+    answered = full.select("path", "ordinal", "chunk_id", "target_lang", "source_text", "content_hash", attempts.alias("attempts"), hit.alias("from_cache"), F.coalesce("kept", hit).alias("kept"), "error").checkpoint()
+    rebuilt = chunk_ops.rebuild(sources, "path", "body", answered.select("path", "ordinal", "target_lang", "attempts", "error"), langs).checkpoint()
     whole = rebuilt.where("error is null and markdown is not null")
     relative = paths.source_relative(F.col("path"), source_path)
     titled = whole.join(head, "path").select("path", "target_lang", paths.output_path(template, F.col("target_lang"), relative).alias("output_path"), provenance.with_header(provenance.header(F.col("source_hash"), F.col("path"), F.col("target_lang"), F.lit(generated_at), prefix), F.col("markdown")).alias("markdown"))
@@ -75,19 +88,21 @@ def run(
     lost = whole.select("path", "target_lang", F.explode("untranslated").alias("ordinal")).withColumn("lost", F.lit(True))
     fixed = whole.select("path", "target_lang", F.explode("repaired").alias("ordinal")).withColumn("fixed", F.lit(True))
     judged = answered.join(lost, ["path", "target_lang", "ordinal"], "left").join(fixed, ["path", "target_lang", "ordinal"], "left")
-    kept = judged.where("lost is null and not from_cache").select("path", "target_lang", "content_hash", F.element_at("attempts", -1).alias("translated_text"), "ordinal")
+    kept = judged.where("kept and lost is null and (not from_cache or size(attempts) > 1)").select("path", "target_lang", "content_hash", F.element_at("attempts", -1).alias("translated_text"), "ordinal")
     new_memory = memory.upsert(remembered, kept, "ordinal")
     where = F.concat("path", F.lit(" ["), "target_lang", F.lit("]"))
-    checked = glossary.warnings(answered.select(F.col("chunk_id").alias("id"), "path", "target_lang", "source_text", F.element_at("attempts", 1).alias("translated_text")), terms)
+    firsts = answered.where("size(attempts) > 0").select(F.col("chunk_id").alias("id"), "path", "target_lang", "source_text", F.element_at("attempts", 1).alias("translated_text"))
+    checked = glossary.warnings(firsts, terms)
     events = [
         checked.select(F.lit("glossary").alias("category"), "path", "target_lang", F.concat(where, F.lit(": "), "warning").alias("message")),
         judged.where("fixed").select(F.lit("healed").alias("category"), "path", "target_lang", F.concat(where, F.lit(" chunk "), "chunk_id").alias("message")),
-        judged.where("lost").select(F.lit("untranslated").alias("category"), "path", "target_lang", F.concat(where, F.lit(" chunk "), "chunk_id", F.lit(": kept dropping required markers after repair attempts; left untranslated.")).alias("message")),
+        judged.where("lost").select(F.lit("untranslated").alias("category"), "path", "target_lang", F.concat(where, F.lit(" chunk "), "chunk_id", F.lit(LOST)).alias("message")),
         rebuilt.where("error is not null").select(F.lit("skipped").alias("category"), "path", "target_lang", F.concat(where, F.lit(": "), "error").alias("message")),
-        said.where("error is not null").select(F.lit("skipped").alias("category"), F.lit(None).cast("string").alias("path"), "target_lang", F.concat(F.lit("["), "target_lang", F.lit("] "), "error").alias("message")).distinct(),
     ]
     if existing is not None:
-        stale = provenance.drift(existing, head).where("is_stale")
+        known = head if pattern is None else head.where(slashes(F.col("path")).rlike(glob_regex(pattern)))
+        known = known.where(~diff.is_ignored(F.col("path"), ignored)) if ignored else known
+        stale = provenance.drift(provenance.existing_outputs(known, langs, template, source_path, existing), head).where("is_stale")
         events.append(stale.select(F.lit("stale").alias("category"), "path", "target_lang", F.col("warning").alias("message")))
     every = events[0]
     for e in events[1:]:

@@ -68,6 +68,48 @@ def test_pages_without_chunks_and_without_answers(spark):
     assert {r.target_lang: r.chunks_translated for r in result.languages.collect()} == {"tr": 2, "de": 1}
 
 
+def test_failed_batch_leaves_no_half_written_page(spark):
+    """One batch of a page fails in one language: no output there, an event with its path, and only that batch is asked for again."""
+
+    class Picky:
+        def __init__(self, deaf):
+            self.deaf = deaf
+
+        def translate(self, items, lang, hint, problem):
+            if self.deaf and lang == "de" and any("second" in t for _, t in items):
+                return "no"
+            return json.dumps({"translations": [{"chunkId": i, "translatedText": f"<{lang}> {t}"} for i, t in items]})
+
+    corpus = spark.createDataFrame([("docs/a.md", "The first text.\n\nThe second text.\n", "raw-a"), ("docs/b.md", "Other text.\n", "raw-b"), ("other/c.md", "No.\n", "raw-c")], "path string, body string, source_hash string")
+    base, terms = spark.createDataFrame([], "path string, source_hash string"), spark.createDataFrame([], TERMS)
+    first = engine.run(corpus, base, ["tr", "de"], spark.createDataFrame([], EMPTY), terms, make=lambda: Picky(True), budget=4, include="**/*.md")
+    outputs = {r.output_path: r.markdown for r in first.outputs.collect()}
+    assert set(outputs) == {"docs/tr/a.md", "docs/tr/b.md", "docs/de/b.md"}
+    assert all(f"source-hash=raw-{k[-4]};" in v for k, v in outputs.items())
+    (event,) = first.events.where("category = 'skipped'").collect()
+    assert (event.path, event.target_lang) == ("docs/a.md", "de") and "1 of 2 chunks" in event.message
+    assert {r.target_lang: r.chunks_translated for r in first.languages.collect()} == {"tr": 3, "de": 1}
+    remembered = spark.createDataFrame(first.memory.collect(), EMPTY)
+    assert remembered.count() == 5
+    tree = spark.createDataFrame([(k, v) for k, v in outputs.items()], "path string, body string")
+    second = engine.run(corpus.withColumn("source_hash", F.concat("source_hash", F.lit("2"))), base, ["tr", "de"], remembered, terms, make=lambda: Picky(False), budget=4, include="**/*.md", existing=tree)
+    calls = second.translations.where("not from_cache").select("path", "target_lang", "source_text").collect()
+    assert [tuple(r) for r in calls] == [("docs/a.md", "de", "The second text.")]
+    assert set(r.output_path for r in second.outputs.collect()) == {f"docs/{x}.md" for x in ("tr/a", "tr/b", "de/a", "de/b")}
+    assert sorted(r.message for r in second.events.where("category = 'stale'").collect()) == sorted(f"{k} [{k[5:7]}]: Source file changed since this translation was generated." for k in outputs)
+
+
+def test_remembered_text_without_its_markers_is_repaired(spark):
+    corpus = spark.createDataFrame([("docs/a.md", "Use `x` now.\n\nAgain `y`.\n")], "path string, body string")
+    base, terms = spark.createDataFrame([], "path string, source_hash string"), spark.createDataFrame([], TERMS)
+    first = engine.run(corpus, base, ["tr"], spark.createDataFrame([], EMPTY), terms)
+    bad = first.memory.select("path", "target_lang", "content_hash", F.when(F.col("translated_text").startswith("[tr] Use"), "[tr] Use code").otherwise(F.col("translated_text")).alias("translated_text"))
+    second = engine.run(corpus, base, ["tr"], spark.createDataFrame(bad.collect(), EMPTY), terms)
+    assert second.outputs.first().markdown.endswith("[tr] Use `x` now.\n\n[tr] Again `y`.\n")
+    assert second.events.where("category = 'healed'").count() == 1 and second.languages.first().chunks_from_cache == 2
+    assert {r.translated_text for r in second.memory.collect()} == {r.translated_text for r in first.memory.collect()}
+
+
 @pytest.mark.parametrize("name", ["md_identity_roundtrip", "md_translated"])
 def test_page_queries_keep_pages_without_chunks(spark, tmp_path, name):
     spark.createDataFrame([(1, CODE), (2, ""), (3, "Text.\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
