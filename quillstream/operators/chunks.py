@@ -63,10 +63,13 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
     rows = pairs.join(grouped, ["path", "target_lang"], "left").join(frame.select(F.col(path).alias("path"), F.col(body).alias("body")), "path").select("path", "target_lang", "body", "pieces")
     arrow = to_arrow_schema(StructType.fromDDL(_OUT))
 
-    def one(row: dict) -> dict:
+    def one(row: dict, parsed: dict) -> dict:
         out = {"path": row["path"], "target_lang": row["target_lang"], "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
         try:
-            own = markdown.parse(row["body"]) if row["body"] is not None else []
+            if row["body"] not in parsed:  # a document's languages follow one another
+                parsed.clear()
+                parsed[row["body"]] = markdown.parse(row["body"]) if row["body"] is not None else []
+            own = parsed[row["body"]]
             pieces = {p["ordinal"]: p for p in row["pieces"] or []}
             attempts = {n: p["attempts"] for n, p in pieces.items() if p["attempts"]}
             unknown = sorted(set(pieces) - set(range(len(own))))
@@ -97,9 +100,10 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(at, 64).to_pylist()], arrow)
+                yield pa.RecordBatch.from_pylist([one(r, parsed) for r in batch.slice(at, 64).to_pylist()], arrow)
 
     return rows.mapInArrow(run, _OUT)
 

@@ -68,8 +68,11 @@ def run(
     wanted = paths.per_language(own.drop("source_text"), langs)
     probed = memory.probe(wanted, remembered).join(own.select("path", "ordinal", "source_text"), ["path", "ordinal"])
     hit = F.col("translated_text").isNotNull()
-    lost_markers = F.size(marks.missing_markers(F.when(hit, F.col("source_text")), F.coalesce("translated_text", F.lit("")))) > 0
-    probed = probed.withColumn("broken", hit & lost_markers).checkpoint()
+    # only remembered texts whose source may hold markers go to the scanner
+    with_markers = hit & F.col("source_text").rlike("[⟦<]")
+    lost_markers = F.size(marks.missing_markers(F.col("source_text"), F.col("translated_text"))) > 0
+    probed = probed.checkpoint()
+    probed = probed.where(~with_markers).withColumn("broken", F.lit(False)).unionByName(probed.where(with_markers).withColumn("broken", lost_markers)).checkpoint()
     asked = probed.where("translated_text is null or broken").withColumn("tokens", token_estimate(F.col("source_text")))
     hint = glossary.hints(terms, langs)
     batched = batching.batches(asked, ["path", "target_lang", "broken"], ["ordinal"], "tokens", budget)

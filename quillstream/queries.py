@@ -458,17 +458,29 @@ def md_translated(spark: SparkSession, d: str) -> DataFrame:
     return chunk_ops.rebuild(pages, "path", "text", said, ["tr"]).select(F.col("path").cast("bigint").alias("doc_id"), "chunks", F.size("untranslated").alias("untranslated"), sha256_hex(F.col("markdown")).alias("markdown_hash"), "error")
 
 
+REMEMBERED = "docs/h"
+
+
 def _pipeline(spark: SparkSession, d: str) -> engine.Result:
+    """All pages, as they are now against as they were, in all languages. The memory knows the pages before ``REMEMBERED`` in the
+    order of paths; outputs exist of all pages that were there before, those of the oldest from an empty page."""
     docs = _table(spark, d, "documents").where("file_path is not null")
     corpus = docs.groupBy(F.col("file_path").alias("path")).agg(F.max(F.struct("ingested_at", "doc_id", "text")).getField("text").alias("body"))
     base = diff.snapshot(docs.where(F.col("ingested_at") < F.lit(BEFORE).cast("timestamp")), F.col("file_path"), F.col("text"), F.struct("ingested_at", "doc_id"))
-    empty = spark.createDataFrame([], "path string, target_lang string, content_hash string, translated_text string")
-    return engine.run(corpus, base, ["de", "tr"], empty, _table(spark, d, "glossary_terms"))
+    known = chunk_ops.extract(corpus.where(F.col("path") < REMEMBERED), "path", "body").select("path", "content_hash", "source_text").distinct()
+    remembered = paths.per_language(known, LANGS).select("path", "target_lang", "content_hash", F.concat(F.lit("("), "target_lang", F.lit(") "), "source_text").alias("translated_text"))
+    earlier = docs.where(F.col("ingested_at") < F.lit(BEFORE).cast("timestamp")).groupBy(F.col("file_path").alias("path")).agg(F.max(F.struct("ingested_at", "doc_id", "text")).alias("p"))
+    recorded = sha256_hex(F.when(F.col("p.ingested_at") < F.lit(SINCE).cast("timestamp"), F.lit("")).otherwise(F.col("p.text")))
+    names = paths.per_language(earlier.select("path", recorded.alias("recorded")), LANGS)
+    head = provenance.header(F.col("recorded"), F.col("path"), F.col("target_lang"), F.lit("2026-07-01T00:00:00.0000000+00:00"))
+    tree = names.select(paths.output_path(TEMPLATES[0], F.col("target_lang"), paths.source_relative(F.col("path"), "docs")).alias("path"), head.alias("body"))
+    return engine.run(corpus, base, LANGS, remembered, _table(spark, d, "glossary_terms"), existing=tree)
 
 
 _PIPELINE = f"""last AS (SELECT file_path AS path, arg_max(text, (ingested_at, doc_id)) AS text FROM documents WHERE file_path IS NOT NULL GROUP BY 1),
-was AS (SELECT file_path AS path, sha256(arg_max(text, (ingested_at, doc_id))) AS h FROM documents WHERE file_path IS NOT NULL AND ingested_at < TIMESTAMPTZ '{BEFORE}+00' GROUP BY 1),
+was AS (SELECT file_path AS path, sha256(arg_max(text, (ingested_at, doc_id))) AS h, max(ingested_at) < TIMESTAMPTZ '{SINCE}+00' AS old FROM documents WHERE file_path IS NOT NULL AND ingested_at < TIMESTAMPTZ '{BEFORE}+00' GROUP BY 1),
 todo AS (SELECT last.path, last.text FROM last LEFT JOIN was ON was.path = last.path WHERE was.h IS DISTINCT FROM sha256(last.text))"""
+_PLACE = f"'docs/' || lang || '/' || {_RELATIVE.replace('file_path', 'path')}"
 
 
 def pipeline_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -477,8 +489,17 @@ def pipeline_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline_outputs(spark: SparkSession, d: str) -> DataFrame:
-    """The documents that the whole flow writes."""
-    return _pipeline(spark, d).outputs.select("output_path", sha256_hex(F.col("markdown")).alias("markdown_hash"), F.length("markdown").alias("length"))
+    """The documents that the whole flow writes: header, hash, and hash without the marks of the built-in translator and the memory."""
+    rows = _pipeline(spark, d).outputs
+    body = F.substring_index("markdown", "-->\n\n", 1)
+    text = F.expr(f"substring(markdown, {len('-->') + 3} + length(substring_index(markdown, '-->\n\n', 1)))")
+    marks_ = F.regexp_replace(text, r"\[(de|es|fr|ja|pt|ru|tr)\] |\((de|es|fr|ja|pt|ru|tr)\) ", "")
+    return rows.select("output_path", F.concat(body, F.lit("-->")).alias("header"), sha256_hex(marks_).alias("source_hash"), (F.length(text) - F.length(marks_)).alias("added"), "writes")
+
+
+def pipeline_stale(spark: SparkSession, d: str) -> DataFrame:
+    """What the flow says of outputs that were there before it."""
+    return _pipeline(spark, d).events.where("category = 'stale'").select("path", "target_lang", "message")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -488,7 +509,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_lang_matrix, output_paths, output_collisions, memory_upsert, memory_probe, memory_hits, memory_misses, lang_summary, token_estimates, greedy_batches,
         batch_prompts, glossary_hints, glossary_warnings, fake_translate, reply_items, reply_id_check, repaired_item, marker_sets, marker_survival, placeholder_survival,
         heal_status, assemble_documents, provenance_render, provenance_parse, drift_report, token_usage, run_outputs, log_annotations, event_lists, event_messages, job_report,
-        md_chunks, md_chunk_counts, md_identity_roundtrip, md_translated, pipeline_summary, pipeline_outputs,
+        md_chunks, md_chunk_counts, md_identity_roundtrip, md_translated, pipeline_summary, pipeline_outputs, pipeline_stale,
     )
 }
 
@@ -542,6 +563,8 @@ def oracle_sql() -> dict[str, str]:
         "event_lists": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}'), n AS (SELECT category, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY 1), s AS (SELECT category, message, row_number() OVER (PARTITION BY category ORDER BY message) AS r FROM (SELECT DISTINCT category, message FROM e WHERE message IS NOT NULL)) SELECT n.category, n.n, string_agg(s.message, chr(10) ORDER BY s.message) AS messages FROM n JOIN s ON s.category = n.category WHERE s.r <= 10 GROUP BY 1, 2",
         "event_messages": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}') SELECT category, message, count(*) AS times FROM e WHERE message IS NOT NULL GROUP BY 1, 2",
         "md_chunk_counts": f"WITH {page_tables} SELECT doc_id, {kinds} FROM p GROUP BY 1 HAVING headings + paragraphs + list_items + quotes + cells > 0",
-        "pipeline_summary": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds} FROM p) SELECT unnest(['de', 'tr']) AS target_lang, (headings + paragraphs + list_items + quotes + cells)::BIGINT AS chunks_translated, 0::BIGINT AS chunks_from_cache FROM s",
+        "pipeline_summary": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds}, path FROM p GROUP BY path), c AS (SELECT headings + paragraphs + list_items + quotes + cells AS n, path < '{REMEMBERED}' AS known FROM s) SELECT lang AS target_lang, sum(n)::BIGINT AS chunks_translated, coalesce(sum(n) FILTER (known), 0)::BIGINT AS chunks_from_cache FROM c, (SELECT {_SQL_LANGS} AS lang) GROUP BY 1",
+        "pipeline_outputs": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds}, path AS of FROM p GROUP BY path) SELECT {_PLACE} AS output_path, '{HEADER_PREFIX} source-hash=' || sha256(text) || '; source-path=' || todo.path || '; target-lang=' || lang || '; generated=1970-01-01T00:00:00.0000000+00:00 {HEADER_SUFFIX}' AS header, sha256(regexp_replace(text, '\\[(de|es|fr|ja|pt|ru|tr)\\] |\\((de|es|fr|ja|pt|ru|tr)\\) ', '', 'g')) AS source_hash, ((headings + paragraphs + list_items + quotes + cells) * 5 + length(text) - length(regexp_replace(text, '\\[(de|es|fr|ja|pt|ru|tr)\\] |\\((de|es|fr|ja|pt|ru|tr)\\) ', '', 'g')))::INTEGER AS added, 1::BIGINT AS writes FROM todo JOIN s ON s.of = todo.path, (SELECT {_SQL_LANGS} AS lang)",
+        "pipeline_stale": f"WITH {_PIPELINE} SELECT path, lang AS target_lang, {_PLACE} || ' [' || lang || ']: {provenance.CHANGED}' AS message FROM last SEMI JOIN was ON was.path = last.path AND (CASE WHEN was.old THEN sha256('') ELSE was.h END) <> sha256(last.text), (SELECT {_SQL_LANGS} AS lang)",
         "md_identity_roundtrip": "SELECT doc_id, sha256(text) AS text_hash, NULL::VARCHAR AS error FROM documents",
     }
