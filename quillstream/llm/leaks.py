@@ -1,63 +1,75 @@
 """Problem 6: passages of held-out items inside a corpus, by CGK embedding and bit-sampling LSH over word windows.
 
-Texts become sequences of words (runs of letters and digits, lower case; link targets and other Markdown marks are no
-words). A window of ``WINDOW`` words is embedded by the CGK random walk: at step j the walk writes the word it stands on
-and moves on if bit j of that word's hash says so, so that windows at a small edit distance get outputs at a small
-Hamming distance. Each LSH table hashes a random sample of the output's positions; windows that agree in any table are
-candidates, and each is verified exactly: ``MIN_WORDS`` consecutive item words must occur within ``max_edits`` word edits.
-
-Items have a window at every word, documents one at every ``STRIDE``-th. As WINDOW + STRIDE - 1 = MIN_WORDS, any run of
-MIN_WORDS equal words holds a whole document window, which is embedded as the item's: for max_edits = 0 nothing is missed.
-With edits, both have a window at every word, and it is shorter: ``max_edits`` edits leave min_words - max_edits words or
-more in max_edits + 1 runs or fewer, so that one of these holds a whole window of ``window_of`` words, wherever the edits
-are. That window collides in every table, whatever the walks: recall doesn't hang on the sampled steps.
-Only the item index is sent to the workers, in blocks of at most ``BLOCK_CHARS`` characters of item text; further blocks
-are further passes.
-
-Defined results: null and empty texts, and items or documents of fewer words than MIN_WORDS, leak nothing; repeated rows
-give one result row a pair of ids; texts of any length are read whole.
+Texts become sequences of words (runs of letters, marks and digits, lower case; in scripts without spaces every character is
+a word; link targets and other Markdown marks are none). The sought passage has ``min_words`` words, and so have the
+windows, which begin at every word of items and documents alike. A window is embedded by the CGK random walk: at step j the
+walk writes the word it stands on and moves on if bit j of that word's hash says so; in two steps a word it reads the window.
+Windows at a small edit distance get outputs at a small Hamming distance. Each LSH table has a walk of its own and hashes a
+random sample of its steps, the first always among them; windows that agree in any table are candidates. The number of
+tables follows from the recall that is asked for, by trial of random passages with an edit at the worst place. The walks
+of all windows are worked out at once, from the last step to the first, as one at a word is what one or two words on
+are at the step before.
+
+Every candidate is verified exactly: around it, ``min_words`` consecutive item words must occur within ``max_edits`` word
+edits. Equal windows agree in every table, so that passages without an edit are never missed.
+
+Items are sent to the workers, whose index of them answers all windows in place, as long as they have no more than ``BLOCK_CHARS``
+characters. Beyond that the windows of items and documents meet by shuffle on their LSH keys; document windows whose key no
+item has fall away before, by a bit map of bounded size.
+
+Defined results: null and empty texts, and items or documents of fewer words than ``min_words`` less the edits, leak nothing;
+repeated rows give one result row a pair of ids; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import SLICE_CHARS
+from quillstream.functions.skew import lookup_join
+from quillstream.llm.common import SLICE_CHARS, checkpoint
 
-MIN_WORDS, WINDOW, STRIDE = 12, 8, 5
-TABLES, SAMPLED = 2, 12
+MIN_WORDS = 12
+#: Share of passages with ``max_edits`` edits, at the worst place, that the tables must find.
+RECALL = 0.95
+#: Sampled steps of a walk.
+SAMPLED = 5
 BLOCK_CHARS = 16_000_000
 SEED = 77003
 
 _TARGET = re.compile(r"\]\([^)\s]*(?:\s+\"[^\"\n]*\")?\)|\]\[[^\]\n]*\]")
 _NUMBERED = re.compile(r"^[ \t>]*\d{1,9}[.)](?=[ \t])", re.M)
+#: Words by which a match may be told from another at the same keys: those that verification may look at.
+_BEFORE, _BEHIND = 16, 32
 _MASK = (1 << 20) - 1
+#: Bits of the map of item keys that goes to all workers.
+_MAP_BITS = 27
+_NO_SPACES = ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN", "BOPOMOFO")
 
 
-def _lower() -> tuple[np.ndarray, np.ndarray]:
-    """Code unit to its lower-case letter or digit, 0 for all else; and the invisible ones, which part no words."""
-    low, skip = np.zeros(65536, np.uint16), np.zeros(65536, bool)
+def _lower() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code unit to its lower-case letter, mark or digit, 0 for all else; the invisible ones, which part no words; those that are a word each."""
+    low, skip, alone = np.zeros(65536, np.uint16), np.zeros(65536, bool), np.zeros(65536, bool)
     for code in range(65536):
         if 0xD800 <= code < 0xE000:
             continue
         kind = unicodedata.category(chr(code))
-        if kind[0] in "LN":
-            low[code] = ord(chr(code).lower()[0])
-        elif kind in ("Cf", "Mn"):
+        if kind == "Cf" or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
             skip[code] = True
-    return low, skip
+        elif kind[0] in "LN" or kind in ("Mn", "Mc"):
+            low[code] = ord(chr(code).lower()[0])
+            alone[code] = kind == "Lo" and unicodedata.name(chr(code), "").startswith(_NO_SPACES)
+    return low, skip, alone
 
 
-_LOW, _SKIP = _lower()
+_LOW, _SKIP, _ALONE = _lower()
 _rng = np.random.default_rng(SEED)
 _POWERS = _rng.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,12 +89,17 @@ class Words:
             codes = codes[~skip]
         low = _LOW[codes]
         isword = low > 0
-        edge = np.flatnonzero(np.diff(isword, prepend=False, append=False))
-        starts, ends = edge[::2], edge[1::2]
+        before = np.concatenate([[False], isword[:-1]]) if len(isword) else isword
+        alone = _ALONE[codes]
+        begins = isword & ~before
+        if alone.any():
+            begins |= isword & (alone | np.concatenate([[False], alone[:-1]]))
+        starts = np.flatnonzero(begins)
         ends_of_text = np.flatnonzero(codes == 0)
         letters = low[isword].astype(np.uint64)
-        length = ends - starts
-        self.first = np.concatenate([[0], np.cumsum(length)])
+        rank = np.cumsum(isword)
+        self.first = np.concatenate([rank[starts] - 1, [len(letters)]]) if len(starts) else np.zeros(1, np.int64)
+        length = np.diff(self.first)
         place = (np.arange(len(letters)) - np.repeat(self.first[:-1], length)) & 1023
         if len(starts):
             h = np.add.reduceat(letters * _POWERS[place], self.first[:-1])
@@ -93,100 +110,125 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
         self.letters = letters
         self.owner = np.searchsorted(ends_of_text, starts)
+        self.texts = len(texts)
+        self.spans = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+        # a zero behind each text, on which a walk stays
+        self.line = np.zeros(len(starts) + len(texts), np.uint64)
+        self.line[np.arange(len(starts)) + self.owner] = self.hash
 
     def text(self, start: int, end: int) -> tuple:
         """The words themselves, for exact comparison."""
         a, b = self.first[start], self.first[end]
         return tuple(self.first[start : end + 1] - a), self.letters[a:b].tobytes()
 
-    def spans(self, count: int) -> np.ndarray:
-        return np.searchsorted(self.owner, np.arange(count + 1))
-
+    def keys(self, sample: np.ndarray, walk: np.uint64) -> np.ndarray:
+        """The LSH key of the window at each word in one table."""
+        return embed(self.line, sample, walk)[np.arange(len(self.hash)) + self.owner]
 
-def window_of(min_words: int, max_edits: int) -> int:
-    """Words of a window: with edits, no more than the longest run that they leave whole for sure."""
-    return min(WINDOW, -(-(min_words - max_edits) // (max_edits + 1))) if max_edits else WINDOW
+    def around(self) -> np.ndarray:
+        """A hash of the words near each word, its place among them known."""
+        n = len(self.line)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, _FOLD)]))
+        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(int(_FOLD), -1, 1 << 64)))]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.line * power[:n])])
+        at = np.arange(len(self.hash)) + self.owner
+        lo, hi = np.maximum(at - _BEFORE, self.spans[self.owner] + self.owner), np.minimum(at + _BEHIND, self.spans[self.owner + 1] + self.owner)
+        return ((sums[hi] - sums[lo]) * inverse[lo]) ^ ((at - lo).astype(np.uint64) << np.uint64(58)) ^ ((hi - at).astype(np.uint64) << np.uint64(52))
 
 
-def embed(hashes: np.ndarray, starts: np.ndarray, window: int, sample: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """LSH keys of the windows at ``starts`` in one table, folded from the sampled steps of its own CGK walk."""
+def embed(line: np.ndarray, sample: np.ndarray, walk: np.uint64) -> np.ndarray:
+    """Folded outputs of the CGK walk's sampled steps, from every place of ``line``. Bit j of a word's hash moves the walk on at step j."""
     chosen = set(sample.tolist())
-    key = np.zeros(len(starts), np.uint64)
-    at, end = starts.copy(), starts + window
-    padded = np.append(hashes, np.zeros(window + 1, np.uint64))
-    for j in range(max(chosen) + 1):
-        word = np.where(at < end, padded[at], np.uint64(0))
+    bits = line * walk
+    bits ^= bits >> np.uint64(32)
+    behind, own = np.zeros(len(line) + 1, np.uint64), np.empty(len(line), np.uint64)
+    for j in range(max(chosen), -1, -1):
+        np.copyto(own, behind[:-1])
+        np.copyto(own, behind[1:], where=(bits & np.uint64(1 << j)) != 0)
         if j in chosen:
-            key *= _FOLD
-            key += word
-            key ^= key >> np.uint64(31)
-        at += ((word * bits[j]) >> np.uint64(63)).astype(at.dtype)
-    return key
+            own *= _FOLD
+            own += line
+            own ^= own >> np.uint64(31)
+        behind[:-1] = own
+    return behind[:-1]
 
 
-def walks(tables: int, window: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sampled steps and walk bits, drawn anew for each table."""
+def walks(tables: int, window: int) -> list[tuple[np.ndarray, np.uint64]]:
+    """Sampled steps and walk of each table, drawn anew for each."""
     rng = np.random.default_rng(SEED + 1)
-    steps = 3 * window
-    return [(np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)), rng.integers(1, 2**63, steps, dtype=np.uint64) | np.uint64(1)) for _ in range(tables)]
+    steps = min(2 * window, 64)
+    return [(np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, min(SAMPLED, steps) - 1, replace=False))]), np.uint64(rng.integers(1, 2**63, dtype=np.uint64)) | np.uint64(1)) for _ in range(tables)]
+
+
+@lru_cache(maxsize=16)
+def tables_for(recall: float, min_words: int, max_edits: int, trials: int = 150, most: int = 64) -> int:
+    """Tables that find this share of passages of ``min_words`` words with an edit, wherever it is; each further edit takes as many again."""
+    if not max_edits:
+        return 1
+    rng = np.random.default_rng(SEED + 2)
+    draw = lambda k: rng.integers(1, 2**63, (trials, k), dtype=np.uint64)
+    zero, tables = np.zeros((trials, 1), np.uint64), walks(most, min_words)
+    needed = 1
+    for kind, shift in (("changed", 0), ("added", 1), ("lost", -1)):
+        for place in range(min_words):
+            item = draw(min_words)
+            new = draw(1) if kind != "lost" else draw(0)
+            edited = np.concatenate([item[:, :place], new, item[:, place + (kind != "added") :], draw(2 * min_words), zero], axis=1)
+            ours, theirs = np.concatenate([item, zero], axis=1), edited
+            left, right = np.arange(place), np.arange(place + (kind != "added"), min_words)
+            missed = np.ones(trials, bool)
+            for n, (sample, walk) in enumerate(tables, 1):
+                a, b = (embed(x.ravel(), sample, walk).reshape(x.shape) for x in (ours, theirs))
+                missed &= ~((a[:, left] == b[:, left]).any(axis=1) | (a[:, right] == b[:, right + shift]).any(axis=1))
+                if missed.mean() <= 1 - recall:
+                    break
+            needed = max(needed, n)
+    return min(most, needed * max_edits)
 
 
 class ItemIndex:
-    """Windows of a block of items, by LSH key."""
+    """Windows of items, by LSH key."""
 
-    def __init__(self, items: list[tuple[int, str]], tables: int, window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int, str]], tables: int, window: int = MIN_WORDS) -> None:
         self.ids = [i for i, _ in items]
-        self.words = Words([clean(t) for _, t in items])
-        self.spans = self.words.spans(len(items))
-        self.count = tables
-        self.windows: dict[int, list] = {}
-        self.tables(window)
-
-    def tables(self, window: int) -> list[tuple]:
-        """The tables over windows of so many words: walk, sorted keys, their starts, bitmap of keys."""
-        if window not in self.windows:
-            owner = self.words.owner
-            starts = np.arange(max(0, len(owner) - window + 1))
-            starts = starts[owner[starts] == owner[starts + window - 1]] if len(starts) else starts
-            self.windows[window] = []
-            for sample, bits in walks(self.count, window):
-                key = embed(self.words.hash, starts, window, sample, bits)
-                order = np.argsort(key, kind="stable")
-                bitmap = np.zeros(_MASK + 1, bool)
-                bitmap[(key & np.uint64(_MASK)).astype(np.int64)] = True
-                self.windows[window].append((sample, bits, key[order], starts[order], bitmap))
-        return self.windows[window]
-
-    def candidates(self, words: Words, starts: np.ndarray, window: int) -> np.ndarray:
-        """Pairs of window starts (document, item) that agree in any table, one a row."""
-        found = [np.zeros((0, 2), np.int64)]
-        for sample, bits, sorted_keys, where, bitmap in self.tables(window):
-            key = embed(words.hash, starts, window, sample, bits)
+        self.words = Words([clean(t).replace("\x00", " ") for _, t in items])
+        self.spans = self.words.spans
+        around = self.words.around()
+        self.tables = []
+        for sample, walk in walks(tables, window):
+            key = self.words.keys(sample, walk)
+            # an item that repeats itself: of windows with the same words around them one will do
+            _, one = np.unique(np.column_stack([key, around, self.words.owner.astype(np.uint64)]), axis=0, return_index=True) if len(key) else (None, np.zeros(0, np.int64))
+            order = one[np.argsort(key[one], kind="stable")]
+            bitmap = np.zeros(_MASK + 1, bool)
+            bitmap[(key & np.uint64(_MASK)).astype(np.int64)] = True
+            self.tables.append((sample, walk, key[order], order, bitmap))
+
+    def candidates(self, words: Words, most: int = 1 << 21) -> Iterator[np.ndarray]:
+        """Pairs of window starts (document, item) that agree in a table, one a row, about ``most`` at a time."""
+        around = words.around()
+        for sample, walk, sorted_keys, where, bitmap in self.tables:
+            key = words.keys(sample, walk)
             maybe = np.flatnonzero(bitmap[(key & np.uint64(_MASK)).astype(np.int64)])
             lo, hi = np.searchsorted(sorted_keys, key[maybe], "left"), np.searchsorted(sorted_keys, key[maybe], "right")
+            met = np.flatnonzero(hi > lo)
+            maybe, lo, hi = maybe[met], lo[met], hi[met]
+            if len(maybe) > 1:  # the same of a document that repeats itself
+                _, one = np.unique(np.column_stack([key[maybe], around[maybe], words.owner[maybe].astype(np.uint64)]), axis=0, return_index=True)
+                maybe, lo, hi = maybe[one], lo[one], hi[one]
             count = hi - lo
-            at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            found.append(np.column_stack([np.repeat(starts[maybe], count), where[at]]))
-        return np.unique(np.concatenate(found), axis=0)
+            part = np.cumsum(count) // most
+            for p in np.unique(part):
+                own = np.flatnonzero(part == p)
+                n = count[own]
+                at = np.repeat(lo[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield np.column_stack([np.repeat(maybe[own], n), where[at]])
 
 
 def clean(text: str) -> str:
     return _TARGET.sub("] ", text) if "](" in text or "][" in text else text
 
 
-def _equal_run(a: Words, i: int, lo_a: int, hi_a: int, b: Words, j: int, lo_b: int, hi_b: int) -> tuple[int, int, int]:
-    """The longest run of equal words around positions i and j: its starts and length."""
-    back = min(i - lo_a, j - lo_b)
-    left = 0
-    while left < back and a.hash[i - left - 1] == b.hash[j - left - 1]:
-        left += 1
-    ahead = min(hi_a - i, hi_b - j)
-    right = 0
-    while right < ahead and a.hash[i + right] == b.hash[j + right]:
-        right += 1
-    return i - left, j - left, left + right
-
-
 def edits_within(item: list, text: list, most: int) -> bool:
     """Whether the item's words occur somewhere in the text's within ``most`` word edits."""
     row = [0] * (len(text) + 1)
@@ -204,7 +246,7 @@ def _equal_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, roo
     count = np.zeros(len(i), np.int64)
     going = np.flatnonzero(room > 0)
     for n in range(most):
-        going = going[(n < room[going])]
+        going = going[n < room[going]]
         going = going[a[i[going] + n * step] == b[j[going] + n * step]]
         if not len(going):
             break
@@ -212,116 +254,190 @@ def _equal_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, roo
     return count
 
 
-def _one_edit(index: ItemIndex, words: Words, spans: np.ndarray, pairs: np.ndarray, min_words: int, window: int) -> np.ndarray:
-    """The pairs around which min_words item words occur with one edit or none. Every such passage holds an equal window."""
+def _reach(index: ItemIndex, words: Words, pairs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Item words around each pair of equal words that occur without an edit, and with one at most. ``most`` bounds each run."""
     a, b = words.hash, index.words.hash
-    steps = np.arange(window)
-    pairs = pairs[(a[pairs[:, :1] + steps] == b[pairs[:, 1:] + steps]).all(axis=1)]
-    place = pairs[:, 0] * (len(b) + 1) + pairs[:, 1]
-    pairs = pairs[~np.isin(place - len(b) - 2, place)]  # the first window of each run of equal words
     i, j = pairs[:, 0], pairs[:, 1]
     text, item = words.owner[i], index.words.owner[j]
-    lo_a, hi_a, lo_b, hi_b = spans[text], spans[text + 1], index.spans[item], index.spans[item + 1]
-    ahead = _equal_words(a, i, b, j, np.minimum(hi_a - i, hi_b - j), 1, min_words)
-    back = _equal_words(a, i - 1, b, j - 1, np.minimum(i - lo_a, j - lo_b), -1, min_words)
-    covered = ahead + back
+    lo_a, hi_a, lo_b, hi_b = words.spans[text], words.spans[text + 1], index.spans[item], index.spans[item + 1]
+    ahead = _equal_words(a, i, b, j, np.minimum(hi_a - i, hi_b - j), 1, most)
+    back = _equal_words(a, i - 1, b, j - 1, np.minimum(i - lo_a, j - lo_b), -1, most)
+    plain = ahead + back
+    edited = plain.copy()
     for changed, missing in ((1, 1), (1, 0), (0, 1)):  # words passed over in the text and in the item: changed, added, lost
         x, y = i + ahead + changed, j + ahead + missing
-        after = _equal_words(a, x, b, y, np.minimum(hi_a - x, hi_b - y), 1, min_words)
-        covered = np.maximum(covered, ahead + back + after + np.where(y <= hi_b, missing, 0))
+        after = _equal_words(a, x, b, y, np.minimum(hi_a - x, hi_b - y), 1, most)
+        edited = np.maximum(edited, plain + after + np.where(y <= hi_b, missing, 0))
         x, y = i - back - 1 - changed, j - back - 1 - missing
-        before = _equal_words(a, x, b, y, np.minimum(x + 1 - lo_a, y + 1 - lo_b), -1, min_words)
-        covered = np.maximum(covered, ahead + back + before + np.where(y + 1 >= lo_b, missing, 0))
-    return pairs[covered >= min_words]
-
-
-def _verified(index: ItemIndex, words: Words, spans: np.ndarray, pairs: np.ndarray, min_words: int, max_edits: int, window: int) -> dict[tuple[int, int], int]:
-    """Longest verified run of each (text, item)."""
-    best: dict[tuple[int, int], int] = defaultdict(int)
-    if not max_edits and len(pairs):
-        steps = np.arange(window)
-        pairs = pairs[(words.hash[pairs[:, :1] + steps] == index.words.hash[pairs[:, 1:] + steps]).all(axis=1)]
-    elif max_edits == 1 and len(pairs):
-        pairs = _one_edit(index, words, spans, pairs, min_words, window)
-    for i, j in pairs.tolist():
-        text, item = int(words.owner[i]), int(index.words.owner[j])
-        lo_a, hi_a, lo_b, hi_b = spans[text], spans[text + 1], index.spans[item], index.spans[item + 1]
-        at, from_, run = _equal_run(words, i, lo_a, hi_a, index.words, j, lo_b, hi_b)
-        if run >= min_words and words.text(at, at + run) == index.words.text(from_, from_ + run):
-            best[text, item] = max(best[text, item], run)
-        elif max_edits == 1:
-            best[text, item] = max(best[text, item], min_words)
-        elif max_edits and not best[text, item]:
-            for q in range(max(lo_b, j - min_words + window), min(j, hi_b - min_words) + 1):
-                a = max(lo_a, i - (j - q) - max_edits)
-                if edits_within(index.words.hash[q : q + min_words].tolist(), words.hash[a : min(hi_a, i - (j - q) + min_words + max_edits)].tolist(), max_edits):
-                    best[text, item] = min_words
-                    break
-    return {k: v for k, v in best.items() if v}
+        before = _equal_words(a, x, b, y, np.minimum(x + 1 - lo_a, y + 1 - lo_b), -1, most)
+        edited = np.maximum(edited, plain + before + np.where(y + 1 >= lo_b, missing, 0))
+    return plain, edited
+
+
+Found = dict[tuple[int, int], tuple[int, int]]
+
+
+def _better(found: Found, key: tuple[int, int], edits: int, words: int) -> None:
+    old = found.get(key)
+    if old is None or (edits, -words) < (old[0], -old[1]):
+        found[key] = (edits, words)
+
+
+def _verified(index: ItemIndex, words: Words, pairs: np.ndarray, min_words: int, max_edits: int) -> Found:
+    """Least edits and, at these, most item words of each (text, item) that has ``min_words`` within ``max_edits`` edits."""
+    found: Found = {}
+    pairs = pairs[words.hash[pairs[:, 0]] == index.words.hash[pairs[:, 1]]]
+    if not len(pairs):
+        return found
+    plain, edited = _reach(index, words, pairs, min_words)
+    good = np.flatnonzero((plain if not max_edits else edited) >= min_words)
+    if len(good):
+        near = pairs[good]
+        plain_all, edited_all = _reach(index, words, near, 1 << 30)
+        for (i, j), run, with_one in zip(near.tolist(), plain_all.tolist(), edited_all.tolist(), strict=True):
+            key = (int(words.owner[i]), int(index.words.owner[j]))
+            if run >= min_words:
+                _better(found, key, 0, run)
+            else:
+                _better(found, key, 1, with_one)
+    if max_edits > 1:
+        for i, j in np.delete(pairs, good, axis=0).tolist():
+            text, item = int(words.owner[i]), int(index.words.owner[j])
+            if (text, item) in found:
+                continue
+            lo_a, hi_a, lo_b, hi_b = words.spans[text], words.spans[text + 1], index.spans[item], index.spans[item + 1]
+            for q in range(max(lo_b, j - min_words + 1), min(j, hi_b - min_words) + 1):
+                first = i - (j - q)
+                some = words.hash[max(lo_a, first - max_edits) : max(lo_a, min(hi_a, first + min_words + max_edits))].tolist()
+                least = next((e for e in range(2, max_edits + 1) if edits_within(index.words.hash[q : q + min_words].tolist(), some, e)), None)
+                if least is not None:
+                    _better(found, (text, item), least, min_words)
+    return found
 
 
-def scan(index: ItemIndex, texts: list[str], min_words: int = MIN_WORDS, max_edits: int = 0) -> dict[tuple[int, int], int]:
-    """(number of the text, number of the item) to words in common. A numbered list is read with and without its numbers."""
+def views_of(texts: list[str]) -> tuple[Words, list[int]]:
+    """Words of the texts and the text of each view: a numbered list is read with and without its numbers."""
     views, owner = [], []
     for n, text in enumerate(texts):
-        text = clean(text)
+        text = clean(text).replace("\x00", " ")
         views.append(text)
         owner.append(n)
         bare = _NUMBERED.sub("", text)
         if len(bare) != len(text):
             views.append(bare)
             owner.append(n)
-    words = Words([v.replace("\x00", " ") for v in views])
-    spans = words.spans(len(views))
-    count = np.diff(spans)
-    aligned = np.arange(len(words.owner)) - np.repeat(spans[:-1], count)
-    window = window_of(min_words, max_edits)
-    starts = np.flatnonzero((aligned % (1 if max_edits else STRIDE) == 0) & (aligned + window <= np.repeat(count, count)))
-    found: dict[tuple[int, int], int] = {}
-    for (view, item), run in _verified(index, words, spans, index.candidates(words, starts, window), min_words, max_edits, window).items():
-        key = (owner[view], item)
-        found[key] = max(found.get(key, 0), run)
+    return Words(views), owner
+
+
+def scan(index: ItemIndex, texts: list[str], min_words: int = MIN_WORDS, max_edits: int = 0) -> Found:
+    """(number of the text, number of the item) to edits and words in common."""
+    words, owner = views_of(texts)
+    found: Found = {}
+    if len(words.hash):
+        for pairs in index.candidates(words):
+            for (view, item), (edits, run) in _verified(index, words, pairs, min_words, max_edits).items():
+                _better(found, (owner[view], item), edits, run)
     return found
 
 
-def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block: list[tuple[int, str]] = []
-    size = 0
-    for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null").distinct().toLocalIterator():
-        if block and size + len(row.t) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((row.k, row.t))
-        size += len(row.t)
-    yield block
-
-
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = 0, tables: int = TABLES) -> DataFrame:
-    """doc_id, item_id, words: every document that holds a passage of an item, with the longest one's words."""
-    if min_words < WINDOW + STRIDE - 1:
-        raise ValueError(f"min_words must be {WINDOW + STRIDE - 1} or more")
-    if not 0 <= max_edits < min_words:
-        raise ValueError("max_edits must be 0 or more and less than min_words")
-    spark = documents.sparkSession
-    frame = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32())])
-    parts = []
-    for block in _item_blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(ItemIndex(block, tables, window_of(min_words, max_edits)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+OUT = "doc_id long, item_id long, edits int, words int"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("words", pa.int32())])
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of runs of about a slice's characters."""
+    at = 0
+    while at < len(texts):
+        some, first, size = [], at, 0
+        while at < len(texts) and size < SLICE_CHARS:
+            some.append(texts[at].as_py())
+            size += len(some[-1])
+            at += 1
+        yield first, some
+
+
+def _in_place(frame: DataFrame, items: list[tuple[int, str]], min_words: int, max_edits: int, tables: int) -> DataFrame:
+    shared = frame.sparkSession.sparkContext.broadcast(ItemIndex(items, tables, min_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for first, some in _slices(batch.column(1)):
+                found = sorted((keys[first + n], index.ids[i], edits, run) for (n, i), (edits, run) in scan(index, some, min_words, max_edits).items())
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], _SCHEMA.types[c]) for c in range(4)], schema=_SCHEMA)
+
+    return frame.mapInArrow(run, OUT)
+
+
+def _by_shuffle(frame: DataFrame, held: DataFrame, min_words: int, max_edits: int, tables: int) -> DataFrame:
+    """Windows of documents and items meet on their LSH keys; pairs of texts with a common key are verified whole."""
+    spark, tuned = frame.sparkSession, walks(tables, min_words)
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64())])
+
+    def keyed(known: object | None) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = known.value if known is not None else None
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1)
-                at = 0
-                while at < len(keys):
-                    some, first, size = [], at, 0
-                    while at < len(keys) and size < SLICE_CHARS:
-                        some.append(texts[at].as_py())
-                        size += len(some[-1])
-                        at += 1
-                    found = sorted((keys[first + n], index.ids[i], run) for (n, i), run in scan(index, some, min_words, max_edits).items())
-                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], schema.types[c]) for c in range(3)], schema=schema)
-
-        parts.append(frame.mapInArrow(run, "doc_id long, item_id long, words int"))
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+                ids = np.array(batch.column(0).to_pylist(), np.int64)
+                for first, some in _slices(batch.column(1)):
+                    words, owner = views_of(some)
+                    rows = first + np.array(owner, np.int64)[words.owner]
+                    for n, (sample, walk) in enumerate(tuned):
+                        key = (words.keys(sample, walk) ^ np.uint64(n)).view(np.int64)
+                        own = rows
+                        if bits is not None:
+                            place = key & ((1 << _MAP_BITS) - 1)
+                            there = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+                            key, own = key[there], rows[there]
+                        pairs = np.unique(np.column_stack([own, key]), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(pairs[:, 1])], schema=schema)
+
+        return run
+
+    item_keys = checkpoint(held.mapInArrow(keyed(None), "id long, key long").distinct())
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (_MAP_BITS - 3), np.uint8)
+        for batch in batches:
+            place = np.asarray(batch.column(0)) & ((1 << _MAP_BITS) - 1)
+            np.bitwise_or.at(bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": [bits.tobytes()]})
+
+    # one map of 16 MB a part, whatever the items: a part of the tasks' maps meet in a second step
+    every = np.zeros(1 << (_MAP_BITS - 3), np.uint8)
+    for row in item_keys.select("key").coalesce(16).mapInArrow(mapped, "bits binary").toLocalIterator():
+        every |= np.frombuffer(row.bits, np.uint8)
+    doc_keys = frame.mapInArrow(keyed(spark.sparkContext.broadcast(every)), "id long, key long").withColumnRenamed("id", "doc_id")
+    # a key that very many documents have is no hot task: items meet it by its weight
+    weight = doc_keys.groupBy("key").agg(F.count("*").alias("_n"))
+    of_key = item_keys.groupBy("key").agg(F.collect_set("id").alias("items")).join(weight, "key")
+    met = lookup_join(doc_keys, of_key, ["key"], "_n").select("doc_id", F.explode("items").alias("item_id")).distinct()
+    met = checkpoint(met)
+    with_item = lookup_join(met, held.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")).join(met.groupBy("item_id").agg(F.count("*").alias("_n")), "item_id"), ["item_id"], "_n")
+    rows = with_item.join(frame, "doc_id").select("doc_id", "item_id", "text", "item_text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, item, text, passage in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for edits, run in scan(ItemIndex([(item, passage)], tables, min_words), [text], min_words, max_edits).values():
+                    found.append((doc, item, edits, run))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], _SCHEMA.types[c]) for c in range(4)], schema=_SCHEMA)
+
+    return rows.mapInArrow(verify, OUT)
+
+
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, max_edits: int = 1, recall: float = RECALL) -> DataFrame:
+    """doc_id, item_id, edits, words: every document that holds a passage of an item; the fewest edits that its passages need and, at
+    these, the item words of the longest one. Without edits none is missed, with them ``recall`` of all."""
+    if not 0 <= max_edits < min_words <= 32:
+        raise ValueError("0 <= max_edits < min_words <= 32")
+    frame = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    held = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null").distinct()
+    tables = tables_for(recall, min_words, max_edits)
+    chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    found = _in_place(frame, [tuple(r) for r in held.collect()], min_words, max_edits, tables) if chars <= BLOCK_CHARS else _by_shuffle(frame, held, min_words, max_edits, tables)
+    best = F.min(F.struct("edits", (-F.col("words")).alias("w")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.edits").alias("edits"), (-F.col("b.w")).alias("words"))
