@@ -3,7 +3,7 @@
 Texts become sequences of words (runs of letters, marks and digits, lower case; in scripts without spaces every character is
 a word; link targets and other Markdown marks are none). The sought passage has ``min_words`` words, and so have the
 windows, which begin at every word of items and documents alike. A window is embedded by the CGK random walk: at step j the
-walk writes the word it stands on and moves on if bit j of that word's hash says so; in two steps a word it reads the window.
+walk writes the word it stands on and moves on if bit j of that word's hash says so; in two steps a word (32 at most) it reads the window.
 Windows at a small edit distance get outputs at a small Hamming distance. Each LSH table has a walk of its own and hashes a
 random sample of its steps, the first always among them; windows that agree in any table are candidates. The number of
 tables follows from the recall that is asked for, by trial of random passages with an edit at the worst place. The walks
@@ -72,7 +72,7 @@ def _lower() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _LOW, _SKIP, _ALONE = _lower()
 _rng = np.random.default_rng(SEED)
 _POWERS = _rng.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
-_FOLD = np.uint64(0x9E3779B97F4A7C15)
+_FOLD, _FOLD32, _OTHER_FOLD32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 class Words:
@@ -114,16 +114,17 @@ class Words:
         self.spans = np.searchsorted(self.owner, np.arange(len(texts) + 1))
         # a zero behind each text, on which a walk stays
         self.line = np.zeros(len(starts) + len(texts), np.uint64)
-        self.line[np.arange(len(starts)) + self.owner] = self.hash
+        self.at = np.arange(len(starts)) + self.owner
+        self.line[self.at] = self.hash
 
     def text(self, start: int, end: int) -> tuple:
         """The words themselves, for exact comparison."""
         a, b = self.first[start], self.first[end]
         return tuple(self.first[start : end + 1] - a), self.letters[a:b].tobytes()
 
-    def keys(self, sample: np.ndarray, walk: np.uint64) -> np.ndarray:
+    def keys(self, sample: np.ndarray, walk: np.uint32, fold: np.uint32 = _FOLD32) -> np.ndarray:
         """The LSH key of the window at each word in one table."""
-        return embed(self.line, sample, walk)[np.arange(len(self.hash)) + self.owner]
+        return embed(self.line, sample, walk, fold)[self.at]
 
     def around(self) -> np.ndarray:
         """A hash of the words near each word, its place among them known."""
@@ -131,33 +132,42 @@ class Words:
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, _FOLD)]))
         inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + 1, np.uint64(pow(int(_FOLD), -1, 1 << 64)))]))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(self.line * power[:n])])
-        at = np.arange(len(self.hash)) + self.owner
+        at = self.at
         lo, hi = np.maximum(at - _BEFORE, self.spans[self.owner] + self.owner), np.minimum(at + _BEHIND, self.spans[self.owner + 1] + self.owner)
         return ((sums[hi] - sums[lo]) * inverse[lo]) ^ ((at - lo).astype(np.uint64) << np.uint64(58)) ^ ((hi - at).astype(np.uint64) << np.uint64(52))
 
 
-def embed(line: np.ndarray, sample: np.ndarray, walk: np.uint64) -> np.ndarray:
-    """Folded outputs of the CGK walk's sampled steps, from every place of ``line``. Bit j of a word's hash moves the walk on at step j."""
+def embed(line: np.ndarray, sample: np.ndarray, walk: np.uint32, fold: np.uint32 = _FOLD32) -> np.ndarray:
+    """Folded outputs of the CGK walk's sampled steps, from every place of ``line``. Bit j of a word's hash moves the walk on at step j.
+
+    Half words and no branches: the whole of a slice stays in the processor's cache.
+    """
     chosen = set(sample.tolist())
-    bits = line * walk
-    bits ^= bits >> np.uint64(32)
-    behind, own = np.zeros(len(line) + 1, np.uint64), np.empty(len(line), np.uint64)
+    letters = (line ^ (line >> np.uint64(32))).astype(np.uint32)
+    bits = letters * walk
+    bits ^= bits >> np.uint32(16)
+    bits = bits.view(np.int32)
+    behind, own, moved = np.zeros(len(line) + 1, np.uint32), np.empty(len(line), np.uint32), np.empty(len(line), np.int32)
     for j in range(max(chosen), -1, -1):
-        np.copyto(own, behind[:-1])
-        np.copyto(own, behind[1:], where=(bits & np.uint64(1 << j)) != 0)
+        np.left_shift(bits, np.int32(31 - j), out=moved)
+        np.right_shift(moved, np.int32(31), out=moved)  # all ones where the walk moves on
+        np.bitwise_xor(behind[1:], behind[:-1], out=own)
+        np.bitwise_and(own, moved.view(np.uint32), out=own)
+        np.bitwise_xor(behind[:-1], own, out=own)
         if j in chosen:
-            own *= _FOLD
-            own += line
-            own ^= own >> np.uint64(31)
+            own *= fold
+            own += letters
+            np.right_shift(own, np.uint32(15), out=moved.view(np.uint32))
+            own ^= moved.view(np.uint32)
         behind[:-1] = own
     return behind[:-1]
 
 
-def walks(tables: int, window: int) -> list[tuple[np.ndarray, np.uint64]]:
+def walks(tables: int, window: int) -> list[tuple[np.ndarray, np.uint32]]:
     """Sampled steps and walk of each table, drawn anew for each."""
     rng = np.random.default_rng(SEED + 1)
-    steps = min(2 * window, 64)
-    return [(np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, min(SAMPLED, steps) - 1, replace=False))]), np.uint64(rng.integers(1, 2**63, dtype=np.uint64)) | np.uint64(1)) for _ in range(tables)]
+    steps = min(2 * window, 32)
+    return [(np.concatenate([[0], 1 + np.sort(rng.choice(steps - 1, min(SAMPLED, steps) - 1, replace=False))]), np.uint32(rng.integers(1, 2**32)) | np.uint32(1)) for _ in range(tables)]
 
 
 @lru_cache(maxsize=16)
@@ -198,23 +208,24 @@ class ItemIndex:
         for sample, walk in walks(tables, window):
             key = self.words.keys(sample, walk)
             # an item that repeats itself: of windows with the same words around them one will do
-            _, one = np.unique(np.column_stack([key, around, self.words.owner.astype(np.uint64)]), axis=0, return_index=True) if len(key) else (None, np.zeros(0, np.int64))
+            _, one = np.unique(np.column_stack([key.astype(np.uint64), around, self.words.owner.astype(np.uint64)]), axis=0, return_index=True) if len(key) else (None, np.zeros(0, np.int64))
             order = one[np.argsort(key[one], kind="stable")]
             bitmap = np.zeros(_MASK + 1, bool)
-            bitmap[(key & np.uint64(_MASK)).astype(np.int64)] = True
+            bitmap[key & np.uint32(_MASK)] = True
             self.tables.append((sample, walk, key[order], order, bitmap))
 
     def candidates(self, words: Words, most: int = 1 << 21) -> Iterator[np.ndarray]:
         """Pairs of window starts (document, item) that agree in a table, one a row, about ``most`` at a time."""
         around = words.around()
+        found, size, width = [], 0, len(self.words.hash) + 1
         for sample, walk, sorted_keys, where, bitmap in self.tables:
             key = words.keys(sample, walk)
-            maybe = np.flatnonzero(bitmap[(key & np.uint64(_MASK)).astype(np.int64)])
+            maybe = np.flatnonzero(bitmap[key & np.uint32(_MASK)])
             lo, hi = np.searchsorted(sorted_keys, key[maybe], "left"), np.searchsorted(sorted_keys, key[maybe], "right")
             met = np.flatnonzero(hi > lo)
             maybe, lo, hi = maybe[met], lo[met], hi[met]
             if len(maybe) > 1:  # the same of a document that repeats itself
-                _, one = np.unique(np.column_stack([key[maybe], around[maybe], words.owner[maybe].astype(np.uint64)]), axis=0, return_index=True)
+                _, one = np.unique(np.column_stack([key[maybe].astype(np.uint64), around[maybe], words.owner[maybe].astype(np.uint64)]), axis=0, return_index=True)
                 maybe, lo, hi = maybe[one], lo[one], hi[one]
             count = hi - lo
             part = np.cumsum(count) // most
@@ -222,7 +233,13 @@ class ItemIndex:
                 own = np.flatnonzero(part == p)
                 n = count[own]
                 at = np.repeat(lo[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                yield np.column_stack([np.repeat(maybe[own], n), where[at]])
+                found.append(np.repeat(maybe[own], n) * width + where[at])
+                size += len(at)
+                if size >= most:
+                    yield np.column_stack(np.divmod(np.unique(np.concatenate(found)), width))
+                    found, size = [], 0
+        if found:  # most pairs agree in several tables
+            yield np.column_stack(np.divmod(np.unique(np.concatenate(found)), width))
 
 
 def clean(text: str) -> str:
@@ -384,7 +401,8 @@ def _by_shuffle(frame: DataFrame, held: DataFrame, min_words: int, max_edits: in
                     words, owner = views_of(some)
                     rows = first + np.array(owner, np.int64)[words.owner]
                     for n, (sample, walk) in enumerate(tuned):
-                        key = (words.keys(sample, walk) ^ np.uint64(n)).view(np.int64)
+                        high, low = (words.keys(sample, walk, fold).astype(np.uint64) for fold in (_FOLD32, _OTHER_FOLD32))
+                        key = ((high << np.uint64(32) | low) ^ np.uint64(n)).view(np.int64)
                         own = rows
                         if bits is not None:
                             place = key & ((1 << _MAP_BITS) - 1)
