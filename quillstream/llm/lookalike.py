@@ -1,8 +1,14 @@
 """Problem 2: one form for all texts that a reader cannot tell apart, by DuckDB SQL inside Arrow partitions.
 
-Each Arrow batch is a DuckDB table; its SQL drops invisible characters, maps kinds of space, widths, Latin ligatures and
+Each Arrow batch is a DuckDB table; its SQL drops invisible characters, maps kinds of space and hyphen, compatibility forms and
 look-alike letters, and composes accents before and after (a look-alike base letter composes only once it is mapped).
-Superscripts, circled digits, signs like the numero sign, quotes, dotless i and numbers of spaces stay: they show.
+Compatibility forms follow from the decompositions of Unicode by a rule (``_compatible``): widths, small and Arabic
+presentation forms, letters and numerals that stand for several letters. Superscripts, circled digits, signs like the
+numero sign, fractions, mathematical letters, quotes, dotless i and numbers of spaces stay: they show. Look-alike letters are
+listed below; ``read_confusables`` takes more from a table in the format of Unicode's confusables.
+
+What comes out is a form for each text, the members of each form, and counts (``forms``); the pairs that a query may ask
+for follow from these (``look_alike_pairs``).
 
 Defined results: null stays null, empty stays empty; texts of any length are mapped whole; repeated rows stay repeated;
 extra columns pass through unseen.
@@ -31,7 +37,7 @@ GREEK = {
     "Ά": "Á", "Έ": "É", "Ή": "H́", "Ί": "Í", "Ό": "Ó", "Ύ": "Ý", "ο": "o", "ό": "ó", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
 }
 OTHER = {"ı̇": "i", "ɡ": "g", "ɑ": "a", "Օ": "O", "օ": "o", "Տ": "S", "հ": "h", "ո": "n", "ս": "u", "Ꭺ": "A", "Ꮯ": "C", "Ꭼ": "E"}
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+HYPHENS = {"\u2010": "-", "\u2011": "-"}
 #: Besides the format characters (category Cf) and variation selectors, which a rule gives.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 
@@ -41,19 +47,39 @@ def _invisible() -> str:
     return "".join([*(c for c in kept if unicodedata.name(c, "").split(" ")[0] != "ARABIC"), *INVISIBLE])
 
 
-def _widths() -> dict[str, str]:
-    """Full-width and half-width forms, by the rule of their decompositions."""
+def _compatible() -> dict[str, str]:
+    """Characters that look like what they decompose into: other widths, small forms, forms of Arabic letters by their place,
+    and letters or Roman numerals that stand for several letters or for one capital."""
     found = {}
-    for code in range(0xFF00, 0xFFF0):
+    for code in range(0x110000):
         char = chr(code)
-        if unicodedata.decomposition(char).startswith(("<wide>", "<narrow>")) and char not in INVISIBLE:
-            found[char] = unicodedata.normalize("NFKC", char)
+        tag, _, rest = unicodedata.decomposition(char).partition(" ")
+        if not tag.startswith("<") or char in INVISIBLE or unicodedata.category(char) == "Zs":
+            continue
+        plain = unicodedata.normalize("NFKC", char)
+        letters = all(unicodedata.category(c)[0] in "LM" for c in plain)
+        several = len(rest.split()) > 1 and unicodedata.category(char)[0] == "L" or unicodedata.category(char) == "Nl"
+        if tag in ("<wide>", "<narrow>", "<small>") or tag in ("<initial>", "<medial>", "<final>", "<isolated>") and letters or tag == "<compat>" and letters and several:
+            found[char] = plain
     return {k: {"゙": "゙", "゚": "゚"}.get(v, v) for k, v in found.items()}
 
 
+def read_confusables(lines: Iterator[str]) -> dict[str, str]:
+    """Single letters of other scripts that a published table (code points; code points; type) maps to Latin ones."""
+    found = {}
+    for line in lines:
+        fields = [f.strip() for f in line.split("#")[0].lstrip("\ufeff").split(";")]
+        if len(fields) >= 2 and fields[0] and fields[1]:
+            old, new = ("".join(chr(int(x, 16)) for x in f.split()) for f in fields[:2])
+            if len(old) == 1 and old.isalpha() and new.isascii() and new.isalpha() and not old.isascii():
+                found[old] = new
+    return found
+
+
 SPACES = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Zs" and c != 0x20)
-_SINGLE = {k: v for k, v in (_widths() | CYRILLIC | GREEK | OTHER).items() if len(k) == len(v) == 1} | dict.fromkeys(SPACES, " ")
-_LONGER = {k: v for k, v in (CYRILLIC | GREEK | OTHER | LIGATURES).items() if not len(k) == len(v) == 1}
+_ALL = _compatible() | HYPHENS | CYRILLIC | GREEK | OTHER
+_SINGLE = {k: v for k, v in _ALL.items() if len(k) == len(v) == 1} | dict.fromkeys(SPACES, " ")
+_LONGER = {k: v for k, v in _ALL.items() if not len(k) == len(v) == 1}
 
 
 def _quoted(text: str) -> str:
@@ -61,22 +87,26 @@ def _quoted(text: str) -> str:
 
 
 def canonical_sql(column: str) -> str:
-    """The mapping as one DuckDB expression."""
+    """The mapping as one DuckDB expression. What becomes several characters is replaced only in texts that hold any of it."""
     drop = "".join(f"\\x{{{ord(c):X}}}" for c in _invisible())
-    sql = f"nfc_normalize(regexp_replace({column}, '[{drop}]', '', 'g'))"
+    sql = plain = f"nfc_normalize(regexp_replace({column}, '[{drop}]', '', 'g'))"
     for old, new in _LONGER.items():
         sql = f"replace({sql}, {_quoted(old)}, {_quoted(new)})"
-    return f"nfc_normalize(translate({sql}, {_quoted(''.join(_SINGLE))}, {_quoted(''.join(_SINGLE.values()))}))"
+    some = "|".join(_LONGER)
+    return f"nfc_normalize(translate(CASE WHEN regexp_matches({column}, '[^\\x00-\\x7F]') AND regexp_matches({plain}, {_quoted(some)}) THEN {sql} ELSE {plain} END, {_quoted(''.join(_SINGLE))}, {_quoted(''.join(_SINGLE.values()))}))"
 
 
 _DROP = dict.fromkeys(map(ord, _invisible()))
-_MAP = str.maketrans(_SINGLE)
+_MAP = str.maketrans(_SINGLE | {k: v for k, v in _LONGER.items() if len(k) == 1})
+_SEQUENCES = {k: v for k, v in _LONGER.items() if len(k) > 1}
 
 
 def canonical_text(text: str) -> str:
     """The same mapping for single strings in Python; tests hold both against each other."""
+    if text.isascii():
+        return text
     text = unicodedata.normalize("NFC", text.translate(_DROP))
-    for old, new in _LONGER.items():
+    for old, new in _SEQUENCES.items():
         text = text.replace(old, new)
     return unicodedata.normalize("NFC", text.translate(_MAP))
 
@@ -105,23 +135,46 @@ def canonicalise(frame: DataFrame, text: str, out: str = "canonical") -> DataFra
     return frame.mapInArrow(run, schema)
 
 
-def look_alike_pairs(frame: DataFrame, key: str, text: str, salts: int = 8) -> DataFrame:
+def _members(frame: DataFrame, key: str, text: str) -> DataFrame:
+    rows = frame.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").distinct()
+    return canonicalise(rows, "text").select("key", F.unhex(F.sha2("text", 256)).alias("raw"), F.unhex(F.sha2("canonical", 256)).alias("form"))
+
+
+def forms(frame: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Forms (form, spellings, rows) and members (form, raw, key): hashes of the form and of the text as it is, each text of a key once."""
+    members = checkpoint(_members(frame, key, text))
+    spellings = members.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    return spellings.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("n").alias("rows")), members
+
+
+#: Spellings, or rows of a spelling, that meet in one task.
+BLOCK = 1000
+
+
+def _blocked(frame: DataFrame, key: str, count: str) -> DataFrame:
+    """``frame`` with its block, of as many as ``count`` needs."""
+    blocks = F.ceil(F.col(count) / BLOCK).cast("int")
+    return frame.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+
+
+def look_alike_pairs(frame: DataFrame, key: str, text: str) -> DataFrame:
     """<key>_a < <key>_b: all pairs of keys whose texts look the same without being the same string.
 
-    The variants (distinct strings) of a form are paired, not its rows; the rows of the smaller variant then meet those
-    of the larger one, which are spread over ``salts`` tasks. So a form that many rows share in one spelling costs no
-    more than its result rows.
+    Only for those who need pairs, whose number grows with the square of a form's rows. The spellings (distinct strings) of a
+    form are paired, then the rows of two spellings; both go in blocks, so that no task has more than ``BLOCK`` squared pairs
+    of one form, however many share it. A form of one spelling makes no pair.
     """
-    rows = frame.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null").distinct()
-    members = checkpoint(canonicalise(rows, "text").select("key", F.unhex(F.sha2("text", 256)).alias("raw"), F.unhex(F.sha2("canonical", 256)).alias("form")))
-    variants = members.groupBy("form", "raw").agg(F.count("*").alias("n"))
-    several = variants.groupBy("form").agg(F.count("*").alias("variants"), F.sum("n").alias("weight")).where("variants > 1")
-    variants = lookup_join(variants, several.select("form", "weight", "variants"), ["form"], "variants")
-    one, other = (variants.select("form", *(F.col(c).alias(f"{c}_{side}") for c in ("raw", "n"))) for side in "ab")
-    smaller_first = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("raw_a") < F.col("raw_b")))
-    pairs = one.join(other, "form").where((F.col("raw_a") != F.col("raw_b")) & smaller_first).select("raw_a", "raw_b")
-    small = pairs.join(members.select(F.col("raw").alias("raw_a"), F.col("key").alias("small")), "raw_a").select("raw_b", "small")
-    salted = small.withColumn("salt", F.explode(F.array(*(F.lit(s) for s in range(salts)))))
-    large = members.select(F.col("raw").alias("raw_b"), F.col("key").alias("large"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
-    both = salted.join(large, ["raw_b", "salt"]).where("small != large")
-    return both.select(F.least("small", "large").alias(f"{key}_a"), F.greatest("small", "large").alias(f"{key}_b")).distinct()
+    groups, members = forms(frame, key, text)
+    several = groups.where("spellings > 1")
+    counted = members.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    variants = _blocked(lookup_join(counted, several.select("form", F.col("spellings").alias("of"), "spellings"), ["form"], "spellings"), "raw", "of")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = variants.select("form", F.col("raw").alias("raw_a"), F.col("n").alias("n_a"), F.col("block").alias("x"), every.alias("y"))
+    other = variants.select("form", F.col("raw").alias("raw_b"), F.col("n").alias("n_b"), F.col("block").alias("y"), every.alias("x"))
+    pairs = one.join(other, ["form", "x", "y"]).where("raw_a < raw_b")
+    rows = _blocked(lookup_join(members, variants.select("form", "raw", "n", F.col("n").alias("of")), ["form", "raw"], "n"), "key", "of").select("raw", "key", "block")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    blocks = pairs.withColumn("block_a", number("n_a")).withColumn("block_b", number("n_b")).select("raw_a", "block_a", "raw_b", "block_b")
+    first = blocks.join(rows.select(F.col("raw").alias("raw_a"), F.col("block").alias("block_a"), F.col("key").alias("a")), ["raw_a", "block_a"]).select("a", "raw_b", "block_b")
+    both = first.join(rows.select(F.col("raw").alias("raw_b"), F.col("block").alias("block_b"), F.col("key").alias("b")), ["raw_b", "block_b"]).where("a != b")
+    return both.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
