@@ -2,8 +2,12 @@
 
 Each distinct raw value of a field is canonicalised once (letters and digits only, case folded) and gets an integer; a
 record becomes the tuple of its fields' integers in the order of the field names, and the compact tuples are grouped.
-An integer is exact, not a hash: values are ranked inside one of ``BUCKETS`` hash buckets, the bucket's number being the
-high bits. Raw values travel once each; the records carry only their digests.
+Integers are dense, not hashes: canonical values, by their SHA-256, are numbered inside a bucket of about ``BUCKET_ROWS`` of
+them, as many buckets as the records need, the bucket's number being the high bits. Raw values travel once each; the
+records carry only their digests. A value that very many records spell, alike or each in a way of its own, is no hot task.
+
+Vowel signs and other marks that make up letters count with them; accents that stand by themselves (the blocks of combining
+diacritics) are disregarded, as the composed letter is another one.
 
 Defined results: a null field equals null only (and differs from one without letters or digits); a payload that is no
 JSON object is compared by its own letters and digits and is no copy of a proper record; a field given twice counts by
@@ -19,9 +23,11 @@ from pyspark.sql.window import Window
 from quillstream.functions.skew import HOT_ROWS, lookup_join
 from quillstream.llm.common import checkpoint
 
-BUCKETS = 4096
+BUCKET_ROWS = 20_000
 FIELDS = ("blockkind", "sourcefilepath", "sourcetext")
 NO_RECORD = "payload"
+#: Marks that are no part of a letter's own: combining diacritics, enclosing marks, half marks, variation selectors.
+ACCENTS = r"\x{300}-\x{36F}\x{1AB0}-\x{1AFF}\x{1DC0}-\x{1DFF}\x{20D0}-\x{20FF}\x{FE00}-\x{FE2F}\x{E0100}-\x{E01EF}"
 
 
 def letters_and_digits(value: Column) -> Column:
@@ -29,7 +35,7 @@ def letters_and_digits(value: Column) -> Column:
 
     The optimiser drops an upper() right inside a lower(), which are not the same; hence the pattern between them.
     """
-    other = r"[^\p{L}\p{N}]"
+    other = rf"[^\p{{L}}\p{{N}}\p{{M}}]|[{ACCENTS}]"
     return F.regexp_replace(F.lower(F.regexp_replace(F.upper(value), other, "")), other, "")
 
 
@@ -55,11 +61,14 @@ def encoded(frame: DataFrame, key: str, payload: str, names: tuple[str, ...] = F
     # the pairs of field and raw value, each once; duplicates fall away before the shuffle
     pairs = values.select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), digest(n).alias("digest")) for n in every))).alias("p")).select("p.*").where("value is not null")
     distinct = pairs.groupBy("field", "digest").agg(F.any_value("value").alias("value"), F.count("*").alias("n"))
-    canonical = distinct.select("digest", "field", "n", letters_and_digits(F.col("value")).alias("canonical"))
-    bucket = F.pmod(F.xxhash64("field", "canonical"), F.lit(BUCKETS))
-    ranked = Window.partitionBy("field", "bucket").orderBy("canonical")
-    numbers = canonical.withColumn("bucket", bucket).withColumn("number", F.shiftleft(F.col("bucket") + 1, 40) + F.dense_rank().over(ranked))
-    numbers = checkpoint(numbers.select("field", "digest", "number", "n"))
+    canonical = checkpoint(distinct.select("digest", "field", "n", F.unhex(F.sha2(letters_and_digits(F.col("value")), 256)).alias("form")))
+    # numbered by form, each once: a form with very many spellings is one row here
+    forms = canonical.groupBy("field", "form").agg(F.count("*").alias("spellings"))
+    buckets = 1 << min(22, max(6, (canonical.count() // BUCKET_ROWS).bit_length()))
+    bucket = F.pmod(F.xxhash64("field", "form"), F.lit(buckets))
+    ranked = Window.partitionBy("bucket").orderBy("field", "form")
+    numbered = forms.withColumn("bucket", bucket).withColumn("number", F.shiftleft(F.col("bucket") + 1, 40) + F.row_number().over(ranked))
+    numbers = checkpoint(lookup_join(canonical, numbered.select("field", "form", "number", "spellings"), ["field", "form"], "spellings", hot_rows).select("field", "digest", "number", "n"))
     for name in every:
         own = numbers.where(F.col("field") == name).select(F.col("digest").alias(name), F.col("number").alias("number"), "n")
         records = lookup_join(records, own, [name], "n", hot_rows, "left").drop(name).withColumnRenamed("number", name)

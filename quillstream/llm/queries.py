@@ -56,6 +56,12 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonicalise(rows, "source_text").select("chunk_id", F.sha2("source_text", 256).alias("text_hash"), F.sha2("canonical", 256).alias("canonical_hash"))
 
 
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every form with the number of its spellings and of the chunks that have it."""
+    groups, _ = lookalike.forms(table(spark, d, "chunks"), "chunk_id", "source_text")
+    return groups.select(F.lower(F.hex("form")).alias("canonical_hash"), "spellings", "rows")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     _, members = dictcopies.copies(table(spark, d, "chunk_records"), "record_id", "payload")
     return members.where("key > first").select(F.col("first").alias("record_id_a"), F.col("key").alias("record_id_b"))
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_segments": p1_segments,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_records": p3_records,
     "p4_found": p4_found,
@@ -130,7 +137,7 @@ def _spelled(name: str) -> str:
     return "coalesce(" + ", ".join(f"json_extract_string(payload, '$.{s}')" for s in styles) + ")"
 
 
-_KEYS = ", ".join(f"regexp_replace(replace(lower(upper({_spelled(n)})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS k{i}" for i, n in enumerate(("sourceText", "blockKind", "sourceFilePath")))
+_KEYS = ", ".join(f"regexp_replace(replace(lower(upper({_spelled(n)})), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]|[{dictcopies.ACCENTS}]', '', 'g') AS k{i}" for i, n in enumerate(("sourceText", "blockKind", "sourceFilePath")))
 _GROUPS = f"k AS (SELECT record_id, {_KEYS} FROM chunk_records), g AS (SELECT record_id, min(record_id) OVER w AS first FROM k WINDOW w AS (PARTITION BY k0, k1, k2))"
 
 
@@ -139,6 +146,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH c AS (SELECT DISTINCT chunk_id, source_text, {form} AS form FROM chunks WHERE source_text IS NOT NULL) SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM c a JOIN c b ON a.form = b.form AND a.source_text <> b.source_text AND a.chunk_id < b.chunk_id",
         "p2_canonical": f"SELECT DISTINCT chunk_id, sha256(source_text) AS text_hash, sha256({form}) AS canonical_hash FROM chunks",
+        "p2_forms": f"WITH c AS (SELECT DISTINCT chunk_id, source_text, {form} AS form FROM chunks WHERE source_text IS NOT NULL AND chunk_id IS NOT NULL) SELECT sha256(form) AS canonical_hash, count(DISTINCT source_text) AS spellings, count(*) AS rows FROM c GROUP BY form",
         "p3_found": f"WITH {_GROUPS} SELECT first AS record_id_a, record_id AS record_id_b FROM g WHERE record_id > first",
         "p3_records": f"WITH {_GROUPS} SELECT first AS record_id, count(*) AS copies FROM g GROUP BY 1",
     }

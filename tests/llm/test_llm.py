@@ -101,6 +101,38 @@ def test_sql_and_python_agree(spark):
     assert all(unicodedata.is_normalized("NFC", v) for v in got.values() if v)
 
 
+# each spelling and the form that a reader sees, written down by hand
+SEEN = {
+    "Ⅳ": "IV", "ⅻ": "xii", "ĳ": "ij", "ǆ": "dž", "Ǉ": "LJ", "ŉ": "ʼn", "non‑breaking": "non-breaking", "a‐b": "a-b", "﹣": "-", "ＡＢＣ１２３！": "ABC123!", "ｶﾞｷﾞ": "ガギ", "ﾊﾟ": "パ", "￥": "¥", "ﬃ": "ffi", "ﻻ": "لا", "ﺏ": "ب",
+    "a\u00a0b\u2009c\u3000d": "a b c d", "a\u200b\u2060b\ufeff": "ab", "e\u0301": "é", "A\u030a": "Å", "Ω": "Ω", "К": "K", "ѕсоре": "scope", "ΑΒΕ": "ABE", "Ё": "Ë", "Ά": "Á", "ﬅ": "st",
+    "№": "№", "²": "²", "½": "½", "①": "①", "™": "™", "…": "…", "“a”": "“a”", "–": "–", "ı": "ı", "ß": "ß", "𝐀": "𝐀", "ㄱ": "ㄱ", "か゛": "か゛", "": "",
+}
+
+
+def test_forms_that_a_reader_sees(spark):
+    df = spark.createDataFrame([(k, v) for k, v in SEEN.items()], "text string, seen string")
+    assert {r.text: r.canonical for r in lookalike.canonicalise(df, "text").collect()} == SEEN
+    assert {k: lookalike.canonical_text(k) for k in SEEN} == SEEN
+
+
+def test_confusables_table():
+    lines = ["\ufeff# confusables", "0430 ;\t0061 ;\tMA\t# ( а → a ) CYRILLIC", "03BA ; 0138 ; MA", "006D ; 0072 006E ; MA", "FF41 ; 0061 ; MA", ""]
+    assert lookalike.read_confusables(lines) == {"а": "a", "ａ": "a"}
+
+
+def test_hot_forms_are_paired_in_blocks(spark, monkeypatch):
+    """A form with many spellings, and spellings with many rows, against a plain loop."""
+    spaces = [" ", "\u00a0", "\u2009", "\u3000", "\u2003", "\u2002", "\u2004"]
+    data = [(f"k{n:03}", f"one{spaces[n % 7]}text") for n in range(60)] + [(f"z{n}", "zero" + "\u200b" * (n % 2)) for n in range(9)] + [("only", "alone")]
+    df = spark.createDataFrame(data, "k string, t string").withColumn("form", F.lit("clash")).withColumn("raw", F.lit(1))
+    want = sorted((a, b) for a, x in data for b, y in data if a < b and x != y and lookalike.canonical_text(x) == lookalike.canonical_text(y))
+    for block in (1000, 2):
+        monkeypatch.setattr(lookalike, "BLOCK", block)
+        assert sorted(map(tuple, lookalike.look_alike_pairs(df, "k", "t").collect())) == want
+    groups, members = lookalike.forms(df, "k", "t")
+    assert sorted((r.spellings, r.rows) for r in groups.collect()) == [(1, 1), (2, 9), (7, 60)] and members.count() == len(data)
+
+
 def test_pairs_of_variants(spark):
     data = [("a", "Text"), ("b", "Теxt"), ("c", "Text"), ("d", "Τext"), ("a", "Text"), ("e", "other"), ("f", None), (None, "Text"), ("g", ""), ("h", "​")]
     got = {tuple(r) for r in lookalike.look_alike_pairs(spark.createDataFrame(data, "k string, t string"), "k", "t").collect()}
@@ -136,6 +168,13 @@ def test_copies_against_brute_force(spark):
     assert dictcopies.copies(df.limit(0), "id", "payload")[0].count() == 0
 
 
+def test_marks_that_make_letters_count(spark):
+    data = [(1, "किताब"), (2, "कताब"), (3, "किताब!"), (4, "กิน"), (5, "กน"), (6, "e\u0301t"), (7, "et"), (8, "ét"), (9, "ÉT.")]
+    df = spark.createDataFrame([(i, json.dumps({"sourceText": t, "blockKind": None, "sourceFilePath": "a"})) for i, t in data], "id long, payload string")
+    _, members = dictcopies.copies(df, "id", "payload")
+    assert {(r.first, r.key) for r in members.where("key > first").collect()} == {(1, 3), (6, 7), (8, 9)}
+
+
 # --- 4 ---
 
 
