@@ -239,8 +239,8 @@ def train(spark: SparkSession, sources: list[tuple[DataFrame, str, str, str]], b
     """Fits on at most ``bound`` labelled rows of each source (frame, id, label, text)."""
     rows: list[tuple[str, str]] = []
     for frame, key, label, text in sources:
-        some = sample_rows(frame.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")), "k", bound)
-        rows += [(language_code(r.l), r.t) for r in some.where("l is not null and t is not null").select("l", "t").toLocalIterator()]
+        labelled = frame.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
+        rows += [(language_code(r.l), r.t) for r in sample_rows(labelled, "k", bound, "l").orderBy("k").select("l", "t").toLocalIterator()]
     return fit([r for r in rows if r[0]])
 
 

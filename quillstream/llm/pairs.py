@@ -3,28 +3,35 @@
 One defect a pair, the first that holds:
 
 * ``empty``: null or no words outside markers, though the source has some.
-* ``refusal``: a sentence of the response, outside quotes, is in the refusal dictionary and none of the source's is.
-* ``copy``: compressed with its prompt as a zstandard dictionary, the response's prose all but vanishes, and an exact
-  check of word sequences agrees (for texts too short to compress, the check alone).
+* ``refusal``: a sentence of the response, outside quotes, is in the refusal dictionary and none of the source's is; or, in any
+  language, the response is a sentence that answers ``REPEATED`` or more sources of different prose.
+* ``copy``: compressed with its prompt as a zstandard dictionary, the response's prose all but vanishes, as measured against
+  the prompt compressed with itself, and an exact check of word sequences agrees.
 * ``wrong_language``: by the language dictionaries (word frequencies of each language) another language than the one
   asked for is clearly likelier.
 * ``truncated``: the response ends in an ellipsis that the source lacks, has fewer sentences, leaves a tag open, or has
   no closing punctuation where the source has some and the terminal-context model (how often a text ends after these last
   words) or a missing name, number or marker says that more should follow.
 
-Dictionaries and contexts are fitted on at most ``FIT_ROWS`` pairs and labelled texts; all else sees every row. Names,
-numbers and markers are no prose: a text without prose may stay as it is. Defined results: pairs without a source have no
-defect; a source without words can't have an empty answer; ties between languages go to the one asked for; repeats are judged
-one by one; texts of any length are read whole.
+The language dictionaries are a classifier, fitted on at most ``FIT_ROWS`` labelled pairs and texts. All else is counted over
+all pairs, in parts that are summed up: the words that translations carry over, of which the commonest ``CARRIED_WORDS`` go to the
+workers; terminal contexts and repeated answers, which stay tables and meet the answers that need them by join.
+
+Names, numbers and markers are no prose: a text without prose may stay as it is. Defined results: a response whose prompt is
+missing or null has no defect but a refusal in the dictionary; a source without words can't have an empty answer; ties
+between languages go to the one asked for; repeats are judged one by one; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +44,16 @@ from quillstream.llm.lookalike import canonical_text
 FIT_ROWS = 8000
 #: Log-likelihood by which another language must beat the one asked for.
 LANGUAGE_MARGIN = 3.0
-#: Share of the response's bytes that the prompt must explain, and of the source's prose words that must come back in order.
-COPY_GAIN, COPY_WORDS = 0.6, 0.8
+#: Part of a full copy's gain that the prompt as dictionary must bring, and share of the source's prose words that must come back in order.
+COPY_GAIN, COPY_WORDS = 0.63, 0.8
 #: A text whose last words end fewer texts than this share is taken to go on.
 ENDS_HERE = 0.1
+#: Sources of different prose with one and the same sentence for an answer, which has this many words, from which it is no translation.
+REPEATED, REPEATED_WORDS = 5, 4
+#: Words that go to all workers.
+CARRIED_WORDS = 500_000
+#: Pairs whose counts are summed before they leave a worker.
+SUMMED_PAIRS = 20_000
 
 _MARKER = re.compile(r"⟦[^⟧\s]{1,40}⟧|</?(?:em|strong|link)\d+>")
 _TAG = re.compile(r"<(/?)(em|strong|link)(\d+)>")
@@ -85,7 +98,47 @@ REFUSALS = {
         r"(?:この|その)(?:文章|内容|文|テキスト|ご依頼|依頼|箇所|部分|作業|リクエスト)[^。]*(?:できません|できかねます|お断り|応えでき|範囲を超え|お受けでき)", r"翻訳を提供すること(?:が|は)できません|翻訳(?:は|を)?(?:提供|お出し)でき(?:ません|かねます)", r"(?:恐れ入りますが|申し訳(?:ございません|ありません)が|すみませんが)、?[^。]*(?:できません|できかねます|お断り|応えできません|ご遠慮)", r"翻訳してほしい(?:文章|文|テキスト|内容)[^。]*(?:お送り|送って|ご提示|教えて|ください)", r"ご依頼の内容を[^。]*(?:教えて|説明して)ください", r"(?:私|わたし)は(?:AI|自動)[^。]*(?:できません)", r"お断り(?:します|いたします)", r"対応できる範囲を超えて",
     ],
 }
-_REFUSAL = re.compile("|".join(canonical_text(p) for some in REFUSALS.values() for p in some))
+_PATTERNS = [canonical_text(p) for some in REFUSALS.values() for p in some]
+_REFUSAL = re.compile("|".join(_PATTERNS))
+
+
+def _literals(items) -> list[str] | None:
+    """Texts of which any match of a parsed pattern holds one, as long as there can be; None if nothing is sure."""
+    best, run = None, ""
+    for op, arg in [*items, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg)
+            continue
+        if run and (best is None or len(run) > min(map(len, best))):
+            best = [run]
+        run, found = "", None
+        if str(op) == "SUBPATTERN":
+            found = _literals(arg[3])
+        elif str(op) == "BRANCH":
+            parts = [_literals(x) for x in arg[1]]
+            found = [x for p in parts for x in p] if all(parts) else None
+        elif str(op) == "MAX_REPEAT" and arg[0] > 0:
+            found = _literals(arg[2])
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+    return best
+
+
+def _automaton():
+    """Finds in one pass whether a text holds what any refusal must hold; without such texts every text may refuse."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for pattern in _PATTERNS:
+        for literal in _literals(re._parser.parse(pattern)) or [""]:
+            if not literal:
+                return None
+            found.add_word(literal, 1)
+    found.make_automaton()
+    return found
+
+
+_MAY_REFUSE: list = []
 
 
 def _fold(text: str) -> str:
@@ -106,7 +159,12 @@ def sentences(text: str) -> list[str]:
 
 
 def refuses(text: str) -> bool:
-    return any(_REFUSAL.search(s) for s in sentences(_QUOTED.sub(" ", _fold(text).replace("’", "'"))))
+    if not _MAY_REFUSE:
+        _MAY_REFUSE.append(_automaton())
+    text = _fold(text).replace("’", "'")
+    if _MAY_REFUSE[0] is not None and next(_MAY_REFUSE[0].iter(text), None) is None:
+        return False
+    return any(_REFUSAL.search(s) for s in sentences(_QUOTED.sub(" ", text)))
 
 
 def _grams(text: str) -> list[str]:
@@ -115,20 +173,51 @@ def _grams(text: str) -> list[str]:
     return [a if not _CJK.match(a) else a + b for a, b in zip(tokens, [*tokens[1:], ""]) if not a.isdigit()]
 
 
+_WORD_MASK, _PRIME = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def _hash(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def _joined(key: int, word: int) -> int:
+    """A key with one more word's hash behind it."""
+    key = ((key ^ word) * _PRIME) & _WORD_MASK
+    return key ^ (key >> 29)
+
+
+def _joined_all(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    keys = (keys ^ words) * np.uint64(_PRIME)
+    return keys ^ (keys >> np.uint64(29))
+
+
+def _key(lang: str, tokens: list[str]) -> int:
+    key = _hash(lang)
+    for t in tokens:
+        key = _joined(key, _hash(t))
+    return _signed(key)
+
+
 class PairModel:
-    """What is fitted: language dictionaries, words that translations carry over, and terminal contexts."""
+    """Language dictionaries, and the words that translations carry over or change."""
 
-    def __init__(self, pairs: list[tuple[str, str, str]], labelled: list[tuple[str, str]]) -> None:
-        texts = [(lang, _grams(_MARKER.sub(" ", canonical_text(t)))) for lang, t in [*labelled, *((lang, a) for _, a, lang in pairs)] if t]
+    def __init__(self, texts: list[tuple[str, str]]) -> None:
+        """Fits the dictionaries on labelled texts (language, text)."""
+        texts = [(lang, _grams(_MARKER.sub(" ", canonical_text(t)))) for lang, t in texts if t]
         self.languages = sorted({lang for lang, _ in texts})
         self.words: dict[str, tuple[float, ...]] = {}
-        self.endings: dict[tuple, list[int]] = {}
+        self.carried: set[str] = set()
+        self.prose_words: set[str] = set()
         keep = texts
         for _ in range(2):
             self._dictionaries(keep)
             keep = [(lang, grams) for lang, grams in texts if self._likeliest(grams, lang)[0] == lang]
-        self._carried([(canonical_text(s), canonical_text(a)) for s, a, _ in pairs])
-        self._contexts([(canonical_text(s), canonical_text(a), lang) for s, a, lang in pairs])
 
     def _dictionaries(self, texts: list[tuple[str, list[str]]]) -> None:
         counts: dict[str, Counter] = defaultdict(Counter)
@@ -149,18 +238,6 @@ class PairModel:
         best, own = max(sums), sums[self.languages.index(asked)]
         return (asked, 0.0) if best == own else (self.languages[sums.index(best)], best - own)
 
-    def _carried(self, pairs: list[tuple[str, str]]) -> None:
-        """Words of sources that come back in the translations: names and the like, not prose."""
-        seen, back = Counter(), Counter()
-        for source, answer in pairs:
-            if source != answer:
-                there = set(_words(_fold(answer)))
-                for w in set(_words(_fold(_MARKER.sub(" ", source)))):
-                    seen[w] += 1
-                    back[w] += w in there
-        self.carried = {w for w, n in seen.items() if back[w] >= 0.5 * n and n >= 3}
-        self.prose_words = {w for w, n in seen.items() if back[w] < 0.5 * n and n >= 3}
-
     def prose(self, text: str) -> list[str]:
         """Words that a translation must change."""
         found = []
@@ -185,47 +262,37 @@ class PairModel:
                 found.append(low)
         return found
 
-    @staticmethod
-    def _keys(lang: str, tokens: list[str]) -> list[tuple]:
-        return [(lang, "...", *tokens[-n:]) for n in (3, 2, 1)]
-
-    def _contexts(self, pairs: list[tuple[str, str, str]]) -> None:
-        counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-        for source, answer, lang in pairs:
-            fragment = is_fragment(source)
-            parts = [_ASIDE.sub("", answer)] if fragment else [s for s in sentences(answer) if _ENDING.search(s)]
-            for part in parts:
-                tokens = self._tokens(part)
-                for n in range(1, len(tokens) + 1):
-                    for key in [(lang, *tokens[:n])] if fragment else self._keys(lang, tokens[max(0, n - 3) : n]):
-                        counts[key][n == len(tokens)] += 1
-        self.endings = dict(counts)
-
-    def ends_here(self, text: str, lang: str, fragment: bool, source: str) -> float:
-        """Share of texts that end after these last words; 0 after a broken word, 1 where nothing is known."""
+    def parts(self, source: str, answer: str) -> tuple[bool, list[list[str]]]:
+        """Whether the pair is a heading or cell; the tokens of the answer, or of each of its whole sentences."""
+        fragment = is_fragment(source)
+        return fragment, [self._tokens(p) for p in ([_ASIDE.sub("", answer)] if fragment else [s for s in sentences(answer) if _ENDING.search(s)])]
+
+    def ends_here(self, text: str, lang: str, fragment: bool, source: str) -> tuple[bool, list[int]]:
+        """Whether the text surely breaks off; else the contexts, longest first, whose counts tell."""
         text = _ASIDE.sub("", text) if fragment else text
         tokens = self._tokens(text)
         if not tokens:
-            return 0.0
+            return True, []
         last = _fold(_words(_MARKER.sub(" X0 ", text))[-1])
         known = last in self.words or last in self.carried or tokens[-1] in ("<marker>", "<number>") or bool(_CJK.match(last))
         if not known and last not in {_fold(w) for w in _words(source)}:
-            return 0.0
+            return True, []
         # short headings and cells repeat: the context is the whole text so far; of sentences it is the last three words
-        for key in [(lang, *tokens)] if fragment else self._keys(lang, tokens):
-            on, end = self.endings.get(key, (0, 0))
-            if on + end >= (1 if fragment else 3):
-                return end / (on + end)
-        return 1.0
+        return False, [_key(lang, tokens)] if fragment else [_key(lang + "...", tokens[-n:]) for n in (3, 2, 1) if n <= len(tokens)]
+
+
+_plain: list = []
 
 
 def compressed_away(prompt: bytes, response: bytes) -> float:
     """Share of the response's compressed size that the prompt as a dictionary saves."""
     import zstandard
 
-    plain = zstandard.ZstdCompressor(level=1, write_content_size=False)
+    if not _plain:
+        plain = zstandard.ZstdCompressor(level=1, write_content_size=False)
+        _plain.extend((plain, len(plain.compress(b""))))
+    plain, base = _plain
     known = zstandard.ZstdCompressor(level=1, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    base = len(plain.compress(b""))
     return 1 - (len(known.compress(response)) - base) / max(1, len(plain.compress(response)) - base)
 
 
@@ -236,24 +303,23 @@ def _in_order(wanted: list[str], there: list[str]) -> float:
     for n, w in enumerate(there):
         places[w].append(n)
     for w in wanted:
-        nxt = next((p for p in places.get(w, ()) if p >= at), None)
-        if nxt is not None:
-            found, at = found + 1, nxt + 1
+        own = places.get(w, ())
+        k = bisect_left(own, at)
+        if k < len(own):
+            found, at = found + 1, own[k] + 1
     return found / max(1, len(wanted))
 
 
-def copies(model: PairModel, source: str, answer: str) -> bool:
-    prose = model.prose(source)
+def copies(model: PairModel, source: str, answer: str, prose: list[str]) -> bool:
     if not prose:
         return False
     words = _words(_fold(_MARKER.sub(" ", answer)))
-    if len(" ".join(prose).encode()) >= 24:
-        text = " ".join(_words(_fold(_MARKER.sub(" ", source))))
-        # what stands around the copy is no part of the question: the prompt must explain the response or the response the prompt
-        ours, theirs = text.encode(), " ".join(words).encode()
-        if max(compressed_away(ours, theirs), compressed_away(theirs, ours)) < COPY_GAIN:
-            return False
-    return _in_order(prose, words) >= COPY_WORDS
+    if _in_order(prose, words) < COPY_WORDS:
+        return False
+    ours, theirs = " ".join(_words(_fold(_MARKER.sub(" ", source)))).encode(), " ".join(words).encode()
+    # what stands around the copy is no part of the question: the prompt must explain the response or the response the prompt;
+    # how much there is to gain depends on the length, and is what the prompt gains by itself
+    return max(compressed_away(ours, theirs), compressed_away(theirs, ours)) >= COPY_GAIN * compressed_away(ours, ours)
 
 
 def _open_tags(text: str) -> set[tuple[str, str]]:
@@ -267,67 +333,236 @@ def _kept(model: PairModel, text: str) -> Counter:
     return Counter([*re.findall(r"\d+", bare), *(w for s in sentences(bare) for w in _words(s)[1:] if len(w) > 3 and w[0].isupper() and _fold(w) not in model.words), *re.findall(r"⟦[^⟧]*⟧", text)])
 
 
-def truncated(model: PairModel, source: str, answer: str, lang: str) -> bool:
+def truncated(model: PairModel, source: str, answer: str, lang: str, prose: list[str]) -> tuple[bool, list[int], int]:
+    """Whether the answer surely breaks off; else the contexts that may tell, and how many texts must have them."""
     src, ans = source.rstrip(), answer.rstrip()
     if _ELLIPSIS.search(ans) and not _ELLIPSIS.search(src):
-        return True
+        return True, [], 0
     if _open_tags(ans) - _open_tags(src) or (ans.count("(") > ans.count(")") and src.count("(") <= src.count(")")) or (_BROKEN_END.search(ans) and not _BROKEN_END.search(src)):
-        return True
+        return True, [], 0
     if len(sentences(_MARKER.sub("", ans))) < len(sentences(_MARKER.sub("", src))):
-        return True
+        return True, [], 0
     fragment = is_fragment(src)
     if not fragment and _ENDING.search(_MARKER.sub("", ans)):
-        return False
+        return False, [], 0
     if ans.split()[-1] == src.split()[-1]:  # the same name, number or aside ends both
-        return False
+        return False, [], 0
     if _kept(model, src) - _kept(model, ans):
-        return True
-    return bool(model.prose(source)) and model.ends_here(ans, lang, fragment, src) < ENDS_HERE
+        return True, [], 0
+    if not prose:
+        return False, [], 0
+    sure, keys = model.ends_here(ans, lang, fragment, src)
+    return sure, keys, 1 if fragment else 3
+
 
+@dataclass(frozen=True)
+class Judgement:
+    defect: str | None = None
+    #: Contexts that tell whether the answer is truncated, longest first, and how many texts must have one.
+    contexts: tuple[int, ...] = ()
+    support: int = 0
 
-def defect(model: PairModel, source: str | None, answer: str | None, asked: str | None) -> str | None:
-    """The pair's defect, or None."""
+
+def judge(model: PairModel, source: str | None, answer: str | None, asked: str | None) -> Judgement:
+    """The pair's defect as far as it can be told without the tables."""
+    answer, lang = canonical_text(answer or ""), language_code(asked) or ""
     if source is None:
-        return None
-    source, answer, lang = canonical_text(source), canonical_text(answer or ""), language_code(asked) or ""
+        return Judgement("refusal" if refuses(answer) else None)
+    source = canonical_text(source)
     if not _WORD.search(_MARKER.sub("", answer)):
-        return "empty" if _WORD.search(_MARKER.sub("", source)) else None
-    if source.strip() == answer.strip() and not model.prose(source):
-        return None
+        return Judgement("empty" if _WORD.search(_MARKER.sub("", source)) else None)
+    prose = model.prose(source)
+    if source.strip() == answer.strip() and not prose:
+        return Judgement()
     if refuses(answer) and not refuses(source):
-        return "refusal"
-    if copies(model, source, answer):
-        return "copy"
-    if model._likeliest(_grams(_MARKER.sub(" ", answer)), lang)[1] >= LANGUAGE_MARGIN and model.prose(source):
-        return "wrong_language"
-    return "truncated" if truncated(model, source, answer, lang) else None
+        return Judgement("refusal")
+    if copies(model, source, answer, prose):
+        return Judgement("copy")
+    if prose and model._likeliest(_grams(_MARKER.sub(" ", answer)), lang)[1] >= LANGUAGE_MARGIN:
+        return Judgement("wrong_language")
+    sure, keys, support = truncated(model, source, answer, lang, prose)
+    return Judgement("truncated" if sure else None, tuple(keys), support)
+
+
+def sentence_key(answer: str) -> int | None:
+    """What an answer of some words that ends as a sentence is counted by."""
+    bare = answer.strip()
+    if not _ENDING.search(bare):
+        return None
+    words = _words(_fold(_MARKER.sub(" ", bare)))
+    return _key("", words) if len(words) >= (2 * REPEATED_WORDS if _CJK.search(bare) else REPEATED_WORDS) else None
 
 
 def pairs(prompts: DataFrame, key: str, text: str, version: str, responses: DataFrame, response_key: str, target: str, answer: str) -> DataFrame:
-    """Each response with the latest version of its prompt: id, target, source, answer. A prompt with very many responses is no hot task."""
+    """Each response with the latest version of its prompt: id, target, source, answer; one without a prompt has no source.
+
+    A prompt with very many responses is no hot task.
+    """
     latest = prompts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.struct(F.col(version), F.col(text).alias("source"))).getField("source").alias("source"))
     asked = responses.select(F.col(key).alias("key"), F.col(response_key).cast("long").alias("id"), F.col(target).alias("target"), F.col(answer).alias("answer"))
     count = asked.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    return lookup_join(asked, latest.join(count, "key"), ["key"], "n").select("id", "target", "source", "answer")
+    return lookup_join(asked, latest.join(count, "key"), ["key"], "n", how="left").select("id", "target", "source", "answer")
+
 
+@dataclass
+class Fitted:
+    model: PairModel
+    #: key, goes_on, ends: how often a text goes on and ends in a context.
+    contexts: DataFrame
+    #: key of each sentence that answers too many sources.
+    repeated: DataFrame
 
-def fit(paired: DataFrame, labelled: DataFrame, bound: int = FIT_ROWS) -> PairModel:
-    """On at most ``bound`` pairs and as many labelled texts (label, text)."""
-    rows = [(r.source, r.answer, language_code(r.target)) for r in sample_rows(paired, "id", bound).where("source is not null and answer is not null").toLocalIterator()]
-    texts = [(language_code(r.label), r.text) for r in sample_rows(labelled, "text", bound // 8).where("label is not null and text is not null").toLocalIterator()]
-    return PairModel([r for r in rows if r[2]], [t for t in texts if t[0]])
 
+def _evidence(model) -> object:
+    """Counts of some pairs: kind (carried word, context, answer), key, other (an answer's source), word, a, b."""
+    schema = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("other", pa.int64()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 
-def defects(paired: DataFrame, model: PairModel) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        heads: dict[tuple[int, bool], int] = defaultdict(int)
+        answers: set[tuple[int, int]] = set()
+        seeds: dict[str, int] = {}
+        hashes: dict[str, int] = {}
+        tokens: list[int] = []  # of whole sentences, one after another
+        sizes: list[int] = []
+        langs: list[int] = []
+        pending = 0
+
+        def hashed(text: str) -> int:
+            n = hashes.get(text)
+            if n is None:
+                n = hashes[text] = _hash(text)
+            return n
+
+        def contexts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Key, times gone on and times ended of the contexts of up to three tokens in all sentences."""
+            own = np.array(tokens, np.uint64)
+            size = np.array(sizes, np.int64)
+            ends = np.cumsum(size)
+            seed = np.repeat(np.array(langs, np.uint64), size)
+            place = np.arange(len(own)) - np.repeat(ends - size, size)
+            last = np.zeros(len(own), bool)
+            last[ends - 1] = True
+            keys, ended = [], []
+            for n in (1, 2, 3):
+                at = np.flatnonzero(place >= n - 1)
+                key = seed[at]
+                for k in range(n - 1, -1, -1):
+                    key = _joined_all(key, own[at - k])
+                keys.append(key)
+                ended.append(last[at])
+            found, which = np.unique(np.concatenate(keys), return_inverse=True)
+            end = np.bincount(which, np.concatenate(ended), minlength=len(found)).astype(np.int64)
+            return found.view(np.int64), np.bincount(which, minlength=len(found)) - end, end
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+            for (key, ends), n in heads.items():
+                counts[key][ends] += n
+            rows = [("word", _signed(_hash(w)), 0, w, a, b) for w, (a, b) in words.items()] + [("context", _signed(k), 0, None, a, b) for k, (a, b) in counts.items()] + [("answer", k, o, None, 1, 0) for k, o in answers]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(schema.types)], schema=schema)
+            if tokens:
+                key, a, b = contexts()
+                n = len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(["context"] * n, pa.string()), pa.array(key), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.string()), pa.array(a), pa.array(b)], schema=schema)
+            for x in (words, heads, answers, tokens, sizes, langs):
+                x.clear()
+            if len(hashes) > 200_000:
+                hashes.clear()
+
+        for batch in batches:
+            for target, source, answer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lang = language_code(target)
+                if source is None or answer is None or lang is None:
+                    continue
+                source, answer = canonical_text(source), canonical_text(answer)
+                ours = set(_words(_fold(_MARKER.sub(" ", source))))
+                if source != answer:
+                    there = set(_words(_fold(answer)))
+                    for w in ours:
+                        own = words[w]
+                        own[0] += 1
+                        own[1] += w in there
+                fragment, parts = m.parts(source, answer)
+                if lang not in seeds:
+                    seeds[lang], seeds[lang + "..."] = _hash(lang), _hash(lang + "...")
+                for part in parts:
+                    if fragment:
+                        key = seeds[lang]
+                        for n, token in enumerate(part, 1):
+                            key = _joined(key, hashed(token))
+                            heads[key, n == len(part)] += 1
+                    elif part:
+                        tokens.extend(map(hashed, part))
+                        sizes.append(len(part))
+                        langs.append(seeds[lang + "..."])
+                if (key := sentence_key(answer)) is not None:
+                    answers.add((key, _key("", sorted(ours))))
+                pending += 1
+                if pending >= SUMMED_PAIRS:
+                    yield from flush()
+                    pending = 0
+        yield from flush()
+
+    return run
+
+
+def fit(paired: DataFrame, labelled: DataFrame, bound: int = FIT_ROWS) -> Fitted:
+    """The classifier on at most ``bound`` answers, labelled with the language asked for, and an eighth as many labelled texts (label,
+    text); the counts over all of ``paired``, which is read twice."""
+    spark = paired.sparkSession
+    texts = [(language_code(r.label), r.text) for r in sample_rows(labelled.where("label is not null and text is not null"), "text", bound // 8, "label").toLocalIterator()]
+    texts += [(language_code(r.target), r.answer) for r in sample_rows(paired.where("source is not null and answer is not null and target is not null").select("id", "target", "answer"), "id", bound, "target").toLocalIterator()]
+    model = PairModel([t for t in texts if t[0]])
+    counted = spark.sparkContext.broadcast(model)
+    rows = paired.select("target", "source", "answer").mapInArrow(_evidence(counted), "kind string, key long, other long, word string, a long, b long")
+    evidence = checkpoint(rows.groupBy("kind", "key", "other").agg(F.any_value("word").alias("word"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+    words = evidence.where("kind = 'word' and a >= 3")
+    # at most so many words go to the workers: the support rises until they fit
+    histogram = sorted((tuple(r) for r in words.groupBy(F.least("a", F.lit(1000)).alias("seen")).count().collect()), reverse=True)
+    support, total = 3, 0
+    for seen, n in histogram:
+        total += n
+        if total > CARRIED_WORDS:
+            support = seen + 1
+            break
+    for r in words.where(F.col("a") >= support).orderBy(F.desc("a"), "word").limit(CARRIED_WORDS).select("word", "a", "b").toLocalIterator():
+        (model.carried if r.b >= 0.5 * r.a else model.prose_words).add(r.word)
+    contexts = evidence.where("kind = 'context'").select("key", F.col("a").alias("goes_on"), F.col("b").alias("ends"))
+    repeated = evidence.where("kind = 'answer'").groupBy("key").agg(F.count("*").alias("sources")).where(F.col("sources") >= REPEATED).select("key")
+    return Fitted(model, contexts, repeated)
+
+
+def defects(paired: DataFrame, fitted: Fitted) -> DataFrame:
     """id and defect of each defective pair."""
-    shared = paired.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("id", pa.int64()), ("defect", pa.string())])
+    shared = paired.sparkSession.sparkContext.broadcast(fitted.model)
+    out = "id long, defect string, contexts array<long>, support int, sentence long"
+    schema = pa.schema([("id", pa.int64()), ("defect", pa.string()), ("contexts", pa.list_(pa.int64())), ("support", pa.int32()), ("sentence", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ids, targets, sources, answers = (c.to_pylist() for c in batch.columns)
-            found = [(i, d) for i, t, s, a in zip(ids, targets, sources, answers, strict=True) if (d := defect(m, s, a, t))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], schema=schema)
-
-    return paired.select("id", "target", "source", "answer").mapInArrow(run, "id long, defect string")
+            rows = []
+            for i, t, s, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                j = judge(m, s, a, t)
+                sentence = sentence_key(canonical_text(a)) if a and s is not None and j.defect not in ("empty", "refusal") else None
+                if j.defect or j.contexts or sentence is not None:
+                    rows.append((i, j.defect, list(j.contexts), j.support, sentence))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(schema.types)], schema=schema)
+
+    judged = paired.select("id", "target", "source", "answer").mapInArrow(run, out)
+    judged = checkpoint(judged.withColumn("row", F.monotonically_increasing_id()))
+    asked = judged.where("sentence is not null").select("row", F.col("sentence").alias("key"))
+    weight = asked.groupBy("key").agg(F.count("*").alias("n"))
+    repeated = lookup_join(asked, fitted.repeated.join(weight, "key"), ["key"], "n").select("row", F.lit("refusal").alias("other"))
+    # of an answer's contexts the longest with enough texts decides; where none has, nothing is known
+    open_ = judged.where("defect is null and size(contexts) > 0").select("row", "support", F.posexplode("contexts").alias("place", "key"))
+    weight = open_.groupBy("key").agg(F.count("*").alias("n"))
+    known = lookup_join(open_, fitted.contexts.join(weight, "key"), ["key"], "n").where(F.col("goes_on") + F.col("ends") >= F.col("support"))
+    share = F.min(F.struct("place", (F.col("ends") / (F.col("goes_on") + F.col("ends"))).alias("share"))).getField("share")
+    broken = known.groupBy("row").agg(share.alias("share")).where(F.col("share") < ENDS_HERE).select("row", F.lit("truncated").alias("other"))
+    told = judged.where("defect is not null").select("row", F.col("defect").alias("other"))
+    rank = F.when(F.col("other") == "refusal", 0).otherwise(1)
+    best = told.unionByName(repeated).unionByName(broken).groupBy("row").agg(F.min_by("other", rank).alias("defect"))
+    return judged.select("row", "id").join(best, "row").select("id", "defect")

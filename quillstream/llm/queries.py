@@ -76,7 +76,8 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     labelled = table(spark, d, "documents").select(F.col("lang").alias("label"), "text")
     paired = checkpoint(pairs.pairs(table(spark, d, "chunks"), "chunk_id", "source_text", "ingested_at", table(spark, d, "translations"), "translation_id", "target_lang", "translated_text"))
-    found = pairs.defects(spread(paired), pairs.fit(paired, labelled))
+    paired = spread(paired)
+    found = pairs.defects(paired, pairs.fit(paired, labelled))
     return found.select(F.col("id").alias("translation_id"), "defect")
 
 

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs, queries, splitting, tokens
+from quillstream.llm.common import sample_rows
 
 TEXTS = {
     "en": "The index page keeps the heading text. After every commit the editor removes the warning list and writes the report.",
@@ -188,12 +189,29 @@ def test_no_refusals(text):
     assert not pairs.refuses(lookalike.canonical_text(text))
 
 
+def _paired(spark, d):
+    return pairs.pairs(spark.read.parquet(f"{d}/chunks.parquet"), "chunk_id", "source_text", "ingested_at", spark.read.parquet(f"{d}/translations.parquet"), "translation_id", "target_lang", "translated_text")
+
+
+class Judge:
+    """The whole rule in plain Python."""
+
+    def __init__(self, fitted):
+        self.model, self.contexts = fitted.model, {r.key: (r.goes_on, r.ends) for r in fitted.contexts.collect()}
+
+    def defect(self, source, answer, asked):
+        j = pairs.judge(self.model, source, answer, asked)
+        for key in j.contexts:
+            on, end = self.contexts.get(key, (0, 0))
+            if on + end >= j.support:
+                return "truncated" if end / (on + end) < pairs.ENDS_HERE else None
+        return j.defect
+
+
 @pytest.fixture(scope="module")
 def pair_model(spark, data):
     labelled = spark.read.parquet(f"{data}/documents.parquet").select(F.col("lang").alias("label"), "text")
-    big = data.replace("sf0.001", "sf0.01")
-    paired = pairs.pairs(spark.read.parquet(f"{big}/chunks.parquet"), "chunk_id", "source_text", "ingested_at", spark.read.parquet(f"{big}/translations.parquet"), "translation_id", "target_lang", "translated_text")
-    return pairs.fit(paired, labelled)
+    return Judge(pairs.fit(_paired(spark, data.replace("sf0.001", "sf0.01")), labelled))
 
 
 SOURCE = "The runner keeps the old translation for Dovizu. The mirror marks the table cells in 12 steps."
@@ -208,28 +226,69 @@ GOOD = "Der Ausführer behält die alte Übersetzung für Dovizu. Der Spiegel ma
     ],
 )
 def test_defects(pair_model, answer, want):
-    assert pairs.defect(pair_model, SOURCE, answer, "de-DE") == want
+    assert pair_model.defect(SOURCE, answer, "de-DE") == want
 
 
 def test_defect_edges(pair_model):
-    assert pairs.defect(pair_model, None, "x", "de") is None
-    assert pairs.defect(pair_model, "OK", "OK", "de") is None and pairs.defect(pair_model, "–", "–", "de") is None and pairs.defect(pair_model, "–", None, "de") is None
-    assert pairs.defect(pair_model, "OK", "", "de") == "empty"
-    assert pairs.defect(pair_model, SOURCE * 3000, GOOD * 3000, "de") is None
-    assert pairs.defect(pair_model, SOURCE, GOOD, None) is None
-    none = pairs.PairModel([], [])
-    assert pairs.defect(none, "a b", "", "de") == "empty"
+    assert pair_model.defect(None, "x", "de") is None
+    assert pair_model.defect("OK", "OK", "de") is None and pair_model.defect("–", "–", "de") is None and pair_model.defect("–", None, "de") is None
+    assert pair_model.defect("OK", "", "de") == "empty"
+    assert pair_model.defect(SOURCE * 3000, GOOD * 3000, "de") is None
+    assert pair_model.defect(SOURCE, GOOD, None) is None
+    none = pairs.PairModel([])
+    assert pairs.judge(none, "a b", "", "de").defect == "empty"
+    words = " ".join(rng_word for rng_word in ["step", "again"] * 60_000).split()
+    assert pairs._in_order(words, words[::-1]) > 0.9  # many repeats take no longer
+
+
+def test_what_may_refuse_is_found_first():
+    """The pass over literals drops no text that the patterns match."""
+    for pattern in pairs._PATTERNS:
+        assert all(pairs._literals(re._parser.parse(pattern)))
+    rng = random.Random(1)
+    texts = ["I'm sorry, but I can't help.", "Leider kann ich das nicht.", "No puedo traducir.", "この文章は翻訳できません。", "Bu metni çeviremem.", "As an AI language model", "Could you clarify?", "I would rather not."]
+    for t in texts + ["".join(rng.sample(t, len(t))) for t in texts]:
+        folded = lookalike.canonical_text(t)
+        plain = any(pairs._REFUSAL.search(x) for x in pairs.sentences(pairs._QUOTED.sub(" ", pairs._fold(folded).replace("’", "'"))))
+        assert pairs.refuses(folded) is plain
+
+
+def test_defects_of_tables(spark, data):
+    """Joins and tables against the rule in plain Python; a refusal in a language without a dictionary; answers without prompts."""
+    labelled = spark.read.parquet(f"{data}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    nouns = ["table", "mirror", "branch", "folder", "runner", "report"]
+    prompts = spark.createDataFrame([(f"n{i}", f"The {w} keeps the old list of {w} names.") for i, w in enumerate(nouns)], "k string, t string").withColumn("v", F.lit(1))
+    answers = spark.createDataFrame([(f"n{i}", 9000 + i, "nl", "Ik mag deze tekst helaas niet vertalen.") for i in range(6)] + [("gone", 9100, "de", "Ich kann diesen Text leider nicht übersetzen."), ("gone", 9101, "de", ""), ("gone", 9102, "de", "x")], "k string, id long, lang string, a string")
+    both = _paired(spark, data).unionByName(pairs.pairs(prompts, "k", "t", "v", answers, "id", "lang", "a")).withColumn("row", F.lit("clash"))
+    fitted = pairs.fit(both, labelled)
+    got = Counter(map(tuple, pairs.defects(both, fitted).collect()))
+    judge = Judge(fitted)
+    want = Counter((r.id, d) for r in both.collect() if (d := "refusal" if r.id in range(9000, 9006) else judge.defect(r.source, r.answer, r.target)))
+    assert got == want and got[9100, "refusal"] == 1 and sum(got.values()) > 20 and (9101, "empty") not in got
+    empty = both.limit(0)
+    assert pairs.defects(empty, pairs.fit(empty, labelled.limit(0))).count() == 0
+
+
+def test_samples_are_the_same_and_keep_rare_labels(spark):
+    df = spark.createDataFrame([(i, "en-US" if i % 50 else "fi") for i in range(5000)], "id long, lang string").repartition(7)
+    one = sorted(tuple(r) for r in sample_rows(df, "id", 300, "lang").collect())
+    assert one == sorted(tuple(r) for r in sample_rows(df.repartition(3), "id", 300, "lang").collect())
+    assert Counter(x for _, x in one) == {"en-US": 200, "fi": 100}
+    assert sample_rows(df, "id", 300).count() == 300 and sample_rows(df, "id", 9000).count() == 5000 and sample_rows(df.limit(0), "id", 9, "lang").count() == 0
 
 
 def test_copy_gain():
     text = SOURCE.encode()
     assert pairs.compressed_away(text, text) > 0.8 > pairs.compressed_away(text, GOOD.encode())
+    for source in ("Hold on", "The list", SOURCE):  # of any length
+        copy, other = (pairs.copies(pairs.PairModel([]), source, a, source.casefold().split()) for a in (source + "!", GOOD))
+        assert copy and not other
 
 
 def test_pairs_take_the_latest_prompt(spark):
     prompts = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", None, 1), (None, "x", 1)], "k string, t string, v int")
     answers = spark.createDataFrame([("a", 1, "de", "x"), ("a", 2, "de", None), ("b", 3, "de", "y"), ("zz", 4, "de", "y"), (None, 5, "de", "y")], "k string, id long, lang string, a string")
-    assert {(r.id, r.source) for r in pairs.pairs(prompts, "k", "t", "v", answers, "id", "lang", "a").collect()} == {(1, "new"), (2, "new"), (3, None)}
+    assert {(r.id, r.source) for r in pairs.pairs(prompts, "k", "t", "v", answers, "id", "lang", "a").collect()} == {(1, "new"), (2, "new"), (3, None), (4, None), (5, None)}
 
 
 # --- 5 ---
