@@ -1,11 +1,15 @@
 """Problem 1: language of documents and of their blocks, by hyperdimensional n-gram profiles.
 
-Every symbol of a small alphabet has a random +1/-1 vector. A trigram's vector binds (multiplies) its
-letters' vectors, each permuted (rolled) by its place. A text is the bundle (sum) of its trigrams' vectors,
+Every letter of any script has a random +1/-1 vector, drawn from a hash of the letter. A trigram's vector binds (multiplies) its
+letters' vectors, each permuted (rolled inside its range) by its place. A text is the bundle (sum) of its trigrams' vectors,
 a language prototype the bundle of labelled training text; both are compared by cosine. As bundling is
 linear, a text's dot product with a prototype is the sum over its trigrams of the trigram's own dot product
 with that prototype. That small table is computed once from the vectors, so no document vector has to be
-materialised; the document's norm is common to all languages and cancels in the comparison.
+materialised; the document's norm is common to all languages and cancels in the comparison. A trigram that training
+has not seen counts as that of its letters' scripts, which have vectors too.
+
+A block is in another language than its page from a confidence on that is worked out on labelled texts kept out of training:
+cut into pieces of the sizes that blocks have, no more than ``FALSE_FOREIGN`` of them may count as foreign to their own language.
 
 Defined results: a null, empty or letterless text has language NULL and confidence 0; ties go to the language
 first in the alphabet; a text of any length is read whole, in slices; extra columns are not looked at.
@@ -30,8 +34,10 @@ DIMENSIONS = 32768
 RARE = 4e-6
 TRAIN_ROWS = 2500
 SEED = 20240607
-#: Confidence over the page's main language from which a block counts as being in another one.
-CERTAIN = 0.999
+#: Trigrams seen less often in training are left out.
+LEAST_SEEN = 3
+#: Share of blocks in a page's own language that may count as foreign. Every so-many-th training text is kept out to see.
+FALSE_FOREIGN, HELD_OUT = 1e-4, 5
 
 _FENCE = ("```", "~~~")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -40,26 +46,26 @@ _NOT_PROSE = re.compile("`[^`\n\x01]*`|\\]\\([^)\n\x01]*\\)|<[^>\n\x01]{1,200}>|
 _CODE = re.compile(r"\s*([A-Za-z]{2})(?:[-_][A-Za-z0-9]{2,8})*\s*$")
 
 
-def _alphabet() -> tuple[np.ndarray, int]:
-    """Code unit to symbol. Symbol 0 is everything that is no letter. Alphabets have a symbol a letter; large scripts have one symbol each."""
-    table = np.zeros(65536, np.uint8)
-    symbols: dict[str, int] = {}
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """Code unit to its lower-case letter, 0 for what is none (signs that make up letters, as vowels do, are some); and to its script."""
+    letter, script = np.zeros(65536, np.uint64), np.zeros(65536, np.uint64)
+    scripts: dict[str, int] = {}
     for code in range(65536):
         char = chr(code)
-        if 0xD800 <= code < 0xE000 or not char.isalpha():
+        if 0xD800 <= code < 0xE000 or not (char.isalpha() or (unicodedata.category(char)[0] == "M" and not 0x300 <= code <= 0x36F)):
             continue
         low = "i" if char == "İ" else char.lower()[0]
-        if low < "ƀ" or "а" <= low <= "џ":
-            key = low
-        else:
-            key = unicodedata.name(low, "OTHER").split(" ")[0].split("-")[0]
-            if key not in ("HIRAGANA", "KATAKANA", "CJK", "HANGUL", "GREEK", "CYRILLIC", "LATIN", "ARABIC", "HEBREW", "DEVANAGARI", "THAI"):
-                key = "OTHER"
-        table[code] = symbols.setdefault(key, len(symbols) + 1)
-    return table, len(symbols) + 1
+        letter[code] = ord(low)
+        script[code] = scripts.setdefault(unicodedata.name(low, "OTHER").split(" ")[0].split("-")[0], len(scripts) + 1)
+    return letter, script
 
 
-_SYMBOLS, _SIZE = _alphabet()
+_LETTER, _SCRIPT = _alphabet()
+_OF_SCRIPTS = np.uint64(1 << 60)
+_TWO, _ONE = np.uint64(32), np.uint64(16)
+_MIX, _OTHER_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Dimensions that are worked on at a time, inside which vectors are rolled.
+_RANGE = 512
 
 
 def language_code(label: str | None) -> str | None:
@@ -92,11 +98,42 @@ def blocks(text: str) -> Iterator[tuple[int, str | None]]:
         yield number, "\n".join(prose) if any(p.strip() for p in prose) else None
 
 
-def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a text and the number of the trigram that starts at each of them. Pieces are separated by \\x01."""
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code units of a text and the trigrams of letters and of scripts that start at each of them. Pieces are separated by \x01."""
     codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
-    symbols = _SYMBOLS[codes].astype(np.int32)
-    return codes, (symbols[:-2] * _SIZE + symbols[1:-1]) * _SIZE + symbols[2:]
+    a, b = _LETTER[codes], _SCRIPT[codes]
+    return codes, (a[:-2] << _TWO) | (a[1:-1] << _ONE) | a[2:], _OF_SCRIPTS | (b[:-2] << _TWO) | (b[1:-1] << _ONE) | b[2:]
+
+
+class Lookup:
+    """Place of a trigram in a list of known ones, from 1; 0 if it isn't known."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = np.concatenate([[np.uint64(0xFFFFFFFFFFFFFFFF)], known])
+        self.tables = []
+        left = np.arange(1, len(self.known))
+        for mix, bits in ((_MIX, 21), (_OTHER_MIX, 16), (_MIX ^ _OTHER_MIX, 16)):
+            shift = np.uint64(64 - bits)
+            slots = np.zeros(1 << bits, np.int32)
+            at = (self.known[left] * mix) >> shift
+            slots[at[::-1]] = left[::-1]
+            self.tables.append((mix, shift, slots))
+            left = left[slots[at] != left]  # those whose slot another one took
+        self.rest = {int(self.known[n]): n for n in left.tolist()}
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        mix, shift, slots = self.tables[0]
+        found = slots[(ids * mix) >> shift]
+        missing = np.flatnonzero(self.known[found] != ids)
+        for mix, shift, slots in self.tables[1:]:
+            own = ids[missing]
+            found[missing] = place = slots[(own * mix) >> shift]
+            missing = missing[self.known[place] != own]
+        found[missing] = 0
+        if self.rest:
+            for n in missing[np.isin(ids[missing], np.array(list(self.rest), np.uint64))].tolist():
+                found[n] = self.rest[int(ids[n])]
+        return found
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -106,10 +143,30 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    #: One row a trigram: its dot product with each language's centred unit prototype.
+    #: Known trigrams, and their dot products with each language's centred unit prototype.
+    known: np.ndarray
     scores: np.ndarray
     #: Spread of one trigram's score difference; scale of the confidence.
     spread: float
+    #: Confidence over the page's main language from which a block counts as being in another one.
+    certain: float = 0.999
+
+    def __post_init__(self) -> None:
+        self.lookup = Lookup(self.known)
+        self.compact = np.vstack([np.zeros((1, len(self.languages)), np.float32), self.scores.astype(np.float32)])
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "known": self.known, "scores": self.scores.astype(np.float32), "spread": self.spread, "certain": self.certain}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def places(self, ids: np.ndarray, of_scripts: np.ndarray) -> np.ndarray:
+        found = self.lookup(ids)
+        unseen = np.flatnonzero(found == 0)
+        found[unseen] = self.lookup(of_scripts[unseen])
+        return found
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Dot products with the prototypes and letters of each text. Linear, so that long texts are summed in slices."""
@@ -119,15 +176,14 @@ class LanguageModel:
         size = 0
 
         def flush() -> None:
-            codes, ids = trigrams(_NOT_PROSE.sub(" ", "\x01" + "\x01".join(pieces) + "\x01 "))
+            codes, ids, of_scripts = trigrams(_NOT_PROSE.sub(" ", "\x01" + "\x01".join(pieces) + "\x01 "))
             ends = np.flatnonzero(codes == 1)
             starts, np_owners = ends[:-1], np.array(owners)
             if len(starts) != len(owners):
                 raise ValueError("pieces out of step")
-            kept = self.kept[ids]
-            rows = self.compact[kept]
+            rows = self.compact[self.places(ids, of_scripts)]
             sums = np.add.reduceat(rows, starts, axis=0, dtype=np.float32)
-            count = np.add.reduceat((_SYMBOLS[codes] > 0), starts, dtype=np.int64)
+            count = np.add.reduceat((_LETTER[codes] > 0), starts, dtype=np.int64)
             np.add.at(total, np_owners, sums)
             np.add.at(letters, np_owners, count)
 
@@ -146,22 +202,6 @@ class LanguageModel:
             flush()
         return total, letters
 
-    def __post_init__(self) -> None:
-        used = np.flatnonzero(np.any(self.scores != 0, axis=1))
-        self.kept = np.zeros(len(self.scores), np.int32)
-        self.kept[used] = np.arange(1, len(used) + 1)
-        self.compact = np.vstack([np.zeros((1, len(self.languages)), np.float32), self.scores[used].astype(np.float32)])
-
-    def __getstate__(self) -> dict:
-        used = np.flatnonzero(self.kept)
-        return {"languages": self.languages, "spread": self.spread, "used": used.astype(np.int32), "compact": self.compact}
-
-    def __setstate__(self, state: dict) -> None:
-        self.languages, self.spread, self.compact = state["languages"], state["spread"], state["compact"]
-        self.kept = np.zeros(_SIZE**3, np.int32)
-        self.kept[state["used"]] = np.arange(1, len(state["used"]) + 1)
-        self.scores = np.empty((0, len(self.languages)))
-
     def decide(self, total: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language and its confidence: the logistic of the margin over the runner-up in units of its own spread."""
         if total.shape[1] == 1:
@@ -172,21 +212,38 @@ class LanguageModel:
         return best, np.where(letters > 0, _logistic(z), 0.0)
 
 
-def _dots(seen: np.ndarray, weights: np.ndarray, dimensions: int) -> np.ndarray:
-    """Dot products of n-gram unit vectors with centred unit prototypes (bundles of the same vectors by ``weights``).
+def letter_vectors(symbols: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Dimensions ``first`` to ``first + count`` of each symbol's +1/-1 vector: the bits of hashes of symbol and place."""
+    x = symbols.astype(np.uint64)[:, None] * _MIX + (np.arange(first // 64, (first + count) // 64, dtype=np.uint64) + np.uint64(SEED)) * _OTHER_MIX
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return (np.unpackbits(x.view(np.uint8), axis=1).astype(np.int8) << 1) - 1
+
+
+def _symbols(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three symbols of each trigram; scripts are told from letters."""
+    flag, low = (ids & _OF_SCRIPTS) >> np.uint64(30), np.uint64(0xFFFF)
+    return tuple(((ids >> np.uint64(s)) & low) | flag for s in (32, 16, 0))
+
+
+def _dots(ids: np.ndarray, weights: np.ndarray, dimensions: int) -> np.ndarray:
+    """Dot products of trigrams' unit vectors with centred unit prototypes (bundles of the same vectors by ``weights``).
 
-    Worked out by ranges of dimensions, so that the vectors of all n-grams are never held at once; norms and centring
+    Worked out by ranges of dimensions, so that the vectors of all trigrams are never held at once; norms and centring
     follow from the prototypes' own dot products.
     """
-    letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), size=(_SIZE, dimensions))
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    a, b, c = seen // _SIZE**2, seen // _SIZE % _SIZE, seen % _SIZE
-    dots, gram = np.zeros((len(seen), len(weights))), np.zeros((len(weights), len(weights)))
-    for at in range(0, dimensions, 1024):
-        span = slice(at, at + 1024)
-        vectors = (first[a, span] * second[b, span] * letters[c, span]).astype(np.float32)
-        bundle = weights @ vectors
-        dots += vectors @ bundle.T
+    symbols, which = np.unique(np.concatenate(_symbols(ids)), return_inverse=True)
+    a, b, c = which.reshape(3, -1)
+    dots, gram = np.zeros((len(ids), len(weights))), np.zeros((len(weights), len(weights)))
+    for at in range(0, dimensions, _RANGE):
+        letters = letter_vectors(symbols, at, _RANGE)
+        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
+        parts = [slice(n, n + 8192) for n in range(0, len(ids), 8192)]
+        vectors = [first[a[p]] * second[b[p]] * letters[c[p]] for p in parts]
+        bundle = sum((weights[:, p] @ v.astype(np.float32) for p, v in zip(parts, vectors, strict=True)), np.zeros((len(weights), _RANGE), np.float32))
+        for p, v in zip(parts, vectors, strict=True):
+            dots[p] += v.astype(np.float32) @ bundle.T
         gram += bundle @ bundle.T
     norms = np.sqrt(np.maximum(np.diag(gram), 1e-12))
     unit, gram = dots / norms, gram / np.outer(norms, norms)
@@ -197,6 +254,10 @@ def _dots(seen: np.ndarray, weights: np.ndarray, dimensions: int) -> np.ndarray:
     return unit @ centre / size / np.sqrt(dimensions)
 
 
+def _counts(places: np.ndarray, cells: int, languages: int, label: np.ndarray) -> np.ndarray:
+    return np.bincount(label * cells + places, minlength=languages * cells).reshape(languages, cells)
+
+
 def fit(rows: list[tuple[str, str]], dimensions: int = DIMENSIONS, rounds: int = 2) -> LanguageModel:
     """Prototypes of labelled texts. Labels may be wrong now and then and pages mixed, so each further round bundles only the blocks that the last one agrees with."""
     texts, labels = [], []
@@ -207,41 +268,92 @@ def fit(rows: list[tuple[str, str]], dimensions: int = DIMENSIONS, rounds: int =
                 labels.append(label)
     names = sorted(set(labels))
     if not names:
-        return LanguageModel(["und"], np.zeros((_SIZE**3, 1), np.float32), 1.0)
+        return LanguageModel(["und"], np.zeros(0, np.uint64), np.zeros((0, 1), np.float32), 1.0)
     label_ids = np.array([names.index(x) for x in labels])
-    codes, ids = trigrams(_NOT_PROSE.sub(" ", "\x01" + "\x01".join(t.replace("\x01", " ") for t in texts) + "\x01 "))
+    codes, ids, of_scripts = trigrams(_NOT_PROSE.sub(" ", "\x01" + "\x01".join(t.replace("\x01", " ") for t in texts) + "\x01 "))
     owner = np.cumsum(codes[: len(ids)] == 1) - 1
     # a trigram of two or more non-letters says nothing
-    symbols = (_SYMBOLS[codes] > 0).astype(np.int8)
-    telling = (symbols[:-2] + symbols[1:-1] + symbols[2:] >= 2) & (owner < len(texts))
-    ids, owner = ids[telling], owner[telling]
-    seen = np.flatnonzero(np.bincount(ids, minlength=_SIZE**3))
-    place = np.zeros(_SIZE**3, np.int64)
-    place[seen] = np.arange(len(seen))
-    cell = label_ids[owner] * len(seen) + place[ids]
+    letters = (_LETTER[codes] > 0).astype(np.int8)
+    telling = (letters[:-2] + letters[1:-1] + letters[2:] >= 2) & (owner < len(texts))
+    owner = owner[telling]
+    streams = []
+    for stream in (ids[telling], of_scripts[telling]):
+        seen, place, times = np.unique(stream, return_inverse=True, return_counts=True)
+        often = times >= LEAST_SEEN
+        streams.append((seen[often], np.where(often, np.cumsum(often) - 1, -1)[place]))
+    known = np.concatenate([s for s, _ in streams])
     keep = np.ones(len(texts), bool)
     for left in range(rounds, 0, -1):
-        counts = np.bincount(cell[keep[owner]], minlength=len(names) * len(seen)).reshape(len(names), len(seen))
-        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        # bundled by how much more common an n-gram is than in the average language
-        telling = np.log((share + RARE) / (share.mean(axis=0) + RARE))
-        dots = _dots(seen, telling.astype(np.float32), dimensions)
-        table = np.zeros((_SIZE**3, len(names)), np.float32)
-        table[seen] = dots
-        model = LanguageModel(names, table, float(np.std(dots)) or 1.0)
+        weights = []
+        for seen, place in streams:
+            own = keep[owner] & (place >= 0)
+            counts = _counts(place[own], len(seen), len(names), label_ids[owner[own]])
+            share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+            # bundled by how much more common a trigram is than in the average language
+            weights.append(np.log((share + RARE) / (share.mean(axis=0) + RARE)))
+        dots = _dots(known, np.concatenate(weights, axis=1).astype(np.float32), dimensions)
+        spread = float(np.std(dots[: len(streams[0][0])])) if len(streams[0][0]) else 1.0
+        model = LanguageModel(names, known, dots, spread or 1.0)
         if left > 1:
-            total, letters = model.score(texts)
-            keep = (total.argmax(axis=1) == label_ids) & (letters >= 12)
+            total, size = model.score(texts)
+            keep = (total.argmax(axis=1) == label_ids) & (size >= 12)
+    return model
+
+
+#: Words of the pieces by which the threshold is found.
+_PIECES = (1, 2, 3, 5, 8, 13, 21)
+
+
+def pieces_of(model: LanguageModel, rows: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
+    """Words, language and text of pieces of all sizes, from blocks whose label the model confirms with enough letters to be sure."""
+    own = [(model.languages.index(label), block) for label, text in rows if label in model.languages for _, block in blocks(text) if block]
+    if not own:
+        return []
+    total, letters = model.score([b for _, b in own])
+    sure = [x for x, best, n in zip(own, total.argmax(axis=1), letters, strict=True) if best == x[0] and n >= 60]
+    found = []
+    for lang, block in sure:
+        bare = _NOT_PROSE.sub(" ", block)
+        words = bare.split() if " " in bare.strip() else [bare[i : i + 4] for i in range(0, len(bare), 4)]
+        at = 0
+        for n in _PIECES:
+            if at + n <= len(words):
+                found.append((n, lang, " ".join(words[at : at + n])))
+                at += n
+    return found
+
+
+def calibrated(model: LanguageModel, rows: list[tuple[str, str]], rate: float = FALSE_FOREIGN) -> LanguageModel:
+    """Sets the confidence above which no more than ``rate`` of a page's own blocks count as foreign: that of pieces, weighted so that
+    their sizes come as often as those of blocks do."""
+    pieces = pieces_of(model, rows)
+    if len(pieces) < 200 or len(model.languages) < 2:
+        return model
+    total, letters = model.score([t for _, _, t in pieces])
+    size, lang = np.array([n for n, _, _ in pieces]), np.array([x for _, x, _ in pieces])
+    natural = [len(b.split()) if " " in b.strip() else len(b) // 4 for _, text in rows for _, b in blocks(text) if b]
+    share = np.bincount(np.searchsorted(_PIECES, np.maximum(natural, 1), "right") - 1, minlength=len(_PIECES)) / max(1, len(natural))
+    kind = np.searchsorted(_PIECES, size)
+    weight = share[kind] / np.maximum(np.bincount(kind, minlength=len(_PIECES)), 1)[kind]
+    at = np.arange(len(pieces))
+    own = total[at, lang]
+    total[at, lang] = -np.inf
+    margin = (total.max(axis=1) - own) / (model.spread * np.sqrt(np.maximum(letters, 1)))
+    order = np.argsort(-margin)
+    above = np.searchsorted(np.cumsum(weight[order]), rate, "right")
+    model.certain = float(_logistic(np.float64(max(0.0, margin[order[min(above, len(order) - 1)]]) + 1e-6)))
     return model
 
 
 def train(spark: SparkSession, sources: list[tuple[DataFrame, str, str, str]], bound: int = TRAIN_ROWS) -> LanguageModel:
-    """Fits on at most ``bound`` labelled rows of each source (frame, id, label, text)."""
+    """Fits on at most ``bound`` labelled rows of each source (frame, id, label, text), a part of which sets the threshold."""
     rows: list[tuple[str, str]] = []
     for frame, key, label, text in sources:
         labelled = frame.select(F.col(key).alias("k"), F.col(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
         rows += [(language_code(r.l), r.t) for r in sample_rows(labelled, "k", bound, "l").orderBy("k").select("l", "t").toLocalIterator()]
-    return fit([r for r in rows if r[0]])
+    rows = [r for r in rows if r[0]]
+    held = rows[::HELD_OUT]
+    return calibrated(fit([r for n, r in enumerate(rows) if n % HELD_OUT]), held)
 
 
 OUT = "row_id long, block_no int, lang string, confidence double, letters long, main_lang string, label string"
@@ -297,7 +409,7 @@ def _judge(m: LanguageModel, names: np.ndarray, own: list[int], labels: list[str
     scale = m.spread * np.sqrt(np.maximum(letters, 1))
     at = np.arange(len(best))
     over = _logistic((total[at, best] - total[at, main[owner]]) / scale)
-    stays = (best != main[owner]) & (over < CERTAIN)
+    stays = (best != main[owner]) & (over < m.certain)
     best, sure = np.where(stays, main[owner], best), np.where(stays, 1 - over, sure)
     at_main = best == main[owner]
     np.add.at(weight, owner[at_main], (letters * sure)[at_main])

@@ -58,21 +58,71 @@ def test_detect_edges(spark, model):
 
 def test_scores_are_dot_products_of_bundles():
     """What is worked out by ranges of dimensions, against whole vectors: bind, bundle, centre, cosine."""
-    rng, dims = np.random.default_rng(langid.SEED), 3000
-    letters = rng.choice(np.array([-1, 1], np.int8), size=(langid._SIZE, dims)).astype(float)
-    seen = np.array([langid._SIZE**2 * a + langid._SIZE * b + c for a, b, c in [(1, 2, 3), (4, 5, 6), (7, 1, 2), (0, 3, 9)]])
-    weights = np.array([[1.0, 2, 0, 1], [0, 1, 3, 1], [2, 0, 1, 0]], np.float32)
-    bound = np.array([np.roll(letters[s // langid._SIZE**2], 2) * np.roll(letters[s // langid._SIZE % langid._SIZE], 1) * letters[s % langid._SIZE] for s in seen])
+    dims = 4 * langid._RANGE
+    ids = np.unique(np.concatenate(langid.trigrams("abc def ґєї अआइ ")[1:]))[:12]
+    rng = np.random.default_rng(1)
+    weights = rng.integers(0, 3, (3, len(ids))).astype(np.float32)
+
+    def vector(symbol, roll):
+        own = np.concatenate([langid.letter_vectors(np.array([symbol]), at, langid._RANGE)[0] for at in range(0, dims, langid._RANGE)])
+        return np.roll(own.reshape(-1, langid._RANGE), roll, axis=1).ravel().astype(float)
+
+    bound = np.array([vector(a, 2) * vector(b, 1) * vector(c, 0) for a, b, c in zip(*langid._symbols(ids))])
     bundles = weights @ bound
     bundles /= np.linalg.norm(bundles, axis=1, keepdims=True)
     bundles -= bundles.mean(axis=0)
     bundles /= np.linalg.norm(bundles, axis=1, keepdims=True)
-    assert np.allclose(langid._dots(seen, weights, dims), bound @ bundles.T / np.sqrt(dims), atol=1e-4)
+    assert np.allclose(langid._dots(ids, weights, dims), bound @ bundles.T / np.sqrt(dims), atol=1e-4)
+
+
+def test_every_letter_has_a_vector():
+    letters = "αβγabcșệґابپहिंदीกขฃ漢字かな한글"
+    symbols = {int(langid._LETTER[ord(c)]) for c in letters}
+    assert len(symbols) == len(set(letters)) and 0 not in symbols
+    vectors = langid.letter_vectors(np.array(sorted(symbols)), 0, 2048).astype(int)
+    across = vectors @ vectors.T / 2048
+    assert np.abs(across - np.eye(len(across))).max() < 0.12
+
+
+def test_languages_of_one_script():
+    """Languages that share a script without spaces between the alphabets: told apart by their letters."""
+    texts = {
+        "ar": "هذا النص مكتوب باللغة العربية ويتحدث عن إعدادات البرنامج وكيفية استخدامه في العمل اليومي", "fa": "این متن به زبان فارسی نوشته شده است و درباره تنظیمات برنامه و چگونگی استفاده از آن در کار روزانه گفتگو می‌کند",
+        "hi": "यह पाठ हिन्दी भाषा में लिखा गया है और कार्यक्रम की सेटिंग के बारे में बताता है", "mr": "हा मजकूर मराठी भाषेत लिहिलेला आहे आणि कार्यक्रमाच्या सेटिंगबद्दल माहिती देतो",
+        "ru": "Этот текст написан на русском языке и рассказывает о настройках программы", "uk": "Цей текст написаний українською мовою і розповідає про налаштування програми",
+    }
+    m = langid.fit([(lang, t) for lang, t in texts.items() for _ in range(4)])
+    total, letters = m.score([t[len(t) // 3 :] for t in texts.values()])
+    assert [m.languages[i] for i in total.argmax(axis=1)] == list(texts)
+
+
+def test_lookup_finds_all():
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 1 << 48, 300_000, dtype=np.uint64))
+    found = langid.Lookup(known)
+    assert (found(known) == np.arange(1, len(known) + 1)).all()
+    other = rng.integers(1 << 48, 1 << 49, 50_000, dtype=np.uint64)
+    assert (found(other) == 0).all() and (langid.Lookup(known[:0])(other) == 0).all()
 
 
 def test_training_on_nothing():
     empty = langid.fit([])
     assert empty.languages == ["und"] and empty.score(["abc"])[1][0] == 3
+    assert langid.calibrated(empty, []).certain == 0.999
+
+
+def test_threshold_keeps_own_blocks(spark, data):
+    """On texts neither trained nor calibrated on: few pieces count as foreign, and longer foreign ones do."""
+    rows = [(langid.language_code(r.target_lang), r.translated_text) for r in spark.read.parquet(f"{data.replace('0.001', '0.01')}/translations.parquet").orderBy("translation_id").collect() if r.translated_text and langid.language_code(r.target_lang)]
+    m = langid.calibrated(langid.fit(rows[::3]), rows[1::3])
+    pieces = [p for p in langid.pieces_of(m, rows[2::3]) if p[0] >= 8]
+    total, letters = m.score([t for _, _, t in pieces])
+    at, lang = np.arange(len(pieces)), np.array([x for _, x, _ in pieces])
+    scale = m.spread * np.sqrt(letters)
+    own = total[at, lang]
+    assert np.mean(langid._logistic((total.max(axis=1) - own) / scale) >= m.certain) < 0.01
+    page = (lang + 1) % len(m.languages)
+    assert np.mean((langid._logistic((own - total[at, page]) / scale) >= m.certain) & (total.argmax(axis=1) == lang)) > 0.9
 
 
 def test_held_out_accuracy(spark, data):
