@@ -3,8 +3,9 @@
 One defect a pair, the first that holds:
 
 * ``empty``: null or no words outside markers, though the source has some.
-* ``refusal``: a sentence of the response, outside quotes, is in the refusal dictionary and none of the source's is; or, in any
-  language, the response is a sentence that answers ``REPEATED`` or more sources of different prose.
+* ``refusal``: a sentence of the response, outside quotes, is in the refusal dictionary and none of the source's is; or, asked for
+  in a language that the dictionary lacks, the response answers ``REPEATED`` or more sources of different prose and of quite
+  different lengths.
 * ``copy``: compressed with its prompt as a zstandard dictionary, the response's prose all but vanishes, as measured against
   the prompt compressed with itself, and an exact check of word sequences agrees.
 * ``wrong_language``: by the language dictionaries (word frequencies of each language) another language than the one
@@ -14,8 +15,8 @@ One defect a pair, the first that holds:
   words) or a missing name, number or marker says that more should follow.
 
 The language dictionaries are a classifier, fitted on at most ``FIT_ROWS`` labelled pairs and texts. All else is counted over
-all pairs, in parts that are summed up: the words that translations carry over, of which the commonest ``CARRIED_WORDS`` go to the
-workers; terminal contexts and repeated answers, which stay tables and meet the answers that need them by join.
+all pairs, in parts that are summed up: the words that translations carry over, of which those in a ``CARRIED_SHARE`` of all sources
+go to the workers; terminal contexts and repeated answers, which stay tables and meet the answers that need them by join.
 
 Names, numbers and markers are no prose: a text without prose may stay as it is. Defined results: a response whose prompt is
 missing or null has no defect but a refusal in the dictionary; a source without words can't have an empty answer; ties
@@ -48,10 +49,11 @@ LANGUAGE_MARGIN = 3.0
 COPY_GAIN, COPY_WORDS = 0.63, 0.8
 #: A text whose last words end fewer texts than this share is taken to go on.
 ENDS_HERE = 0.1
-#: Sources of different prose with one and the same sentence for an answer, which has this many words, from which it is no translation.
-REPEATED, REPEATED_WORDS = 5, 4
-#: Words that go to all workers.
-CARRIED_WORDS = 500_000
+#: Sources of different prose with one and the same sentence for an answer, which has this many words, from which it is no
+#: translation; and how many times as many words as the shortest the longest of them has.
+REPEATED, REPEATED_WORDS, REPEATED_SPREAD = 5, 4, 2.0
+#: Share of all pairs whose sources must have a word for it to go to the workers. So there are no more than words a pair / share.
+CARRIED_SHARE = 1 / 2500
 #: Pairs whose counts are summed before they leave a worker.
 SUMMED_PAIRS = 20_000
 
@@ -263,22 +265,28 @@ class PairModel:
         return found
 
     def parts(self, source: str, answer: str) -> tuple[bool, list[list[str]]]:
-        """Whether the pair is a heading or cell; the tokens of the answer, or of each of its whole sentences."""
+        """Whether the pair is a heading or cell; the tokens of the answer, or of each of its whole sentences. What an ellipsis ends isn't whole."""
         fragment = is_fragment(source)
+        if _ELLIPSIS.search(answer):
+            return fragment, []
         return fragment, [self._tokens(p) for p in ([_ASIDE.sub("", answer)] if fragment else [s for s in sentences(answer) if _ENDING.search(s)])]
 
-    def ends_here(self, text: str, lang: str, fragment: bool, source: str) -> tuple[bool, list[int]]:
-        """Whether the text surely breaks off; else the contexts, longest first, whose counts tell."""
+    def ends_here(self, text: str, lang: str, fragment: bool, source: str) -> tuple[bool, list[int], bool]:
+        """Whether the text surely breaks off; else the contexts, longest first, whose counts tell, and whether the last one is
+        a word that whole sentences must have."""
         text = _ASIDE.sub("", text) if fragment else text
         tokens = self._tokens(text)
         if not tokens:
-            return True, []
+            return True, [], False
         last = _fold(_words(_MARKER.sub(" X0 ", text))[-1])
         known = last in self.words or last in self.carried or tokens[-1] in ("<marker>", "<number>") or bool(_CJK.match(last))
         if not known and last not in {_fold(w) for w in _words(source)}:
-            return True, []
+            return True, [], False
         # short headings and cells repeat: the context is the whole text so far; of sentences it is the last three words
-        return False, [_key(lang, tokens)] if fragment else [_key(lang + "...", tokens[-n:]) for n in (3, 2, 1) if n <= len(tokens)]
+        if fragment:
+            return False, [_key(lang, tokens)], False
+        word = not tokens[-1].startswith("<") and last not in self.carried
+        return False, [_key(lang + "...", tokens[-n:]) for n in (3, 2, 1) if n <= len(tokens)], word
 
 
 _plain: list = []
@@ -333,26 +341,26 @@ def _kept(model: PairModel, text: str) -> Counter:
     return Counter([*re.findall(r"\d+", bare), *(w for s in sentences(bare) for w in _words(s)[1:] if len(w) > 3 and w[0].isupper() and _fold(w) not in model.words), *re.findall(r"⟦[^⟧]*⟧", text)])
 
 
-def truncated(model: PairModel, source: str, answer: str, lang: str, prose: list[str]) -> tuple[bool, list[int], int]:
-    """Whether the answer surely breaks off; else the contexts that may tell, and how many texts must have them."""
+def truncated(model: PairModel, source: str, answer: str, lang: str, prose: list[str]) -> tuple[bool, list[int], int, bool]:
+    """Whether the answer surely breaks off; else the contexts that may tell, how many texts must have them, whether the last must be known."""
     src, ans = source.rstrip(), answer.rstrip()
     if _ELLIPSIS.search(ans) and not _ELLIPSIS.search(src):
-        return True, [], 0
+        return True, [], 0, False
     if _open_tags(ans) - _open_tags(src) or (ans.count("(") > ans.count(")") and src.count("(") <= src.count(")")) or (_BROKEN_END.search(ans) and not _BROKEN_END.search(src)):
-        return True, [], 0
+        return True, [], 0, False
     if len(sentences(_MARKER.sub("", ans))) < len(sentences(_MARKER.sub("", src))):
-        return True, [], 0
+        return True, [], 0, False
     fragment = is_fragment(src)
     if not fragment and _ENDING.search(_MARKER.sub("", ans)):
-        return False, [], 0
+        return False, [], 0, False
     if ans.split()[-1] == src.split()[-1]:  # the same name, number or aside ends both
-        return False, [], 0
+        return False, [], 0, False
     if _kept(model, src) - _kept(model, ans):
-        return True, [], 0
+        return True, [], 0, False
     if not prose:
-        return False, [], 0
-    sure, keys = model.ends_here(ans, lang, fragment, src)
-    return sure, keys, 1 if fragment else 3
+        return False, [], 0, False
+    sure, keys, word = model.ends_here(ans, lang, fragment, src)
+    return sure, keys, 1 if fragment else 3, word
 
 
 @dataclass(frozen=True)
@@ -361,6 +369,8 @@ class Judgement:
     #: Contexts that tell whether the answer is truncated, longest first, and how many texts must have one.
     contexts: tuple[int, ...] = ()
     support: int = 0
+    #: Whether the last context is a word that must be in a whole sentence somewhere.
+    word: bool = False
 
 
 def judge(model: PairModel, source: str | None, answer: str | None, asked: str | None) -> Judgement:
@@ -380,17 +390,17 @@ def judge(model: PairModel, source: str | None, answer: str | None, asked: str |
         return Judgement("copy")
     if prose and model._likeliest(_grams(_MARKER.sub(" ", answer)), lang)[1] >= LANGUAGE_MARGIN:
         return Judgement("wrong_language")
-    sure, keys, support = truncated(model, source, answer, lang, prose)
-    return Judgement("truncated" if sure else None, tuple(keys), support)
+    sure, keys, support, word = truncated(model, source, answer, lang, prose)
+    return Judgement("truncated" if sure else None, tuple(keys), support, word)
 
 
-def sentence_key(answer: str) -> int | None:
-    """What an answer of some words that ends as a sentence is counted by."""
+def sentence_key(answer: str, lang: str) -> int | None:
+    """What an answer of some words that ends as a sentence is counted by, in languages without a dictionary."""
     bare = answer.strip()
-    if not _ENDING.search(bare):
+    if lang in REFUSALS or not _ENDING.search(bare):
         return None
     words = _words(_fold(_MARKER.sub(" ", bare)))
-    return _key("", words) if len(words) >= (2 * REPEATED_WORDS if _CJK.search(bare) else REPEATED_WORDS) else None
+    return _key(lang, words) if len(words) >= (2 * REPEATED_WORDS if _CJK.search(bare) else REPEATED_WORDS) else None
 
 
 def pairs(prompts: DataFrame, key: str, text: str, version: str, responses: DataFrame, response_key: str, target: str, answer: str) -> DataFrame:
@@ -421,13 +431,13 @@ def _evidence(model) -> object:
         m = model.value
         words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         heads: dict[tuple[int, bool], int] = defaultdict(int)
-        answers: set[tuple[int, int]] = set()
+        answers: dict[tuple[int, int], int] = {}
         seeds: dict[str, int] = {}
         hashes: dict[str, int] = {}
         tokens: list[int] = []  # of whole sentences, one after another
         sizes: list[int] = []
         langs: list[int] = []
-        pending = 0
+        pending = 0  # pairs since the last flush
 
         def hashed(text: str) -> int:
             n = hashes.get(text)
@@ -460,7 +470,7 @@ def _evidence(model) -> object:
             counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
             for (key, ends), n in heads.items():
                 counts[key][ends] += n
-            rows = [("word", _signed(_hash(w)), 0, w, a, b) for w, (a, b) in words.items()] + [("context", _signed(k), 0, None, a, b) for k, (a, b) in counts.items()] + [("answer", k, o, None, 1, 0) for k, o in answers]
+            rows = [("pairs", 0, 0, None, pending, 0)] + [("word", _signed(_hash(w)), 0, w, a, b) for w, (a, b) in words.items()] + [("context", _signed(k), 0, None, a, b) for k, (a, b) in counts.items()] + [("answer", k, o, None, n, 1) for (k, o), n in answers.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(schema.types)], schema=schema)
             if tokens:
                 key, a, b = contexts()
@@ -497,8 +507,8 @@ def _evidence(model) -> object:
                         tokens.extend(map(hashed, part))
                         sizes.append(len(part))
                         langs.append(seeds[lang + "..."])
-                if (key := sentence_key(answer)) is not None:
-                    answers.add((key, _key("", sorted(ours))))
+                if (key := sentence_key(answer, lang)) is not None:
+                    answers[key, _key("", sorted(ours))] = len(_words(_MARKER.sub(" ", source)))
                 pending += 1
                 if pending >= SUMMED_PAIRS:
                     yield from flush()
@@ -518,27 +528,21 @@ def fit(paired: DataFrame, labelled: DataFrame, bound: int = FIT_ROWS) -> Fitted
     counted = spark.sparkContext.broadcast(model)
     rows = paired.select("target", "source", "answer").mapInArrow(_evidence(counted), "kind string, key long, other long, word string, a long, b long")
     evidence = checkpoint(rows.groupBy("kind", "key", "other").agg(F.any_value("word").alias("word"), F.sum("a").alias("a"), F.sum("b").alias("b")))
-    words = evidence.where("kind = 'word' and a >= 3")
-    # at most so many words go to the workers: the support rises until they fit
-    histogram = sorted((tuple(r) for r in words.groupBy(F.least("a", F.lit(1000)).alias("seen")).count().collect()), reverse=True)
-    support, total = 3, 0
-    for seen, n in histogram:
-        total += n
-        if total > CARRIED_WORDS:
-            support = seen + 1
-            break
-    for r in words.where(F.col("a") >= support).orderBy(F.desc("a"), "word").limit(CARRIED_WORDS).select("word", "a", "b").toLocalIterator():
+    total = evidence.where("kind = 'pairs'").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+    for r in evidence.where((F.col("kind") == "word") & (F.col("a") >= max(3, total * CARRIED_SHARE))).select("word", "a", "b").toLocalIterator():
         (model.carried if r.b >= 0.5 * r.a else model.prose_words).add(r.word)
     contexts = evidence.where("kind = 'context'").select("key", F.col("a").alias("goes_on"), F.col("b").alias("ends"))
-    repeated = evidence.where("kind = 'answer'").groupBy("key").agg(F.count("*").alias("sources")).where(F.col("sources") >= REPEATED).select("key")
+    size = F.col("a") / F.col("b")  # words of the source
+    repeated = evidence.where("kind = 'answer'").groupBy("key").agg(F.count("*").alias("sources"), F.min(size).alias("least"), F.max(size).alias("most"))
+    repeated = repeated.where((F.col("sources") >= REPEATED) & (F.col("most") >= REPEATED_SPREAD * F.col("least"))).select("key")
     return Fitted(model, contexts, repeated)
 
 
 def defects(paired: DataFrame, fitted: Fitted) -> DataFrame:
     """id and defect of each defective pair."""
     shared = paired.sparkSession.sparkContext.broadcast(fitted.model)
-    out = "id long, defect string, contexts array<long>, support int, sentence long"
-    schema = pa.schema([("id", pa.int64()), ("defect", pa.string()), ("contexts", pa.list_(pa.int64())), ("support", pa.int32()), ("sentence", pa.int64())])
+    out = "id long, defect string, contexts array<long>, support int, is_word boolean, sentence long"
+    schema = pa.schema([("id", pa.int64()), ("defect", pa.string()), ("contexts", pa.list_(pa.int64())), ("support", pa.int32()), ("is_word", pa.bool_()), ("sentence", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -546,9 +550,9 @@ def defects(paired: DataFrame, fitted: Fitted) -> DataFrame:
             rows = []
             for i, t, s, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 j = judge(m, s, a, t)
-                sentence = sentence_key(canonical_text(a)) if a and s is not None and j.defect not in ("empty", "refusal") else None
+                sentence = sentence_key(canonical_text(a), language_code(t) or "") if a and s is not None and j.defect not in ("empty", "refusal") else None
                 if j.defect or j.contexts or sentence is not None:
-                    rows.append((i, j.defect, list(j.contexts), j.support, sentence))
+                    rows.append((i, j.defect, list(j.contexts), j.support, j.word, sentence))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(schema.types)], schema=schema)
 
     judged = paired.select("id", "target", "source", "answer").mapInArrow(run, out)
@@ -556,12 +560,15 @@ def defects(paired: DataFrame, fitted: Fitted) -> DataFrame:
     asked = judged.where("sentence is not null").select("row", F.col("sentence").alias("key"))
     weight = asked.groupBy("key").agg(F.count("*").alias("n"))
     repeated = lookup_join(asked, fitted.repeated.join(weight, "key"), ["key"], "n").select("row", F.lit("refusal").alias("other"))
-    # of an answer's contexts the longest with enough texts decides; where none has, nothing is known
-    open_ = judged.where("defect is null and size(contexts) > 0").select("row", "support", F.posexplode("contexts").alias("place", "key"))
+    # of an answer's contexts the longest with enough texts decides; where none has, nothing is known, unless no whole sentence has
+    # the last word at all: then it is a part of one
+    open_ = judged.where("defect is null and size(contexts) > 0").select("row", "support", "is_word", F.size("contexts").alias("of"), F.posexplode("contexts").alias("place", "key"))
     weight = open_.groupBy("key").agg(F.count("*").alias("n"))
-    known = lookup_join(open_, fitted.contexts.join(weight, "key"), ["key"], "n").where(F.col("goes_on") + F.col("ends") >= F.col("support"))
-    share = F.min(F.struct("place", (F.col("ends") / (F.col("goes_on") + F.col("ends"))).alias("share"))).getField("share")
-    broken = known.groupBy("row").agg(share.alias("share")).where(F.col("share") < ENDS_HERE).select("row", F.lit("truncated").alias("other"))
+    known = lookup_join(open_, fitted.contexts.join(weight, "key"), ["key"], "n", how="left").withColumn("texts", F.coalesce(F.col("goes_on") + F.col("ends"), F.lit(0)))
+    enough = F.when((F.col("texts") >= F.col("support")) & (F.col("texts") > 0), F.struct("place", (F.col("ends") / F.col("texts")).alias("share")))
+    unseen = F.max(F.col("is_word") & (F.col("place") == F.col("of") - 1) & (F.col("texts") == 0))
+    ends = known.groupBy("row").agg(F.min(enough).getField("share").alias("share"), unseen.alias("unseen"))
+    broken = ends.where((F.col("share") < ENDS_HERE) | (F.col("share").isNull() & F.col("unseen"))).select("row", F.lit("truncated").alias("other"))
     told = judged.where("defect is not null").select("row", F.col("defect").alias("other"))
     rank = F.when(F.col("other") == "refusal", 0).otherwise(1)
     best = told.unionByName(repeated).unionByName(broken).groupBy("row").agg(F.min_by("other", rank).alias("defect"))

@@ -255,7 +255,7 @@ class Judge:
             on, end = self.contexts.get(key, (0, 0))
             if on + end >= j.support:
                 return "truncated" if end / (on + end) < pairs.ENDS_HERE else None
-        return j.defect
+        return "truncated" if j.word and j.contexts[-1] not in self.contexts else j.defect
 
 
 @pytest.fixture(scope="module")
@@ -307,8 +307,9 @@ def test_defects_of_tables(spark, data):
     """Joins and tables against the rule in plain Python; a refusal in a language without a dictionary; answers without prompts."""
     labelled = spark.read.parquet(f"{data}/documents.parquet").select(F.col("lang").alias("label"), "text")
     nouns = ["table", "mirror", "branch", "folder", "runner", "report"]
-    prompts = spark.createDataFrame([(f"n{i}", f"The {w} keeps the old list of {w} names.") for i, w in enumerate(nouns)], "k string, t string").withColumn("v", F.lit(1))
-    answers = spark.createDataFrame([(f"n{i}", 9000 + i, "nl", "Ik mag deze tekst helaas niet vertalen.") for i in range(6)] + [("gone", 9100, "de", "Ich kann diesen Text leider nicht übersetzen."), ("gone", 9101, "de", ""), ("gone", 9102, "de", "x")], "k string, id long, lang string, a string")
+    prompts = spark.createDataFrame([(f"n{i}", f"The {w} keeps the old list" + f" of {w} names" * i + ".") for i, w in enumerate(nouns)] + [(f"m{i}", f"Ask the {w} first") for i, w in enumerate(nouns)], "k string, t string").withColumn("v", F.lit(1))
+    same = [(f"m{i}", 9200 + i, "nl", "Vraag het eerst aan het team.") for i in range(6)] + [(f"n{i}", 9300 + i, "de", "Fragen Sie zuerst das ganze Team.") for i in range(6)]
+    answers = spark.createDataFrame(same + [(f"n{i}", 9000 + i, "nl", "Ik mag deze tekst helaas niet vertalen.") for i in range(6)] + [("gone", 9100, "de", "Ich kann diesen Text leider nicht übersetzen."), ("gone", 9101, "de", ""), ("gone", 9102, "de", "x")], "k string, id long, lang string, a string")
     both = _paired(spark, data).unionByName(pairs.pairs(prompts, "k", "t", "v", answers, "id", "lang", "a")).withColumn("row", F.lit("clash"))
     fitted = pairs.fit(both, labelled)
     got = Counter(map(tuple, pairs.defects(both, fitted).collect()))
