@@ -36,7 +36,3 @@ def hits(wanted: DataFrame, memory: DataFrame) -> DataFrame:
 def misses(wanted: DataFrame, memory: DataFrame) -> DataFrame:
     return wanted.join(memory, KEY, "left_anti")
 
-
-def memory_path(root: str, lang: str, path: str) -> str:
-    """Place of a path's entries: a folder a language."""
-    return f"{root}/{lang}/{path.replace(chr(92), '/').lstrip('/')}.json"

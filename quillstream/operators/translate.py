@@ -151,6 +151,13 @@ def repair(translator: Translator, item: tuple[str, str], bad: str, lang: str, h
         return bad
 
 
+def prompt(items: list[tuple[str, str]], lang: str, hint: str, problem: str | None) -> tuple[str, str]:
+    """System and user prompt of one call; a second try is told what was wrong with the first."""
+    system = "\n".join([SYSTEM[0].replace("{lang}", lang), *SYSTEM[1:]]) + "\n" + (hint + "\n" if hint else "")
+    wanted = 'Answer with JSON: {"translations": [{"chunkId": ..., "translatedText": ...}]}\n' + (f"The last answer was refused: {problem}\n" if problem else "")
+    return system + wanted, USER + "\n\n" + "".join(f"[{i}]: {t}\n" for i, t in items)
+
+
 def prompts(batched: DataFrame, keys: list[str], lang: str, ordinal: str, chunk: str, text: str, hint: str) -> DataFrame:
     """keys, system_prompt, user_prompt of every batch, which its token budget bounds."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(chunk).alias("c"), F.col(text).alias("t"))))

@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstream.functions.text import glob_regex, sha256_hex
 from quillstream.model import MEMORY
 from quillstream.operators.memory import upsert
+from quillstream.sources.storage import file_system, read_version, write_files, write_version
 
 
 def documents(spark: SparkSession, root: str, include: str = "**/*.md") -> DataFrame:
     """path (relative to root), body (UTF-8, no byte order mark), source_hash (of the raw bytes) of all files that match."""
-    base = os.path.abspath(root).rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    relative = F.substring_index(F.col("path"), base, -1)
+    base = file_system(spark, root if "://" in root else os.path.abspath(root))[1].toUri().getPath().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.expr(f"substring(path, instr(path, {_literal(base)}) + {len(base)})")
     rows = files.select(relative.alias("path"), "content").where(F.col("path").rlike(glob_regex(include)))
-    return rows.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("body"), sha256_hex(F.col("content")).alias("source_hash"))
+    return rows.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("body"), sha256_hex(F.col("content")).alias("source_hash"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def ignore_patterns(path: str) -> list[str]:
@@ -41,43 +43,16 @@ def glossary_frame(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "json string")
 
 
-def read_memory(spark: SparkSession, path: str) -> DataFrame:
+def read_memory(spark: SparkSession, root: str) -> DataFrame:
     """The translation memory; before its first write it is empty."""
-    return spark.read.schema(MEMORY).parquet(path) if os.path.exists(path) else spark.createDataFrame([], MEMORY)
+    return read_version(spark, root, MEMORY)
 
 
-def write_memory(memory: DataFrame, path: str, new: DataFrame, order: str) -> None:
-    """Old and new as a new version, a folder a language, which then takes the old one's place."""
-    fresh = f"{path}.new"
-    upsert(memory, new, order).write.mode("overwrite").partitionBy("target_lang").parquet(fresh)
-    old = f"{path}.old"
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(fresh, path)
-    if os.path.exists(old):
-        import shutil
-
-        shutil.rmtree(old)
+def write_memory(memory: DataFrame, root: str, new: DataFrame, order: str) -> int:
+    """Old and new as the next version, a folder a language; its number."""
+    return write_version(upsert(memory, new, order), root, ["target_lang"])
 
 
 def write_outputs(outputs: DataFrame, root: str, path: str = "path", text: str = "markdown") -> int:
-    """Each output as a file below root, by the tasks that hold them; the number written. The last of equal paths must have been chosen before."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for name, body in zip(pdf[path], pdf[text], strict=True):
-                full = os.path.normpath(os.path.join(root, name))
-                if not full.startswith(os.path.abspath(root) + os.sep):
-                    raise ValueError(f"output path leaves its root: {name}")
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "w", encoding="utf-8", newline="") as file:
-                    file.write(body)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return outputs.select(path, text).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def latest(frame: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key that came last, of ties any one of the same content. The rank limit works before the shuffle."""
-    ranked = frame.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())))
-    return ranked.where("_r = 1").drop("_r")
+    """Each output as a file below root; the number written. The last of equal paths must have been chosen before."""
+    return write_files(outputs, root, path, text)

@@ -82,6 +82,13 @@ def resolve(cli: Mapping[str, str] | None = None, env: Mapping[str, str] | None
     return Options(**found)
 
 
+def published(options: Options, given: Mapping[str, str | None]) -> dict[str, str]:
+    """The settings that translators look up in their environment: keys and models as given, where they aren't blank, the provider and
+    how many calls may be in flight. Merge it into what ``translate.select`` gets, or into ``os.environ``."""
+    found = {**given, "INPUT_LLM_PROVIDER": options.provider, "INPUT_MAX_PARALLEL_REQUESTS": str(options.max_parallel)}
+    return {k: v for k, v in found.items() if v is not None and v.strip()}
+
+
 def repository(text: str) -> tuple[str, str]:
     """Owner and name of owner/name."""
     owner, slash, name = text.partition("/")

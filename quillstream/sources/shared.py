@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """spark.checkpoint.dir as the session has it; only where it is unset, as in tests, a folder of this machine."""
+    """The session's spark.checkpoint.dir. Without one there is an error: a folder of one machine would be lost with it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "quillstream-checkpoints"))
+        if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = os.path.join(tempfile.gettempdir(), "quillstream-checkpoints")  # one machine, as in tests
+        sc.setCheckpointDir(where)
 
 
 def spread(frame: DataFrame) -> DataFrame:

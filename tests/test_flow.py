@@ -1,15 +1,18 @@
 import hashlib
+import http.server
 import json
 import os
+import subprocess
+import threading
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillstream import queries as q
-from quillstream.operators import memory
+from quillstream.operators import memory, translate
 from quillstream.plans import engine
-from quillstream.sources import files, options
+from quillstream.sources import files, options, providers, publish, storage
 from quillstream.streaming import ingest
 
 EMPTY = "path string, target_lang string, content_hash string, translated_text string"
@@ -130,18 +133,104 @@ def test_files(spark, tmp_path):
     (root / ".ignore").write_text("# c\n\n  DRAFT_*.md \n")
     assert files.ignore_patterns(str(root / ".ignore")) == ["DRAFT_*.md"] and files.ignore_patterns(str(root / "none")) == []
     assert files.glossary_frame(spark, str(root / "none")).first()[0] == "{}"
-    store = str(tmp_path / "memory")
-    assert files.read_memory(spark, store).count() == 0
-    new = spark.createDataFrame([("p", "tr", "h", "t", 1)], EMPTY + ", seq int")
-    files.write_memory(files.read_memory(spark, store), store, new, "seq")
-    files.write_memory(files.read_memory(spark, store), store, new.withColumn("translated_text", F.lit("u")), "seq")
-    assert [tuple(r) for r in files.read_memory(spark, store).select("path", "translated_text").collect()] == [("p", "u")]
     out = spark.createDataFrame([("a/b.md", "x"), ("c.md", "y")], "path string, markdown string")
     assert files.write_outputs(out, str(tmp_path / "out")) == 2 and (tmp_path / "out/a/b.md").read_text() == "x"
     with pytest.raises(Exception, match="leaves its root"):
         files.write_outputs(spark.createDataFrame([("../x", "y")], "path string, markdown string"), str(tmp_path / "out"))
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_memory_versions(spark, tmp_path, scheme):
+    store = f"{scheme}{tmp_path}/memory"
+    assert files.read_memory(spark, store).count() == 0
+    new = spark.createDataFrame([("p", "tr", "h", "t", 1)], EMPTY + ", seq int")
+    assert files.write_memory(files.read_memory(spark, store), store, new, "seq") == 1
+    before = files.read_memory(spark, store)
+    for n in range(2, 6):
+        assert files.write_memory(files.read_memory(spark, store), store, new.withColumn("translated_text", F.lit(f"u{n}")), "seq") == n
+    assert [tuple(r) for r in files.read_memory(spark, store).select("path", "translated_text").collect()] == [("p", "u5")]
+    assert sorted(storage.versions(spark, store)) == [3, 4, 5] and before.columns == ["path", "target_lang", "content_hash", "translated_text"]
+    # a version whose writing died doesn't count and goes with the next write
+    (tmp_path / "memory" / "v-0000000006").mkdir()
+    assert files.read_memory(spark, store).first().translated_text == "u5"
+    assert files.write_memory(files.read_memory(spark, store), store, new, "seq") == 7 and 6 not in storage.versions(spark, store)
+    for version in (tmp_path / "memory").iterdir():
+        if version.is_dir():
+            (version / "_SUCCESS").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="whole"):
+        files.read_memory(spark, store)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.parquet").write_text("")
+    with pytest.raises(ValueError, match="no versioned table"):
+        files.read_memory(spark, f"{scheme}{tmp_path}/other")
+
+
+def test_paths_with_odd_names(spark, tmp_path):
+    root = tmp_path / "it's" / "docs"
+    (root / "docs").mkdir(parents=True)
+    (root / "docs" / "ä b%20.md").write_text("x")
+    assert [r.path for r in files.documents(spark, f"file://{root}").collect()] == ["docs/ä b%20.md"]
+
+
+def test_publishing_again_changes_nothing(spark, tmp_path):
+    outputs = spark.createDataFrame([("tr/a.md", "A\n"), ("tr/b.md", "B\n")], "output_path string, markdown string")
+    asked = publish.request_of("o/r", "abc1234", "first")
+    assert (asked.branch, asked.base) == ("translations/abc1234", "main") and publish.request_of("o/r", "x", "", "dev").base == "dev"
+    table = publish.TablePublisher(str(tmp_path / "published"))
+    one, two = table.publish(outputs, asked), table.publish(outputs.limit(1), publish.request_of("o/r", "abc1234", " "))
+    assert (one.number, one.created, one.files) == (1, True, 2) and (two.number, two.created, two.files) == (1, False, 1)
+    assert table.publish(outputs, publish.request_of("o/r", "def", "")).number == 2
+    table.close(spark, 1)
+    assert table.publish(outputs, asked).number == 3
+    assert {r.number: (r.open, r.comments) for r in table.requests(spark).collect()} == {1: (False, ["first"]), 2: (True, []), 3: (True, ["first"])}
+    assert publish.FolderPublisher(str(tmp_path / "dry")).publish(outputs).files == 2 and (tmp_path / "dry/tr/b.md").read_text() == "B\n"
+
+    git = lambda where, *a: subprocess.run(["git", "-C", str(where), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True, text=True).stdout
+    (tmp_path / "remote").mkdir(), (tmp_path / "copy").mkdir()
+    git(tmp_path / "remote", "init", "-q", "--bare")
+    git(tmp_path / "copy", "init", "-q")
+    (tmp_path / "copy" / "README").write_text("x")
+    git(tmp_path / "copy", "add", "."), git(tmp_path / "copy", "commit", "-q", "-m", "start"), git(tmp_path / "copy", "remote", "add", "origin", str(tmp_path / "remote"))
+    opened = []
+    host = publish.GitPublisher(str(tmp_path / "copy"), open_request=lambda r: (opened.append(r.branch) or "http://x/1", 1, len(opened) == 1))
+    assert [host.publish(outputs, asked).created for _ in range(2)] == [True, False]
+    assert git(tmp_path / "remote", "show", f"{asked.branch}:tr/a.md") == "A\n" and len(git(tmp_path / "remote", "log", "--oneline", asked.branch).splitlines()) == 2
+    with pytest.raises(ValueError, match="leaves its root"):
+        host.publish(spark.createDataFrame([("../x", "y")], "output_path string, markdown string"), asked)
+
+
+def test_http_translator():
+    seen = []
+
+    class Host(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], body))
+            busy = len(seen) == 1
+            self.send_response(429 if busy else 200)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            text = json.dumps({"translations": [{"chunkId": "a", "translatedText": "Bir"}]})
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": text}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Host)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    providers.register_all({"local": (f"http://127.0.0.1:{server.server_port}/v1", "LOCAL_KEY", "LOCAL_MODEL", "small")})
+    env = options.published(options.resolve({"provider": "local"}), {"LOCAL_KEY": "k", "LOCAL_MODEL": " "})
+    assert env == {"LOCAL_KEY": "k", "INPUT_LLM_PROVIDER": "local", "INPUT_MAX_PARALLEL_REQUESTS": "4"}
+    own = translate.select(env, env["INPUT_LLM_PROVIDER"])
+    assert translate.translate_batch(own, [("a", "One")], "tr", "Hint.", translate.Retry(), lambda s: None) == ({"a": "Bir"}, None)
+    assert len(seen) == 2 and seen[1][0] == "Bearer k" and seen[1][1]["model"] == "small"
+    assert "Hint." in seen[1][1]["messages"][0]["content"] and seen[1][1]["messages"][1]["content"].endswith("[a]: One\n")
+    server.shutdown()
+    with pytest.raises(translate.CallError):
+        providers.HttpTranslator("http://127.0.0.1:9/", "k", "m", 1).translate([("a", "x")], "tr")
+    translate.PROVIDERS.pop("local"), translate.KEYS.pop("LOCAL_KEY", None), translate.KEYS.pop("local", None)
+
+
 def test_options(tmp_path):
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"targetLanguages": "fr,es", "maxParallel": 9, "sourcePath": "src", "failOnStaleTranslations": True}))
