@@ -6,7 +6,7 @@ a language prototype the bundle of labelled training text; both are compared by
 linear, a text's dot product with a prototype is the sum over its trigrams of the trigram's own dot product
 with that prototype. That small table is computed once from the vectors, so no document vector has to be
 materialised; the document's norm is common to all languages and cancels in the comparison. A trigram that training
-has not seen counts as that of its letters' scripts, which have vectors too.
+has not seen counts as that of its letters' scripts, which have vectors too; in scripts of very many letters both count.
 
 A block is in another language than its page from a confidence on that is worked out on labelled texts kept out of training:
 cut into pieces of the sizes that blocks have, no more than ``FALSE_FOREIGN`` of them may count as foreign to their own language.
@@ -37,7 +37,7 @@ SEED = 20240607
 #: Trigrams seen less often in training are left out.
 LEAST_SEEN = 3
 #: Share of blocks in a page's own language that may count as foreign. Every so-many-th training text is kept out to see.
-FALSE_FOREIGN, HELD_OUT = 1e-4, 5
+FALSE_FOREIGN, HELD_OUT = 2e-5, 5
 
 _FENCE = ("```", "~~~")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
@@ -61,6 +61,8 @@ def _alphabet() -> tuple[np.ndarray, np.ndarray]:
 
 
 _LETTER, _SCRIPT = _alphabet()
+#: Letters of scripts with so many that most of a text's trigrams are rare: there the scripts' trigram counts as well.
+_MANY = np.array([unicodedata.name(chr(c), "").startswith(("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ETHIOPIC", "YI ")) for c in range(65536)])
 _OF_SCRIPTS = np.uint64(1 << 60)
 _TWO, _ONE = np.uint64(32), np.uint64(16)
 _MIX, _OTHER_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -182,6 +184,10 @@ class LanguageModel:
             if len(starts) != len(owners):
                 raise ValueError("pieces out of step")
             rows = self.compact[self.places(ids, of_scripts)]
+            many = _MANY[codes]
+            both = np.flatnonzero(many[:-2] | many[1:-1] | many[2:])
+            both = both[self.lookup(ids[both]) > 0]
+            rows[both] += self.compact[self.lookup(of_scripts[both])]
             sums = np.add.reduceat(rows, starts, axis=0, dtype=np.float32)
             count = np.add.reduceat((_LETTER[codes] > 0), starts, dtype=np.int64)
             np.add.at(total, np_owners, sums)
