@@ -18,6 +18,11 @@ def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def short_id(c: Column) -> Column:
+    """The first seven characters of a revision's id."""
+    return F.substring(c, 1, 7)
+
+
 def utf16_length(c: Column) -> Column:
     """Code units, of which a character beyond the basic plane has two."""
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("bigint")

@@ -66,6 +66,13 @@ def resolve_base(snapshots: DataFrame, ref: str | None, head: str) -> DataFrame:
     return snapshots.join(F.broadcast(at), F.col("ts") < F.col("head_ts")).agg(F.max(F.struct("ts", "ref")).alias("s")).where("s is not null").select("s.ref", "s.ts")
 
 
+def base_of_each(snapshots: DataFrame, key: str, ts: str) -> DataFrame:
+    """key, head_ts, base_ts: of each key's snapshots in time the last, and the latest before it, none for a first one."""
+    last = snapshots.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(ts).alias("head_ts"))
+    earlier = snapshots.join(last, key).where(F.col(ts) < F.col("head_ts")).groupBy(key).agg(F.max(ts).alias("base_ts"))
+    return last.join(earlier, key, "left").select(key, "head_ts", "base_ts")
+
+
 def not_generated(frame: DataFrame, body: str, prefix: str) -> DataFrame:
     """Without what carries a provenance header in its first characters."""
     return frame.where(~F.coalesce(F.startswith(F.col(body), F.lit(prefix)), F.lit(False)))

@@ -25,17 +25,6 @@ def token_totals(usage: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return usage.groupBy(*(keys or [])).agg(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), (prompt + completion).alias("total_tokens"))
 
 
-def event_lists(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """category, n and the messages in order. ``limit`` is for reports that show the first few; the count is always whole."""
-    n = events.groupBy("category").agg(F.count("*").alias("n"))
-    rows = events.select("category", "message")
-    shown = rows if limit is None else rows.groupBy("category", "message").count().withColumnRenamed("count", "times")
-    if limit is not None:
-        shown = shown.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("message"))).where(F.col("r") <= limit)
-    lists = shown.groupBy("category").agg(F.array_sort(F.collect_list("message")).alias("messages"))
-    return n.join(lists, "category")
-
-
 def event_messages(events: DataFrame) -> DataFrame:
     """category, message, times: every message of every category."""
     return events.groupBy("category", "message").agg(F.count("*").alias("times"))
@@ -45,7 +34,7 @@ def event_messages(events: DataFrame) -> DataFrame:
 LINES = 10_000
 
 
-def _lines(messages: DataFrame, part: int) -> DataFrame:
+def event_lists(messages: DataFrame, part: int = LINES) -> DataFrame:
     """category, part_no (from 1), messages: all in order, each as often as it came, in parts of ``part`` lines.
 
     Messages are numbered within ranges; only the ranges' counts by category meet on the driver.
@@ -72,7 +61,7 @@ def reports(messages: DataFrame, title: str, files: int, dry_run: bool, url: str
     The texts of a report in order of section and part are what job_report, console_report and comment_report give.
     """
     spark = messages.sparkSession
-    lines = _lines(messages, part).checkpoint().withColumn("markdown", F.concat(F.lit("- "), F.array_join("messages", "\n- "), F.lit("\n")))
+    lines = event_lists(messages, part).checkpoint().withColumn("markdown", F.concat(F.lit("- "), F.array_join("messages", "\n- "), F.lit("\n")))
     args = (title, files, dry_run, url, langs, usage, {})
     fixed = [("job", 0, 0, job_report(*args)), ("comment", 0, 0, comment_report(title, langs, {})), ("console", 0, 0, "\n".join(_console_head(title, files, langs, usage)) + "\n")]
     fixed += [("console", len(SECTIONS) + 1, 0, "\n".join(_console_tail(dry_run, url)) + "\n")] if _console_tail(dry_run, url) else []
@@ -126,7 +115,8 @@ def job_report(title: str, files: int, dry_run: bool, url: str | None, langs: li
     return head + _languages(langs) + tokens + "".join(_section(t, lists.get(k, [])) for k, t in SECTIONS.items())
 
 
-#: Event categories in the order of the console, with their names there.
+# Event categories in the order of the console with their names there, and its last line of a dry run.
+DRY_RUN = "Dry run - no branch was pushed and no pull request was opened."
 CONSOLE = {"glossary": "glossary warning", "stale": "drift warning", "healed": "self-healed", "untranslated": "left untranslated", "skipped": "skipped (unexpected reconstruction failure)"}
 
 
@@ -140,7 +130,7 @@ def _console_head(title: str, files: int, langs: list[tuple[str, int, int]], usa
 
 def _console_tail(dry_run: bool, url: str | None) -> list[str]:
     if dry_run:
-        return ["Dry run - no branch was pushed and no pull request was opened."]
+        return [DRY_RUN]
     return [f"Pull request: {url}"] if url else []
 
 

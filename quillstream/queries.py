@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import annotation, glob_regex, sha256_hex, slashes, token_estimate
-from quillstream.model import HEADER_PREFIX, HEADER_SUFFIX
+from quillstream.functions.text import annotation, combined_glob, glob_regex, sha256_hex, short_id, slashes, token_estimate
+from quillstream.model import HEADER_PREFIX, HEADER_SUFFIX, SECTIONS
 from quillstream.operators import chunks as chunk_ops
 from quillstream.operators import diff, glossary, marks, memory, paths, provenance, replies, report, translate
 from quillstream.plans import batching, engine
@@ -32,26 +32,32 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as they were and as they are; those without a source have moved in between."""
     docs = _table(spark, d, "documents")
-    order = F.struct("ingested_at", "doc_id")
+    order, path = F.struct("ingested_at", "doc_id"), F.col("file_path")
     base = docs.where(F.col("ingested_at") < F.lit(BEFORE).cast("timestamp"))
     head = docs.where(F.col("ingested_at") >= F.lit(SINCE).cast("timestamp"))
-    return tuple(diff.snapshot(x, F.col("file_path"), F.col("text"), order) for x in (base, head))
+    moved = F.when(F.col("source").isNull(), F.concat(F.lit("moved/"), path)).otherwise(path)
+    return diff.snapshot(base, path, F.col("text"), order), diff.snapshot(head, moved, F.col("text"), order)
 
 
-_CHANGES = f"""v AS (SELECT file_path AS path, sha256(text) AS h, ingested_at, doc_id FROM documents WHERE file_path IS NOT NULL),
+_CHANGES = f"""v AS (SELECT file_path AS path, CASE WHEN source IS NULL THEN 'moved/' || file_path ELSE file_path END AS later, sha256(text) AS h, ingested_at, doc_id FROM documents WHERE file_path IS NOT NULL),
 b AS (SELECT path, arg_max(h, (ingested_at, doc_id)) AS h FROM v WHERE ingested_at < TIMESTAMPTZ '{BEFORE}+00' GROUP BY 1),
-n AS (SELECT path, arg_max(h, (ingested_at, doc_id)) AS h FROM v WHERE ingested_at >= TIMESTAMPTZ '{SINCE}+00' GROUP BY 1),
+n AS (SELECT later AS path, arg_max(h, (ingested_at, doc_id)) AS h FROM v WHERE ingested_at >= TIMESTAMPTZ '{SINCE}+00' GROUP BY 1),
 c AS (SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'Added' WHEN n.path IS NULL THEN 'Deleted' ELSE 'Modified' END AS kind, n.h AS source_hash, b.h AS base_hash FROM b FULL JOIN n ON b.path = n.path WHERE b.h IS DISTINCT FROM n.h),
 r AS (SELECT g.old_path, a.path, g.h AS source_hash FROM (SELECT base_hash AS h, min(path) AS old_path FROM c WHERE kind = 'Deleted' GROUP BY 1) g JOIN (SELECT source_hash AS h, min(path) AS path FROM c WHERE kind = 'Added' GROUP BY 1) a ON g.h = a.h)"""
 
 
+_INCLUDED = "regexp_matches(path, '(?i)^docs/(.+/)?[^/]*[.]md$')"
+_IGNORED = "regexp_matches(path, '(?i)^docs/guides/.+$') OR regexp_matches(path, '(?i)(^|/)[^/]*pi[^/]*[.]md$') OR regexp_matches(path, '(?i)^docs/howto/z[^/]*$')"
+
+
 def corpus_changes(spark: SparkSession, d: str) -> DataFrame:
     return diff.changes(*_snapshots(spark, d))
 
 
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
-    return diff.changed_files(*_snapshots(spark, d))
+    return diff.changed_files(*_snapshots(spark, d), combined_glob("docs/", "/**/*.md"), IGNORED)
 
 
 def renamed_files(spark: SparkSession, d: str) -> DataFrame:
@@ -67,14 +73,11 @@ def matched_files(spark: SparkSession, d: str) -> DataFrame:
 def base_revision(spark: SparkSession, d: str) -> DataFrame:
     """Of each file's results in time, the one that the last is compared with: the latest before it, none for a first."""
     rows = _table(spark, d, "translation_results").where("file_path is not null")
-    days = rows.groupBy("file_path", F.to_date("generated_at").alias("day")).agg(F.max("generated_at").alias("ts"))
-    last = days.groupBy("file_path").agg(F.max("ts").alias("head_ts"))
-    earlier = days.join(last, "file_path").where("ts < head_ts").groupBy("file_path").agg(F.max("ts").alias("base_ts"))
-    return last.join(earlier, "file_path", "left").select("file_path", "head_ts", "base_ts")
+    return diff.base_of_each(rows.groupBy("file_path", F.to_date("generated_at").alias("day")).agg(F.max("generated_at").alias("ts")), "file_path", "ts")
 
 
 def head_short_id(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "source_files").select("file_id", F.substring("source_hash", 1, 7).alias("short_id"))
+    return _table(spark, d, "source_files").select("file_id", short_id(F.col("source_hash")).alias("short_id"))
 
 
 def _rendered(spark: SparkSession, d: str) -> DataFrame:
@@ -271,6 +274,15 @@ def fake_translate(spark: SparkSession, d: str) -> DataFrame:
     return _wanted(spark, d).select("chunk_id", "target_lang", translate.fake(F.col("target_lang"), F.col("source_text")).alias("translated_text"))
 
 
+def translate_run(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of all chunks in all languages through the built-in translator: prompts, checks, retries and repairs."""
+    rows = paths.per_language(_batched(spark, d), LANGS)
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "source_text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["source_text"].alias("source_text")))
+    calls = rows.groupBy("path", "target_lang", "batch_no").agg(items.alias("items")).join(F.broadcast(glossary.hints(_table(spark, d, "glossary_terms"), LANGS)), "target_lang")
+    said = translate.run(calls, translate.FakeTranslator)
+    return said.select("chunk_id", "target_lang", F.element_at("attempts", -1).alias("translated_text"), "kept", "error")
+
+
 def _replies(spark: SparkSession, d: str) -> DataFrame:
     """The answers of each batch as the JSON that a translator replies."""
     rows = _table(spark, d, "translations").where("batch_id is not null")
@@ -284,9 +296,9 @@ def reply_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reply_id_check(spark: SparkSession, d: str) -> DataFrame:
-    """Asked for in a batch: the chunks of its file. Answered: those with a text."""
+    """Asked for in a batch: the chunks of its first attempts. Answered: those with a text, so that later attempts are unexpected."""
     rows = _table(spark, d, "translations").where("batch_id is not null")
-    asked = rows.select("batch_id", "chunk_id").distinct()
+    asked = rows.where("attempt = 1").select("batch_id", "chunk_id").distinct()
     return replies.check_ids(asked, rows.where("translated_text is not null").select("batch_id", "chunk_id"), "batch_id")
 
 
@@ -301,6 +313,13 @@ def marker_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "s.ok", "s.error", F.transform("s.markers", lambda m: F.concat(m["kind"], m["idx"].cast("string"))).alias("markers"))
 
 
+def marker_names(spark: SparkSession, d: str) -> DataFrame:
+    """The markers that a chunk's text holds, each once, by the scanner; none where it isn't in the marker language."""
+    named = lambda m: F.when(m["kind"] == "placeholder", F.concat(F.lit("the placeholder at index "), m["idx"].cast("string"))).otherwise(F.concat(F.lit("the <"), m["kind"], m["idx"].cast("string"), F.lit(">...</"), m["kind"], m["idx"].cast("string"), F.lit("> tag pair")))
+    rows = _latest_chunks(spark, d).where("source_text is not null").select("chunk_id", marks.scanned(F.col("source_text")).alias("s"))
+    return rows.select("chunk_id", F.array_join(F.array_sort(F.array_distinct(F.transform("s.markers", named))), "; ").alias("markers"))
+
+
 def marker_survival(spark: SparkSession, d: str) -> DataFrame:
     """Answers that lost a marker of their source, and which."""
     rows = _answers(spark, d).where("translated_text is not null").select("translation_id", marks.missing_markers(F.col("source_text"), F.col("translated_text")).alias("lost"))
@@ -398,9 +417,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all events and the first ten messages of each category; event_messages has them all."""
-    rows = report.event_lists(_events(spark, d), limit=10)
-    return rows.select("category", "n", F.array_join("messages", "\n").alias("messages"))
+    """All messages of each category in order, each as often as it came, in parts of up to 10,000."""
+    rows = report.event_lists(event_messages(spark, d))
+    return rows.select("category", "part_no", F.size("messages").alias("n"), F.array_join("messages", "\n").alias("messages"))
 
 
 def event_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -408,6 +427,10 @@ def event_messages(spark: SparkSession, d: str) -> DataFrame:
     return report.event_messages(_events(spark, d))
 
 
+_EVENTS = f"{_DRIFT}, e AS (SELECT category, message FROM (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}') WHERE message IS NOT NULL)"
+_PARTS_OF_EVENTS = f"o AS (SELECT category, message, ((row_number() OVER (PARTITION BY category ORDER BY message) - 1) // {report.LINES} + 1)::INTEGER AS part_no FROM e)"
+
+
 def job_report(spark: SparkSession, d: str) -> DataFrame:
     """The three reports of a run over all its events, in parts."""
     langs = [(r.target_lang, r.chunks_translated, r.chunks_from_cache) for r in lang_summary(spark, d).orderBy("target_lang").collect()]
@@ -416,6 +439,27 @@ def job_report(spark: SparkSession, d: str) -> DataFrame:
     return report.reports(event_messages(spark, d), "documents", files, True, None, langs, (usage.prompt_tokens, usage.completion_tokens))
 
 
+def _sql_reports() -> str:
+    """The reports in SQL: heads, then a part of a section a row."""
+    table = f"'| Language | Chunks translated | From cache |' || chr(10) || '| --- | --- | --- |' || chr(10) || (SELECT string_agg('| ' || target_lang || ' | ' || n || ' | ' || h || ' |' || chr(10), '' ORDER BY target_lang) FROM y) || chr(10)"
+    job = f"'## documents' || chr(10) || chr(10) || '**Files translated:** ' || files || '  ' || chr(10) || '**Mode:** dry run' || chr(10) || chr(10) || {table} || '### Token usage' || chr(10) || chr(10) || '| Prompt | Completion | Total |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || p || ' | ' || c || ' | ' || (p + c) || ' |' || chr(10) || chr(10)"
+    console = "chr(10) || '=== documents summary ===' || chr(10) || 'Files translated: ' || files || chr(10) || (SELECT string_agg('  [' || target_lang || '] ' || n || ' chunk(s) translated, ' || h || ' from cache' || chr(10), '' ORDER BY target_lang) FROM y) || 'Token usage: ' || p || ' prompt + ' || c || ' completion = ' || (p + c) || ' total' || chr(10)"
+    sections = "\nUNION ALL ".join(
+        f"SELECT r.report, {n} AS section, part_no, CASE WHEN part_no = 1 THEN '### {title}' || chr(10) || chr(10) ELSE '' END || string_agg('- ' || message || chr(10), '' ORDER BY message) || CASE WHEN part_no = (SELECT max(part_no) FROM o WHERE category = '{category}') THEN chr(10) ELSE '' END AS text FROM o, (SELECT unnest(['job', 'comment']) AS report) r WHERE category = '{category}' GROUP BY r.report, part_no"
+        for n, (category, title) in enumerate(SECTIONS.items(), 1)
+    )
+    lines = "\nUNION ALL ".join(f"SELECT 'console', {n}, part_no, string_agg('  {name}: ' || message || chr(10), '' ORDER BY message) FROM o WHERE category = '{category}' GROUP BY part_no" for n, (category, name) in enumerate(report.CONSOLE.items(), 1))
+    return f"""{_ALL}, {_EVENTS}, {_PARTS_OF_EVENTS}, asked AS (SELECT unnest([{', '.join(repr(x) for x in [*LANGS, 'en'])}]) AS target_lang),
+y AS (SELECT asked.target_lang, count(w.chunk_id) AS n, count(m.path) AS h FROM asked LEFT JOIN w ON w.target_lang = asked.target_lang LEFT JOIN m ON m.path = w.path AND m.target_lang = w.target_lang AND m.content_hash = w.content_hash GROUP BY 1),
+u AS (SELECT coalesce(sum(prompt_tokens), 0)::BIGINT AS p, coalesce(sum(completion_tokens), 0)::BIGINT AS c, (SELECT count(*) FROM (SELECT DISTINCT file_path FROM translation_results)) AS files FROM token_usage)
+SELECT 'job' AS report, 0 AS section, 0 AS part_no, {job} AS text FROM u
+UNION ALL SELECT 'comment', 0, 0, '## documents summary' || chr(10) || chr(10) || {table} FROM u
+UNION ALL SELECT 'console', 0, 0, {console} FROM u
+UNION ALL SELECT 'console', {len(SECTIONS) + 1}, 0, '{report.DRY_RUN}' || chr(10)
+UNION ALL {sections}
+UNION ALL {lines}"""
+
+
 # --- Markdown ----------------------------------------------------------------------------------------------------
 
 
@@ -433,6 +477,16 @@ def md_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return _page_chunks(spark, d).groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(*(F.count(F.when(F.col("block_kind") == k, 1)).alias(n) for n, k in kinds.items()))
 
 
+def _sql_places(tables: str) -> str:
+    """Chunks by the first characters of lines, numbered in order; a row of a table has a chunk a cell, paragraphs and quotes one for all their lines."""
+    encoded = _ENCODED.replace("⟦", "⟦").replace("'", "''")
+    return f"""WITH {tables}, x2 AS (SELECT doc_id, i, s, kind, before, CASE WHEN kind = 'row' THEN list_slice(string_split(s, '|'), 2, -2) ELSE [s] END AS cells FROM p WHERE kind IN ('heading', 'item', 'row') OR (kind IN ('text', 'quote') AND before IS DISTINCT FROM kind)),
+c AS (SELECT doc_id, i, kind, unnest(cells) AS t, generate_subscripts(cells, 1) AS j FROM x2),
+o AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INTEGER AS ordinal, CASE kind WHEN 'heading' THEN 'Heading' WHEN 'item' THEN 'ListItem' WHEN 'row' THEN 'TableCell' WHEN 'quote' THEN 'BlockQuote' ELSE 'Paragraph' END AS block_kind, i, kind, t FROM c),
+n2 AS (SELECT doc_id, i, kind, lead(kind) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM k)
+SELECT o.doc_id, ordinal, block_kind, CASE WHEN o.kind IN ('text', 'quote') AND after = o.kind THEN NULL WHEN regexp_matches(b, '{encoded}') THEN NULL ELSE b END AS plain_text FROM (SELECT *, CASE kind WHEN 'heading' THEN trim(regexp_replace(t, '^#+ +', '')) WHEN 'item' THEN trim(regexp_replace(t, '^(-|[0-9]+[.]) +', '')) WHEN 'quote' THEN trim(regexp_replace(t, '^> ?', '')) ELSE trim(t) END AS b FROM o) o JOIN n2 ON n2.doc_id = o.doc_id AND n2.i = o.i"""
+
+
 def _sql_counts(source: str, key: str) -> tuple[str, str]:
     """Tables and columns that count the chunks of each kind by the first characters of lines."""
     tables = """x AS (SELECT KEY, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM SOURCE),
@@ -452,10 +506,21 @@ def md_identity_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def md_translated(spark: SparkSession, d: str) -> DataFrame:
-    """Pages put together from the built-in translator's answers."""
+    """Pages put together from the built-in translator's answers; without its marks each must be the page again."""
     pages = _table(spark, d, "documents").withColumn("path", F.col("doc_id").cast("string"))
     said = _page_chunks(spark, d).select("path", "ordinal", F.lit("tr").alias("target_lang"), F.array(translate.fake(F.lit("tr"), F.col("source_text"))).alias("attempts"))
-    return chunk_ops.rebuild(pages, "path", "text", said, ["tr"]).select(F.col("path").cast("bigint").alias("doc_id"), "chunks", F.size("untranslated").alias("untranslated"), sha256_hex(F.col("markdown")).alias("markdown_hash"), "error")
+    rows = chunk_ops.rebuild(pages, "path", "text", said, ["tr"])
+    bare = F.replace("markdown", F.lit("[tr] "), F.lit(""))
+    return rows.select(F.col("path").cast("bigint").alias("doc_id"), "chunks", F.size("untranslated").alias("untranslated"), sha256_hex(bare).alias("text_hash"), (F.length("markdown") - F.length(bare)).alias("added"), "error")
+
+
+def md_chunk_places(spark: SparkSession, d: str) -> DataFrame:
+    """Place and kind of each chunk, and its text where that has nothing to encode."""
+    encoded = F.col("source_text").rlike(_ENCODED)
+    return _page_chunks(spark, d).select(F.col("path").cast("bigint").alias("doc_id"), "ordinal", "block_kind", F.when(~encoded, F.col("source_text")).alias("plain_text"))
+
+
+_ENCODED = r"[*`\[<_!\\&~⟦|\n\r]|https?:|www[.]|@"
 
 
 REMEMBERED = "docs/h"
@@ -507,9 +572,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         corpus_changes, changed_files, renamed_files, matched_files, base_revision, head_short_id, skip_generated, source_file_hash, content_hash_audit,
         chunk_lang_matrix, output_paths, output_collisions, memory_upsert, memory_probe, memory_hits, memory_misses, lang_summary, token_estimates, greedy_batches,
-        batch_prompts, glossary_hints, glossary_warnings, fake_translate, reply_items, reply_id_check, repaired_item, marker_sets, marker_survival, placeholder_survival,
+        batch_prompts, glossary_hints, glossary_warnings, fake_translate, translate_run, reply_items, reply_id_check, repaired_item, marker_sets, marker_names, marker_survival, placeholder_survival,
         heal_status, assemble_documents, provenance_render, provenance_parse, drift_report, token_usage, run_outputs, log_annotations, event_lists, event_messages, job_report,
-        md_chunks, md_chunk_counts, md_identity_roundtrip, md_translated, pipeline_summary, pipeline_outputs, pipeline_stale,
+        md_chunks, md_chunk_counts, md_chunk_places, md_identity_roundtrip, md_translated, pipeline_summary, pipeline_outputs, pipeline_stale,
     )
 }
 
@@ -525,9 +590,9 @@ def oracle_sql() -> dict[str, str]:
     header = f"coalesce({_HEADER} || chr(10) || chr(10) || output_markdown, output_markdown)"
     return {
         "corpus_changes": f"{changes} SELECT path, kind, source_hash, base_hash FROM c",
-        "changed_files": f"{changes} SELECT path, CASE WHEN path IN (SELECT path FROM r) THEN 'Renamed' ELSE kind END AS kind, source_hash FROM c WHERE kind <> 'Deleted'",
+        "changed_files": f"{changes} SELECT path, CASE WHEN path IN (SELECT path FROM r) THEN 'Renamed' ELSE kind END AS kind, source_hash FROM c WHERE kind <> 'Deleted' AND {_INCLUDED} AND NOT ({_IGNORED})",
         "renamed_files": f"{changes} SELECT old_path, path, source_hash FROM r",
-        "matched_files": "SELECT file_id, file_path, regexp_matches(file_path, '(?i)^docs/(.+/)?[^/]*[.]md$') AS included, regexp_matches(file_path, '(?i)^docs/guides/.+$') OR regexp_matches(file_path, '(?i)(^|/)[^/]*pi[^/]*[.]md$') OR regexp_matches(file_path, '(?i)^docs/howto/z[^/]*$') AS ignored FROM source_files",
+        "matched_files": "SELECT file_id, file_path, " + f"{_INCLUDED.replace('path', 'file_path')} AS included, {_IGNORED.replace('path', 'file_path')} AS ignored FROM source_files",
         "base_revision": "WITH t AS (SELECT file_path, max(generated_at) AS ts FROM translation_results WHERE file_path IS NOT NULL GROUP BY file_path, generated_at::DATE), h AS (SELECT file_path, max(ts) AS head_ts FROM t GROUP BY 1) SELECT h.file_path, head_ts, max(ts) FILTER (ts < head_ts) AS base_ts FROM h JOIN t ON t.file_path = h.file_path GROUP BY 1, 2",
         "head_short_id": "SELECT file_id, substring(source_hash, 1, 7) AS short_id FROM source_files",
         "skip_generated": f"SELECT 'documents' AS origin, doc_id AS id FROM documents WHERE NOT coalesce(starts_with(text, '{HEADER_PREFIX}'), false) UNION ALL SELECT 'translation_results', result_id FROM translation_results WHERE NOT coalesce(starts_with({header}, '{HEADER_PREFIX}'), false)",
@@ -548,9 +613,11 @@ def oracle_sql() -> dict[str, str]:
         "glossary_warnings": _GLOSSARY_WARNINGS,
         "fake_translate": f"WITH {_LATEST}, {_WANTED} SELECT chunk_id, target_lang, '[' || target_lang || '] ' || source_text AS translated_text FROM w",
         "reply_items": "SELECT batch_id, (row_number() OVER (PARTITION BY batch_id ORDER BY translation_id) - 1)::INTEGER AS pos, chunk_id, translated_text FROM translations WHERE batch_id IS NOT NULL",
-        "reply_id_check": "WITH t AS (SELECT batch_id, chunk_id, count(translated_text) AS got FROM translations WHERE batch_id IS NOT NULL GROUP BY 1, 2), x AS (SELECT batch_id, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (got = 0), '') AS missing, '' AS unexpected, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (got > 1), '') AS duplicated FROM t GROUP BY 1) SELECT batch_id, missing, unexpected, duplicated, 'Chunk id mismatch in provider response (' || concat_ws('; ', CASE WHEN missing <> '' THEN 'missing: ' || missing END, CASE WHEN duplicated <> '' THEN 'duplicated: ' || duplicated END) || ').' AS message FROM x WHERE missing <> '' OR duplicated <> ''",
+        "reply_id_check": "WITH t AS (SELECT batch_id, chunk_id, count(*) FILTER (attempt = 1) AS asked, count(translated_text) AS got FROM translations WHERE batch_id IS NOT NULL GROUP BY 1, 2), x AS (SELECT batch_id, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (asked > 0 AND got = 0), '') AS missing, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (asked = 0 AND got > 0), '') AS unexpected, coalesce(string_agg(chunk_id, ', ' ORDER BY chunk_id) FILTER (got > 1), '') AS duplicated FROM t GROUP BY 1) SELECT batch_id, missing, unexpected, duplicated, 'Chunk id mismatch in provider response (' || concat_ws('; ', CASE WHEN missing <> '' THEN 'missing: ' || missing END, CASE WHEN unexpected <> '' THEN 'unexpected: ' || unexpected END, CASE WHEN duplicated <> '' THEN 'duplicated: ' || duplicated END) || ').' AS message FROM x WHERE missing <> '' OR unexpected <> '' OR duplicated <> ''",
+        "translate_run": f"WITH {_LATEST}, {_WANTED} SELECT chunk_id, target_lang, '[' || target_lang || '] ' || source_text AS translated_text, true AS kept, NULL::VARCHAR AS error FROM w WHERE source_text IS NOT NULL",
         "repaired_item": "WITH t AS (SELECT *, min(chunk_id) OVER (PARTITION BY batch_id) AS own FROM translations WHERE batch_id IS NOT NULL) SELECT batch_id, (array_agg(translated_text ORDER BY translation_id) FILTER (chunk_id = own))[1] AS own_text, (array_agg(translated_text ORDER BY translation_id))[1] AS first_text FROM t GROUP BY 1",
         "marker_survival": f"WITH {_LATEST}, {_ANSWERS}, {_LOST} SELECT translation_id, array_to_string(lost, '; ') AS lost FROM k WHERE translated_text IS NOT NULL AND len(lost) > 0",
+        "marker_names": f"WITH {_LATEST}, m AS (SELECT chunk_id, {_sql_markers('source_text')} AS x FROM l WHERE source_text IS NOT NULL) SELECT chunk_id, array_to_string(list_sort(x), '; ') AS markers FROM m",
         "heal_status": f"WITH {_LATEST}, {_ANSWERS}, {_LOST}, t AS (SELECT chunk_id, target_lang, row_number() OVER (PARTITION BY chunk_id, target_lang ORDER BY received_at, translation_id) AS r, translated_text IS NOT NULL AND len(lost) = 0 AS fine FROM k), f AS (SELECT chunk_id, target_lang, min(r) FILTER (fine) AS p, count(*) AS n FROM t WHERE r <= 3 GROUP BY 1, 2) SELECT chunk_id, target_lang, CASE WHEN p = 1 THEN 'ok' WHEN p > 1 THEN 'repaired' ELSE 'unrecoverable' END AS status, (coalesce(p, n) - 1)::INTEGER AS repairs FROM f",
         "placeholder_survival": f"WITH {_LATEST}, {_ANSWERS}, p AS (SELECT translation_id, list_sort(list_filter(list_distinct(regexp_extract_all(source_text, '⟦\\p{{L}}+([0-9]+)⟧', 1)), lambda x: NOT list_contains(regexp_extract_all(translated_text, '⟦\\p{{L}}+([0-9]+)⟧', 1), x))) AS x FROM a WHERE translated_text IS NOT NULL AND source_text IS NOT NULL) SELECT translation_id, array_to_string(x, ',') AS lost FROM p WHERE len(x) > 0",
         "assemble_documents": f"WITH {_LATEST}, {_ANSWERS}, {_MEMORY}, j AS (SELECT l.path, m.target_lang, (l.ordinal // {chunk_ops.PART})::INTEGER AS part_no, l.ordinal, m.translated_text AS t FROM l JOIN m ON m.path = l.path AND m.content_hash = l.content_hash), s AS (SELECT path, target_lang, part_no, count(*) AS chunks, string_agg(t, chr(10) || chr(10) ORDER BY ordinal, t) AS markdown FROM j GROUP BY 1, 2, 3) SELECT path, target_lang, part_no, chunks, sha256(markdown) AS markdown_hash, length(markdown)::INTEGER AS length FROM s",
@@ -560,9 +627,12 @@ def oracle_sql() -> dict[str, str]:
         "token_usage": f"SELECT {_CODE} AS lang, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens, (coalesce(sum(prompt_tokens), 0) + coalesce(sum(completion_tokens), 0))::BIGINT AS total_tokens FROM token_usage GROUP BY 1",
         "run_outputs": f"WITH {_DRIFT}, s AS (SELECT count(DISTINCT output_path) AS f, count(*) FILTER (reason <> '{provenance.FRESH}') AS n FROM v) SELECT 'pr-url=' AS pr_url, 'translated-files-count=' || f AS files, 'stale-translations-count=' || n AS stale, CASE WHEN n > 0 THEN 1 ELSE 0 END AS exit_code FROM s",
         "log_annotations": f"WITH u AS (SELECT result_id AS id, file_path AS f, unnest(warnings) AS m FROM translation_results UNION ALL SELECT doc_id, source, text FROM documents) SELECT id, sha256('::warning file=' || {_sql_annotation('''coalesce(f, '')''')} || '::' || {_sql_annotation('m')}) AS line_hash, length({_sql_annotation('m')})::INTEGER AS length FROM u WHERE m IS NOT NULL",
-        "event_lists": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}'), n AS (SELECT category, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY 1), s AS (SELECT category, message, row_number() OVER (PARTITION BY category ORDER BY message) AS r FROM (SELECT DISTINCT category, message FROM e WHERE message IS NOT NULL)) SELECT n.category, n.n, string_agg(s.message, chr(10) ORDER BY s.message) AS messages FROM n JOIN s ON s.category = n.category WHERE s.r <= 10 GROUP BY 1, 2",
-        "event_messages": f"WITH {_DRIFT}, e AS (SELECT 'glossary' AS category, unnest(warnings) AS message FROM translation_results UNION ALL SELECT 'stale', output_path || ' [' || lang || ']: ' || reason FROM v WHERE reason <> '{provenance.FRESH}') SELECT category, message, count(*) AS times FROM e WHERE message IS NOT NULL GROUP BY 1, 2",
+        "event_lists": f"WITH {_EVENTS}, {_PARTS_OF_EVENTS} SELECT category, part_no, count(*)::INTEGER AS n, string_agg(message, chr(10) ORDER BY message) AS messages FROM o GROUP BY 1, 2",
+        "job_report": _sql_reports(),
+        "event_messages": f"WITH {_EVENTS} SELECT category, message, count(*) AS times FROM e GROUP BY 1, 2",
         "md_chunk_counts": f"WITH {page_tables} SELECT doc_id, {kinds} FROM p GROUP BY 1 HAVING headings + paragraphs + list_items + quotes + cells > 0",
+        "md_translated": f"WITH {page_tables}, s AS (SELECT doc_id AS of, {kinds} FROM p GROUP BY 1), m3 AS (SELECT of, (headings + paragraphs + list_items + quotes + cells)::INTEGER AS chunks FROM s) SELECT doc_id, coalesce(chunks, 0)::INTEGER AS chunks, 0 AS untranslated, sha256(replace(text, '[tr] ', '')) AS text_hash, (coalesce(chunks, 0) * 5 + length(text) - length(replace(text, '[tr] ', '')))::INTEGER AS added, NULL::VARCHAR AS error FROM documents LEFT JOIN m3 ON m3.of = doc_id",
+        "md_chunk_places": _sql_places(page_tables),
         "pipeline_summary": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds}, path FROM p GROUP BY path), c AS (SELECT headings + paragraphs + list_items + quotes + cells AS n, path < '{REMEMBERED}' AS known FROM s) SELECT lang AS target_lang, sum(n)::BIGINT AS chunks_translated, coalesce(sum(n) FILTER (known), 0)::BIGINT AS chunks_from_cache FROM c, (SELECT {_SQL_LANGS} AS lang) GROUP BY 1",
         "pipeline_outputs": f"WITH {_PIPELINE}, {flow_tables}, s AS (SELECT {kinds}, path AS of FROM p GROUP BY path) SELECT {_PLACE} AS output_path, '{HEADER_PREFIX} source-hash=' || sha256(text) || '; source-path=' || todo.path || '; target-lang=' || lang || '; generated=1970-01-01T00:00:00.0000000+00:00 {HEADER_SUFFIX}' AS header, sha256(regexp_replace(text, '\\[(de|es|fr|ja|pt|ru|tr)\\] |\\((de|es|fr|ja|pt|ru|tr)\\) ', '', 'g')) AS source_hash, ((headings + paragraphs + list_items + quotes + cells) * 5 + length(text) - length(regexp_replace(text, '\\[(de|es|fr|ja|pt|ru|tr)\\] |\\((de|es|fr|ja|pt|ru|tr)\\) ', '', 'g')))::INTEGER AS added, 1::BIGINT AS writes FROM todo JOIN s ON s.of = todo.path, (SELECT {_SQL_LANGS} AS lang)",
         "pipeline_stale": f"WITH {_PIPELINE} SELECT path, lang AS target_lang, {_PLACE} || ' [' || lang || ']: {provenance.CHANGED}' AS message FROM last SEMI JOIN was ON was.path = last.path AND (CASE WHEN was.old THEN sha256('') ELSE was.h END) <> sha256(last.text), (SELECT {_SQL_LANGS} AS lang)",
