@@ -91,6 +91,22 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p5_containers(spark, d))
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text whether its pieces are all there, follow one another, and lie in containers that aren't over their capacity."""
+    packed = p5_containers(spark, d)
+    full = packing.fill(packed).select("container_id", (F.col("tokens") <= packing.CAPACITY).alias("fits"))
+    rows = packed.join(full, "container_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.sum("piece_no").alias("places"), F.sum(F.col("first_token") - F.col("piece_no").cast("long") * packing.CAPACITY).alias("off"), F.max("tokens").alias("most"), F.bool_and("fits").alias("fits"))
+    whole = (F.col("n") == F.col("pieces")) & (F.col("places") == F.col("n") * (F.col("n") - 1) / 2) & (F.col("off") == 0) & (F.col("most") <= packing.CAPACITY)
+    return rows.select("doc_id", whole.alias("whole"), "fits")
+
+
+def p5_waste(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers are no more than the fewest that could do and a twentieth."""
+    filled = packing.fill(p5_containers(spark, d)).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return filled.select((F.col("n") >= least).alias("possible"), (F.col("n") <= F.ceil(least * 1.05) + 1).alias("tight"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -110,6 +126,14 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from its pieces without their overlaps; whether all are within the limit and overlap as asked."""
+    pieces = p7_pieces(spark, d)
+    new = F.expr("substring(text, cast(new_from - start + 1 AS int))")
+    rows = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", new.alias("t")))).alias("p"), F.max("tokens").alias("most"), F.bool_and((F.col("piece_no") == 0) | (F.col("start") <= F.col("new_from"))).alias("overlaps"))
+    return rows.select("doc_id", F.sha2(F.array_join(F.transform("p", lambda x: x["t"]), ""), 256).alias("text_hash"), (F.col("most") <= splitting.LIMIT).alias("within"), "overlaps")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_segments": p1_segments,
@@ -121,9 +145,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
+    "p5_whole": p5_whole,
+    "p5_waste": p5_waste,
     "p6_found": p6_found,
     "p6_near": p6_near,
     "p7_pieces": p7_pieces,
+    "p7_whole": p7_whole,
 }
 
 
@@ -142,6 +169,18 @@ _KEYS = ", ".join(f"regexp_replace(replace(lower(upper({_spelled(n)})), 'ß', 's
 _GROUPS = f"k AS (SELECT record_id, {_KEYS} FROM chunk_records), g AS (SELECT record_id, min(record_id) OVER w AS first FROM k WINDOW w AS (PARTITION BY k0, k1, k2))"
 
 
+def _sql_leaks() -> str:
+    """Every run of twelve words of every item, looked up among those of every page; pages also without the numbers of their lists."""
+    no_marks = "regexp_replace(text, '\\]\\([^)\\s]*(\\s+\"[^\"\\n]*\")?\\)|\\]\\[[^\\]\\n]*\\]', '] ', 'g')"
+    bare = "regexp_replace(t, '(?m)^[ \\t>]*[0-9]{1,9}[.)]([ \\t])', '\\1', 'g')"
+    words = "regexp_extract_all(lower(regexp_replace(nfc_normalize(t), '\\p{Cf}', '', 'g')), '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}]+')"
+    runs = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(list_slice(w, i, i + 11), ' '))) AS run"
+    return f"""WITH d0 AS (SELECT doc_id, {no_marks} AS t FROM documents WHERE text IS NOT NULL), d1 AS (SELECT doc_id, t FROM d0 UNION ALL SELECT doc_id, {bare} FROM d0),
+d AS (SELECT doc_id, {words} AS w FROM d1), i AS (SELECT item_id, {words} AS w FROM (SELECT item_id, {no_marks} AS t FROM eval_items WHERE text IS NOT NULL)),
+dr AS (SELECT doc_id, {runs} FROM d WHERE len(w) >= 12), ir AS (SELECT DISTINCT item_id, {runs} FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir ON dr.run = ir.run"""
+
+
 def oracle_sql() -> dict[str, str]:
     form = lookalike.canonical_sql("source_text")
     return {
@@ -149,5 +188,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_canonical": f"SELECT DISTINCT chunk_id, sha256(source_text) AS text_hash, sha256({form}) AS canonical_hash FROM chunks",
         "p2_forms": f"WITH c AS (SELECT DISTINCT chunk_id, source_text, {form} AS form FROM chunks WHERE source_text IS NOT NULL AND chunk_id IS NOT NULL) SELECT sha256(form) AS canonical_hash, count(DISTINCT source_text) AS spellings, count(*) AS rows FROM c GROUP BY form",
         "p3_found": f"WITH {_GROUPS} SELECT first AS record_id_a, record_id AS record_id_b FROM g WHERE record_id > first",
+        "p5_whole": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text IS NOT NULL",
+        "p5_waste": "SELECT true AS possible, true AS tight",
+        "p6_found": _sql_leaks(),
+        "p7_whole": "SELECT doc_id, sha256(text) AS text_hash, true AS within, true AS overlaps FROM documents WHERE text IS NOT NULL",
         "p3_records": f"WITH {_GROUPS} SELECT first AS record_id, count(*) AS copies FROM g GROUP BY 1",
     }
