@@ -16,7 +16,6 @@ extra columns pass through unseen.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -100,20 +99,20 @@ def canonical_sql(column: str) -> str:
 _DROP = dict.fromkeys(map(ord, _invisible()))
 _MAP = str.maketrans(_SINGLE | {k: v for k, v in _LONGER.items() if len(k) == 1})
 _SEQUENCES = {k: v for k, v in _LONGER.items() if len(k) > 1}
-_MAPPED = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted({*_DROP, *_MAP})) + "]")
+_MAPPED = frozenset(map(chr, {*_DROP, *_MAP}))
 
 
 def canonical_text(text: str) -> str:
     """The same mapping for single strings in Python; tests hold both against each other."""
     if text.isascii():
         return text
-    mapped = _MAPPED.search(text)
-    text = unicodedata.normalize("NFC", text.translate(_DROP) if mapped else text)
+    mapped = not _MAPPED.isdisjoint(text)
+    found = unicodedata.normalize("NFC", text.translate(_DROP) if mapped else text)
     for old, new in _SEQUENCES.items():
-        if old in text:
-            text = text.replace(old, new)
+        if old in found:
+            found = found.replace(old, new)
     # what composing brings about may be mapped too
-    return unicodedata.normalize("NFC", text.translate(_MAP)) if mapped or _MAPPED.search(text) else text
+    return unicodedata.normalize("NFC", found.translate(_MAP)) if mapped or (found != text and not _MAPPED.isdisjoint(found)) else found
 
 
 def canonicalise(frame: DataFrame, text: str, out: str = "canonical") -> DataFrame:
