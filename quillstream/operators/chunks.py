@@ -41,6 +41,8 @@ def chunk_id(path, ordinal):
     return F.sha2(F.concat(path, F.lit("\0"), ordinal.cast("string")), 256)
 
 
+# A fixed value: how the error of a document begins.
+FAILED = "unexpected reconstruction failure - "
 _OUT = "path string, target_lang string, markdown string, chunks int, repaired array<int>, untranslated array<int>, error string"
 
 
@@ -96,7 +98,7 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
                 new.append((c.start, c.stop, spliced))
             out["markdown"], out["chunks"] = markdown.rebuild(row["body"], new), len(attempts)
         except Exception as fault:  # noqa: BLE001 - a document's fault is its own
-            out["error"] = f"unexpected reconstruction failure - {fault}"
+            out["error"] = FAILED + str(fault)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

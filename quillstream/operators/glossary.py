@@ -8,12 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream.functions.skew import lookup_join
 from quillstream.functions.text import whole_word, word_start
 from quillstream.model import GLOSSARY
+from quillstream.sources.shared import ensure_checkpoint_dir
 
 # How a hint begins.
 VERBATIM = "These terms must appear verbatim, untranslated, in the output: "
 RENDERED = "These source terms must be rendered exactly as specified: "
+# What a warning says around the term, its rendering and the language.
+TERM_LOST = ("Glossary term '", "' was expected verbatim in the translation but was not found.")
+MAPPING_LOST = ("Glossary mapping '", "' -> '", "' (", ") was not found in the translation.")
 #: A glossary of more terms isn't broadcast but joined by shuffle.
 BROADCAST_TERMS = 100_000
 
@@ -63,6 +68,20 @@ def hints(terms: DataFrame, langs: list[str]) -> DataFrame:
     return both.select("target_lang", F.concat(first, second).alias("hint"))
 
 
+def _met_by_shuffle(rows: DataFrame, known: DataFrame, words: Column, own: Column) -> DataFrame:
+    """Pairs with the terms whose first word they have. Only numbers and words are shuffled, those that no term begins with fall
+    away, a word that very many pairs have is no hot task, and the texts come back to the few that met a term."""
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    ensure_checkpoint_dir(rows.sparkSession)
+    numbered = numbered.checkpoint()
+    single = numbered.select("row", "lang", F.explode(words).alias("word"))
+    counts = single.groupBy("word").agg(F.count("*").alias("n"))
+    fields = ["term_id", "term_kind", "term_lang", "src", "tgt", "case_sensitive"]
+    of_word = known.groupBy("word").agg(F.collect_list(F.struct(*fields)).alias("terms")).join(counts, "word")
+    met = lookup_join(single, of_word, ["word"], "n").select("row", "lang", F.explode("terms").alias("t")).select("row", "lang", "t.*").where(own)
+    return met.drop("lang").join(numbered, "row")
+
+
 def warnings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """``pairs`` (id, path, target_lang, source_text, translated_text) with a warning for each term that is a whole word of the
     source but missing in the translation: verbatim terms as whole words, renderings at a word's start.
@@ -70,18 +89,19 @@ def warnings(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     A pair meets only the terms whose first word it has: its distinct words are the join key, no product of pairs and terms.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("source_text"), r"(?U)[^\p{L}\p{M}\p{N}_]+"), lambda w: w != ""))
-    rows = pairs.where("source_text is not null and translated_text is not null").withColumn("lang", lang_code(F.col("target_lang")))
-    keyed = rows.withColumn("word", F.explode(words))
+    rows = pairs.where("source_text is not null and translated_text is not null").select("id", "path", "target_lang", "source_text", "translated_text", lang_code(F.col("target_lang")).alias("lang"))
     first = F.get(F.filter(F.split(F.lower("src"), r"(?U)[^\p{L}\p{M}\p{N}_]+"), lambda w: w != ""), F.lit(0))
     known = usable(terms).withColumn("word", first).where("word is not null").withColumnRenamed("lang", "term_lang")
+    own = (F.col("term_kind") == "dont_translate") | (F.col("term_lang") == F.col("lang"))
     if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
-    met = keyed.join(known, "word").where("term_kind = 'dont_translate' or term_lang = lang")
+        met = rows.withColumn("word", F.explode(words)).join(F.broadcast(known), "word").where(own)
+    else:
+        met = _met_by_shuffle(rows, known, words, own)
     here = F.rlike("source_text", whole_word(F.col("src"), F.col("case_sensitive")))
     verbatim = F.rlike("translated_text", whole_word(F.col("src"), F.col("case_sensitive")))
     rendered = F.rlike("translated_text", word_start(F.col("tgt"), F.col("case_sensitive")))
     lost = met.where(here & F.when(F.col("term_kind") == "dont_translate", ~verbatim).otherwise(~rendered))
-    text = F.when(F.col("term_kind") == "dont_translate", F.concat(F.lit("Glossary term '"), "src", F.lit("' was expected verbatim in the translation but was not found."))).otherwise(
-        F.concat(F.lit("Glossary mapping '"), "src", F.lit("' -> '"), "tgt", F.lit("' ("), "target_lang", F.lit(") was not found in the translation."))
+    text = F.when(F.col("term_kind") == "dont_translate", F.concat(F.lit(TERM_LOST[0]), "src", F.lit(TERM_LOST[1]))).otherwise(
+        F.concat(F.lit(MAPPING_LOST[0]), "src", F.lit(MAPPING_LOST[1]), "tgt", F.lit(MAPPING_LOST[2]), "target_lang", F.lit(MAPPING_LOST[3]))
     )
     return lost.select("id", "path", "target_lang", "term_id", "term_kind", text.alias("warning"))

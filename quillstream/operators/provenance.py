@@ -14,6 +14,7 @@ REQUIRED = {"source-hash": "source_hash", "source-path": "source_path", "target-
 NO_HEADER = "No provenance header found in existing translation."
 CHANGED = "Source file changed since this translation was generated."
 FRESH = "Up to date."
+GONE = ("Source file '", "' no longer exists.")
 
 
 def header(source_hash: Column, path: Column, lang: Column, generated_raw: Column, prefix: str = HEADER_PREFIX) -> Column:
@@ -57,7 +58,7 @@ def verdict(parsed: Column, exists: Column, path: Column, current_hash: Column)
     """Whether a translation is stale, and why, in this order: no header, no source, same hash, another hash."""
     fresh = F.coalesce(parsed.getField("source_hash") == current_hash, F.lit(False))
     stale = parsed.isNull() | ~exists | ~fresh
-    gone = F.concat(F.lit("Source file '"), path, F.lit("' no longer exists."))
+    gone = F.concat(F.lit(GONE[0]), path, F.lit(GONE[1]))
     return stale, F.when(parsed.isNull(), NO_HEADER).when(~exists, gone).when(fresh, FRESH).otherwise(CHANGED)
 
 

@@ -141,6 +141,15 @@ def test_glossary_warnings(spark, source, answer, lang, ids):
     assert sorted(r.term_id for r in glossary.warnings(pairs, terms).collect()) == ids
 
 
+def test_glossary_by_shuffle(spark, monkeypatch):
+    terms = spark.createDataFrame(TERMS, TERM_SCHEMA)
+    rows_ = [(n % 3, "p", ["tr", "de"][n % 2], "Use the API of a repository and a cold start on github", ["x", "API depo", "soğuk açılış GitHub"][n % 3]) for n in range(12)]
+    pairs = spark.createDataFrame(rows_, "id int, path string, target_lang string, source_text string, translated_text string").withColumn("row", F.lit("clash"))
+    want = sorted(map(tuple, glossary.warnings(pairs, terms).collect()), key=repr)
+    monkeypatch.setattr(glossary, "BROADCAST_TERMS", 1)
+    assert sorted(map(tuple, glossary.warnings(pairs, terms).collect()), key=repr) == want and len(want) > 12
+
+
 def test_glossary_hints_and_load(spark):
     hints = {r.target_lang: r.hint for r in glossary.hints(spark.createDataFrame(TERMS, TERM_SCHEMA), ["tr", "de"]).collect()}
     assert hints["de"] == glossary.VERBATIM + "API, GitHub. "
