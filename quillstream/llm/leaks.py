@@ -49,6 +49,8 @@ _NUMBERED = re.compile(r"^[ \t>]*\d{1,9}[.)](?=[ \t])", re.M)
 #: Words by which a match may be told from another at the same keys: those that verification may look at.
 _BEFORE, _BEHIND = 16, 32
 _MASK = (1 << 20) - 1
+#: Items that a key's list holds at most, or about.
+ITEMS_OF_KEY = 1000
 #: Bits of the map of item keys that goes to all workers.
 _MAP_BITS = 27
 _NO_SPACES = ("CJK", "HIRAGANA", "KATAKANA", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN", "BOPOMOFO")
@@ -428,10 +430,14 @@ def _by_shuffle(frame: DataFrame, held: DataFrame, min_words: int, max_edits: in
     for row in item_keys.select("key").coalesce(16).mapInArrow(mapped, "bits binary").toLocalIterator():
         every |= np.frombuffer(row.bits, np.uint8)
     doc_keys = frame.mapInArrow(keyed(spark.sparkContext.broadcast(every)), "id long, key long").withColumnRenamed("id", "doc_id")
-    # a key that very many documents have is no hot task: items meet it by its weight
+    # items of a key go in blocks, and documents to each of its blocks; neither a key of very many documents nor one of very many
+    # items is a hot task or a long list
     weight = doc_keys.groupBy("key").agg(F.count("*").alias("_n"))
-    of_key = item_keys.groupBy("key").agg(F.collect_set("id").alias("items")).join(weight, "key")
-    met = lookup_join(doc_keys, of_key, ["key"], "_n").select("doc_id", F.explode("items").alias("item_id")).distinct()
+    blocks = item_keys.groupBy("key").agg(F.ceil(F.count("*") / ITEMS_OF_KEY).cast("int").alias("blocks")).join(weight, "key")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    of_block = lookup_join(item_keys, blocks.withColumn("w", F.col("blocks").cast("long") * ITEMS_OF_KEY), ["key"], "w").groupBy("key", block.alias("block")).agg(F.collect_set("id").alias("items"), F.first("_n").alias("_n"))
+    asked = lookup_join(doc_keys, blocks, ["key"], "_n").select("doc_id", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = lookup_join(asked, of_block, ["key", "block"], "_n").select("doc_id", F.explode("items").alias("item_id")).distinct()
     met = checkpoint(met)
     with_item = lookup_join(met, held.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")).join(met.groupBy("item_id").agg(F.count("*").alias("_n")), "item_id"), ["item_id"], "_n")
     rows = with_item.join(frame, "doc_id").select("doc_id", "item_id", "text", "item_text")

@@ -421,8 +421,9 @@ def test_leaks_against_brute_force(spark, monkeypatch):
             want |= {(d, i) for i in index.get(tuple(w[k : k + 12]), ())}
     corpus = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("id", F.lit("clash"))
     held = spark.createDataFrame(items, "item_id long, text string")
-    for most in (16_000_000, 0):  # the items in one index, and by shuffle
+    for most, listed in ((16_000_000, 1000), (0, 1000), (0, 1)):  # the items in one index, and by shuffle
         monkeypatch.setattr(leaks, "BLOCK_CHARS", most)
+        monkeypatch.setattr(leaks, "ITEMS_OF_KEY", listed)
         found = leaks.leaks(corpus, "doc_id", "text", held, "item_id", "text")
         assert sorted((r.doc_id, r.item_id) for r in found.where("edits = 0").collect()) == sorted(want) and len(want) > 30
         assert found.where("item_id = 97").first().words == 300
