@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.llm import dictcopies, langid, leaks, lookalike, packing, pairs, splitting
 from quillstream.llm.common import checkpoint, table
-from quillstream.sources.shared import spread
+from quillstream.sources.shared import ensure_checkpoint_dir, spread
 
 
 def label_code(label: Column) -> Column:
@@ -126,6 +127,13 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """All pages as a few large files of the shared folder, cut by ranges of bytes that tasks seek to; doc_id is the file's number."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/p7-files-{uuid.uuid4().hex}"
+    return splitting.split_files(spark, splitting.files_of(table(spark, d, "documents"), "doc_id", "text", folder))
+
+
 def p7_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every text put together again from its pieces without their overlaps; whether all are within the limit and overlap as asked."""
     pieces = p7_pieces(spark, d)
@@ -150,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_near": p6_near,
     "p7_pieces": p7_pieces,
+    "p7_files": p7_files,
     "p7_whole": p7_whole,
 }
 

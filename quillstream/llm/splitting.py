@@ -35,6 +35,7 @@ from pyspark.sql.window import Window
 
 from quillstream.llm import tokens
 from quillstream.llm.common import checkpoint
+from quillstream.sources.storage import file_system
 
 LIMIT, OVERLAP = 512, 64
 RANGE_BYTES, HALO_BYTES = 1 << 16, 1 << 14
@@ -459,3 +460,14 @@ def split_files(spark: SparkSession, files: list[tuple[int, str, int]], limit: i
     """The same of files (key, path or URI, size in bytes) of a shared folder; no file is loaded whole."""
     listed = spark.createDataFrame(files, "key long, path string, size long")
     return _named(split_giant(listed.select("key", "size"), file_reader(listed), limit, overlap, range_bytes, halo, path, stretch))
+
+
+def files_of(frame: DataFrame, key: str, text: str, folder: str, file_bytes: int = 1 << 26) -> list[tuple[int, str, int]]:
+    """Writes all texts in order of their keys, a blank line behind each, as large files of a shared folder; number, place and size of each file."""
+    spark = frame.sparkSession
+    rows = frame.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("value"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    rows.repartitionByRange(1 + total // file_bytes, "key").sortWithinPartitions("key").select("value").write.option("lineSep", "\n\n").text(folder)
+    system, where = file_system(spark, folder)
+    found = sorted((s.getPath().toString(), s.getLen()) for s in system.listStatus(where) if s.getPath().getName().startswith("part-"))
+    return [(n, re.sub("^file:/+", "/", path), size) for n, (path, size) in enumerate(found) if size]

@@ -562,6 +562,16 @@ def test_giant_texts_are_cut_as_small_ones(spark, data, tmp_path):
     assert {r.doc_id for r in splitting.split(spark.createDataFrame([(None, "x" * 9000)], "doc_id long, text string"), "doc_id", "text", whole_bytes=3000).collect()} == {None}
 
 
+def test_files_of_pages(spark, data, tmp_path):
+    """All pages as large files, split and put together again."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**9, None)], "doc_id long, text string"))
+    listed = splitting.files_of(docs, "doc_id", "text", f"file://{tmp_path}/files", 100_000)
+    pieces = splitting.split_files(spark, listed, range_bytes=20_000, halo=4096, stretch=8).orderBy("doc_id", "piece_no").collect()
+    want = "".join(r.text + "\n\n" for r in docs.where("text is not null").orderBy("doc_id").collect())
+    assert len(listed) > 1 and "".join(r.text[r.new_from - r.start :] for r in pieces) == want
+    assert splitting.files_of(docs.limit(0), "doc_id", "text", f"{tmp_path}/none") == []
+
+
 def test_a_file_of_100_mb(spark, tmp_path):
     rng = random.Random(9)
     lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "日本"]) for _ in range(rng.randrange(3, 14))) + rng.choice([".", ".", ";"]) + rng.choice(["\n", "\n\n", "\r\n\r\n"]) for _ in range(3000)]
