@@ -6,10 +6,11 @@ boundary table: length, tokens and kind of each of its lines. Stitching joins th
 ranges share becomes one again, fences are counted through, lengths and tokens become prefix sums. Pieces are chosen on
 the sums and cut out by offset. So the pieces do not depend on the ranges' size.
 
-A text up to ``WHOLE_BYTES`` has all its ranges in one task. A larger one, in a column or a file, has them in many: totals of
-the ranges are summed up, which gives each its offset in characters and tokens and its fence; at every ``STRETCH``-th
-piece's worth of tokens an anchor is set, where a piece ends in any case, by a rule that needs no more than the halo; and
-each stretch between two anchors is read by its offsets and cut by the same code. Small texts have anchors at the same places.
+A text up to ``WHOLE_BYTES`` has all its ranges in one task. A larger one, in a column or a file, has them in many: lengths and
+fences of the ranges are summed up, which gives each its offset in characters and the fence it begins in; behind every
+multiple of ``STRETCH_BYTES`` an anchor is set, where a piece ends in any case, by a rule that needs no more than the halo;
+each stretch between two anchors is read by its offsets and its pieces are chosen by the same code; their numbers are summed
+up, and the pieces are read and put out by offset. Small texts have anchors at the same places.
 
 A piece ends at the last block boundary (blank line outside fenced code) in its upper half; failing that at
 a line, a sentence, a pretoken. The next piece begins before that end by the longest run of whole pretokens of at most
@@ -31,6 +32,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillstream.llm import tokens
@@ -41,8 +43,10 @@ LIMIT, OVERLAP = 512, 64
 RANGE_BYTES, HALO_BYTES = 1 << 16, 1 << 14
 #: A larger text is read by several tasks.
 WHOLE_BYTES = 1 << 23
-#: Limits of tokens between two anchors.
-STRETCH = 256
+#: Bytes between two anchors, about.
+STRETCH_BYTES = 1 << 19
+#: Bytes that a task reads of a file, about.
+TASK_BYTES = 1 << 24
 
 _BLANK = re.compile(r"\s*\n[ \t\r]*\n")
 _SENTENCE_END = re.compile(r"[.!?。！？…][\"'”»」』）)\]*_`]*$")
@@ -52,12 +56,12 @@ BLANK_BEFORE, FENCE = 1, 2
 
 
 class Splitter:
-    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> None:
+    def __init__(self, limit: int = LIMIT, overlap: int = OVERLAP, path: str = tokens.VOCABULARY, stretch: int = STRETCH_BYTES) -> None:
         if not 0 <= overlap <= limit // 2 or limit < 8:
             raise ValueError("0 <= overlap <= limit / 2 and limit >= 8")
         import regex
 
-        self.limit, self.overlap, self.counter, self.grid = limit, overlap, tokens.counter(path), stretch * limit
+        self.limit, self.overlap, self.counter, self.grid = limit, overlap, tokens.counter(path), stretch
         self.pretokens = regex.compile(tokens.PATTERN).findall
         self.word_ends = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})").finditer
         #: A pretoken of more tokens is cut into chunks of characters; a character has at most four bytes and so tokens.
@@ -76,9 +80,9 @@ class Splitter:
                 sums.append(sums[-1] + (n if len(parts) == 1 else self.counter.unit(part)))
         return offsets, sums, inside
 
-    def detect(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """The boundary table of a range: length, tokens and kind of each line."""
-        lengths, counts, kinds, unit = [], [], [], self.counter.unit
+    def detect(self, text: str, count: bool = True) -> tuple[list[int], list[int], list[int]]:
+        """The boundary table of a range: length, tokens (unless they don't ``count``) and kind of each line."""
+        lengths, counts, kinds, unit = [], [], [], self.counter.unit if count else len
         for part in tokens.lines(text):
             bare = part.lstrip()
             lengths.append(len(part))
@@ -113,9 +117,9 @@ class Splitter:
         stop = max(start, stop)
         return data[start:stop].decode("utf-8", "replace"), begins, start, stop, next_begins
 
-    def stitched(self, tables: list[tuple], fenced: bool = False, before: int = 0) -> tuple[list[int], list[int], list[int], list[bool]]:
+    def stitched(self, tables: list[tuple], fenced: bool = False) -> tuple[list[int], list[int], list[int], list[bool]]:
         """Offsets, token sums, levels and fences at the lines of ranges (boundary table, whether a line begins with it), in order."""
-        at, sums, level, inside = [0], [before], [3 if not tables or tables[0][1] else 0], []
+        at, sums, level, inside = [0], [0], [3 if not tables or tables[0][1] else 0], []
         for table, begins in tables:
             joins = not begins and len(at) > 1
             for length, count, kind in zip(*table, strict=True):
@@ -153,7 +157,8 @@ class Splitter:
         """(start, new_from, end, tokens) of each piece."""
         run = _Run(self, text, *self.stitched(self.ranges(text, range_bytes, halo))[:3])
         found, begin = [], 0
-        for end in [*(a for a, _ in run.anchors(self.grid, run.sums[-1], run.sums[-1], halo)), len(text)]:
+        size = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")) if 4 * len(text) > self.grid else 0
+        for end in [*(a for a, _ in run.anchors(0, size, size, halo)), len(text)]:
             found += run.pieces(begin, end)
             begin = end
         return found
@@ -212,27 +217,34 @@ class _Run:
             n -= 1
         return start
 
-    def anchors(self, grid: int, upto: int, total: int, halo: int) -> list[tuple[int, int]]:
-        """(offset, line) of the anchor behind each multiple of ``grid`` tokens that lies below ``upto``; none near the end of the text.
+    def anchors(self, first: int, upto: int, size: int, halo: int) -> list[tuple[int, int]]:
+        """(offset, line) of the anchor behind each multiple of the grid's bytes below ``upto``, the run beginning at byte ``first`` of a
+        text of ``size`` bytes; none near its end.
 
-        Of the lines that begin within half a limit of tokens behind the multiple it is the first of the best level;
+        Of the lines that begin within an eighth of a halo of characters behind the multiple it is the first of the best level;
         where none begins, the next pretoken.
         """
-        found, limit = [], self.own.limit
-        for target in range((self.sums[0] + grid - 1) // grid * grid or grid, upto, grid):
-            if target + limit > total:
+        grid, found = self.own.grid, []
+        start = max(grid, -(-first // grid) * grid)
+        if start >= upto or start + grid // 4 > size:
+            return found
+        bytes_at = [first]
+        for n in range(self.lines):
+            bytes_at.append(bytes_at[-1] + len(self.part(n).encode("utf-8", "surrogatepass")))
+        for target in range(start, upto, grid):
+            if target + grid // 4 > size:
                 break
-            n = bisect_right(self.sums, target) - 1
+            n = bisect_right(bytes_at, target) - 1
             if n >= self.lines:
                 break
             place = self.at[n]
-            if self.sums[n] < target:
-                offsets, sums, _ = self.look(n)
-                k = bisect_left(sums, target - self.sums[n])
+            if bytes_at[n] < target:
+                part, offsets = self.part(n), self.look(n)[0]
+                k = bisect_left(offsets, target - bytes_at[n], key=lambda o, p=part: len(p[:o].encode("utf-8", "surrogatepass")))
                 place = self.at[n] + offsets[k] if k < len(offsets) else self.at[n + 1]
             best = (0, place, n)
-            m = n if self.sums[n] == target else n + 1
-            while m < self.lines and self.sums[m] < target + limit // 2 and self.at[m] - place <= halo // 8:
+            m = n if bytes_at[n] == target else n + 1
+            while m < self.lines and self.at[m] - place <= halo // 8:
                 if self.level[m] > best[0]:
                     best = (self.level[m], self.at[m], m)
                 m += 1
@@ -340,8 +352,11 @@ def column_reader(frame: DataFrame) -> Reader:
     return read
 
 
-def file_reader(files: DataFrame) -> Reader:
-    """Of files in any storage that Arrow reads (key, path or URI): each task seeks to its part and reads no more than that."""
+def file_reader(files: DataFrame, tasks: int) -> Reader:
+    """Of files in any storage that Arrow reads (key, path or URI): each task seeks to its part and reads no more than that.
+
+    The rows are small before the bytes are there, so the number of ``tasks`` isn't left to their size.
+    """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -354,18 +369,19 @@ def file_reader(files: DataFrame) -> Reader:
                 yield pa.RecordBatch.from_arrays([*batch.slice(n, 1).drop_columns(["path"]).columns, pa.array([data], pa.binary())], names=[*(c for c in batch.schema.names if c != "path"), "data"])
 
     def read(spans: DataFrame) -> DataFrame:
-        named = spans.join(files.select("key", "path"), "key").select(*spans.columns, "path").repartition("key", "no")
-        return named.mapInArrow(fetch, ", ".join(f"{n} {t}" for n, t in [*spans.dtypes, ("data", "binary")]))
+        named = spans.join(files.select("key", "path"), "key").select(*spans.columns, "path").repartition(tasks, "key", "no")
+        schema = StructType([*spans.schema.fields, StructField("data", BinaryType())])
+        return named.mapInArrow(fetch, schema)
 
     return read
 
 
-def split_giant(sizes: DataFrame, read: Reader, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+def split_giant(sizes: DataFrame, read: Reader, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH_BYTES) -> DataFrame:
     """The pieces (columns of ``OUT``) of texts (key, size in bytes) that ``read`` reads in parts."""
     count = F.greatest(F.lit(1), F.ceil(F.col("size") / range_bytes)).cast("int")
     spans = sizes.select("key", "size", count.alias("ranges")).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
     nominal = F.col("no").cast("long") * range_bytes
-    spans = spans.select("key", "no", "ranges", F.greatest(F.lit(0), nominal - halo).alias("first"), F.least("size", nominal + range_bytes + halo).alias("stop"))
+    spans = spans.select("key", "no", "ranges", "size", F.greatest(F.lit(0), nominal - halo).alias("first"), F.least("size", nominal + range_bytes + halo).alias("stop"))
 
     def own_range(own: Splitter, row: dict) -> tuple[str, bool, int, int, bool]:
         return own.segment(row["data"], row["no"] * range_bytes - row["first"], row["no"] == 0, row["no"] == row["ranges"] - 1, range_bytes, halo)
@@ -374,20 +390,18 @@ def split_giant(sizes: DataFrame, read: Reader, limit: int = LIMIT, overlap: int
         own = Splitter(limit, overlap, path, stretch)
         for batch in batches:
             for row in batch.to_pylist():
-                text, begins, start, *_ = own_range(own, row)
-                lengths, counts, kinds = own.detect(text)
+                text, begins, start, stop, _ = own_range(own, row)
+                lengths, _, kinds = own.detect(text, count=False)
                 fences = sum(1 for n, k in enumerate(kinds) if k & FENCE and (n or begins))
-                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "no": pa.array([row["no"]], pa.int32()), "at": [row["first"] + start], "chars": [sum(lengths)], "tokens": [sum(counts)], "fences": pa.array([fences], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "no": pa.array([row["no"]], pa.int32()), "from": [row["first"] + start], "upto": [row["first"] + stop], "chars": [sum(lengths)], "fences": pa.array([fences], pa.int32())})
 
-    table = checkpoint(read(spans).mapInArrow(detect, "key long, no int, at long, chars long, tokens long, fences int"))
+    table = checkpoint(read(spans).mapInArrow(detect, "key long, no int, from long, upto long, chars long, fences int"))
     whole = Window.partitionBy("key")
     before = whole.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    placed = table.select("key", "no", "chars", "tokens", so_far("chars").alias("char_at"), so_far("tokens").alias("token_at"), (so_far("fences") % 2 == 1).alias("fenced"), F.sum("tokens").over(whole).alias("total"))
-    grid = stretch * limit
+    placed = table.select("key", "no", "from", "upto", so_far("chars").alias("char_at"), (so_far("fences") % 2 == 1).alias("fenced"))
     # ranges that hold a multiple of the grid
-    next_multiple = F.greatest(F.lit(1), F.ceil(F.col("token_at") / grid)) * grid
-    holding = placed.where((next_multiple < F.col("token_at") + F.col("tokens")) & (next_multiple + limit <= F.col("total")))
+    holding = placed.where(F.greatest(F.lit(1), F.ceil(F.col("from") / stretch)) * stretch < F.col("upto"))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Splitter(limit, overlap, path, stretch)
@@ -395,54 +409,63 @@ def split_giant(sizes: DataFrame, read: Reader, limit: int = LIMIT, overlap: int
             for row in batch.to_pylist():
                 text, begins, start, stop, next_begins = own_range(own, row)
                 behind = row["data"][stop:].decode("utf-8", "ignore")
-                at, sums, level, inside = own.stitched([(own.detect(text), begins), (own.detect(behind), next_begins)], row["fenced"], row["token_at"])
+                at, sums, level, inside = own.stitched([(own.detect(text, count=False), begins), (own.detect(behind, count=False), next_begins)], row["fenced"])
                 run = _Run(own, text + behind, at, sums, level)
-                found = run.anchors(grid, row["token_at"] + row["tokens"], row["total"], halo)
+                found = run.anchors(row["from"], row["upto"], row["size"], halo)
                 # a fence that begins with the line of an anchor inside it counts as open behind the anchor
                 fenced = [inside[n] if run.at[n] == a else inside[n + 1] for a, n in found]
                 yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array([row["key"]] * len(found), pa.int64()), "at": pa.array([row["first"] + start + len(run.text[:a].encode()) for a, _ in found], pa.int64()), "char_at": pa.array([row["char_at"] + a for a, _ in found], pa.int64()), "fenced": pa.array(fenced, pa.bool_()), "begins": pa.array([run.at[n] == a and level[n] > 0 for a, n in found], pa.bool_())}
+                    {"key": pa.array([row["key"]] * len(found), pa.int64()), "at": pa.array([row["from"] + len(run.text[:a].encode()) for a, _ in found], pa.int64()), "char_at": pa.array([row["char_at"] + a for a, _ in found], pa.int64()), "fenced": pa.array(fenced, pa.bool_()), "begins": pa.array([run.at[n] == a and level[n] > 0 for a, n in found], pa.bool_())}
                 )
 
-    asked = spans.join(holding.select("key", "no", "char_at", "token_at", "tokens", "total", "fenced"), ["key", "no"])
+    asked = spans.join(holding.select("key", "no", "from", "upto", "char_at", "fenced"), ["key", "no"])
     later = checkpoint(read(asked).mapInArrow(anchor, "key long, at long, char_at long, fenced boolean, begins boolean"))
     starts = sizes.select("key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("char_at"), F.lit(False).alias("fenced"), F.lit(True).alias("begins")).unionByName(later).join(sizes.select("key", "size"), "key")
     order = whole.orderBy("at")
     stretches = starts.select("key", (F.row_number().over(order) - 1).cast("int").alias("no"), F.greatest(F.lit(0), F.col("at") - halo).alias("first"), F.coalesce(F.lead("at").over(order), "size").alias("stop"), "at", "char_at", "fenced", "begins")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def text_of(own: Splitter, row: dict) -> tuple[str, str]:
+        """What serves as overlap, from the first sure end of a word in the halo on, and the stretch's own text."""
+        cut = row["at"] - row["first"]
+        lead, body = row["data"][:cut], row["data"][cut:].decode("utf-8", "replace")
+        while row["first"] and lead and lead[0] & 0xC0 == 0x80:
+            lead = lead[1:]
+        tail = lead.decode("utf-8", "replace")
+        return tail[next((m.start() for m in own.word_ends(tail) if m.start()), len(tail)) :] if row["first"] else tail, body
+
+    lists = ("starts", "news", "ends", "tokens")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Splitter(limit, overlap, path, stretch)
         for batch in batches:
             for row in batch.to_pylist():
-                cut = row["at"] - row["first"]
-                lead, body = row["data"][:cut], row["data"][cut:].decode("utf-8", "replace")
-                while row["first"] and lead and lead[0] & 0xC0 == 0x80:
-                    lead = lead[1:]
-                tail = lead.decode("utf-8", "replace")
-                if row["first"]:  # the overlap begins behind the first sure end of a word
-                    place = next((m.start() for m in own.word_ends(tail) if m.start()), len(tail))
-                    tail = tail[place:]
+                tail, body = text_of(own, row)
                 tables = [(own.detect(tail), True)] if tail else []
                 fences = sum(k & FENCE > 0 for k in tables[0][0][2]) if tables else 0
                 # the fence of the stretch's first line is known; those before it only turn it
                 at, sums, level, _ = own.stitched([*tables, (own.detect(body), row["begins"])], row["fenced"] ^ (fences % 2 == 1))
-                run = _Run(own, tail + body, at, sums, level)
-                shift = row["char_at"] - len(tail)
-                found = run.pieces(len(tail), len(run.text))
-                yield _rows([(row["key"], row["no"], n, a + shift, b + shift, c + shift, t, run.text[a:c]) for n, (a, b, c, t) in enumerate(found)])
+                found = _Run(own, tail + body, at, sums, level).pieces(len(tail), len(tail) + len(body))
+                yield pa.RecordBatch.from_pydict({"key": [row["key"]], "no": pa.array([row["no"]], pa.int32()), **{name: pa.array([[f[n] for f in found]], pa.list_(pa.int32())) for n, name in enumerate(lists)}})
+
+    chosen = checkpoint(read(stretches).mapInArrow(choose, "key long, no int, " + ", ".join(f"{n} array<int>" for n in lists)))
+    numbered = chosen.withColumn("number", F.coalesce(F.sum(F.size("starts")).over(before), F.lit(0)).cast("int"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Splitter(limit, overlap, path, stretch)
+        for batch in batches:
+            for row in batch.to_pylist():
+                tail, body = text_of(own, row)
+                text, shift = tail + body, row["char_at"] - len(tail)
+                yield _rows([(row["key"], row["no"], row["number"] + n, a + shift, b + shift, c + shift, t, text[a:c]) for n, (a, b, c, t) in enumerate(zip(*(row[x] for x in lists), strict=True))])
 
-    pieces = checkpoint(read(stretches).mapInArrow(emit, OUT))
-    counts = pieces.groupBy("key", "stretch_no").agg(F.count("*").alias("n"))
-    earlier = whole.orderBy("stretch_no").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("key", "stretch_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return pieces.join(firsts, ["key", "stretch_no"]).withColumn("local_no", (F.col("local_no") + F.col("before")).cast("int")).drop("before")
+    return read(stretches.join(numbered, ["key", "no"])).mapInArrow(emit, OUT)
 
 
 def _named(pieces: DataFrame) -> DataFrame:
     return pieces.select(F.col("key").alias("doc_id"), F.col("local_no").alias("piece_no"), "start", "new_from", "stop", "tokens", "text")
 
 
-def split(frame: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def split(frame: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH_BYTES, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """doc_id, piece_no, start, new_from, stop (in characters), tokens, text of each piece; start < new_from where it overlaps the one before."""
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("text is not null")
     size = F.octet_length("text")
@@ -456,10 +479,11 @@ def split(frame: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: in
     return _named(here)
 
 
-def split_files(spark: SparkSession, files: list[tuple[int, str, int]], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+def split_files(spark: SparkSession, files: list[tuple[int, str, int]], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, path: str = tokens.VOCABULARY, stretch: int = STRETCH_BYTES) -> DataFrame:
     """The same of files (key, path or URI, size in bytes) of a shared folder; no file is loaded whole."""
     listed = spark.createDataFrame(files, "key long, path string, size long")
-    return _named(split_giant(listed.select("key", "size"), file_reader(listed), limit, overlap, range_bytes, halo, path, stretch))
+    tasks = max(spark.sparkContext.defaultParallelism, sum(f[2] for f in files) // TASK_BYTES)
+    return _named(split_giant(listed.select("key", "size"), file_reader(listed, tasks), limit, overlap, range_bytes, halo, path, stretch))
 
 
 def files_of(frame: DataFrame, key: str, text: str, folder: str, file_bytes: int = 1 << 26) -> list[tuple[int, str, int]]:

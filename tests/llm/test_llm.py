@@ -534,7 +534,7 @@ def test_pieces_do_not_depend_on_the_ranges(data):
     rng = random.Random(7)
     texts = [r[0] for r in duckdb.sql(f"select text from '{data}/documents.parquet'").fetchall()]
     texts += ["", "a", "x" * 5000, "日本語" * 500, "a b " * 3000, "```\n" + "code line\n\n" * 900 + "```\n\nend", "語" * 9000 + "\r\n\r\n" + "ab " * 3000, *("".join(rng.choice("a \n\t.\r。é`'1") for _ in range(3000)) for _ in range(20))]
-    for limit, overlap, stretch in ((512, 64, 256), (64, 16, 8), (128, 32, 3)):
+    for limit, overlap, stretch in ((512, 64, 1 << 19), (64, 16, 1500), (128, 32, 1000)):
         own = splitting.Splitter(limit, overlap, stretch=stretch)
         for text in texts:
             want = own.split(text, 1 << 26, 2048)
@@ -549,7 +549,7 @@ def _as_tuples(found):
 def test_giant_texts_are_cut_as_small_ones(spark, data, tmp_path):
     """Texts whose ranges lie in many tasks, from a column and from files, against the same texts in one task."""
     df = spark.read.parquet(f"{data}/documents.parquet").where("n_chars > 3000").select("doc_id", "text").union(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "語" * 500 + "\r\n\r\n" + "ab " * 3000), (10**6 + 3, "```\n" + "code line\n\n" * 900 + "```\n\nend")], "doc_id long, text string"))
-    args = {"limit": 128, "overlap": 32, "halo": 2048, "stretch": 3}
+    args = {"limit": 128, "overlap": 32, "halo": 2048, "stretch": 1000}
     want = _as_tuples(splitting.split(df, "doc_id", "text", **args).collect())
     assert _as_tuples(splitting.split(df.withColumn("key", F.lit("clash")), "doc_id", "text", range_bytes=4096, whole_bytes=3000, **args).collect()) == want
     assert {w[0] for w in want} == {r.doc_id for r in df.where("text is not null").collect()}
@@ -566,7 +566,7 @@ def test_files_of_pages(spark, data, tmp_path):
     """All pages as large files, split and put together again."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**9, None)], "doc_id long, text string"))
     listed = splitting.files_of(docs, "doc_id", "text", f"file://{tmp_path}/files", 100_000)
-    pieces = splitting.split_files(spark, listed, range_bytes=20_000, halo=4096, stretch=8).orderBy("doc_id", "piece_no").collect()
+    pieces = splitting.split_files(spark, listed, range_bytes=20_000, halo=4096, stretch=9000).orderBy("doc_id", "piece_no").collect()
     want = "".join(r.text + "\n\n" for r in docs.where("text is not null").orderBy("doc_id").collect())
     assert len(listed) > 1 and "".join(r.text[r.new_from - r.start :] for r in pieces) == want
     assert splitting.files_of(docs.limit(0), "doc_id", "text", f"{tmp_path}/none") == []
