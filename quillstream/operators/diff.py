@@ -10,8 +10,14 @@ from quillstream.functions.text import glob_regex, sha256_hex, slashes
 
 def snapshot(frame: DataFrame, path: Column, body: Column, order: Column) -> DataFrame:
     """path, source_hash: the latest version of each path. Rows without a path are no files. Only hashes are shuffled."""
-    rows = frame.select(path.alias("path"), sha256_hex(F.encode(body, "UTF-8")).alias("source_hash"), order.alias("order")).where("path is not null")
-    return rows.groupBy("path").agg(F.max(F.struct("order", "source_hash")).getField("source_hash").alias("source_hash"))
+    return latest(frame, path, sha256_hex(F.encode(body, "UTF-8")).alias("source_hash"), order)
+
+
+def latest(frame: DataFrame, path: Column, value: Column, order: Column) -> DataFrame:
+    """path and the named ``value`` of the latest version of each path; the value is taken before the shuffle."""
+    rows = frame.select(path.alias("path"), value, order.alias("order")).where("path is not null")
+    name = rows.columns[1]
+    return rows.groupBy("path").agg(F.max(F.struct("order", name)).getField(name).alias(name))
 
 
 def changes(base: DataFrame, head: DataFrame) -> DataFrame:

@@ -30,6 +30,18 @@ class Result:
     languages: DataFrame
 
 
+def stale(head: DataFrame, langs: list[str], existing: DataFrame, template: str = "docs/{lang}/{relativePath}", source_path: str = "docs", include: str | None = None, ignored: list[str] | None = None) -> DataFrame:
+    """Events of the outputs that ``existing`` (path, body) holds for the sources ``head`` (path, source_hash) and that aren't up to date.
+
+    It needs hashes and headers only, nothing that a run translates.
+    """
+    pattern = None if include is None else combined_glob(source_path, include)
+    known = head if pattern is None else head.where(slashes(F.col("path")).rlike(glob_regex(pattern)))
+    known = known.where(~diff.is_ignored(F.col("path"), ignored)) if ignored else known
+    found = provenance.drift(provenance.existing_outputs(known, langs, template, source_path, existing), head).where("is_stale")
+    return found.select(F.lit("stale").alias("category"), "path", "target_lang", F.col("warning").alias("message"))
+
+
 def run(
     corpus: DataFrame,
     base: DataFrame,
@@ -103,10 +115,7 @@ def run(
         rebuilt.where("error is not null").select(F.lit("skipped").alias("category"), "path", "target_lang", F.concat(where, F.lit(": "), "error").alias("message")),
     ]
     if existing is not None:
-        known = head if pattern is None else head.where(slashes(F.col("path")).rlike(glob_regex(pattern)))
-        known = known.where(~diff.is_ignored(F.col("path"), ignored)) if ignored else known
-        stale = provenance.drift(provenance.existing_outputs(known, langs, template, source_path, existing), head).where("is_stale")
-        events.append(stale.select(F.lit("stale").alias("category"), "path", "target_lang", F.col("warning").alias("message")))
+        events.append(stale(head, langs, existing, template, source_path, include, ignored))
     every = events[0]
     for e in events[1:]:
         every = every.unionByName(e)

@@ -113,6 +113,17 @@ def test_remembered_text_without_its_markers_is_repaired(spark):
     assert {r.translated_text for r in second.memory.collect()} == {r.translated_text for r in first.memory.collect()}
 
 
+def test_stale_outputs_are_found_without_translating(spark, data, monkeypatch):
+    """The audit needs hashes and headers: no page is parsed, nothing is asked for, and no text is shuffled."""
+    monkeypatch.setattr(q.chunk_ops, "extract", None)
+    monkeypatch.setattr(translate, "run", None)
+    found = q.pipeline_stale(spark, data)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapIn" not in plan
+    assert all("text#" not in line or "sha2" in line for line in plan.splitlines() if "Exchange" in line)
+
+
 @pytest.mark.parametrize("name", ["md_identity_roundtrip", "md_translated"])
 def test_page_queries_keep_pages_without_chunks(spark, tmp_path, name):
     spark.createDataFrame([(1, CODE), (2, ""), (3, "Text.\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
