@@ -46,6 +46,43 @@ FAILED = "unexpected reconstruction failure - "
 _OUT = "path string, target_lang string, markdown string, chunks int, repaired array<int>, untranslated array<int>, error string"
 
 
+def _nothing(path: str, lang: str) -> dict:
+    return {"path": path, "target_lang": lang, "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
+
+
+def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chunk], pieces: dict[int, tuple[list[str] | None, str | None]]) -> dict:
+    """A document in a language, as a row of ``rebuild``, from its parsed chunks and by ordinal the attempts and error of each."""
+    out = _nothing(path, lang)
+    try:
+        attempts = {n: p[0] for n, p in pieces.items() if p[0]}
+        unknown = sorted(set(pieces) - set(range(len(own))))
+        if unknown:
+            raise ValueError(f"translation for unknown chunk {unknown[0]}")
+        if body is None:
+            return out
+        silent = [n for n in range(len(own)) if n not in attempts]
+        if silent:
+            told = next((pieces[n][1] for n in silent if n in pieces and pieces[n][1]), "no answer")
+            return out | {"error": f"not translated - {len(silent)} of {len(own)} chunks without an answer: {told}"}
+        new = []
+        for n, c in enumerate(own):
+            text, status, _ = markers.heal(c.text, attempts[n])
+            slice_ = body[c.start : c.stop]
+            if status == "unrecoverable":
+                out["untranslated"].append(n)
+                continue
+            spliced, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda s=slice_: s)
+            if failed:
+                out["untranslated"].append(n)
+            elif status == "repaired":
+                out["repaired"].append(n)
+            new.append((c.start, c.stop, spliced))
+        out["markdown"], out["chunks"] = markdown.rebuild(body, new), len(attempts)
+    except Exception as fault:  # noqa: BLE001 - a document's fault is its own
+        out["error"] = FAILED + str(fault)
+    return out
+
+
 def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """path, target_lang, markdown, chunks, repaired, untranslated, error: each document once a language of ``langs``, or of
     those in ``translated`` (path, ordinal, target_lang, attempts: array of texts, in order; error, if there are such).
@@ -66,40 +103,13 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
     arrow = to_arrow_schema(StructType.fromDDL(_OUT))
 
     def one(row: dict, parsed: dict) -> dict:
-        out = {"path": row["path"], "target_lang": row["target_lang"], "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
         try:
             if row["body"] not in parsed:  # a document's languages follow one another
                 parsed.clear()
                 parsed[row["body"]] = markdown.parse(row["body"]) if row["body"] is not None else []
-            own = parsed[row["body"]]
-            pieces = {p["ordinal"]: p for p in row["pieces"] or []}
-            attempts = {n: p["attempts"] for n, p in pieces.items() if p["attempts"]}
-            unknown = sorted(set(pieces) - set(range(len(own))))
-            if unknown:
-                raise ValueError(f"translation for unknown chunk {unknown[0]}")
-            if row["body"] is None:
-                return out
-            silent = [n for n in range(len(own)) if n not in attempts]
-            if silent:
-                told = next((pieces[n]["error"] for n in silent if n in pieces and pieces[n]["error"]), "no answer")
-                return out | {"error": f"not translated - {len(silent)} of {len(own)} chunks without an answer: {told}"}
-            new = []
-            for n, c in enumerate(own):
-                text, status, _ = markers.heal(c.text, attempts[n])
-                slice_ = row["body"][c.start : c.stop]
-                if status == "unrecoverable":
-                    out["untranslated"].append(n)
-                    continue
-                spliced, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda s=slice_: s)
-                if failed:
-                    out["untranslated"].append(n)
-                elif status == "repaired":
-                    out["repaired"].append(n)
-                new.append((c.start, c.stop, spliced))
-            out["markdown"], out["chunks"] = markdown.rebuild(row["body"], new), len(attempts)
         except Exception as fault:  # noqa: BLE001 - a document's fault is its own
-            out["error"] = FAILED + str(fault)
-        return out
+            return _nothing(row["path"], row["target_lang"]) | {"error": FAILED + str(fault)}
+        return put_together(row["path"], row["target_lang"], row["body"], parsed[row["body"]], {p["ordinal"]: (p["attempts"], p["error"]) for p in row["pieces"] or []})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict = {}

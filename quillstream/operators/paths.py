@@ -49,3 +49,16 @@ def per_language(frame: DataFrame, langs: list[str], name: str = "target_lang")
 def last_write_wins(outputs: DataFrame, path: str, order: list[str], value: str) -> DataFrame:
     """One row a path: the value written last, and how many were."""
     return outputs.groupBy(path).agg(F.max(F.struct(*order, value)).getField(value).alias(value), F.count("*").alias("writes"))
+
+
+#: With more paths that are written more than once, all outputs are grouped by shuffle.
+BROADCAST_CLASHES = 100_000
+
+
+def outputs_once(outputs: DataFrame, path: str, order: list[str], value: str) -> DataFrame:
+    """As ``last_write_wins``; the values of paths that are written once aren't shuffled."""
+    twice = outputs.groupBy(path).agg(F.count("*").alias("n")).where("n > 1").select(path)
+    if twice.limit(BROADCAST_CLASHES + 1).count() > BROADCAST_CLASHES:
+        return last_write_wins(outputs, path, order, value)
+    single = outputs.join(F.broadcast(twice), path, "left_anti").select(path, value, F.lit(1).cast("bigint").alias("writes"))
+    return single.unionByName(last_write_wins(outputs.join(F.broadcast(twice), path, "left_semi"), path, order, value))

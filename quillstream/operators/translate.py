@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import random
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -111,9 +112,10 @@ def with_transport_retry(call: Callable[[], str], retries: int = 5, base: float
 
 def id_problem(requested: list[str], returned: list[str]) -> str | None:
     """What is wrong with the returned ids, or None."""
-    missing = [i for i in dict.fromkeys(requested) if i not in set(returned)]
-    extra = [i for i in dict.fromkeys(returned) if i not in set(requested)]
-    twice = [i for i in dict.fromkeys(returned) if returned.count(i) > 1]
+    asked, got = dict.fromkeys(requested), Counter(returned)
+    missing = [i for i in asked if i not in got]
+    extra = [i for i in got if i not in asked]
+    twice = [i for i, n in got.items() if n > 1]
     parts = [f"{n}: {', '.join(x)}" for n, x in (("missing", missing), ("unexpected", extra), ("duplicated", twice)) if x]
     return f"Chunk id mismatch in provider response ({'; '.join(parts)})." if parts else None
 
@@ -168,6 +170,21 @@ def prompts(batched: DataFrame, keys: list[str], lang: str, ordinal: str, chunk:
     return rows.select(*keys, system.alias("system_prompt"), F.concat(F.lit(USER + "\n\n"), "lines").alias("user_prompt"))
 
 
+def answers(translator: Translator, items: list[tuple[str, str, str | None]], lang: str, hint: str, retry: Retry = Retry(), repairs: int = 2) -> list[tuple[str, list[str], bool, str | None]]:
+    """(chunk_id, attempts, kept, error) of each of a batch's items (chunk_id, source_text, known), in order; see ``run``."""
+    known = {i: k for i, _, k in items if k is not None}
+    new = [(i, t) for i, t, _ in items if i not in known]
+    found, problem = translate_batch(translator, new, lang, hint, retry) if new else ({}, None)
+    rows = []
+    for i, text, _ in items:
+        first = known.get(i, found.get(i))
+        tries = [] if first is None else [first]
+        while tries and len(tries) <= repairs and markers.missing(text, tries[-1]):
+            tries.append(repair(translator, (i, text), tries[-1], lang, hint, retry))
+        rows.append((i, tries, bool(tries) and not markers.missing(text, tries[-1]), None if tries else problem))
+    return rows
+
+
 def run(batches: DataFrame, make: Callable[[], Translator], parallel: int = 4, retry: Retry = Retry(), repairs: int = 2) -> DataFrame:
     """``batches`` (batch keys..., target_lang, hint, items: array of (chunk_id, source_text, known)) translated: chunk_id, target_lang,
     attempts (the first answer and up to ``repairs`` more while markers are missing), kept (whether the last has them all), error.
@@ -180,18 +197,8 @@ def run(batches: DataFrame, make: Callable[[], Translator], parallel: int = 4, r
     schema = pa.schema([("chunk_id", pa.string()), ("target_lang", pa.string()), ("attempts", pa.list_(pa.string())), ("kept", pa.bool_()), ("error", pa.string())])
 
     def call(translator: Translator, row: dict) -> pa.RecordBatch:
-        lang, hint = row["target_lang"], row["hint"] or ""
-        known = {x["chunk_id"]: x["known"] for x in row["items"] if x.get("known") is not None}
-        items = [(x["chunk_id"], x["source_text"]) for x in row["items"]]
-        new = [x for x in items if x[0] not in known]
-        found, problem = translate_batch(translator, new, lang, hint, retry) if new else ({}, None)
-        rows = []
-        for item in items:
-            first = known.get(item[0], found.get(item[0]))
-            tries = [] if first is None else [first]
-            while tries and len(tries) <= repairs and markers.missing(item[1], tries[-1]):
-                tries.append(repair(translator, item, tries[-1], lang, hint, retry))
-            rows.append({"chunk_id": item[0], "target_lang": lang, "attempts": tries, "kept": bool(tries) and not markers.missing(item[1], tries[-1]), "error": None if tries else problem})
+        found = answers(translator, [(x["chunk_id"], x["source_text"], x.get("known")) for x in row["items"]], row["target_lang"], row["hint"] or "", retry, repairs)
+        rows = [{"chunk_id": i, "target_lang": row["target_lang"], "attempts": tries, "kept": kept, "error": error} for i, tries, kept, error in found]
         return pa.RecordBatch.from_pylist(rows, schema)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

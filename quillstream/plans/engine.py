@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import combined_glob, glob_regex, sha256_hex, slashes, token_estimate
+from quillstream.functions.text import combined_glob, glob_regex, sha256_hex, slashes
 from quillstream.model import HEADER_PREFIX
 from quillstream.operators import chunks as chunk_ops
-from quillstream.operators import diff, glossary, marks, memory, paths, provenance, report, translate
-from quillstream.plans import batching
-from quillstream.sources.shared import ensure_checkpoint_dir, spread
+from quillstream.operators import diff, glossary, memory, paths, provenance, report, translate
+from quillstream.plans import batching, pages
+from quillstream.sources.shared import written
 
 # A fixed value: what is said of a chunk that stays as its source.
 LOST = ": kept dropping required markers after repair attempts; left untranslated."
@@ -67,39 +67,23 @@ def run(
     markers is repaired as an answer would be. Glossary checks read the first answer. ``include`` is a pattern below
     ``source_path``. Outputs of all sources that ``existing`` (path, body) holds are audited for drift as they were before this run.
     """
-    ensure_checkpoint_dir(corpus.sparkSession)
     source_hash = F.col("source_hash") if "source_hash" in corpus.columns else sha256_hex(F.encode("body", "UTF-8"))
     head = corpus.select("path", source_hash.alias("source_hash"))
     pattern = None if include is None else combined_glob(source_path, include)
     changed = diff.changed_files(base, head, pattern, ignored)
-    # parsed for its chunks and again for each rebuilt document
-    bodies = corpus.select("path", "body").join(changed.select("path"), "path", "left_semi")
-    sources = spread(diff.not_generated(bodies, "body", prefix).checkpoint())
-    own = chunk_ops.extract(sources, "path", "body").select("path", "ordinal", "chunk_id", "source_text", "content_hash").checkpoint()
-    # only keys meet the memory once a language; the texts come in afterwards
-    wanted = paths.per_language(own.drop("source_text"), langs)
-    probed = memory.probe(wanted, remembered).join(own.select("path", "ordinal", "source_text"), ["path", "ordinal"])
-    hit = F.col("translated_text").isNotNull()
-    # only remembered texts whose source may hold markers go to the scanner
-    with_markers = hit & F.col("source_text").rlike("[⟦<]")
-    lost_markers = F.size(marks.missing_markers(F.col("source_text"), F.col("translated_text"))) > 0
-    probed = probed.checkpoint()
-    probed = probed.where(~with_markers).withColumn("broken", F.lit(False)).unionByName(probed.where(with_markers).withColumn("broken", lost_markers)).checkpoint()
-    asked = probed.where("translated_text is null or broken").withColumn("tokens", token_estimate(F.col("source_text")))
-    hint = glossary.hints(terms, langs)
-    batched = batching.batches(asked, ["path", "target_lang", "broken"], ["ordinal"], "tokens", budget)
-    item = F.struct("ordinal", "chunk_id", "source_text", F.col("translated_text").alias("known"))
-    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("ordinal"))
-    calls = batched.groupBy("path", "target_lang", "broken", "batch_no").agg(items.alias("items")).join(hint, "target_lang")
-    said = translate.run(calls, make, parallel).checkpoint()  # written before it is read twice
-    full = probed.join(said, ["chunk_id", "target_lang"], "left")
-    attempts = F.coalesce("attempts", F.when(hit, F.array("translated_text")), F.array().cast("array<string>"))
-    answered = full.select("path", "ordinal", "chunk_id", "target_lang", "source_text", "content_hash", attempts.alias("attempts"), hit.alias("from_cache"), F.coalesce("kept", hit).alias("kept"), "error").checkpoint()
-    rebuilt = chunk_ops.rebuild(sources, "path", "body", answered.select("path", "ordinal", "target_lang", "attempts", "error"), langs).checkpoint()
-    whole = rebuilt.where("error is null and markdown is not null")
+    bodies = corpus.select("path", "body", source_hash.alias("source_hash")).join(changed.select("path"), "path", "left_semi")
+    sources = diff.not_generated(bodies, "body", prefix)
+    # a line a language, which is part of every prompt anyway
+    hint = {r.target_lang: r.hint for r in glossary.hints(terms, langs).collect()}
+    # written before it is read twice
+    settled = written(pages.settle(pages.with_memory(sources, remembered), langs, hint, make, parallel, budget))
+    said = settled.select("path", "target_lang", F.explode("answers").alias("a")).select("path", "target_lang", "a.*")
+    answered = said.select("path", "ordinal", chunk_ops.chunk_id(F.col("path"), F.col("ordinal")).alias("chunk_id"), "target_lang", "source_text", sha256_hex(F.col("source_text")).alias("content_hash"), "attempts", "from_cache", "kept", "error")
+    rebuilt = settled.drop("answers", "source_hash")
+    whole = settled.where("error is null and markdown is not null")
     relative = paths.source_relative(F.col("path"), source_path)
-    titled = whole.join(head, "path").select("path", "target_lang", paths.output_path(template, F.col("target_lang"), relative).alias("output_path"), provenance.with_header(provenance.header(F.col("source_hash"), F.col("path"), F.col("target_lang"), F.lit(generated_at), prefix), F.col("markdown")).alias("markdown"))
-    outputs = paths.last_write_wins(titled, "output_path", ["path", "target_lang"], "markdown")
+    titled = whole.select("path", "target_lang", paths.output_path(template, F.col("target_lang"), relative).alias("output_path"), provenance.with_header(provenance.header(F.col("source_hash"), F.col("path"), F.col("target_lang"), F.lit(generated_at), prefix), F.col("markdown")).alias("markdown"))
+    outputs = paths.outputs_once(titled, "output_path", ["path", "target_lang"], "markdown")
     lost = whole.select("path", "target_lang", F.explode("untranslated").alias("ordinal")).withColumn("lost", F.lit(True))
     fixed = whole.select("path", "target_lang", F.explode("repaired").alias("ordinal")).withColumn("fixed", F.lit(True))
     judged = answered.join(lost, ["path", "target_lang", "ordinal"], "left").join(fixed, ["path", "target_lang", "ordinal"], "left")
@@ -119,5 +103,5 @@ def run(
     every = events[0]
     for e in events[1:]:
         every = every.unionByName(e)
-    sound = answered.join(rebuilt.where("error is not null").select("path", "target_lang"), ["path", "target_lang"], "left_anti")
+    sound = settled.where("error is null").select("target_lang", F.explode("answers.from_cache").alias("from_cache"))
     return Result(changed, answered, rebuilt, outputs, new_memory, every, report.lang_summary(sound, langs))

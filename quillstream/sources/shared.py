@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,13 @@ def spread(frame: DataFrame) -> DataFrame:
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder and read from there: a checkpoint in columns and compressed, which keeps texts that recur
+    from language to language about once. Its files stay until the folder is cleared."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    where = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(frame.schema).parquet(where)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream import queries as q
-from quillstream.operators import memory, translate
+from quillstream.operators import memory, paths, translate
 from quillstream.plans import engine
 from quillstream.sources import files, options, providers, publish, storage
 from quillstream.streaming import ingest
@@ -124,6 +124,36 @@ def test_stale_outputs_are_found_without_translating(spark, data, monkeypatch):
     assert all("text#" not in line or "sha2" in line for line in plan.splitlines() if "Exchange" in line)
 
 
+def test_texts_are_not_kept_once_a_language(spark):
+    """What the whole flow leaves in the shared folder stays below the pages themselves, though it has seven languages."""
+    words = ["".join(chr(97 + b % 26) for b in hashlib.sha256(str(n).encode()).digest()[:7]) for n in range(20_000)]
+    bodies = [(f"docs/p{n}.md", "\n\n".join(" ".join(words[(n * 977 + k * 31 + j) % 20_000] for j in range(40)) for k in range(30)) + "\n") for n in range(60)]
+    corpus, base = spark.createDataFrame(bodies, "path string, body string"), spark.createDataFrame([], "path string, source_hash string")
+    remembered = spark.createDataFrame([("docs/p1.md", lang, hashlib.sha256(bodies[1][1].split("\n\n")[0].encode()).hexdigest(), "Known.") for lang in q.LANGS], EMPTY)
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files_ in os.walk(root) for f in files_)
+    before = size()
+    result = engine.run(corpus, base, q.LANGS, remembered, spark.createDataFrame([], TERMS))
+    assert result.outputs.count() == 60 * 7 and {(r.chunks_translated, r.chunks_from_cache) for r in result.languages.collect()} == {(1800, 1)}
+    assert size() - before < 4 * sum(len(b) for _, b in bodies)
+
+
+def test_outputs_of_one_path(spark, monkeypatch):
+    rows = [("docs/a", "de", "x", "1"), ("docs/b", "de", "x", "2"), ("docs/b", "fr", "x", "0"), ("docs/c", "de", "y", "3"), ("docs/d", "de", None, "4")]
+    frame = spark.createDataFrame(rows, "path string, target_lang string, output_path string, markdown string")
+    args = ("output_path", ["path", "target_lang"], "markdown")
+    want = {tuple(r) for r in paths.last_write_wins(frame, *args).collect()}
+    assert want == {("x", "0", 3), ("y", "3", 1), (None, "4", 1)}
+    for most in (100, 0):  # few paths that are written twice, and too many to send to all
+        monkeypatch.setattr(paths, "BROADCAST_CLASHES", most)
+        assert {tuple(r) for r in paths.outputs_once(frame, *args).collect()} == want
+
+
+def test_ids_of_a_reply():
+    assert translate.id_problem(["a", "b", "a"], ["b", "c", "c", "b"]) == "Chunk id mismatch in provider response (missing: a; unexpected: c; duplicated: b, c)."
+    assert translate.id_problem(["a", "b"], ["b", "a"]) is None
+
+
 @pytest.mark.parametrize("name", ["md_identity_roundtrip", "md_translated"])
 def test_page_queries_keep_pages_without_chunks(spark, tmp_path, name):
     spark.createDataFrame([(1, CODE), (2, ""), (3, "Text.\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
