@@ -138,6 +138,13 @@ def test_texts_are_not_kept_once_a_language(spark):
     assert size() - before < 4 * sum(len(b) for _, b in bodies)
 
 
+def test_summary_reads_no_texts(spark, data):
+    """The counts by language come from flags alone, out of what the flow has written in columns."""
+    plan = q.pipeline_summary(spark, data)._jdf.queryExecution().executedPlan().toString()
+    read = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert read and all("from_cache" in line and "markdown" not in line and "source_text" not in line for line in read)
+
+
 def test_outputs_of_one_path(spark, monkeypatch):
     rows = [("docs/a", "de", "x", "1"), ("docs/b", "de", "x", "2"), ("docs/b", "fr", "x", "0"), ("docs/c", "de", "y", "3"), ("docs/d", "de", None, "4")]
     frame = spark.createDataFrame(rows, "path string, target_lang string, output_path string, markdown string")
