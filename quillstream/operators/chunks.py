@@ -50,8 +50,10 @@ def _nothing(path: str, lang: str) -> dict:
     return {"path": path, "target_lang": lang, "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
 
 
-def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chunk], pieces: dict[int, tuple[list[str] | None, str | None]]) -> dict:
-    """A document in a language, as a row of ``rebuild``, from its parsed chunks and by ordinal the attempts and error of each."""
+def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chunk], pieces: dict[int, tuple[list[str] | None, str | None]], kept: list[bool] | None = None) -> dict:
+    """A document in a language, as a row of ``rebuild``, from its parsed chunks and by ordinal the attempts and error of each.
+
+    ``kept``: by ordinal whether the last of the attempts, and none before it, has all markers, if that is known."""
     out = _nothing(path, lang)
     try:
         attempts = {n: p[0] for n, p in pieces.items() if p[0]}
@@ -66,12 +68,14 @@ def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chun
             return out | {"error": f"not translated - {len(silent)} of {len(own)} chunks without an answer: {told}"}
         new = []
         for n, c in enumerate(own):
-            text, status, _ = markers.heal(c.text, attempts[n])
-            slice_ = body[c.start : c.stop]
+            if kept is None:
+                text, status, _ = markers.heal(c.text, attempts[n])
+            else:
+                text, status = attempts[n][-1], "unrecoverable" if not kept[n] else "ok" if len(attempts[n]) == 1 else "repaired"
             if status == "unrecoverable":
                 out["untranslated"].append(n)
                 continue
-            spliced, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda s=slice_: s)
+            spliced, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda c=c: body[c.start : c.stop])
             if failed:
                 out["untranslated"].append(n)
             elif status == "repaired":

@@ -52,6 +52,8 @@ class Translator(Protocol):
 class FakeTranslator:
     """Puts the language in brackets before each text."""
 
+    waits = False
+
     def translate(self, items: list[tuple[str, str]], lang: str, hint: str = "", problem: str | None = None) -> str:
         return json.dumps({"translations": [{"chunkId": i, "translatedText": f"[{lang}] {t}"} for i, t in items]}, ensure_ascii=False)
 
@@ -83,6 +85,12 @@ def select(env: Mapping[str, str], provider: str = "auto") -> Translator:
     return PROVIDERS[found[0]](env)
 
 
+def waits(translator: Translator) -> bool:
+    """Whether calls spend their time waiting, so that several are held in flight. Only a class that says of itself that its calls
+    don't gets them one after another: threads would but take the interpreter from each other."""
+    return vars(type(translator)).get("waits", True)
+
+
 def transient(status: int | None) -> bool:
     return status is None or status == 429 or status >= 500
 
@@ -179,9 +187,11 @@ def answers(translator: Translator, items: list[tuple[str, str, str | None]], la
     for i, text, _ in items:
         first = known.get(i, found.get(i))
         tries = [] if first is None else [first]
-        while tries and len(tries) <= repairs and markers.missing(text, tries[-1]):
+        kept = first is not None and markers.keeps(text, first)
+        while tries and len(tries) <= repairs and not kept:
             tries.append(repair(translator, (i, text), tries[-1], lang, hint, retry))
-        rows.append((i, tries, bool(tries) and not markers.missing(text, tries[-1]), None if tries else problem))
+            kept = markers.keeps(text, tries[-1])
+        rows.append((i, tries, kept, None if tries else problem))
     return rows
 
 

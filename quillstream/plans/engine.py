@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,16 @@ class Result:
     changed: DataFrame
     translations: DataFrame
     documents: DataFrame
-    outputs: DataFrame
+    titled: DataFrame
     memory: DataFrame
     events: DataFrame
     languages: DataFrame
 
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """What is written where; whether paths clash is looked up when it is asked for."""
+        return paths.outputs_once(self.titled, "output_path", ["path", "target_lang"], "markdown")
+
 
 def stale(head: DataFrame, langs: list[str], existing: DataFrame, template: str = "docs/{lang}/{relativePath}", source_path: str = "docs", include: str | None = None, ignored: list[str] | None = None) -> DataFrame:
     """Events of the outputs that ``existing`` (path, body) holds for the sources ``head`` (path, source_hash) and that aren't up to date.
@@ -83,7 +89,6 @@ def run(
     whole = settled.where("error is null and markdown is not null")
     relative = paths.source_relative(F.col("path"), source_path)
     titled = whole.select("path", "target_lang", paths.output_path(template, F.col("target_lang"), relative).alias("output_path"), provenance.with_header(provenance.header(F.col("source_hash"), F.col("path"), F.col("target_lang"), F.lit(generated_at), prefix), F.col("markdown")).alias("markdown"))
-    outputs = paths.outputs_once(titled, "output_path", ["path", "target_lang"], "markdown")
     lost = whole.select("path", "target_lang", F.explode("untranslated").alias("ordinal")).withColumn("lost", F.lit(True))
     fixed = whole.select("path", "target_lang", F.explode("repaired").alias("ordinal")).withColumn("fixed", F.lit(True))
     judged = answered.join(lost, ["path", "target_lang", "ordinal"], "left").join(fixed, ["path", "target_lang", "ordinal"], "left")
@@ -104,4 +109,4 @@ def run(
     for e in events[1:]:
         every = every.unionByName(e)
     sound = settled.where("error is null").select("target_lang", F.explode("answers.from_cache").alias("from_cache"))
-    return Result(changed, answered, rebuilt, outputs, new_memory, every, report.lang_summary(sound, langs))
+    return Result(changed, answered, rebuilt, titled, new_memory, every, report.lang_summary(sound, langs))

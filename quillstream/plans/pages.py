@@ -43,7 +43,7 @@ def tokens(text: str) -> int:
     return max(1, len(text.encode("utf-16-be")) // 8)
 
 
-def _batches(wanted: list[int], counts: list[int], budget: int) -> list[list[int]]:
+def _batches(wanted: tuple[int, ...], counts: list[int], budget: int) -> list[tuple[int, ...]]:
     sums = np.concatenate([[0], np.cumsum([counts[n] for n in wanted])])
     starts = chain(sums, 0, budget)
     return [wanted[a:b] for a, b in zip(starts, [*starts[1:], len(wanted)])]
@@ -67,7 +67,7 @@ def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Call
     """
     arrow = to_arrow_schema(StructType.fromDDL(OUT))
 
-    def page(row: dict, translator: translate.Translator, pool: ThreadPoolExecutor) -> Iterator[tuple[dict, list[tuple]]]:
+    def page(row: dict, translator: translate.Translator, each: Callable[[Callable, list], Iterator]) -> Iterator[tuple[dict, list[tuple]]]:
         path, body = row["path"], row["body"]
         try:
             own = markdown.parse(body) if body is not None else []
@@ -84,28 +84,30 @@ def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Call
         hashes = [hashlib.sha256(c.text.encode()).hexdigest() for c in own] if memory else []
         step = len(langs) if len(body or "") <= LARGE else 1
         for at in range(0, len(langs), step):
-            known, calls = {}, []
+            known, calls, parts = {}, [], {}
             for lang in langs[at : at + step]:
                 hit = {n: memory[lang, h] for n, h in enumerate(hashes) if (lang, h) in memory}
                 known[lang] = hit
                 new = [n for n in range(len(own)) if n not in hit]
-                broken = [n for n, text in hit.items() if markers.missing(own[n].text, text)]
-                for wanted in (new, broken):
-                    calls += [(lang, part) for part in _batches(wanted, counts, budget)] if wanted else []
+                broken = [n for n, text in hit.items() if not markers.keeps(own[n].text, text)]
+                for wanted in map(tuple, (new, broken)):
+                    if wanted and wanted not in parts:  # most often the same in all languages
+                        parts[wanted] = _batches(wanted, counts, budget)
+                    calls += [(lang, part) for part in parts[wanted]] if wanted else []
 
-            def call(asked: tuple[str, list[int]], known: dict = known) -> list[tuple]:
+            def call(asked: tuple[str, tuple[int, ...]], known: dict = known) -> list[tuple]:
                 lang, part = asked
                 return translate.answers(translator, [(ids[n], own[n].text, known[lang].get(n)) for n in part], lang, hints.get(lang) or "", retry)
 
             said: dict[tuple[str, int], tuple] = {}
-            for (lang, part), found in zip(calls, pool.map(call, calls), strict=True):
+            for (lang, part), found in zip(calls, each(call, calls), strict=True):
                 said.update({(lang, n): x[1:] for n, x in zip(part, found, strict=True)})
             for lang in langs[at : at + step]:
                 hit, answers = known[lang], []
                 for n, c in enumerate(own):
                     attempts, kept, error = said[lang, n] if (lang, n) in said else ([hit[n]], True, None)
                     answers.append((n, c.text, attempts, n in hit, kept, error))
-                yield chunk_ops.put_together(path, lang, body, own, {a[0]: (a[2], a[5]) for a in answers}), answers
+                yield chunk_ops.put_together(path, lang, body, own, {a[0]: (a[2], a[5]) for a in answers}, [a[4] for a in answers]), answers
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator, rows, answers, size = make(), [], [], 0
@@ -118,7 +120,7 @@ def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Call
             for part in parts:
                 for n in range(part.num_rows):
                     row = part.slice(n, 1).to_pylist()[0]
-                    for out, own in page(row, translator, pool):
+                    for out, own in page(row, translator, pool.map if translate.waits(translator) else map):
                         rows.append(out | {"source_hash": row["source_hash"]})
                         answers.append(own)
                         size += 3 * len(out["markdown"] or row["body"] or "")
