@@ -50,38 +50,36 @@ def _nothing(path: str, lang: str) -> dict:
     return {"path": path, "target_lang": lang, "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": None}
 
 
-def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chunk], pieces: dict[int, tuple[list[str] | None, str | None]], kept: list[bool] | None = None) -> dict:
-    """A document in a language, as a row of ``rebuild``, from its parsed chunks and by ordinal the attempts and error of each.
+def put_together(path: str, lang: str, body: str | None, own: list[markdown.Chunk], attempts: list[list[str] | None], errors: list[str | None], kept: list[bool] | None = None) -> dict:
+    """A document in a language, as a row of ``rebuild``, from its parsed chunks and the attempts and error of each.
 
-    ``kept``: by ordinal whether the last of the attempts, and none before it, has all markers, if that is known."""
+    ``kept``: whether the last of a chunk's attempts, and none before it, has all markers, if that is known."""
     out = _nothing(path, lang)
     try:
-        attempts = {n: p[0] for n, p in pieces.items() if p[0]}
-        unknown = sorted(set(pieces) - set(range(len(own))))
-        if unknown:
-            raise ValueError(f"translation for unknown chunk {unknown[0]}")
         if body is None:
             return out
-        silent = [n for n in range(len(own)) if n not in attempts]
-        if silent:
-            told = next((pieces[n][1] for n in silent if n in pieces and pieces[n][1]), "no answer")
+        if not all(attempts):
+            silent = [n for n, tries in enumerate(attempts) if not tries]
+            told = next((errors[n] for n in silent if errors[n]), "no answer")
             return out | {"error": f"not translated - {len(silent)} of {len(own)} chunks without an answer: {told}"}
         new = []
-        for n, c in enumerate(own):
+        for n, (c, tries) in enumerate(zip(own, attempts, strict=True)):
             if kept is None:
-                text, status, _ = markers.heal(c.text, attempts[n])
+                text, status, _ = markers.heal(c.text, tries)
             else:
-                text, status = attempts[n][-1], "unrecoverable" if not kept[n] else "ok" if len(attempts[n]) == 1 else "repaired"
+                text, status = tries[-1], "unrecoverable" if not kept[n] else "ok" if len(tries) == 1 else "repaired"
             if status == "unrecoverable":
                 out["untranslated"].append(n)
                 continue
-            spliced, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda c=c: body[c.start : c.stop])
+            failed = False
+            if "⟦" in text or "<" in text:
+                text, failed = markers.splice_or_source(text, c.text, (c.placeholders, c.links, c.emphasis), lambda c=c: body[c.start : c.stop])
             if failed:
                 out["untranslated"].append(n)
             elif status == "repaired":
                 out["repaired"].append(n)
-            new.append((c.start, c.stop, spliced))
-        out["markdown"], out["chunks"] = markdown.rebuild(body, new), len(attempts)
+            new.append((c.start, c.stop, text))
+        out["markdown"], out["chunks"] = markdown.rebuild(body, new), len(own)
     except Exception as fault:  # noqa: BLE001 - a document's fault is its own
         out["error"] = FAILED + str(fault)
     return out
@@ -113,7 +111,13 @@ def rebuild(frame: DataFrame, path: str, body: str, translated: DataFrame, langs
                 parsed[row["body"]] = markdown.parse(row["body"]) if row["body"] is not None else []
         except Exception as fault:  # noqa: BLE001 - a document's fault is its own
             return _nothing(row["path"], row["target_lang"]) | {"error": FAILED + str(fault)}
-        return put_together(row["path"], row["target_lang"], row["body"], parsed[row["body"]], {p["ordinal"]: (p["attempts"], p["error"]) for p in row["pieces"] or []})
+        own = parsed[row["body"]]
+        pieces = {p["ordinal"]: (p["attempts"], p["error"]) for p in row["pieces"] or []}
+        unknown = sorted(set(pieces) - set(range(len(own))))
+        if unknown:
+            return _nothing(row["path"], row["target_lang"]) | {"error": f"{FAILED}translation for unknown chunk {unknown[0]}"}
+        attempts, errors = ([pieces.get(n, (None, None))[k] for n in range(len(own))] for k in (0, 1))
+        return put_together(row["path"], row["target_lang"], row["body"], own, attempts, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict = {}

@@ -120,6 +120,8 @@ def with_transport_retry(call: Callable[[], str], retries: int = 5, base: float
 
 def id_problem(requested: list[str], returned: list[str]) -> str | None:
     """What is wrong with the returned ids, or None."""
+    if requested == returned and len(set(returned)) == len(returned):
+        return None
     asked, got = dict.fromkeys(requested), Counter(returned)
     missing = [i for i in asked if i not in got]
     extra = [i for i in got if i not in asked]
@@ -187,7 +189,7 @@ def answers(translator: Translator, items: list[tuple[str, str, str | None]], la
     for i, text, _ in items:
         first = known.get(i, found.get(i))
         tries = [] if first is None else [first]
-        kept = first is not None and markers.keeps(text, first)
+        kept = first is not None and ("⟦" not in text and "<" not in text or markers.keeps(text, first))
         while tries and len(tries) <= repairs and not kept:
             tries.append(repair(translator, (i, text), tries[-1], lang, hint, retry))
             kept = markers.keeps(text, tries[-1])

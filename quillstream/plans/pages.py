@@ -49,13 +49,28 @@ def _batches(wanted: tuple[int, ...], counts: list[int], budget: int) -> list[tu
     return [wanted[a:b] for a, b in zip(starts, [*starts[1:], len(wanted)])]
 
 
-def _answers(answers: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+#: The answers of a page in a language: texts, attempts, whether the memory had them, whether all markers are kept, errors.
+_Own = tuple[list[str], list[list[str]], list[bool], list[bool], list[str | None]]
+
+
+def _answers(answers: list[_Own], kind: pa.DataType) -> pa.Array:
     """Lists of answers as an array, column by column."""
-    flat = [a for own in answers for a in own]
     fields = kind.value_type
-    columns = [pa.array(list(c), f.type) for c, f in zip(zip(*flat), fields)] if flat else [pa.array([], f.type) for f in fields]
-    offsets = np.concatenate([[0], np.cumsum([len(own) for own in answers])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(fields))).cast(kind)
+    columns: list[list] = [[n for own in answers for n in range(len(own[0]))], *([x for own in answers for x in own[k]] for k in range(len(fields) - 1))]
+    offsets = np.concatenate([[0], np.cumsum([len(own[0]) for own in answers])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=list(fields))).cast(kind)
+
+
+def _remembered(row: pa.Array) -> dict[str, dict[str, str]]:
+    """Texts by language and hash; of several the greatest."""
+    memory: dict[str, dict[str, str]] = {}
+    if row.null_count:
+        return memory
+    for lang, key, text in zip(*(row.flatten().field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))):
+        known = memory.setdefault(lang, {})
+        if known.setdefault(key, text) < text:
+            known[key] = text
+    return memory
 
 
 def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Callable[[], translate.Translator], parallel: int, budget: int, retry: translate.Retry = translate.Retry()) -> DataFrame:
@@ -67,47 +82,42 @@ def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Call
     """
     arrow = to_arrow_schema(StructType.fromDDL(OUT))
 
-    def page(row: dict, translator: translate.Translator, each: Callable[[Callable, list], Iterator]) -> Iterator[tuple[dict, list[tuple]]]:
-        path, body = row["path"], row["body"]
+    def page(path: str, body: str | None, memory: dict[str, dict[str, str]], translator: translate.Translator, each: Callable[[Callable, list], Iterator]) -> Iterator[tuple[dict, _Own]]:
         try:
             own = markdown.parse(body) if body is not None else []
         except Exception as fault:  # noqa: BLE001 - a document's fault is its own
             for lang in langs:
-                yield {"path": path, "target_lang": lang, "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": chunk_ops.FAILED + str(fault)}, []
+                yield {"path": path, "target_lang": lang, "markdown": None, "chunks": 0, "repaired": [], "untranslated": [], "error": chunk_ops.FAILED + str(fault)}, ([], [], [], [], [])
             return
+        texts = [c.text for c in own]
         ids = [hashlib.sha256(f"{path}\0{n}".encode()).hexdigest() for n in range(len(own))]
-        counts = [tokens(c.text) for c in own]
-        memory: dict[tuple[str, str], str] = {}
-        for r in row["remembered"] or []:
-            key = r["target_lang"], r["content_hash"]
-            memory[key] = max(memory.get(key, ""), r["translated_text"])
-        hashes = [hashlib.sha256(c.text.encode()).hexdigest() for c in own] if memory else []
+        counts = [tokens(x) for x in texts]
+        hashes = [hashlib.sha256(x.encode()).hexdigest() for x in texts] if memory else []
+        marked = [n for n, x in enumerate(texts) if markers.marker_set(x)]
         step = len(langs) if len(body or "") <= LARGE else 1
         for at in range(0, len(langs), step):
             known, calls, parts = {}, [], {}
             for lang in langs[at : at + step]:
-                hit = {n: memory[lang, h] for n, h in enumerate(hashes) if (lang, h) in memory}
-                known[lang] = hit
-                new = [n for n in range(len(own)) if n not in hit]
-                broken = [n for n, text in hit.items() if not markers.keeps(own[n].text, text)]
-                for wanted in map(tuple, (new, broken)):
+                hit = known[lang] = list(map(memory[lang].get, hashes)) if lang in memory else [None] * len(own)
+                new = tuple(n for n, x in enumerate(hit) if x is None)
+                broken = tuple(n for n in marked if hit[n] is not None and not markers.keeps(texts[n], hit[n]))
+                for wanted in (new, broken):
                     if wanted and wanted not in parts:  # most often the same in all languages
                         parts[wanted] = _batches(wanted, counts, budget)
                     calls += [(lang, part) for part in parts[wanted]] if wanted else []
 
             def call(asked: tuple[str, tuple[int, ...]], known: dict = known) -> list[tuple]:
                 lang, part = asked
-                return translate.answers(translator, [(ids[n], own[n].text, known[lang].get(n)) for n in part], lang, hints.get(lang) or "", retry)
+                hit = known[lang]
+                return translate.answers(translator, [(ids[n], texts[n], hit[n]) for n in part], lang, hints.get(lang) or "", retry)
 
-            said: dict[tuple[str, int], tuple] = {}
+            said = {lang: ([[x] for x in hit], [True] * len(own), [None] * len(own)) for lang, hit in known.items()}
             for (lang, part), found in zip(calls, each(call, calls), strict=True):
-                said.update({(lang, n): x[1:] for n, x in zip(part, found, strict=True)})
-            for lang in langs[at : at + step]:
-                hit, answers = known[lang], []
-                for n, c in enumerate(own):
-                    attempts, kept, error = said[lang, n] if (lang, n) in said else ([hit[n]], True, None)
-                    answers.append((n, c.text, attempts, n in hit, kept, error))
-                yield chunk_ops.put_together(path, lang, body, own, {a[0]: (a[2], a[5]) for a in answers}, [a[4] for a in answers]), answers
+                attempts, kept, errors = said[lang]
+                for n, x in zip(part, found, strict=True):
+                    _, attempts[n], kept[n], errors[n] = x
+            for lang, (attempts, kept, errors) in said.items():
+                yield chunk_ops.put_together(path, lang, body, own, attempts, errors, kept), (texts, attempts, [x is not None for x in known[lang]], kept, errors)
 
     def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator, rows, answers, size = make(), [], [], 0
@@ -119,11 +129,11 @@ def settle(pages: DataFrame, langs: list[str], hints: dict[str, str], make: Call
         with ThreadPoolExecutor(max(1, parallel)) as pool:
             for part in parts:
                 for n in range(part.num_rows):
-                    row = part.slice(n, 1).to_pylist()[0]
-                    for out, own in page(row, translator, pool.map if translate.waits(translator) else map):
-                        rows.append(out | {"source_hash": row["source_hash"]})
+                    path, body, source_hash = (part.column(k)[n].as_py() for k in range(3))
+                    for out, own in page(path, body, _remembered(part.column(3).slice(n, 1)), translator, pool.map if translate.waits(translator) else map):
+                        rows.append(out | {"source_hash": source_hash})
                         answers.append(own)
-                        size += 3 * len(out["markdown"] or row["body"] or "")
+                        size += 3 * len(out["markdown"] or body or "")
                         if size > _CHARS or len(rows) >= _ROWS:
                             yield batch()
                             rows, answers, size = [], [], 0
